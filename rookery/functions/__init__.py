@@ -1 +1 @@
-"""Part of rookery; see the README."""
+"""Column functions."""
