@@ -53,5 +53,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once. Within a lambda, a bare expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

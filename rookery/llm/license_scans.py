@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole
+from .common import documents, let, whole
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -116,7 +116,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, text_col:
                 out = out.withColumn(mixed, own)
                 names.append(mixed)
             starts = F.sequence(F.lit(1), F.greatest(F.size(sh), F.lit(1)), F.lit(block))
-            own = F.transform(starts, lambda p, c=mixed, b=block: F.array_min(F.slice(c, p, F.lit(b))))
+            own = let(F.col(mixed), lambda c, s=starts, b=block: F.transform(s, lambda p: F.array_min(F.slice(c, p, F.lit(b)))))
         blocked[block, band] = f"__b{block}_{band}"
         out = out.withColumn(blocked[block, band], own)
         names.append(blocked[block, band])
@@ -125,10 +125,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, text_col:
         hits = []
         for band in range(max(t.bands for t in members)):
             keys = [key_of(t, band) for t in members if band < t.bands]
-            mins = F.col(blocked[block, band])
-            starts = F.sequence(F.lit(0), F.greatest(F.size(mins) - blocks, F.lit(0)))
-            near = lambda p, m=mins, n=blocks: F.array_min(F.slice(m, p + 1, F.lit(n))) if n > 1 else F.get(m, p)
-            hits.append(F.filter(starts, lambda p, k=keys, near=near: F.coalesce(near(p).isin(k), F.lit(False))))
+            hits.append(let(F.col(blocked[block, band]), lambda mins, k=keys, n=blocks: _agreeing(mins, k, n)))
         candidates = f"__c{block}_{blocks}"
         out = out.withColumn(candidates, F.array_distinct(F.concat(*hits)))
         names.append(candidates)
@@ -138,18 +135,25 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, text_col:
     return out.withColumn("__found", F.when(F.size(sh) > 0, found).otherwise(F.slice(found, 1, 0))).drop(*names)
 
 
+def _agreeing(mins: Column, keys: list[int], blocks: int) -> Column:
+    """Numbers of the windows of so many blocks whose least value is one of `keys`."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(mins) - blocks, F.lit(0)))
+    near = (lambda p: F.array_min(F.slice(mins, p + 1, F.lit(blocks)))) if blocks > 1 else (lambda p: F.get(mins, p))
+    return F.filter(starts, lambda p: F.coalesce(near(p).isin(keys), F.lit(False)))
+
+
 def _verified(t: Template, candidates: Column, words: Column) -> Column:
     """struct(name, at, share) of the first best candidate window that holds enough of the template, or null."""
     own = F.array(*[F.lit(s) for s in t.shingles])
 
-    def share(p: Column) -> Column:
-        piece = F.slice(words, p * t.block + 1, F.lit(t.block * t.blocks + SHINGLE - 1))
-        spelled = F.transform(F.sequence(F.lit(1), F.greatest(F.size(piece) - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(piece, i, F.lit(SHINGLE)), " "))
+    def share(p: Column, words: Column) -> Column:
+        spell = lambda piece: F.transform(F.sequence(F.lit(1), F.greatest(F.size(piece) - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(piece, i, F.lit(SHINGLE)), " "))
+        spelled = let(F.slice(words, p * t.block + 1, F.lit(t.block * t.blocks + SHINGLE - 1)), spell)
         return F.size(F.array_intersect(own, spelled)) / F.lit(float(len(t.shingles)))
 
-    each = F.transform(candidates, lambda p: F.struct(share(p).alias("share"), (-p).alias("back")))
-    best = F.array_max(each)
-    return F.when(best["share"] >= CONTAINED, F.struct(F.lit(t.name).alias("name"), (-best["back"] * t.block).alias("at"), best["share"].alias("share")))
+    each = let(words, lambda w: F.transform(candidates, lambda p: F.struct(share(p, w).alias("share"), (-p).alias("back"))))
+    told = lambda best: F.when(best["share"] >= CONTAINED, F.struct(F.lit(t.name).alias("name"), (-best["back"] * t.block).alias("at"), best["share"].alias("share")))
+    return let(F.array_max(each), told)
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import let
+
 _BLOCK = 256
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
@@ -18,12 +20,15 @@ def running(x: Column) -> Column:
         none = F.array().cast("array<int>")
         return F.aggregate(a, none, lambda acc, v: F.concat(acc, F.array(v + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
 
-    n = F.size(x)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(_BLOCK)), lambda at: F.slice(x, at + 1, F.lit(_BLOCK)))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
-    ends = sums(F.transform(blocks, total))
-    inner = F.transform(blocks, lambda b, i: F.transform(sums(b), lambda v: v + F.coalesce(F.get(ends, i - 1), F.lit(0))))
-    return F.flatten(inner)
+    starts = lambda v: F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(_BLOCK))
+    blocks = let(x, lambda v: F.transform(starts(v), lambda at: F.slice(v, at + 1, F.lit(_BLOCK))))
+
+    def lifted(b: Column) -> Column:
+        ends = sums(F.transform(b, total))
+        return let(ends, lambda e: F.transform(b, lambda own, i: let(F.coalesce(F.get(e, i - 1), F.lit(0)), lambda add: F.transform(sums(own), lambda v: v + add))))
+
+    return F.flatten(let(blocks, lifted))
 
 
 def matches(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
@@ -33,12 +38,21 @@ def matches(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     the running sum of gap and match lengths. The pattern must not match the empty string.
     """
     regex = F.lit(pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    part = F.regexp_extract_all(text, regex, F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
-    row = F.arrays_zip(found.alias("m"), part.alias("g"), running(steps).alias("e"))
-    return F.transform(row, lambda r: F.struct(F.lit(kind).alias("kind"), (r["e"] - F.length(r["m"])).alias("start"), r["e"].alias("end"), r["m"].alias("value"), r["g"].alias("part")))
+    extract = lambda g: F.regexp_extract_all(text, regex, F.lit(g))
+
+    def placed(found: Column, gaps: Column, parts: Column) -> Column:
+        steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+
+        def rows(ends: Column) -> Column:
+            end = lambda i: F.get(ends, i)
+            return F.transform(
+                found,
+                lambda m, i: F.struct(F.lit(kind).alias("kind"), (end(i) - F.length(m)).alias("start"), end(i).alias("end"), m.alias("value"), F.get(parts, i).alias("part")),
+            )
+
+        return let(running(steps), rows)
+
+    return let(extract(0), lambda found: let(F.split(text, pattern, -1), lambda gaps: let(extract(group), lambda parts: placed(found, gaps, parts)) if group else placed(found, gaps, found)))
 
 
 def spans(text: Column, may: Column, pattern: str, kind: str, good: Callable[[Column], Column] = lambda m: F.lit(True), group: int = 0) -> Column:
