@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -42,10 +44,9 @@ END = 1
 #: Terms of a seed that are looked up, and BM25's parameters.
 TERMS, K1, B = 8, 1.2, 0.75
 #: Pieces of text that a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ODD = re.compile("[\x1c-\x1fͅΣİ<]")
 
 
 def default_vocabulary() -> str:
@@ -54,6 +55,24 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Ragged:
+    """Token lists one after another; a list's number gives its place."""
+
+    def __init__(self) -> None:
+        self.starts, self.lengths, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def add(self, lengths: np.ndarray, tokens: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.tokens) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.tokens = np.concatenate([self.tokens, tokens.astype(np.uint16)])
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of some lists, and where each list ends among them."""
+        n = self.lengths[numbers]
+        ends = np.cumsum(n)
+        return self.tokens[np.repeat(self.starts[numbers] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class PieceEncoder:
     """Token ids of whole texts, with a table of the white-space-separated pieces met so far."""
 
@@ -67,77 +86,87 @@ class PieceEncoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.closes[i] = token.endswith("</w>")
-        self.point = {c: self.full.encode(c, add_special_tokens=False).ids for c in ",."}
-        letters = pre_tokenizers.ByteLevel.alphabet()
+        self.point = {"": -1}
+        for c in ",.":
+            (self.point[c],) = self.full.encode(c, add_special_tokens=False).ids
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         rest = [b for b in range(256) if b not in plain]
         self.bytes = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        assert set(self.bytes.values()) == set(letters)
+        assert set(self.bytes.values()) == set(pre_tokenizers.ByteLevel.alphabet())
         self.remembered = remembered
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.lengths = np.zeros(0, dtype=np.int64)
-        self.tokens = np.zeros(0, dtype=np.uint16)
+        self.pieces = Ragged()
+        self.core_place: dict[str, int] = {}
+        self.cores = Ragged()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Add pieces that aren't in the table."""
-        import unicodedata
-
-        cores: dict[str, int] = {}
-        plan: list[tuple[str, int, str]] = []
+        """Add pieces that aren't in the table: plain letters by way of their cores, then the others."""
+        plain: list[str] = []
         odd: list[str] = []
+        at: list[int] = []
+        points: list[int] = []
+        new: list[str] = []
+        core_place, point_of = self.core_place, self.point
         for p in pieces:
             core, point = (p[:-1], p[-1]) if p[-1] in ",." else (p, "")
-            if core.isalpha() and not _ODD.search(core):
-                core = unicodedata.normalize("NFC", core).lower()
-                if core.isalpha():
-                    plan.append((p, cores.setdefault(core, len(cores)), point))
-                    continue
-            odd.append(p)
-        groups: list[list[int]] = []
-        if cores:
-            spelled = " ".join(core if core.isascii() else core.encode().decode("latin-1").translate(self.bytes) for core in cores)
+            if core.isalpha():
+                if core.isascii():
+                    core = core.lower()
+                elif "\u03a3" in core or "\u0130" in core:  # whose lower case depends on the library
+                    core = ""
+                else:
+                    core = unicodedata.normalize("NFC", core).lower()
+                    core = core if core.isalpha() else ""
+            else:
+                core = ""
+            if not core:
+                odd.append(p)
+                continue
+            i = core_place.get(core)
+            if i is None:
+                i = core_place[core] = len(core_place)
+                new.append(core)
+            plain.append(p)
+            at.append(i)
+            points.append(point_of[point])
+        if new:
+            spelled = " ".join(c if c.isascii() else c.encode().decode("latin-1").translate(self.bytes) for c in new)
             ids = np.array(self.bare.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype=np.int64)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            assert len(ends) == len(cores)
-            groups = [g.tolist() for g in np.split(ids, ends[:-1])]
-        known = [(p, groups[i] + (self.point[point] if point else [])) for p, i, point in plan]
-        known += list(zip(odd, (e.ids for e in self.full.encode_batch_fast(odd, add_special_tokens=False)), strict=True)) if odd else []
-        at = len(self.tokens)
-        lengths = np.array([len(g) for _, g in known], dtype=np.int64)
-        for i, (p, _) in enumerate(known):
-            self.place[p] = len(self.starts) + i
-        self.tokens = np.concatenate([self.tokens, np.array([t for _, g in known for t in g], dtype=np.uint16)])
-        self.starts = np.concatenate([self.starts, at + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
+            assert len(ends) == len(new)
+            self.cores.add(np.diff(ends, prepend=0), ids)
+        if plain:
+            numbers, point = np.array(at), np.array(points)
+            tokens, ends = self.cores.take(numbers)
+            marked = point >= 0
+            self.pieces.add(self.cores.lengths[numbers] + marked, np.insert(tokens, ends[marked], point[marked]))
+        if odd:
+            lists = [e.ids for e in self.full.encode_batch_fast(odd, add_special_tokens=False)]
+            self.pieces.add(np.array([len(x) for x in lists]), np.array([t for x in lists for t in x], dtype=np.uint16))
+        base = len(self.place)
+        self.place.update(zip(chain(plain, odd), range(base, base + len(pieces)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint16 ids of each text, without the end token."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(texts), 256):
-            out += self._encode_some(texts[at : at + 256])
-        return out
-
-    def _encode_some(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > self.remembered:
             self._forget()
-        split = [None if _SEPARATORS.search(t) else t.split() for t in texts]
-        new = {p for pieces in split if pieces for p in pieces if p not in self.place}
-        if new:
-            self._learn(list(new))
-        get, out = self.place.__getitem__, []
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                out.append(np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint16))
-                continue
-            at = np.fromiter(map(get, pieces), dtype=np.int64, count=len(pieces))
-            n = self.lengths[at]
-            ends = np.cumsum(n)
-            out.append(self.tokens[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)])
+        split = [[] if _SEPARATORS.search(t) else t.split() for t in texts]
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys([words[i] for i in missing])))
+            at[missing] = [self.place[words[i]] for i in missing]
+        tokens, ends = self.pieces.take(at)
+        cuts = np.concatenate(([0], ends))[np.cumsum([0] + [len(x) for x in split])].tolist()
+        out = [tokens[a:b] for a, b in pairwise(cuts)]
+        for i, t in enumerate(texts):
+            if not split[i] and t:
+                out[i] = np.array(self.full.encode(t, add_special_tokens=False).ids, dtype=np.uint16)
         return out
 
 
