@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from functools import reduce
+from collections.abc import Callable
 from typing import NamedTuple
 
 import xxhash
@@ -109,14 +109,14 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, text_col:
         groups[t.block, t.blocks].append(t)
     blocked: dict[tuple[int, int], str] = {}
     for block, band in sorted({(t.block, k) for t in plans for k in range(t.bands)}):
-        own = F.transform(sh, lambda x, s=seed(band): x.bitwiseXOR(F.lit(s))) if band else sh
+        own = _mixed(sh, band) if band else sh
         if block > 1:
             mixed = f"__x{band}"
             if mixed not in names:
                 out = out.withColumn(mixed, own)
                 names.append(mixed)
             starts = F.sequence(F.lit(1), F.greatest(F.size(sh), F.lit(1)), F.lit(block))
-            own = let(F.col(mixed), lambda c, s=starts, b=block: F.transform(s, lambda p: F.array_min(F.slice(c, p, F.lit(b)))))
+            own = let(F.col(mixed), _block_minima(starts, block))
         blocked[block, band] = f"__b{block}_{band}"
         out = out.withColumn(blocked[block, band], own)
         names.append(blocked[block, band])
@@ -125,7 +125,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, text_col:
         hits = []
         for band in range(max(t.bands for t in members)):
             keys = [key_of(t, band) for t in members if band < t.bands]
-            hits.append(let(F.col(blocked[block, band]), lambda mins, k=keys, n=blocks: _agreeing(mins, k, n)))
+            hits.append(let(F.col(blocked[block, band]), _agreeing(keys, blocks)))
         candidates = f"__c{block}_{blocks}"
         out = out.withColumn(candidates, F.array_distinct(F.concat(*hits)))
         names.append(candidates)
@@ -135,11 +135,23 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, text_col:
     return out.withColumn("__found", F.when(F.size(sh) > 0, found).otherwise(F.slice(found, 1, 0))).drop(*names)
 
 
-def _agreeing(mins: Column, keys: list[int], blocks: int) -> Column:
+def _mixed(shingles: Column, band: int) -> Column:
+    return F.transform(shingles, lambda x: x.bitwiseXOR(F.lit(seed(band))))
+
+
+def _block_minima(starts: Column, block: int) -> Callable[[Column], Column]:
+    return lambda values: F.transform(starts, lambda p: F.array_min(F.slice(values, p, F.lit(block))))
+
+
+def _agreeing(keys: list[int], blocks: int) -> Callable[[Column], Column]:
     """Numbers of the windows of so many blocks whose least value is one of `keys`."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(mins) - blocks, F.lit(0)))
-    near = (lambda p: F.array_min(F.slice(mins, p + 1, F.lit(blocks)))) if blocks > 1 else (lambda p: F.get(mins, p))
-    return F.filter(starts, lambda p: F.coalesce(near(p).isin(keys), F.lit(False)))
+
+    def find(mins: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(mins) - blocks, F.lit(0)))
+        near = (lambda p: F.array_min(F.slice(mins, p + 1, F.lit(blocks)))) if blocks > 1 else (lambda p: F.get(mins, p))
+        return F.filter(starts, lambda p: F.coalesce(near(p).isin(keys), F.lit(False)))
+
+    return find
 
 
 def _verified(t: Template, candidates: Column, words: Column) -> Column:
