@@ -144,15 +144,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Rows that are alike in id, text and source are told apart no further: together they are
     taken as often as the mix takes them all.
     """
-    taken = mixture(docs, id_col, text_col, source_col).groupBy("__id", "__key").agg(F.sum("__copies").alias("__copies"), F.count("*").alias("__alike")).where("__copies > 0")
-    key = _key(id_col, text_col, source_col)
-    told = docs.withColumn("__own", key).join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
-    same = Window.partitionBy("__id", "__key").orderBy(F.lit(1))
-    repeated = told.where("__alike > 1").withColumn("__place", F.row_number().over(same))
-    share = F.floor(F.col("__copies") / F.col("__alike")) + F.when(F.col("__place") <= F.col("__copies") % F.col("__alike"), 1).otherwise(0)
-    single = told.where("__alike = 1").withColumn("__times", F.col("__copies"))
-    every = single.unionByName(repeated.withColumn("__times", share).drop("__place"))
-    return every.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mixture(docs, id_col, text_col, source_col).groupBy("__id", "__key").agg(F.sum("__copies").alias("__copies"), F.count("*").alias("__alike"))
+    taken = saved(taken.where("__copies > 0"))
+    told = docs.withColumn("__own", _key(id_col, text_col, source_col)).join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
+    if taken.where("__alike > 1").isEmpty():
+        every = told.withColumn("__times", F.col("__copies"))
+    else:  # alike rows share what is taken of them
+        place = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(1)))
+        share = F.floor(F.col("__copies") / F.col("__alike")) + F.when(F.col("__place") <= F.col("__copies") % F.col("__alike"), 1).otherwise(0)
+        every = told.withColumn("__place", place).withColumn("__times", share).where("__times > 0")
+    repeated = every.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
