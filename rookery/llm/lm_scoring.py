@@ -17,6 +17,7 @@ repeated ids are scored row by row. An empty corpus leaves the starting weights.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -28,8 +29,9 @@ from .common import documents, saved, whole, words_of
 
 ROUNDS = 1
 RATE = 0.15
-#: Words a step of training or scoring takes.
-STEP = 8192
+#: Words a step of training takes, and one of scoring.
+STEP = 16384
+SCORE_STEP = 65536
 #: Numbers in a row of weights.
 ROW = 1024
 
@@ -66,8 +68,18 @@ def start(shape: Shape, counts: np.ndarray) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+    """In place."""
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
+
+
+def _log_of(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-softmax of one chosen column a row."""
+    x -= x.max(axis=-1, keepdims=True)
+    own = x[np.arange(len(x)), chosen]
+    return own - np.log(np.exp(x, out=x).sum(axis=-1))
 
 
 class Network:
@@ -83,27 +95,29 @@ class Network:
     def _hidden(self, sides: np.ndarray) -> np.ndarray:
         return np.tanh(sum(self.w["context"][k][sides[:, k]] for k in range(sides.shape[1])))
 
-    def _by_class(self, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _sorted(self, words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by class, and (class, from, to) of each class that occurs."""
+        classes = words // self.shape.members
         order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(self.shape.classes + 1))
-        for c in range(self.shape.classes):
-            if cuts[c] < cuts[c + 1]:
-                yield c, order[cuts[c] : cuts[c + 1]]
+        cuts = np.searchsorted(classes[order], np.arange(self.shape.classes + 1)).tolist()
+        return order, [(c, a, b) for c, (a, b) in enumerate(pairwise(cuts)) if a < b]
 
     def log_p(self, words: np.ndarray, sides: np.ndarray) -> np.ndarray:
         """Log-probability of each word given its sides (columns: positions)."""
-        h, m = self._hidden(sides), self.shape.members
-        classes, inside = words // m, words % m
-        out = np.log(_softmax(h @ self.w["class_w"] + self.w["class_b"])[np.arange(len(words)), classes] + 1e-30)
-        for c, rows in self._by_class(classes):
-            p = _softmax(h[rows] @ self.w["word_w"][c] + self.w["word_b"][c])
-            out[rows] += np.log(p[np.arange(len(rows)), inside[rows]] + 1e-30)
-        return out
+        order, classes = self._sorted(words)
+        words, h, m = words[order], self._hidden(sides[order]), self.shape.members
+        out = _log_of(h @ self.w["class_w"] + self.w["class_b"], words // m)
+        for c, a, b in classes:
+            out[a:b] += _log_of(h[a:b] @ self.w["word_w"][c] + self.w["word_b"][c], words[a:b] % m)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def learn(self, words: np.ndarray, sides: np.ndarray, rate: float) -> None:
         """One Adagrad step on the mean loss of some words."""
-        h, m, n = self._hidden(sides), self.shape.members, len(words)
-        classes, inside = words // m, words % m
+        order, classes = self._sorted(words)
+        words, sides, m, n = words[order], sides[order], self.shape.members, len(words)
+        h, every = self._hidden(sides), np.arange(n)
         g = np.zeros_like(self.flat)
         part, at = {}, 0
         for name, s in self.shape.parts().items():
@@ -111,24 +125,27 @@ class Network:
             part[name] = g[at : at + k].reshape(s)
             at += k
         d = _softmax(h @ self.w["class_w"] + self.w["class_b"])
-        d[np.arange(n), classes] -= 1
+        d[every, words // m] -= 1
         part["class_w"] += h.T @ d
         part["class_b"] += d.sum(axis=0)
         dh = d @ self.w["class_w"].T
-        for c, rows in self._by_class(classes):
-            d = _softmax(h[rows] @ self.w["word_w"][c] + self.w["word_b"][c])
-            d[np.arange(len(rows)), inside[rows]] -= 1
-            part["word_w"][c] += h[rows].T @ d
+        for c, a, b in classes:
+            d = _softmax(h[a:b] @ self.w["word_w"][c] + self.w["word_b"][c])
+            d[every[: b - a], words[a:b] % m] -= 1
+            part["word_w"][c] += h[a:b].T @ d
             part["word_b"][c] += d.sum(axis=0)
-            dh[rows] += d @ self.w["word_w"][c].T
+            dh[a:b] += d @ self.w["word_w"][c].T
         dh *= 1 - h * h
+        columns = np.ascontiguousarray(dh.T, dtype=np.float64)
         for k in range(sides.shape[1]):
+            beside = np.ascontiguousarray(sides[:, k])
             for x in range(self.shape.width):
-                part["context"][k][:, x] += np.bincount(sides[:, k], dh[:, x], self.shape.vocabulary + 1)
+                part["context"][k][:, x] += np.bincount(beside, columns[x], self.shape.vocabulary + 1)
         g /= n
-        touched = np.flatnonzero(g)
-        self.seen[touched] += g[touched] ** 2
-        self.flat[touched] -= rate * g[touched] / np.sqrt(self.seen[touched])
+        self.seen += g * g
+        g *= rate
+        g /= np.sqrt(self.seen)
+        self.flat -= g
 
 
 def windows(docs: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -182,9 +199,9 @@ def _scorer(shape: Shape, flat: np.ndarray) -> Callable[[Iterator[pa.RecordBatch
         net = Network(shape, flat)
         for batch in batches:
             totals = []
-            for docs in _grouped(_lists(batch.column(1)), 4 * STEP):
+            for docs in _grouped(_lists(batch.column(1)), SCORE_STEP):
                 words, sides = windows(docs, shape)
-                each = np.concatenate([np.zeros(1), *(net.log_p(words[at : at + STEP], sides[at : at + STEP]) for at in range(0, len(words), STEP))], dtype=np.float64)
+                each = np.concatenate([np.zeros(1), *(net.log_p(words[at : at + SCORE_STEP], sides[at : at + SCORE_STEP]) for at in range(0, len(words), SCORE_STEP))], dtype=np.float64)
                 ends = np.cumsum([0] + [len(d) for d in docs])
                 totals += np.diff(np.cumsum(each)[ends]).tolist()
             lengths = [len(d) for d in _lists(batch.column(1))]

@@ -27,7 +27,7 @@ def test_gradient_by_differences():
     net = network(3)
     before = net.flat.copy()
     loss = lambda flat: -op.Network(SMALL, flat).log_p(words, sides).mean()
-    net.seen[:] = 0
+    net.seen[:] = 1e-20
     net.learn(words, sides, 1e-3)  # a first step without history: rate times the gradient's sign
     moved = net.flat - before
     for i in rng.choice(np.flatnonzero(moved), 60, replace=False):
