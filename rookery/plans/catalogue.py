@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import deltas, games, positions, tables
 from ..operators import natural_breaks as nb
-from ..sources import upserts
+from ..sources import logs, upserts
 from .adapters import Tables, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -624,6 +624,46 @@ def parametrised_sql(t: Tables) -> DataFrame:
     return tables.run_sql(t.spark, "SELECT p_brand, count(*) AS n FROM {part} WHERE p_size > :least GROUP BY p_brand", {"least": 20}, part=t.raw("part"))
 
 
+@query(
+    """SELECT link, CASE WHEN k = 0 THEN 'daily' WHEN k = 1 THEN 'unknown' WHEN s < 180 THEN 'bullet' WHEN s < 600 THEN 'blitz' WHEN s <= 1800 THEN 'rapid' ELSE 'classical' END AS mode, CASE WHEN k > 1 THEN CAST(link % 7 AS DOUBLE) ELSE 0.0 END AS bonus
+FROM (SELECT o_orderkey AS link, o_orderkey * 13 % 2400 AS s, o_orderkey % 10 AS k FROM orders)"""
+)
+def derived_modes(t: Tables) -> DataFrame:
+    """Time controls in text, from the keys of orders."""
+    key = F.col("o_orderkey")
+    control = F.when(key % 10 == 0, F.concat(F.lit("1/"), (key * 13 % 2400).cast("string"))).when(key % 10 == 1, "none").otherwise(F.concat((key * 13 % 2400).cast("string"), F.lit("+"), (key % 7).cast("string")))
+    return t.raw("orders").select(key.alias("link"), c.mode_of(control).alias("mode"), c.bonus_of(control).alias("bonus"))
+
+
+@query("SELECT conv_id, turn, CAST(i + 1 AS INT) AS n_move, w[2 * i + 1] AS white, coalesce(w[2 * i + 2], '--') AS black FROM (SELECT conv_id, turn, str_split(text, ' ') AS w, unnest(range((len(str_split(text, ' ')) + 1) // 2)) AS i FROM conversations)")
+def paired_tokens(t: Tables) -> DataFrame:
+    rows = t.raw("conversations").select("conv_id", "turn", F.explode(c.paired_moves(F.split("text", " "))).alias("m"))
+    return rows.select("conv_id", "turn", "m.n_move", "m.white", "m.black")
+
+
+@query("SELECT p_partkey AS part, p_brand || '/' || p_type || ' w KQ -' AS position, sha256(p_brand || '/' || p_type || ' w KQ -') AS digest, '#' || p_size || '_' || (p_partkey % 9) AS counter, 'w' AS side, CAST(length(regexp_replace(split_part(p_brand || '/' || p_type, ' ', 1), '[^A-Za-z]', '', 'g')) AS INT) AS pieces FROM part")
+def position_fields(t: Tables) -> DataFrame:
+    """Position texts put together from parts, and taken apart again."""
+    text = F.concat_ws(" ", F.concat_ws("/", "p_brand", "p_type"), F.lit("w KQ -"), F.col("p_size").cast("string"), (F.col("p_partkey") % 9).cast("string"))
+    rows = t.raw("part").select(F.col("p_partkey").alias("part"), text.alias("f"))
+    return rows.select("part", c.position_key("f").alias("position"), c.position_hash(c.position_key("f")).alias("digest"), c.position_counter("f").alias("counter"), c.side_to_move("f").alias("side"), c.piece_count("f").alias("pieces"))
+
+
+@query("SELECT name, metric, count(*) AS samples, min(v) AS low, avg(v) AS mean, max(v) AS high FROM (SELECT l_linestatus AS name, 'cpu_percent' AS metric, CAST(l_partkey % 100 AS DOUBLE) AS v FROM lineitem UNION ALL SELECT l_linestatus, 'mem_bytes', CAST(l_suppkey AS DOUBLE) * 1048576 FROM lineitem UNION ALL SELECT l_linestatus, 'pids', CAST(l_linenumber AS DOUBLE) FROM lineitem) GROUP BY ALL")
+def log_metrics(t: Tables) -> DataFrame:
+    """Resource lines written from order lines, then parsed and rolled up."""
+    line = F.concat(F.col("l_linestatus"), F.lit(" cpu="), (F.col("l_partkey") % 100).cast("string"), F.lit("% mem="), F.col("l_suppkey").cast("string"), F.lit("MiB / 64GiB pids="), F.col("l_linenumber").cast("string"))
+    return logs.metrics_rollup(t.raw("lineitem").select(line.alias("value")))
+
+
+@query("SELECT CAST(l_orderkey % 7 AS VARCHAR) AS device, l_returnflag AS name, count(*) AS samples, min(v) AS low, max(v) AS high FROM (SELECT *, CAST(l_quantity AS DOUBLE) AS v FROM lineitem) GROUP BY ALL")
+def sensor_metrics(t: Tables) -> DataFrame:
+    """A sensor log for each order, written from its lines under a header, then parsed."""
+    lines = F.collect_list(F.concat(F.col("l_returnflag"), F.lit(": +"), F.col("l_quantity").cast("string"), F.lit("°C")))
+    files = t.raw("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("file")).agg(F.array_join(lines, "\n").alias("body"), F.any_value((F.col("l_orderkey") % 7).cast("string")).alias("device"))
+    return logs.sectioned_metrics(files.select("file", F.concat_ws("\n", "device", "body").alias("value"))).drop("mean")
+
+
 @query()
 def sampled_games(t: Tables) -> DataFrame:
     return tables.sample_n(t.game.select("link", "white", "black"), 200, ["link"])
