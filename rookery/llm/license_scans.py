@@ -103,7 +103,12 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, text_col:
     w = F.col("__words")
     later = F.slice(w, SHINGLE, F.greatest(F.size(w) - SHINGLE + 1, F.lit(0)))
     out = out.withColumn("__sh", F.transform(later, lambda x, i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE - 1)], x)))
-    sh, names = F.col("__sh"), ["__words", "__sh"]
+    # A band can only agree where the very shingle occurs that gives a template its value. Rows
+    # without any such shingle need no band: their arrays become empty.
+    telling = F.array(*[F.lit(x) for x in sorted({key_of(t, k) ^ seed(k) for t in plans for k in range(t.bands)})])
+    out = out.withColumn("__may", F.coalesce(F.arrays_overlap("__sh", telling), F.lit(False)))
+    out = out.withColumns({c: F.when(F.col("__may"), F.col(c)).otherwise(F.slice(c, 1, 0)) for c in ("__words", "__sh")})
+    sh, names = F.col("__sh"), ["__words", "__sh", "__may"]
     groups = defaultdict(list)
     for t in plans:
         groups[t.block, t.blocks].append(t)
