@@ -58,5 +58,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def held(value: Column) -> Column:
+    """The same value, by way of the row number, which is never negative.
+
+    It keeps filters on the value above the steps that lead to it. Pushed below them, a filter would
+    hold every step spelled out many times over, and within lambdas once for each word.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let, whole
+from .common import documents, held, let, whole
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -137,7 +137,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, text_col:
         for t in members:
             verified.append(_verified(t, F.col(candidates), w))
     found = F.array_sort(F.array_compact(F.array(*verified)))
-    return out.withColumn("__found", F.when(F.size(sh) > 0, found).otherwise(F.slice(found, 1, 0))).drop(*names)
+    return out.withColumn("__found", held(F.when(F.size(sh) > 0, found).otherwise(F.slice(found, 1, 0)))).drop(*names)
 
 
 def _mixed(shingles: Column, band: int) -> Column:
