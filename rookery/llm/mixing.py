@@ -7,10 +7,11 @@ sampling. The cube method's flight phase moves the vector of probabilities along
 the null space of two constraints, total words and total documents, until in every block of
 some `BLOCK` documents at most two probabilities are still fractional. Those of a thousand
 blocks or so then form one block of the next level, and so on, until one small block is left in
-each source, where the landing drops the constraint on documents, and then that on words.
+each source, where the landing drops the constraint on documents, and then that on words. A large
+document can stay fractional to the end; so, last, single documents of the last block are flipped
+while that brings the words nearer to their total.
 
-Blocks go by a hash of the row and are worked off from the largest document to the smallest, so
-fractions remain on small documents only and reruns agree. No task holds more than a block, and
+Blocks go by a hash of the row and are worked off in a fixed order, so reruns agree. No task holds more than a block, and
 only ids, sources and sizes are shuffled.
 
 Defined cases: null text has size 0; null is a source of its own; null and repeated ids are rows
@@ -69,7 +70,7 @@ def targets(rows: DataFrame) -> DataFrame:
 
 def fly(size: np.ndarray, p: np.ndarray, draw: Callable[[], float], land: bool) -> np.ndarray:
     """Flight over units in order, keeping sum(p) and sum(p * size); then, if `land`, the landing."""
-    p = p.astype(float).copy()
+    start, p = p, p.astype(float).copy()
     live: list[int] = []
     eps = 1e-9
 
@@ -99,9 +100,22 @@ def fly(size: np.ndarray, p: np.ndarray, draw: Callable[[], float], land: bool)
         while live:
             move(live[:1], [1.0])
             settle()
+        _settle_words(size.astype(float), start, p)
     return p
 
 
+def _settle_words(size: np.ndarray, start: np.ndarray, p: np.ndarray) -> None:
+    """Flip single documents of the last block while that brings the words nearer to their total."""
+    free = np.flatnonzero((start > 0) & (start < 1))
+    for _ in range(len(free)):
+        lack = float(((start - p) * size).sum())
+        change = np.where(p[free] > 0.5, -size[free], size[free])
+        best = int(np.argmin(np.abs(lack - change)))
+        if not abs(lack - change[best]) < abs(lack):
+            break
+        p[free[best]] = 1.0 - p[free[best]]
+
+
 def _flight(land: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["__size", "__key"], ascending=[False, True], kind="stable")

@@ -51,7 +51,7 @@ def test_targets_and_sums(docs_of):
     for block in (2000, 50):
         sums, want, largest = check(run(docs_of(rows), block=block), rows)
         for s, w in want.items():
-            assert abs(sums[s] - w) <= largest[s], s
+            assert abs(sums[s] - w) <= min(largest[s], 0.02 * w + 10), s
         first = sorted((r["__id"], r["__copies"]) for r in run(docs_of(rows), block=block))
         assert first == sorted((r["__id"], r["__copies"]) for r in run(docs_of(rows).repartition(13), block=block))
 
@@ -81,4 +81,4 @@ def test_query(spark, sf):
     assert got.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
     by = got.join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.max("size").alias("m")).collect()
-    assert all(abs(r.t - r.w) <= r.m for r in by)
+    assert all(abs(r.t - r.w) <= min(r.m, 0.02 * r.w + 10) for r in by)
