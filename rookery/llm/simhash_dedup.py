@@ -24,7 +24,7 @@ its ids are null). Empty tables give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import documents, saved, whole
 from .components import components
 
@@ -172,11 +173,23 @@ def links(marks: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return dealt.repartition("t", "key", "c").sortWithinPartitions("t", "key", "c").mapInArrow(_links, "a bigint, b bigint")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: id, mark (signed fingerprint), component_id (smallest id reachable)."""
-    marked = fingerprints(docs, id_col, text_col)
-    nodes = saved(marked.groupBy("mark").agg(F.min("id").alias("least")))
-    roots = components(links(nodes))
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """One row for each row of `docs`: id, mark, component_id (smallest id reachable).
+
+    Without a similarity, links and marks are those of the fingerprints (shingles of SHINGLE words, RADIUS bits). With
+    one, links are all pairs whose sets of `shingle`-word shingles reach that Jaccard similarity; marks number the sets.
+    """
+    if similarity is None:
+        if shingle != SHINGLE:
+            raise ValueError("fingerprints have shingles of SHINGLE words")
+        marked = fingerprints(docs, id_col, text_col)
+        nodes = saved(marked.groupBy("mark").agg(F.min("id").alias("least")))
+        roots = components(links(nodes))
+    else:
+        full = similar.marks(docs, shingle, id_col, text_col)
+        marked = full.select("id", "mark")
+        nodes = saved(marked.groupBy("mark").agg(F.min("id").alias("least")))
+        roots = components(similar.links(full.dropDuplicates(["mark"]), similarity))
     named = nodes.join(roots, nodes["mark"] == roots["node"], "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
     named = saved(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -184,23 +197,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return marked.join(told, "mark").select("id", "mark", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of `docs` that stay: those whose id names their component. Components without any id stay whole."""
-    classes = near_classes(docs, id_col, text_col)
+    classes = near_classes(docs, id_col, text_col, shingle, similarity)
+    mark = simhash if similarity is None else lambda t: similar.node_of(similar.shingles(t, shingle))
     gone = classes.where("component_id IS NOT NULL AND NOT (id <=> component_id)").select(F.col("id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
     if not docs.where(F.col(id_col).isNull()).isEmpty():
-        return _near_dedup_marked(docs, gone, id_col, text_col)
-    # ids that both stay and go belong to repeated ids with different texts; those need the fingerprint too
+        return _near_dedup_marked(docs, gone, id_col, text_col, mark)
+    # ids that both stay and go belong to repeated ids with different texts; those need the mark too
     stays = classes.where("component_id IS NULL OR id <=> component_id").select("id")
     if not gone.join(stays, gone["__gone"] == stays["id"], "left_semi").isEmpty():
-        return _near_dedup_marked(docs, gone, id_col, text_col)
+        return _near_dedup_marked(docs, gone, id_col, text_col, mark)
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
 
 
-def _near_dedup_marked(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """By id and fingerprint, for tables whose ids are null or repeated."""
-    mark = F.pandas_udf(lambda texts: texts.map(simhash), "bigint")
-    told = docs.withColumn("__own", mark(whole(F.col(text_col))))
+def _near_dedup_marked(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, mark: Callable[[str | None], int]) -> DataFrame:
+    """By id and mark, for tables whose ids are null or repeated."""
+    own = F.pandas_udf(lambda texts: texts.map(mark), "bigint")
+    told = docs.withColumn("__own", own(whole(F.col(text_col))))
     kept = told.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__own") == F.col("__mark")), "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -1,0 +1,163 @@
+"""Links between texts whose sets of shingles are alike, by MinHash bands and exact Jaccard.
+
+A text is the set of its runs of `shingle` lower-cased words (fewer words are one shingle). Equal
+sets are one node, so copies cost nothing further. `BANDS` keys of `ROWS` MinHash values each
+bring nodes together: a pair of similarity s shares no key with chance (1 - s^ROWS)^BANDS, which is
+1e-5 at 0.8 and less above. Buckets with one member go, and of buckets with the same members one
+stays. In the others the exact Jaccard similarity decides, on the whole sets; members already
+joined aren't compared again, so a large group of near copies costs few comparisons.
+
+SimHash fingerprints don't serve here: at a similarity of 0.8 they differ in some 10 of 64 bits,
+and no division into blocks of bits finds such pairs without loss and without quadratic work.
+
+A bucket of more than `CHUNK` members is cut by hash, and every pair of pieces is its own bucket.
+
+Texts without words have the empty set, node 0, and no links.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved
+
+ROWS = 3
+BANDS = 16
+#: Members from which a bucket is cut.
+CHUNK = 1024
+
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SALTS = np.array([xxhash.xxh64_intdigest(f"salt {i}".encode(), 42) for i in range(ROWS * BANDS)], dtype=np.uint64)
+_ODD = [np.uint64(xxhash.xxh64_intdigest(f"odd {i}".encode(), 42) | 1) for i in range(4)]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * _ODD[0]
+    x ^= x >> np.uint64(32)
+    x *= _ODD[1]
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the different shingles of one whole text."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    each = np.fromiter((digest(w, 42) for w in words), dtype=np.uint64, count=len(words))
+    width = min(shingle, len(each))
+    last = len(each) - width + 1
+    out = np.full(last, width, dtype=np.uint64)
+    for i in range(width):
+        out = _mix(out ^ each[i : i + last])
+    return np.unique(out)
+
+
+def node_of(found: np.ndarray) -> int:
+    """Signed 64-bit number of a set of shingles."""
+    x = xxhash.xxh64_intdigest(found.tobytes(), 42) if len(found) else 0
+    return x - (1 << 64) if x >> 63 else x
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band."""
+    if not len(found):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(len(_SALTS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(found), 4096):
+        np.minimum(least, _mix(found[at : at + 4096, None] ^ _SALTS[None, :]).min(axis=0), out=least)
+    key = np.zeros(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, ROWS).T:
+        key = _mix(key ^ part)
+    return key.view(np.int64)
+
+
+def _marker(shingle: int) -> Callable:
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [shingles(t.as_py(), shingle) for t in part.column(1)]
+                keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([node_of(s) for s in sets], pa.int64()), keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "mark", "keys", "found"])
+
+    return batches
+
+
+def marks(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written table of id, mark (node), keys and found (the set), a row for each document."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return saved(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_marker(shingle), f"id {kind}, mark bigint, keys array<bigint>, found binary"))
+
+
+def joined(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """A root (a place in `sets`) for each set: all pairs from `similarity` on have the same. Sets aren't empty."""
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    number = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    root = np.arange(len(sets))
+    has = np.zeros(int(number.max()) + 1, dtype=bool)
+    for i in range(len(sets) - 1):
+        # a set can only reach the similarity with sets of up to 1 / similarity times its size
+        end = int(np.searchsorted(sizes, sizes[i] / similarity * (1 + 1e-9), side="right"))
+        if (root[i + 1 : end] == root[i]).all():
+            continue
+        own = number[starts[i] : starts[i + 1]]
+        has[own] = True
+        both = np.add.reduceat(has[number[starts[i + 1] : starts[end]]], starts[i + 1 : end] - starts[i + 1], dtype=np.int64)
+        has[own] = False
+        near = np.flatnonzero(both >= similarity * (sizes[i] + sizes[i + 1 : end] - both) - 1e-9) + i + 1
+        met = np.unique(root[np.append(near, i)])
+        if len(met) > 1:
+            root[np.isin(root, met)] = met[0]
+    out = np.empty(len(sets), dtype=np.int64)
+    out[order] = order[root]
+    return out
+
+
+def _linker(similarity: float) -> Callable:
+    """Rows come sorted by bucket (t, key, c)."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, sets = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(members) > 1:
+                at = np.array(members, dtype=np.int64)
+                root = joined(sets, similarity)
+                child = np.flatnonzero(root != np.arange(len(root)))
+                yield pa.RecordBatch.from_arrays([pa.array(at[child]), pa.array(at[root[child]])], ["a", "b"])
+
+        for b in rows:
+            for t, key, c, mark, found in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                if (t, key, c) != now:
+                    yield from flush()
+                    now, members, sets = (t, key, c), [], []
+                members.append(mark)
+                sets.append(np.frombuffer(found, dtype=np.uint64))
+        yield from flush()
+
+    return batches
+
+
+def links(nodes: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that join nodes (mark, keys, found; a row for each node) from `similarity` on into their components."""
+    rows = saved(nodes.select("mark", F.posexplode("keys").alias("t", "key")))
+    same = [F.count("*").alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"), F.bit_xor(F.xxhash64("mark")).alias("x"), F.bit_xor(F.xxhash64("mark", F.lit(1))).alias("y")]
+    buckets = rows.groupBy("t", "key").agg(*same).where("n > 1")
+    buckets = buckets.groupBy("n", "low", "high", "x", "y").agg(F.min(F.struct("t", "key")).alias("k")).select("k.t", "k.key", F.ceil(F.col("n") / chunk).cast("int").alias("pieces"))
+    # Piece i of a cut bucket meets piece j: the pair's number is i * pieces + j, i <= j.
+    one = F.pmod(F.xxhash64("mark", "t"), F.col("pieces")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.least(one, j) * F.col("pieces") + F.greatest(one, j))
+    dealt = saved(rows.join(buckets, ["t", "key"]).select("t", "key", F.explode(pairs).alias("c"), "mark"))
+    dealt = dealt.join(nodes.select("mark", "found"), "mark").select("t", "key", "c", "mark", "found")
+    return dealt.repartition("t", "key", "c").sortWithinPartitions("t", "key", "c").mapInArrow(_linker(similarity), "a bigint, b bigint")
