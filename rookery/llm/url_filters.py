@@ -9,9 +9,13 @@ longest rule that fits a URL decides. Other URLs get their host's verdict from t
 
 Links are the absolute and protocol-relative hrefs of pages, counted by pairs of hosts, and each
 subdomain's link to the domain above it. Relative hrefs stay on their host and say nothing.
-A host is blocked where its distrust exceeds `RATIO` times its trust and the least score that
-counts. Both propagations share the rounds; each round is one join and one sum over edges that
-were pre-aggregated, and is written every few rounds.
+A host is blocked where its distrust exceeds `RATIO` times its trust. Both are shares of their own
+seeds' mass, unrounded, and no least score has to be exceeded, so a pattern of links gets the same
+verdict in a table of any size. Both propagations share the rounds; each round is one join and one
+sum over edges that were pre-aggregated. Every `STEP` rounds the scores are written, until no host's
+score has grown by more than `TOLERANCE` of itself since they were written before. Scores never
+fall, and a host that is reached for the first time has grown by all of its score, so rounds go on until
+every host that can be reached has been.
 
 Defined cases: null urls and urls without :// have an empty host and path; no rule fits them and
 they are allowed. Null html has no links. Without any blocked seeds every host is allowed.
@@ -29,9 +33,12 @@ from .common import ascii_lower, saved, whole
 #: Rule (host and path) and verdict.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 DAMPING = 0.85
-ROUNDS = 8
+#: Rounds between two written checkpoints, and the largest change between two, as a share of a host's score, that counts as settled.
+STEP = 4
+TOLERANCE = 1e-4
 RATIO = 1.0
-LEAST = 1e-9
+#: Shares within so much of each other are equal: sums of the same terms in another order.
+NOISE = 1e-9
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
@@ -69,22 +76,34 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return links.unionByName(above).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """kind (t or d), host, score after `rounds` rounds. edges: src, dst, n; seeds: kind, host, share."""
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """kind (t or d), host, score after `rounds` rounds, or once settled. edges: src, dst, n; seeds: kind, host, share."""
     ways = edges.select(F.lit("t").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = ways.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     ways = saved(ways.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out") * damping).alias("w")))
     seeds = saved(seeds)
     base = seeds.select("kind", "host", (F.col("share") * (1 - damping)).alias("score"))
-    now = base
-    for k in range(rounds):
+    now = before = base
+    done = 0
+    while rounds is None or done < rounds:
         moved = now.join(ways, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w")).alias("score"))
         now = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3 or k == rounds - 1:
+        done += 1
+        if done % STEP == 0 or done == rounds:
             now = saved(now)
+            if rounds is None and _change(before, now) <= tolerance:
+                break
+            before = now
     return now
 
 
+def _change(before: DataFrame, now: DataFrame) -> float:
+    """The largest growth of a score since `before`, as a share of the score."""
+    old = before.select("kind", "host", F.col("score").alias("old"))
+    grown = now.join(old, ["kind", "host"], "left").where("score > 0").select(((F.col("score") - F.coalesce("old", F.lit(0.0))) / F.col("score")).alias("x"))
+    return grown.agg(F.max("x")).first()[0] or 0.0
+
+
 def host_scores(pages: DataFrame, rules: tuple = RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, trust, distrust: of every host with either."""
     places = pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -98,13 +117,14 @@ def host_scores(pages: DataFrame, rules: tuple = RULES, url_col: str = "url", ht
 
 
 def url_verdicts(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = RATIO) -> DataFrame:
-    """One row for each row of `pages`: id, host, path, rule, verdict, trust, distrust (rounded)."""
-    scores = saved(host_scores(pages, rules, url_col, html_col).where("host <> ''").select(F.col("host").alias("__host"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust")))
+    """One row for each row of `pages`: id, host, path, rule, verdict, trust, distrust (told to nine digits)."""
+    scores = saved(host_scores(pages, rules, url_col, html_col).where("host <> ''").select(F.col("host").alias("__host"), "trust", "distrust"))
     rows = pages.select(F.col(id_col).alias("__id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = rows.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.join(scores, rows["host"] == scores["__host"], "left").na.fill(0.0, ["trust", "distrust"])
-    spread = F.when((F.col("distrust") > LEAST) & (F.col("distrust") > ratio * F.col("trust")), "block").otherwise("allow")
-    return rows.select(F.col("__id").alias(id_col), "host", "path", F.col("__rule")["rule"].alias("rule"), F.coalesce(F.col("__rule")["verdict"], spread).alias("verdict"), "trust", "distrust")
+    spread = F.when(F.col("distrust") > ratio * (1 + NOISE) * F.col("trust"), "block").otherwise("allow")
+    told = [F.format_string("%.8e", c).cast("double").alias(c) for c in ("trust", "distrust")]
+    return rows.select(F.col("__id").alias(id_col), "host", "path", F.col("__rule")["rule"].alias("rule"), F.coalesce(F.col("__rule")["verdict"], spread).alias("verdict"), *told)
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

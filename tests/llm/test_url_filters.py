@@ -81,6 +81,32 @@ def test_distrust_spreads_against_links(spark):
     assert got == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow", 6: "block"}
 
 
+def test_distrust_reaches_far_hosts(spark):
+    rows = [(0, "http://shop.com/de/1", "")]
+    rows += [(i, f"http://h{i}.net/", f'<a href="http://{f"h{i - 1}.net" if i > 1 else "shop.com"}/">x</a>') for i in range(1, 15)]
+    got = op.url_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.verdict for r in got} == {"block"} and all(r.distrust > 0 for r in got)
+
+
+def test_small_shares_count(spark):
+    """Three levels of links that are one in 3001: shares far below a thousand millionth."""
+    rows, to = [(0, "http://shop.com/de/1", "")], "shop.com"
+    for k in range(1, 4):
+        link = f'<a href="http://{to}/">x</a>'
+        rows += [(k, f"http://few{k}.net/", link), (10 + k, f"http://many{k}.net/", link * 3000)]
+        to = f"few{k}.net"
+    got = {r.page_id: r for r in op.url_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert 0 < got[3].distrust < 1e-10 and {r.verdict for r in got.values()} == {"block"}
+
+
+def test_settled_scores_by_brute_force(spark):
+    edges = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("a", "d", 1), ("e", "d", 5), ("d", "f", 1)]
+    seeds = spark.createDataFrame([("t", "a", 1.0)], "kind string, host string, share double")
+    got = {r.host: r.score for r in op.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), seeds).collect()}
+    want = brute_scores(edges, {"a": 1.0}, 400, 0.85)
+    assert set(got) == set(want) and all(got[h] == pytest.approx(want[h], rel=1e-3) for h in got)
+
+
 def test_empty(spark):
     assert op.url_verdicts(spark.createDataFrame([], SCHEMA)).count() == 0
 
