@@ -1,43 +1,68 @@
 """Operator 1: masked pseudo-likelihood of documents under a bidirectional window network.
 
-Words are hashed into `VOCABULARY` numbers. The network predicts each word from the `SIDE` words
-on either side, itself hidden: a vector for each context word and position, summed, through tanh,
-to a softmax over `CLASSES` classes and one over the words of the class, so the probabilities of
-all words sum to one. A document's score is the sum over its words of log p(word | both sides).
-
-Training covers every word of the corpus. Each task trains its own copy in numpy, with Adagrad,
-from the same start, over its share of the written words table; then the copies' weights are
-summed by place in a shuffle, in proportion to the words each has seen. The averaged weights, of fixed size
-(`Shape.size()` numbers, 1.4 MB), go back to the tasks for scoring. `ROUNDS` repeats this.
+Every word w of a text is hidden in turn and predicted from the `SIDE` words on either side of it;
+the summed log-probabilities score the document. With v(w) the slot of a word,
+
+    log p(w | sides) = log p(class of v | sides) + log p(v | class, sides) + log n(w) / n(v).
+
+* Word counts n(w) are gathered from the whole corpus in a shuffle and stay a table that grows
+  with it. The `Shape.frequent` words that occur most often have a slot of their own, where the last
+  term is 0. All others share the remaining slots by their first two letters, so the probabilities
+  of all words of the corpus sum to one.
+* The network: a vector for each slot, scaled by position and summed over the sides, through tanh, to a
+  softmax over classes of slots and one over the slots of the class.
+* Training covers every word. Each task trains a copy of the network in numpy, by Adagrad, over its
+  part of a slice of the corpus; then weights and squared gradients are averaged by place in a
+  shuffle, in proportion to the words each copy has seen, and the next slice starts from them.
+  A corpus of fewer than `LEAST` words is passed several times.
+* Counts travel to the texts in two ways: those of the `DIRECT` most frequent words (a fixed
+  bound: 8 bytes a word and 8 a count) with the tasks; the remaining words go to the counts in a
+  join, none of them frequent. Both ways give the same number.
 
 Defined cases: null and empty texts have no words, log-likelihood 0 and a null mean. Null and
-repeated ids are scored row by row. An empty corpus leaves the starting weights.
+repeated ids are scored row by row, and repeated rows score alike; there are no ties to break but those of equally
+frequent words, which go by hash. A very long text is scored as a whole, in steps of bounded
+memory. An empty corpus gives no rows. Columns besides id and text don't matter.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import chain, pairwise, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved, whole, words_of
+from .common import documents, saved, shared_folder, whole, words_of
 
-ROUNDS = 1
-RATE = 0.15
+#: Slices of the corpus; the weights are averaged after each.
+SLICES = 4
+#: Words that training sees at least, and passes that this may take at most.
+LEAST, PASSES = 4_000_000, 8
+#: Words of a slice that are worth a training task of their own.
+TASK = 250_000
+#: Adagrad's rate, and the squared gradients it starts from.
+RATE, START = 0.2, 1e-7
 #: Words a step of training takes, and one of scoring.
-STEP = 16384
+STEP = 8192
 SCORE_STEP = 65536
+#: Words whose counts travel with the tasks, and words that a worker remembers at most.
+DIRECT = 262_144
+REMEMBERED = 600_000
 #: Numbers in a row of weights.
 ROW = 1024
+#: Unit of the summed logarithms: whole numbers, so that reruns agree.
+UNIT = 1e9
 
 
 class Shape(NamedTuple):
     vocabulary: int = 4096
+    frequent: int = 3072
     classes: int = 64
     width: int = 16
     side: int = 2
@@ -46,29 +71,54 @@ class Shape(NamedTuple):
     def members(self) -> int:
         return self.vocabulary // self.classes
 
+    def slot(self, rank):
+        """Slots by rank: frequent words first, then the shared ones; classes take turns, so all are about as likely."""
+        return rank % self.classes * self.members + rank // self.classes
+
     def parts(self) -> dict[str, tuple[int, ...]]:
         return {
-            "context": (2 * self.side, self.vocabulary + 1, self.width),
+            "vector": (self.vocabulary + 1, self.width),
+            "scale": (2 * self.side, self.width),
             "class_w": (self.width, self.classes),
             "class_b": (self.classes,),
-            "word_w": (self.classes, self.width, self.members),
-            "word_b": (self.classes, self.members),
+            "slot_w": (self.classes, self.width, self.members),
+            "slot_b": (self.classes, self.members),
         }
 
     def size(self) -> int:
         return sum(int(np.prod(s)) for s in self.parts().values())
 
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, s in self.parts().items():
+            n = int(np.prod(s))
+            out[name] = flat[at : at + n].reshape(s)
+            at += n
+        return out
+
 
-def start(shape: Shape, counts: np.ndarray) -> np.ndarray:
-    """Small fixed pseudo-random weights; the biases are the log frequencies of classes and words."""
+class State(NamedTuple):
+    """Weights, and the sums of squared gradients."""
+
+    flat: np.ndarray
+    seen: np.ndarray
+
+
+def start(shape: Shape, counts: np.ndarray) -> State:
+    """Small fixed pseudo-random weights; the biases are the log frequencies of classes and slots."""
     rng = np.random.default_rng(7)
     smooth = (counts + 0.5).reshape(shape.classes, shape.members)
-    fixed = {"class_b": np.log(smooth.sum(axis=1) / smooth.sum()), "word_b": np.log(smooth / smooth.sum(axis=1, keepdims=True))}
-    return np.concatenate([(fixed[n] if n in fixed else rng.normal(0, 0.1, s)).ravel() for n, s in shape.parts().items()]).astype(np.float32)
+    fixed = {
+        "scale": np.ones(shape.parts()["scale"]),
+        "class_b": np.log(smooth.sum(axis=1) / smooth.sum()),
+        "slot_b": np.log(smooth / smooth.sum(axis=1, keepdims=True)),
+    }
+    flat = np.concatenate([(fixed[n] if n in fixed else rng.normal(0, 0.1, s)).ravel() for n, s in shape.parts().items()]).astype(np.float32)
+    return State(flat, np.full_like(flat, START))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
+def _exp(x: np.ndarray) -> np.ndarray:
+    """In place, from rows of scores to their softmax."""
     x -= x.max(axis=-1, keepdims=True)
     np.exp(x, out=x)
     x /= x.sum(axis=-1, keepdims=True)
@@ -83,64 +133,62 @@ def _log_of(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    def __init__(self, shape: Shape, flat: np.ndarray):
-        self.shape, self.flat = shape, flat.copy()
-        self.w, at = {}, 0
-        for name, s in shape.parts().items():
-            n = int(np.prod(s))
-            self.w[name] = self.flat[at : at + n].reshape(s)
-            at += n
-        self.seen = np.full_like(self.flat, 1e-2)
+    def __init__(self, shape: Shape, state: State):
+        self.shape, self.flat, self.seen = shape, state.flat.copy(), state.seen.copy()
+        self.w = shape.views(self.flat)
 
     def _hidden(self, sides: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.w["context"][k][sides[:, k]] for k in range(sides.shape[1])))
+        vector, scale = self.w["vector"], self.w["scale"]
+        total = vector[sides[:, 0]] * scale[0]
+        for k in range(1, sides.shape[1]):
+            total += vector[sides[:, k]] * scale[k]
+        return np.tanh(total, out=total)
 
-    def _sorted(self, words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    def _sorted(self, slots: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """An order by class, and (class, from, to) of each class that occurs."""
-        classes = words // self.shape.members
+        classes = slots // self.shape.members
         order = np.argsort(classes, kind="stable")
         cuts = np.searchsorted(classes[order], np.arange(self.shape.classes + 1)).tolist()
         return order, [(c, a, b) for c, (a, b) in enumerate(pairwise(cuts)) if a < b]
 
-    def log_p(self, words: np.ndarray, sides: np.ndarray) -> np.ndarray:
-        """Log-probability of each word given its sides (columns: positions)."""
-        order, classes = self._sorted(words)
-        words, h, m = words[order], self._hidden(sides[order]), self.shape.members
-        out = _log_of(h @ self.w["class_w"] + self.w["class_b"], words // m)
+    def log_p(self, slots: np.ndarray, sides: np.ndarray) -> np.ndarray:
+        """Log-probability of each slot given its sides (columns: positions)."""
+        order, classes = self._sorted(slots)
+        slots, h, m = slots[order], self._hidden(sides[order]), self.shape.members
+        out = _log_of(h @ self.w["class_w"] + self.w["class_b"], slots // m)
         for c, a, b in classes:
-            out[a:b] += _log_of(h[a:b] @ self.w["word_w"][c] + self.w["word_b"][c], words[a:b] % m)
+            out[a:b] += _log_of(h[a:b] @ self.w["slot_w"][c] + self.w["slot_b"][c], slots[a:b] % m)
         back = np.empty_like(out)
         back[order] = out
         return back
 
-    def learn(self, words: np.ndarray, sides: np.ndarray, rate: float) -> None:
+    def learn(self, slots: np.ndarray, sides: np.ndarray, rate: float) -> None:
         """One Adagrad step on the mean loss of some words."""
-        order, classes = self._sorted(words)
-        words, sides, m, n = words[order], sides[order], self.shape.members, len(words)
+        order, classes = self._sorted(slots)
+        slots, sides, m, n = slots[order], sides[order], self.shape.members, len(slots)
         h, every = self._hidden(sides), np.arange(n)
         g = np.zeros_like(self.flat)
-        part, at = {}, 0
-        for name, s in self.shape.parts().items():
-            k = int(np.prod(s))
-            part[name] = g[at : at + k].reshape(s)
-            at += k
-        d = _softmax(h @ self.w["class_w"] + self.w["class_b"])
-        d[every, words // m] -= 1
+        part = self.shape.views(g)
+        d = _exp(h @ self.w["class_w"] + self.w["class_b"])
+        d[every, slots // m] -= 1
         part["class_w"] += h.T @ d
         part["class_b"] += d.sum(axis=0)
         dh = d @ self.w["class_w"].T
         for c, a, b in classes:
-            d = _softmax(h[a:b] @ self.w["word_w"][c] + self.w["word_b"][c])
-            d[every[: b - a], words[a:b] % m] -= 1
-            part["word_w"][c] += h[a:b].T @ d
-            part["word_b"][c] += d.sum(axis=0)
-            dh[a:b] += d @ self.w["word_w"][c].T
+            d = _exp(h[a:b] @ self.w["slot_w"][c] + self.w["slot_b"][c])
+            d[every[: b - a], slots[a:b] % m] -= 1
+            part["slot_w"][c] += h[a:b].T @ d
+            part["slot_b"][c] += d.sum(axis=0)
+            dh[a:b] += d @ self.w["slot_w"][c].T
         dh *= 1 - h * h
-        columns = np.ascontiguousarray(dh.T, dtype=np.float64)
-        for k in range(sides.shape[1]):
-            beside = np.ascontiguousarray(sides[:, k])
-            for x in range(self.shape.width):
-                part["context"][k][:, x] += np.bincount(beside, columns[x], self.shape.vocabulary + 1)
+        vector, scale = self.w["vector"], self.w["scale"]
+        beside = np.ascontiguousarray(sides.T)
+        for k in range(len(beside)):
+            part["scale"][k] += (vector[beside[k]] * dh).sum(axis=0)
+        each = np.concatenate([dh * scale[k] for k in range(len(beside))]).T.astype(np.float64)
+        beside = beside.ravel()
+        for x in range(self.shape.width):
+            part["vector"][:, x] += np.bincount(beside, each[x], self.shape.vocabulary + 1)
         g /= n
         self.seen += g * g
         g *= rate
@@ -149,7 +197,7 @@ class Network:
 
 
 def windows(docs: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """All words of some documents, one after another, and the words beside each; the number after the vocabulary stands outside a text."""
+    """All slots of some documents, one after another, and those beside each; the number after the vocabulary stands outside a text."""
     pad = np.full(shape.side, shape.vocabulary, dtype=np.int64)
     line = np.concatenate([pad, *(x for d in docs for x in (d, pad))]) if docs else pad
     at = np.flatnonzero(line < shape.vocabulary)
@@ -157,10 +205,151 @@ def windows(docs: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarra
     return line[at], np.stack([line[at + k] for k in steps], axis=1) if len(at) else np.zeros((0, len(steps)), np.int64)
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    ends = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+class Lexicon:
+    """Slots and counts of words: of `DIRECT` words by their hashes, of the others by their first letters."""
+
+    def __init__(self, shape: Shape, hashes: np.ndarray, counts: np.ndarray, shared: np.ndarray):
+        """hashes, counts: of the most frequent words, in order; shared: words in each shared slot."""
+        self.shape, self.hashes, self.counts, self.shared = shape, hashes, counts, shared
+        self.key = uuid.uuid4().hex
+
+    def slot_counts(self) -> np.ndarray:
+        out = np.zeros(self.shape.vocabulary)
+        own = self.counts[: self.shape.frequent]
+        out[self.shape.slot(np.arange(len(own)))] = own
+        out[self.shape.slot(self.shape.frequent + np.arange(len(self.shared)))] = self.shared
+        return out
+
+
+def _hash(word: bytes) -> int:
+    """As Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def shared_number(word: bytes, shape: Shape) -> int:
+    first = word.decode("utf-8", "surrogatepass")[:2].encode("utf-8", "surrogatepass")
+    return _hash(first) % (shape.vocabulary - shape.frequent)
+
+
+class Reader:
+    """Words of texts as slots, with a bounded table of the words met so far."""
+
+    def __init__(self, lexicon: Lexicon, remembered: int = REMEMBERED):
+        self.lexicon, self.shape, self.remembered = lexicon, lexicon.shape, remembered
+        self.direct = dict(zip(lexicon.hashes.tolist(), range(len(lexicon.hashes)), strict=True))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.slots, self.logs, self.rest = np.zeros(1024, np.uint16), np.zeros(1024), np.zeros(1024, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """slots, logs (log n(w) / n(v), without n(w) where it isn't known here) and rest (the hash where it isn't, else 0)."""
+        shape, counts, shared = self.shape, self.lexicon.counts, np.maximum(self.lexicon.shared, 1)
+        base, need = len(self.place), len(self.place) + len(words)
+        while need > len(self.slots):
+            self.slots, self.logs, self.rest = (np.concatenate([x, np.zeros_like(x)]) for x in (self.slots, self.logs, self.rest))
+        slots, logs, rest = [], [], []
+        for w in words:
+            h = _hash(w)
+            i = self.direct.get(h, -1)
+            if 0 <= i < shape.frequent:
+                slots.append(shape.slot(i))
+                logs.append(0.0)
+                rest.append(0)
+                continue
+            k = shared_number(w, shape)
+            slots.append(shape.slot(shape.frequent + k))
+            logs.append(np.log(counts[i] / shared[k]) if i >= 0 else -np.log(shared[k]))
+            rest.append(0 if i >= 0 else h)
+        self.slots[base:need], self.logs[base:need], self.rest[base:need] = slots, logs, rest
+        self.place.update(zip(words, range(base, need), strict=True))
+
+    def read(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Words in each text, and slots, logs and rest of all words."""
+        if len(self.place) > self.remembered:
+            self._forget()
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys([words[i] for i in missing])))
+            at[missing] = [self.place[words[i]] for i in missing]
+        return [len(s) for s in split], self.slots[at], self.logs[at], self.rest[at]
+
+
+_readers: dict[str, Reader] = {}
+
+
+def _reader(lexicon: Lexicon) -> Reader:
+    """One at a time in each worker."""
+    if lexicon.key not in _readers:
+        _readers.clear()
+        _readers[lexicon.key] = Reader(lexicon)
+    return _readers[lexicon.key]
+
+
+def _in_slots(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _reader(lexicon)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lengths, slots, logs, rest = reader.read(part.column(2).to_pylist())
+                ends = np.cumsum([0, *lengths]).tolist()
+                spans = list(pairwise(ends))
+                asked = [rest[a:b][rest[a:b] != 0] for a, b in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array(lengths, pa.int64()),
+                        pa.array([slots[a:b].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([float(logs[a:b].sum()) for a, b in spans], pa.float64()),
+                        pa.array(asked, pa.list_(pa.int64())),
+                    ],
+                    ["row", "id", "n_words", "slots", "logs", "rest"],
+                )
+
+    return run
+
+
+def word_counts(docs: DataFrame, shape: Shape, text_col: str) -> DataFrame:
+    """The written table of all words: h (hash), n (how often), k (the slot it would share)."""
+    words = docs.select(F.explode(words_of(whole(F.col(text_col)))).alias("w"))
+    words = words.select(F.xxhash64("w").alias("h"), F.substring("w", 1, 2).alias("first"))
+    counts = words.groupBy("h").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    return saved(counts.select("h", "n", F.pmod(F.xxhash64("first"), F.lit(shape.vocabulary - shape.frequent)).cast("int").alias("k")))
+
+
+def lexicon_of(counts: DataFrame, shape: Shape, direct: int = DIRECT) -> Lexicon:
+    """To the driver come `direct` words and a number for each shared slot."""
+    top = counts.orderBy(F.col("n").desc(), "h").limit(max(direct, shape.frequent)).select("h", "n").toArrow()
+    hashes, n = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
+    shared = np.zeros(shape.vocabulary - shape.frequent)
+    for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect():
+        shared[r.k] = r.n
+    own = counts.sparkSession.createDataFrame([(int(h),) for h in hashes[: shape.frequent]], "h long")
+    for r in counts.join(F.broadcast(own), "h").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        shared[r.k] -= r.n
+    return Lexicon(shape, hashes, n, shared)
+
+
+def in_slots(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str) -> DataFrame:
+    """The written table of row (a number), id, n_words, slots, logs, rest and slice, a row for each document."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
+    rows = rows.mapInArrow(_in_slots(lexicon), f"row long, id {kind}, n_words long, slots binary, logs double, rest array<bigint>")
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(SLICES)).cast("int"))
+    path = f"{shared_folder(docs.sparkSession)}/{uuid.uuid4().hex}"
+    rows.write.partitionBy("slice").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=np.uint16).astype(np.int64) if x.is_valid else np.zeros(0, np.int64) for x in column]
 
 
 def _grouped(docs: list[np.ndarray], least: int) -> Iterator[list[np.ndarray]]:
@@ -175,74 +364,94 @@ def _grouped(docs: list[np.ndarray], least: int) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def _trainer(shape: Shape, flat: np.ndarray, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _trainer(shape: Shape, state: State, rate: float, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, n = Network(shape, flat), 0
+        net, n = Network(shape, state), 0
         for batch in batches:
-            for docs in _grouped(_lists(batch.column(0)), 16 * STEP):
-                words, sides = windows(docs, shape)
-                for at in range(0, len(words), STEP):
-                    net.learn(words[at : at + STEP], sides[at : at + STEP], rate)
-                n += len(words)
+            for docs in _grouped(_numbers(batch.column(0)), 16 * step):
+                slots, sides = windows(docs, shape)
+                for at in range(0, len(slots), step):
+                    net.learn(slots[at : at + step], sides[at : at + step], rate)
+                n += len(slots)
         if n:
             rows = -(-len(net.flat) // ROW)
-            values = np.zeros(rows * ROW, dtype=np.float32)
-            values[: len(net.flat)] = net.flat
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(values), ROW).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows, dtype=np.int32)), pa.array(np.full(rows, n)), lists], ["row", "n", "w"])
+            for part, flat in enumerate((net.flat, net.seen)):
+                values = np.zeros(rows * ROW, dtype=np.float32)
+                values[: len(flat)] = flat
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(values), ROW).cast(pa.list_(pa.float32()))
+                numbers = np.arange(rows, dtype=np.int32) + part * rows
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.full(rows, n, dtype=np.float64)), lists], ["row", "n", "w"])
 
     return run
 
 
-def _scorer(shape: Shape, flat: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(shape, flat)
-        for batch in batches:
-            totals = []
-            for docs in _grouped(_lists(batch.column(1)), SCORE_STEP):
-                words, sides = windows(docs, shape)
-                each = np.concatenate([np.zeros(1), *(net.log_p(words[at : at + SCORE_STEP], sides[at : at + SCORE_STEP]) for at in range(0, len(words), SCORE_STEP))], dtype=np.float64)
-                ends = np.cumsum([0] + [len(d) for d in docs])
-                totals += np.diff(np.cumsum(each)[ends]).tolist()
-            lengths = [len(d) for d in _lists(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(totals, pa.float64())], ["id", "n_words", "log_likelihood"])
+def _mean(rows: pa.Table) -> pa.Table:
+    """One row of the weighted mean of vectors of the same place."""
+    n = rows.column("n").to_numpy()
+    vectors = np.stack([x.values.to_numpy(zero_copy_only=False) for x in rows.column("w").combine_chunks()])
+    mean = (n @ vectors / n.sum()).astype(np.float32)
+    return pa.table({"row": rows.column("row")[:1], "n": pa.array([n.sum()]), "w": pa.array([mean], pa.list_(pa.float32()))})
 
-    return run
 
+def averaged(rows: DataFrame, shape: Shape, part: int = 64) -> State | None:
+    """Weights and squared gradients averaged by place, in two steps of few vectors each. rows: row, n, w of all copies."""
+    schema = "row int, n double, w array<float>"
+    some = rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(part)))
+    some = some.groupBy("row", "part").applyInArrow(lambda t: _mean(t.drop_columns(["part"])), schema)
+    got = some.groupBy("row").applyInArrow(_mean, schema).select("row", "w").toArrow().sort_by("row")
+    if not got.num_rows:
+        return None
+    both = np.array(got.column("w").combine_chunks().values.to_numpy(zero_copy_only=False), dtype=np.float32).reshape(2, -1)[:, : shape.size()]
+    return State(both[0], both[1])
 
-def hashed_words(docs: DataFrame, shape: Shape, id_col: str, text_col: str) -> DataFrame:
-    """The written table of id and the numbers of its words."""
-    ids = F.transform(words_of(whole(F.col(text_col))), lambda w: F.pmod(F.xxhash64(w), F.lit(shape.vocabulary)).cast("int"))
-    return saved(docs.select(F.col(id_col).alias("id"), ids.alias("ids")))
 
+def train(words: DataFrame, shape: Shape, counts: np.ndarray, rate: float = RATE, step: int = STEP, least: int = LEAST, task: int = TASK) -> State:
+    """words: slots and slice. counts: words in each slot, all of which the passes see."""
+    total = int(counts.sum())
+    state = start(shape, counts)
+    passes = min(PASSES, max(1, -(-least // max(1, total))))
+    slices = max(1, SLICES // passes)
+    for done in range(passes * slices):
+        rows = words if slices == 1 else words.where(F.pmod("slice", F.lit(slices)) == done % slices)
+        tasks = max(1, total // slices // task)
+        copies = rows.select("slots").coalesce(tasks).mapInArrow(_trainer(shape, state, rate, step), "row int, n double, w array<float>")
+        state = averaged(copies, shape) or state
+    return state
 
-def averaged(rows: DataFrame, shape: Shape) -> np.ndarray:
-    """Weights averaged by place. rows: row, n, w of all copies."""
-    each = rows.select("row", "n", F.posexplode("w").alias("pos", "v")).groupBy("row", "pos").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).cast("float").alias("v"))
-    lists = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p")).select("row", F.transform("p", lambda x: x["v"]).alias("w"))
-    got = sorted((r.row, r.w) for r in lists.collect())
-    return np.array([v for _, w in got for v in w], dtype=np.float32)[: shape.size()]
 
+def _scorer(shape: Shape, state: State) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of row, id, n_words, logs, slots."""
 
-def train(words: DataFrame, shape: Shape, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
-    counts = np.zeros(shape.vocabulary)
-    for r in words.select(F.explode("ids").alias("w")).groupBy("w").count().collect():  # at most `vocabulary` rows
-        counts[r.w] = r["count"]
-    flat = start(shape, counts)
-    for _ in range(rounds):
-        copies = words.select("ids").mapInArrow(_trainer(shape, flat, rate), "row int, n long, w array<float>")
-        new = averaged(copies, shape)
-        flat = new if len(new) else flat
-    return flat
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(shape, state)
+        for batch in batches:
+            totals = []
+            for docs in _grouped(_numbers(batch.column(4)), SCORE_STEP):
+                slots, sides = windows(docs, shape)
+                each = np.concatenate([np.zeros(1), *(net.log_p(slots[at : at + SCORE_STEP], sides[at : at + SCORE_STEP]) for at in range(0, len(slots), SCORE_STEP))], dtype=np.float64)
+                ends = np.cumsum([0] + [len(d) for d in docs])
+                totals += np.diff(np.cumsum(each)[ends]).tolist()
+            sums = pa.array(np.array(totals) + batch.column(3).to_numpy(zero_copy_only=False), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sums], ["row", "id", "n_words", "score"])
+
+    return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(), rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(), direct: int = DIRECT) -> DataFrame:
     """One row for each row of `docs`: id, n_words, log_likelihood, mean_log_likelihood."""
-    words = hashed_words(docs, shape, id_col, text_col)
-    flat = train(words, shape, rounds)
+    counts = word_counts(docs, shape, text_col)
+    lexicon = lexicon_of(counts, shape, direct)
+    words = in_slots(docs, lexicon, id_col, text_col)
+    state = train(words, shape, lexicon.slot_counts())
     kind = docs.schema[id_col].dataType.simpleString()
-    out = words.select("id", "ids").mapInArrow(_scorer(shape, flat), f"id {kind}, n_words long, log_likelihood double")
-    return out.select(F.col("id").alias(id_col), "n_words", "log_likelihood", F.try_divide("log_likelihood", "n_words").alias("mean_log_likelihood"))
+    out = words.select("row", "id", "n_words", "logs", "slots").mapInArrow(_scorer(shape, state), f"row long, id {kind}, n_words long, score double")
+    least = int(lexicon.counts[-1]) if len(lexicon.counts) >= direct else 0
+    if least > 1:  # words that occur once need no count: log 1 is 0
+        known = counts.where((F.col("n") > 1) & (F.col("n") <= least)).select("h", F.round(F.log("n") * UNIT).cast("long").alias("x"))
+        asked = words.where(F.size("rest") > 0).select("row", F.explode("rest").alias("h"))
+        more = asked.join(known, "h").groupBy("row").agg(F.sum("x").alias("x"))
+        out = saved(out).join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce(F.col("x"), F.lit(0)) / UNIT)
+    return out.select(F.col("id").alias(id_col), "n_words", F.col("score").alias("log_likelihood"), F.try_divide("score", "n_words").alias("mean_log_likelihood"))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

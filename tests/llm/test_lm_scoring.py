@@ -1,107 +1,164 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rookery.llm import lm_scoring as op
 
-SMALL = op.Shape(vocabulary=64, classes=8, width=6, side=2)
+SMALL = op.Shape(vocabulary=64, frequent=48, classes=8, width=6, side=2)
 
 
 def network(seed=0, shape=SMALL):
     rng = np.random.default_rng(seed)
-    flat = rng.normal(0, 0.3, shape.size())
-    return op.Network(shape, flat)
+    state = op.start(shape, rng.integers(0, 50, shape.vocabulary))
+    return op.Network(shape, op.State((state.flat + rng.normal(0, 0.3, shape.size())).astype(np.float32), state.seen))
+
+
+def plain_log_p(net, slot, sides):
+    """One word's log-probability with plain loops."""
+    shape, w = net.shape, net.w
+    h = []
+    for x in range(shape.width):
+        h.append(math.tanh(sum(float(w["vector"][s][x]) * float(w["scale"][k][x]) for k, s in enumerate(sides))))
+    c, m = divmod(slot, shape.members)
+
+    def log_softmax(weight, bias, n, chosen):
+        scores = [sum(h[x] * float(weight[x][j]) for x in range(shape.width)) + float(bias[j]) for j in range(n)]
+        top = max(scores)
+        return scores[chosen] - top - math.log(sum(math.exp(s - top) for s in scores))
+
+    return log_softmax(w["class_w"], w["class_b"], shape.classes, c) + log_softmax(w["slot_w"][c], w["slot_b"][c], shape.members, m)
+
+
+def test_log_p_by_brute_force():
+    net, rng = network(), np.random.default_rng(4)
+    slots, sides = rng.integers(0, 64, 50), rng.integers(0, 65, (50, 4))
+    want = [plain_log_p(net, int(s), [int(x) for x in xs]) for s, xs in zip(slots, sides, strict=True)]
+    assert np.allclose(net.log_p(slots, sides), want, atol=1e-4)
 
 
 def test_probabilities_sum_to_one():
     net = network()
-    sides = np.random.default_rng(1).integers(0, 65, (3, 4))
-    for row in sides:
-        logs = net.log_p(np.arange(64), np.repeat(row[None], 64, axis=0))
-        assert abs(np.exp(logs).sum() - 1) < 1e-6
+    for row in np.random.default_rng(1).integers(0, 65, (3, 4)):
+        assert abs(np.exp(net.log_p(np.arange(64), np.repeat(row[None], 64, axis=0))).sum() - 1) < 1e-5
 
 
 def test_gradient_by_differences():
     rng = np.random.default_rng(2)
-    words, sides = rng.integers(0, 64, 40), rng.integers(0, 65, (40, 4))
+    slots, sides = rng.integers(0, 64, 40), rng.integers(0, 65, (40, 4))
     net = network(3)
     before = net.flat.copy()
-    loss = lambda flat: -op.Network(SMALL, flat).log_p(words, sides).mean()
+    loss = lambda flat: -op.Network(SMALL, op.State(flat, net.seen)).log_p(slots, sides).astype(float).mean()
     net.seen[:] = 1e-20
-    net.learn(words, sides, 1e-3)  # a first step without history: rate times the gradient's sign
-    moved = net.flat - before
-    for i in rng.choice(np.flatnonzero(moved), 60, replace=False):
+    net.learn(slots, sides, 1e-3)  # a first step without history: rate times the gradient's sign
+    moved, checked = net.flat - before, 0
+    for i in rng.choice(np.flatnonzero(moved), 80, replace=False):
         up, down = before.copy(), before.copy()
-        up[i] += 1e-5
-        down[i] -= 1e-5
-        slope = (loss(up) - loss(down)) / 2e-5
-        if abs(slope) > 1e-7:
+        up[i] += 1e-2
+        down[i] -= 1e-2
+        slope = (loss(up) - loss(down)) / 2e-2
+        if abs(slope) > 1e-4:
+            checked += 1
             assert np.sign(slope) == -np.sign(moved[i])
+    assert checked > 30
 
 
 def test_windows():
-    words, sides = op.windows([np.array([1, 2, 3]), np.array([], dtype=np.int64), np.array([4])], SMALL)
-    assert words.tolist() == [1, 2, 3, 4]
+    slots, sides = op.windows([np.array([1, 2, 3]), np.array([], dtype=np.int64), np.array([4])], SMALL)
+    assert slots.tolist() == [1, 2, 3, 4]
     assert sides.tolist() == [[64, 64, 2, 3], [64, 1, 3, 64], [1, 2, 64, 64], [64, 64, 64, 64]]
 
 
-@pytest.fixture(scope="module")
-def grammar(spark):
-    rng = np.random.default_rng(5)
-
-    def text():
-        a = int(rng.integers(0, 20))
-        out = []
-        for _ in range(60):  # each word sits between words that determine it
-            out.append(f"w{a}")
-            a = (a * 3 + 1 + int(rng.integers(0, 2))) % 20
-        return out
-
-    plain = [text() for _ in range(1500)]
-    held = [text() for _ in range(100)]
-    shuffled = [list(rng.permutation(t)) for t in held]
-    return [[" ".join(t) for t in x] for x in (plain, held, shuffled)]
-
-
-def test_held_out_order_is_learned(spark, docs_of, grammar):
-    plain, held, shuffled = grammar
-    shape = op.Shape(vocabulary=256, classes=16, width=16)
-    words = op.hashed_words(docs_of([(i, t) for i, t in enumerate(plain)]).coalesce(2), shape, "doc_id", "text")
-    flat = op.train(words, shape, rounds=6)
-    net = op.Network(shape, flat)
-    score = lambda texts: np.mean([net.log_p(*op.windows([np.array(r.ids)], shape)).mean() for r in op.hashed_words(docs_of(list(enumerate(texts))), shape, "doc_id", "text").collect()])
-    unigram = op.Network(shape, op.start(shape, np.bincount([x for r in words.collect() for x in r.ids], minlength=256)))
-    base = np.mean([unigram.log_p(*op.windows([np.array(r.ids)], shape)).mean() for r in op.hashed_words(docs_of(list(enumerate(held))), shape, "doc_id", "text").collect()])
-    assert score(held) > base + 0.5 and score(held) > score(shuffled) + 0.5
+def pieces(docs, shape, direct):
+    counts = op.word_counts(docs, shape, "text")
+    lexicon = op.lexicon_of(counts, shape, direct)
+    return counts, lexicon, op.in_slots(docs, lexicon, "doc_id", "text")
+
+
+ROWS = [(1, "a b c d e a b a"), (2, ""), (3, "b c " * 3000), (4, "z"), (5, "rare words appear rare " * 3 + "a"), (6, "a b c d e a b a"), (None, "b Ünï Ünï"), (7, None)]
+
+
+@pytest.mark.parametrize("direct", [10**5, 4])
+def test_scores_by_brute_force(spark, docs_of, monkeypatch, direct):
+    """Both ways of the counts, against plain loops over whole texts and real word counts."""
+    shape = op.Shape(vocabulary=32, frequent=4, classes=4, width=4, side=2)
+    state = op.start(shape, np.ones(32))
+    monkeypatch.setattr(op, "train", lambda *a: state)
+    got = {str(r.doc_id): r for r in op.lm_scores(docs_of(ROWS), shape=shape, direct=direct).collect()}
+    count = Counter(w for _, t in ROWS for w in (t or "").split())
+    _, lexicon, _ = pieces(docs_of(ROWS), shape, direct)
+    reader, of = op.Reader(lexicon), lexicon.slot_counts()
+    slot = {w: int(reader.read([w])[1][0]) for w in count}
+    total = Counter()
+    for w, n in count.items():
+        total[slot[w]] += n
+    assert all(total[s] == of[s] for s in range(32)) and sum(of) == sum(count.values())
+    net = op.Network(shape, state)
+    for d, t in ROWS:
+        w = (t or "").split()
+        line = [32, 32, *[slot[x] for x in w], 32, 32]
+        seen = {}
+        want = 0.0
+        for i, x in enumerate(w):
+            key = tuple(line[i : i + 2] + line[i + 3 : i + 5] + [slot[x]])
+            if key not in seen:
+                seen[key] = plain_log_p(net, slot[x], key[:4])
+            want += seen[key] + math.log(count[x] / total[slot[x]])
+        r = got[str(d)]
+        assert r.n_words == len(w) and abs(r.log_likelihood - want) < 1e-4 * max(1, len(w))
+        assert (r.mean_log_likelihood is None) == (not w)
+
+
+def test_words_in_a_bounded_table(spark, docs_of):
+    docs = docs_of(ROWS)
+    _, lexicon, _ = pieces(docs, SMALL, 4)
+    small, large = op.Reader(lexicon, remembered=2), op.Reader(lexicon)
+    for _, t in ROWS:
+        for a, b in zip(small.read([t or ""]), large.read([t or ""]), strict=True):
+            assert np.array_equal(a, b)
+
+
+@pytest.mark.parametrize("partitions", [4, 64])
+def test_held_out_words_are_learned(spark, partitions):
+    """At default settings: better than word frequencies by a wide margin, and the order of words matters."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    plain, held = docs.where("doc_id % 10 <> 3").repartition(partitions), docs.where("doc_id % 10 = 3")
+    shape = op.Shape()
+    _, lexicon, words = pieces(plain, shape, op.DIRECT)
+    lists = op._numbers(op.in_slots(held, lexicon, "doc_id", "text").select("slots").toArrow().column(0).combine_chunks())
+    rng = np.random.default_rng(3)
+    score = lambda state, texts: op.Network(shape, state).log_p(*op.windows(texts, shape)).astype(float).mean()
+    before = score(op.start(shape, lexicon.slot_counts()), lists)
+    state = op.train(words, shape, lexicon.slot_counts())
+    after = score(state, lists)
+    assert after > before + 0.8
+    mixed = rng.permutation(np.concatenate(lists))
+    shuffled = np.split(mixed, np.cumsum([len(x) for x in lists])[:-1])
+    assert after > score(state, shuffled) + 0.3
 
 
 def test_averages_by_words_seen(spark):
     n = -(-SMALL.size() // op.ROW)
-    rows = [(r, seen, [float(v)] * op.ROW) for seen, v in ((1, 4.0), (3, 8.0)) for r in range(n)]
-    got = op.averaged(spark.createDataFrame(rows, "row int, n long, w array<float>"), SMALL)
-    assert len(got) == SMALL.size() and np.allclose(got, 7.0)
+    rows = [(r + part * n, float(seen), [v + part] * op.ROW) for seen, v in ((1, 4.0), (3, 8.0)) for part in (0, 1) for r in range(n)]
+    got = op.averaged(spark.createDataFrame(rows, "row int, n double, w array<float>").repartition(3), SMALL)
+    assert len(got.flat) == SMALL.size() and np.allclose(got.flat, 7.0) and np.allclose(got.seen, 8.0)
 
 
-def test_scores(spark, docs_of, awkward):
-    docs = docs_of(awkward, {"ids": F.lit(1), "n_words": F.lit(2)})
-    got = op.lm_scores(docs, shape=SMALL).collect()
+def test_awkward_rows(docs_of, awkward):
+    names = ("row", "id", "slots", "n_words", "rest", "slice", "x", "h")
+    docs = docs_of(awkward, {n: F.lit(1) for n in names})
+    got = op.lm_scores(docs, shape=SMALL, direct=8).collect()
     assert len(got) == len(awkward)
     for r in got:
-        assert (r.n_words == 0) == (r.mean_log_likelihood is None) and r.log_likelihood <= 0 and np.isfinite(r.log_likelihood)
+        assert (r.n_words == 0) == (r.mean_log_likelihood is None) and r.log_likelihood <= 1e-6 and np.isfinite(r.log_likelihood)
     assert sorted(r.n_words for r in got) == sorted(len((t[1] or "").split()) for t in awkward)
+    alike = [r.log_likelihood for r in got if r.doc_id == 5]
+    assert len(alike) == 2 and abs(alike[0] - alike[1]) < 1e-6
     assert op.lm_scores(docs_of([]), shape=SMALL).count() == 0
 
 
-def test_document_sum_equals_its_own(spark, docs_of):
-    rows = [(1, "a b c d e"), (2, ""), (3, "b c " * 5000), (4, "z")]
-    words = op.hashed_words(docs_of(rows), SMALL, "doc_id", "text")
-    net = network(9)
-    got = {r.id: r for r in words.mapInArrow(op._scorer(SMALL, net.flat), "id long, n_words long, log_likelihood double").collect()}
-    for r in words.collect():
-        w, s = op.windows([np.array(r.ids, dtype=np.int64)], SMALL)
-        assert abs(got[r.id].log_likelihood - (net.log_p(w, s).sum(dtype=float) if len(w) else 0)) < 1e-3 * max(1, len(w)) and got[r.id].n_words == len(w)
-
-
 def test_query(spark, sf):
     got = op.op1_lm_scoring(spark, sf).toPandas()
-    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and got.mean_log_likelihood.lt(0).all()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and got.mean_log_likelihood.dropna().lt(0).all()
