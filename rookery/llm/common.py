@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Keys that count as heavy in a join, at most: each has more than 1 / HEAVY of the rows.
+HEAVY = 1000
 
 _own_folders: dict[str, str] = {}
 
@@ -37,6 +40,35 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """One column, row: a struct of all columns. Whatever is added beside it can't clash with a column of the user's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def field(name: str) -> Column:
+    """A column of the boxed row."""
+    return F.col("row").getField(name)
+
+
+def unboxed(rows: DataFrame, names: Sequence[str], **changed: Column) -> DataFrame:
+    """The user's columns again; `changed` ones take another value."""
+    return rows.select(*[changed.get(c, field(c)).alias(c) for c in names])
+
+
+def heavy_join(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, total: int, how: str = "inner", heavy: int = HEAVY) -> DataFrame:
+    """A join with `right`, which has one row for each key, and in column `n` how many rows `left` has of it; `total`: their sum, or more.
+
+    Keys with more than a `heavy`-th of the rows, fewer than `heavy` of them, meet their rows on the map
+    side; in the shuffle of the others no key has more. Both frames should be written tables. Column `n` goes.
+    """
+    limit = max(64, total // heavy)
+    top, rest = right.where(F.col(n) > limit).drop(n), right.where(F.coalesce(F.col(n), F.lit(0)) <= limit).drop(n)
+    if top.isEmpty():
+        return left.join(rest, list(keys), how)
+    there = F.broadcast(top)
+    return left.join(there, list(keys)).unionByName(left.join(F.broadcast(top.select(*keys)), list(keys), "left_anti").join(rest, list(keys), how))
+
+
 def whole(column: Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(column, F.lit(""))

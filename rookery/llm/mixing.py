@@ -9,13 +9,17 @@ some `BLOCK` documents at most two probabilities are still fractional. Those of
 blocks or so then form one block of the next level, and so on, until one small block is left in
 each source, where the landing drops the constraint on documents, and then that on words. A large
 document can stay fractional to the end; so, last, single documents of the last block are flipped
-while that brings the words nearer to their total.
+while that brings the words nearer to their total. That step is outside the method: probabilities of the last
+block's documents, `BLOCK` of a source at most, hold no longer exactly.
 
-Blocks go by a hash of the row and are worked off in a fixed order, so reruns agree. No task holds more than a block, and
-only ids, sources and sizes are shuffled.
+Rows are numbered in a written table, and only numbers, sources and sizes are shuffled. Blocks go by a
+hash of the row's content and are worked off in a fixed order, so reruns agree. Rows that are alike fall
+into one block; a block that has grown too large is dealt again by row numbers. No task holds more than some
+blocks.
 
-Defined cases: null text has size 0; null is a source of its own; null and repeated ids are rows
-like any others; an empty table gives no rows. No document is taken more than `MOST` times.
+Defined cases: null text has size 0, and so has an empty one; a very long one counts whole. Null is a source of
+its own; null and repeated ids, and repeated rows, are rows like any others; ties in size go by hash; an
+empty table gives no rows. No document is taken more than `MOST` times. `mix` keeps columns of any names.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, saved, whole
+from ..operators.tables import global_rank
+from .common import SPACE, boxed, documents, field, heavy_join, saved, unboxed, whole
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -36,36 +41,39 @@ BLOCK = 2000
 SEED = 42
 
 
-def _key(id_col: str, text_col: str, source_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.lit(SEED), F.col(text_col), F.lit(SEED), F.col(source_col))
+def _key(row_id: Column, text: Column, source: Column) -> Column:
+    return F.xxhash64(row_id, F.lit(SEED), text, F.lit(SEED), source)
 
 
-def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """The written table of __id, __source, __size, __key (a hash that tells rows apart as well as may be)."""
-    size = F.regexp_count(whole(F.col(text_col)), F.lit(f"[^{SPACE}]+")).cast("long")
-    key = _key(id_col, text_col, source_col)
-    return saved(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"), key.alias("__key")))
+def numbered_sizes(rows: DataFrame, text_col: str, source_col: str, id_col: str) -> DataFrame:
+    """The written table of number, source, size and key (a hash of the content). rows: number and row."""
+    size = F.regexp_count(whole(field(text_col)), F.lit(f"[^{SPACE}]+")).cast("long")
+    key = _key(field(id_col), field(text_col), field(source_col))
+    return saved(rows.select("number", field(source_col).alias("source"), size.alias("size"), key.alias("key")))
 
 
 def targets(rows: DataFrame) -> DataFrame:
-    """A row for each source: __source, __total (words), __rows, __target.
+    """A row for each source: source, total (words), rows, target.
 
-    Resharing ends where every uncapped source has the same target a unit of weight, t. Sorted by
-    cap a unit of weight, the first k are capped; t is what they leave over, a unit of the other
-    weights, for the least k whose next source stays under its cap.
+    The excess of sources above their caps is reshared, one aggregate over the sources a round, until no
+    further source reaches its cap.
     """
-    each = rows.groupBy("__source").agg(F.sum("__size").alias("__total"), F.count("*").alias("__rows"))
-    place = F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1
-    each = each.withColumn("__w", F.get(F.array(*[F.lit(float(w)) for w in WEIGHTS]), F.pmod(place, F.lit(len(WEIGHTS)))))
-    cap = F.col("__total") * float(MOST)
-    each = each.withColumn("__cap", cap).withColumn("__ratio", F.col("__cap") / F.col("__w"))
-    order = Window.orderBy("__ratio", "__w", F.col("__source").asc_nulls_last())
-    before, after, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    level = (F.sum("__total").over(every) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))) / F.sum("__w").over(after)
-    each = each.withColumn("__level", level)
-    level = F.min(F.when(F.col("__level") <= F.col("__ratio"), F.struct("__ratio", "__level"))).over(every)["__level"]
-    target = F.least(F.col("__cap"), F.coalesce(level, F.lit(0.0)) * F.col("__w"))
-    return each.withColumn("__target", target).select("__source", "__total", "__rows", "__target")
+    each = saved(rows.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("rows")))
+    ranked = global_rank(each.select("source", F.col("source").isNull().alias("none")), ["none", "source"])
+    weight = F.get(F.array(*[F.lit(float(w)) for w in WEIGHTS]), F.pmod(F.col("rank") - 1, F.lit(len(WEIGHTS))).cast("int"))
+    ranked = ranked.select(F.col("source").alias("named"), weight.alias("w"))
+    each = each.join(ranked, each["source"].eqNullSafe(ranked["named"])).drop("named")
+    each = saved(each.withColumn("cap", F.col("total") * float(MOST)))
+    everything = float(each.agg(F.sum("total")).first()[0] or 0)
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("w")
+        part = each.agg(F.count_if(full).alias("n"), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)).alias("used"), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0)).alias("w")).first()
+        if part.n == capped or not part.w:
+            break
+        level, capped = (everything - part.used) / part.w, part.n
+    target = F.least(F.col("cap"), F.lit(level) * F.col("w"))
+    return each.select("source", "total", "rows", target.alias("target"))
 
 
 def fly(size: np.ndarray, p: np.ndarray, draw: Callable[[], float], land: bool) -> np.ndarray:
@@ -116,68 +124,79 @@ def _settle_words(size: np.ndarray, start: np.ndarray, p: np.ndarray) -> None:
         p[free[best]] = 1.0 - p[free[best]]
 
 
-def _flight(land: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["__size", "__key"], ascending=[False, True], kind="stable")
-        seed = int(block["__key"].to_numpy().view(np.uint64).min()) ^ SEED
-        block["__p"] = fly(block["__size"].to_numpy(), block["__p"].to_numpy(), np.random.default_rng(seed).random, land)
-        return block
+_UNITS = "number long, key long, size long, p double, of string, block long, extra long"
+
+
+def _flight(land: bool) -> Callable[[pa.Table], pa.Table]:
+    def run(block: pa.Table) -> pa.Table:
+        number, key, size, p = (block.column(c).to_numpy() for c in ("number", "key", "size", "p"))
+        order = np.lexsort((number, key, -size))
+        seed = int(key.view(np.uint64).min()) ^ SEED
+        block = block.take(order)
+        moved = fly(size[order], p[order], np.random.default_rng(seed).random, land)
+        return block.set_column(block.column_names.index("p"), "p", pa.array(moved))
 
     return run
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
-    """One row for each row of `docs`: __id, __key, __size, __total, __target, __copies (how often the mix takes it)."""
-    rows = sizes(docs, id_col, text_col, source_col)
+def copies(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """number, size, total, target, copies (how often the mix takes the row). rows: see numbered_sizes."""
     each = saved(targets(rows))
-    most = each.agg(F.max("__rows")).first()[0] or 0
-    ratio = F.coalesce(F.try_divide(F.col("__target"), F.col("__total")), F.lit(0.0))
-    whole_copies = F.floor(ratio + 1e-12)
-    told = each.withColumn("__base", whole_copies.cast("long")).withColumn("__p", F.greatest(F.lit(0.0), ratio - F.floor(ratio + 1e-12)))
-    told = rows.join(told, rows["__source"].eqNullSafe(each["__source"])).drop(each["__source"])
-    told = told.withColumn("__of", F.coalesce(F.concat(F.lit("="), "__source"), F.lit("null")))
-    told = told.withColumn("__block", F.pmod("__key", F.greatest(F.lit(1), F.ceil(F.col("__rows") / block))))
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["__id", "__key", "__size", "__total", "__target", "__base", "__p", "__of", "__block"]
-    schema = f"__id {kind}, __key long, __size long, __total long, __target double, __base long, __p double, __of string, __block long"
-    left, done, blocks = told.select(*names), None, max(1, -(-most // block))
+    ratio = F.coalesce(F.try_divide(F.col("target"), F.col("total")), F.lit(0.0))
+    base = F.floor(ratio + 1e-12)
+    each = saved(each.select(F.col("source").alias("from"), "total", "rows", "target", base.cast("long").alias("base"), F.greatest(F.lit(0.0), ratio - base).alias("p")))
+    blocks = max(1, -(-(each.agg(F.max("rows")).first()[0] or 0) // block))
+    keyed = rows.withColumn("has", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
+    told = each.withColumn("has", F.coalesce(F.concat(F.lit("="), F.col("from").cast("string")), F.lit("null"))).drop("from")
+    told = heavy_join(keyed.drop("source"), told.withColumn("many", F.col("rows")), ["has"], "many", rows.count()).withColumnRenamed("has", "of")
+    told = saved(told.withColumn("block", F.pmod("key", F.greatest(F.lit(1), F.ceil(F.col("rows") / block)))))
+    # Only rows that are alike make a block large.
+    large = saved(told.groupBy("of", "block").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block + 100))
+    units = told.select("number", "key", "size", "p", "of", "block")
+    if large.isEmpty():
+        units = units.withColumn("extra", F.lit(0).cast("long"))
+    else:
+        pieces = large.select("of", "block", F.ceil(F.col("n") / block).alias("pieces"), F.col("n").alias("many"))
+        units = heavy_join(units, pieces, ["of", "block"], "many", rows.count(), "left")
+        units = saved(units.withColumn("extra", F.coalesce(F.pmod(F.xxhash64("number"), F.col("pieces")), F.lit(0).cast("long"))).drop("pieces"))
+    left, done = units, None
     while True:
-        moved = saved(left.groupBy("__of", "__block").applyInPandas(_flight(blocks == 1), schema))
-        settled = moved.where("__p <= 0 OR __p >= 1") if blocks > 1 else moved
+        land = blocks == 1 and left.where("extra > 0").isEmpty()
+        moved = saved(left.groupBy("of", "block", "extra").applyInArrow(_flight(land), _UNITS))
+        settled = moved if land else moved.where("p <= 0 OR p >= 1")
         done = settled if done is None else done.unionByName(settled)
-        if blocks == 1:
+        if land:
             break
-        left = moved.where("__p > 0 AND __p < 1").withColumn("__block", F.floor(F.col("__block") / (block // 2)))
-        blocks = -(-blocks // (block // 2))
-    return done.withColumn("__copies", F.col("__base") + F.col("__p").cast("long")).drop("__base", "__p", "__of", "__block")
+        # what is left of a large block's pieces meets first, then that of neighbouring blocks
+        left = moved.where("p > 0 AND p < 1")
+        if left.where("extra > 0").isEmpty():
+            left = left.withColumn("block", F.floor(F.col("block") / (block // 2)))
+            blocks = -(-blocks // (block // 2))
+        else:
+            left = left.withColumn("extra", F.floor(F.col("extra") / (block // 2)))
+    drawn = done.select("number", F.col("p").cast("long").alias("drawn"))
+    return told.join(drawn, "number").select("number", "size", "total", "target", (F.col("base") + F.col("drawn")).alias("copies"))
+
 
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
+    """One row for each row of `docs`: id, size, source_size, target, copies (how often the mix takes it)."""
+    rows = boxed(docs.select(id_col, text_col, source_col)).withColumn("number", F.monotonically_increasing_id())
+    size = F.regexp_count(whole(field(text_col)), F.lit(f"[^{SPACE}]+")).cast("long")
+    key = _key(field(id_col), field(text_col), field(source_col))
+    rows = saved(rows.select("number", field(id_col).alias("id"), field(source_col).alias("source"), size.alias("size"), key.alias("key")))
+    taken = copies(rows.drop("id"), block)
+    out = rows.select("number", "id").join(taken, "number")
+    return out.select(F.col("id").alias(id_col), "size", F.col("total").alias("source_size"), "target", "copies")
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it.
 
-    Rows that are alike in id, text and source are told apart no further: together they are
-    taken as often as the mix takes them all.
-    """
-    taken = mixture(docs, id_col, text_col, source_col).groupBy("__id", "__key").agg(F.sum("__copies").alias("__copies"), F.count("*").alias("__alike"))
-    taken = saved(taken.where("__copies > 0"))
-    told = docs.withColumn("__own", _key(id_col, text_col, source_col)).join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
-    if taken.where("__alike > 1").isEmpty():
-        every = told.withColumn("__times", F.col("__copies"))
-    else:  # alike rows share what is taken of them
-        place = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(1)))
-        share = F.floor(F.col("__copies") / F.col("__alike")) + F.when(F.col("__place") <= F.col("__copies") % F.col("__alike"), 1).otherwise(0)
-        every = told.withColumn("__place", place).withColumn("__times", share).where("__times > 0")
-    repeated = every.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it. They are written once, numbered."""
+    rows = saved(boxed(docs).withColumn("number", F.monotonically_increasing_id()))
+    taken = copies(numbered_sizes(rows, text_col, source_col, id_col), block).where("copies > 0").select("number", "copies")
+    every = rows.join(taken, "number").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return unboxed(every, docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixture(documents(spark, sf_dir))
-    return out.select(
-        F.col("__id").alias("doc_id"),
-        F.col("__size").alias("size"),
-        F.col("__total").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__copies") * F.col("__size")).alias("taken"),
-        F.col("__copies").alias("copies"),
-    )
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

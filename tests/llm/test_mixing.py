@@ -28,32 +28,27 @@ def check(got, rows):
         total[r[2]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
     want = brute_targets(total)
     assert len(got) == len(rows)
-    sums = defaultdict(int)
-    largest = defaultdict(int)
+    source = {r[0]: r[2] for r in rows}
+    sums, largest = defaultdict(int), defaultdict(int)
     for r in got:
-        sums[r.s] += r.taken
-        largest[r.s] = max(largest[r.s], r["__size"])
-        assert abs(r["__target"] - want[r.s]) < 1e-6 * max(1, want[r.s]) and r["__total"] == total[r.s]
-        assert 0 <= r["__copies"] <= 3
+        s = source[r.doc_id]
+        sums[s] += r.copies * r["size"]
+        largest[s] = max(largest[s], r["size"])
+        assert abs(r.target - want[s]) < 1e-6 * max(1, want[s]) and r.source_size == total[s]
+        assert 0 <= r.copies <= 3
     return sums, want, largest
 
 
-def run(docs, **kw):
-    out = op.mixture(docs, **kw)
-    keys = docs.select(F.col("source").alias("s"), op._key("doc_id", "text", "source").alias("__key")).distinct()
-    return out.withColumn("taken", F.col("__copies") * F.col("__size")).join(keys, "__key").collect()
-
-
 def test_targets_and_sums(docs_of):
     rng = np.random.default_rng(1)
     rows = [(i, "w " * int(rng.integers(0, 300)), rng.choice(["a", "a", "a", "b", "ü", "zz"]).item() if i % 7 else None) for i in range(6000)]
     rows += [(10000, "one two three", "tiny")]
     for block in (2000, 50):
-        sums, want, largest = check(run(docs_of(rows), block=block), rows)
+        sums, want, largest = check(op.mixture(docs_of(rows), block=block).collect(), rows)
         for s, w in want.items():
             assert abs(sums[s] - w) <= min(largest[s], 0.02 * w + 10), s
-        first = sorted((r["__id"], r["__copies"]) for r in run(docs_of(rows), block=block))
-        assert first == sorted((r["__id"], r["__copies"]) for r in run(docs_of(rows).repartition(13), block=block))
+        first = sorted((r.doc_id, r.copies) for r in op.mixture(docs_of(rows), block=block).collect())
+        assert first == sorted((r.doc_id, r.copies) for r in op.mixture(docs_of(rows).repartition(13), block=block).collect())
 
 
 def test_flight_keeps_both_totals():
@@ -69,13 +64,49 @@ def test_flight_keeps_both_totals():
 def test_awkward_rows(docs_of, awkward):
     rows = [(r[0], r[1], r[2] if len(r) > 2 else "s") for r in awkward]
     got = op.mixture(docs_of(rows)).collect()
-    assert len(got) == len(rows) and all(0 <= r["__copies"] <= 3 for r in got)
-    docs = docs_of(rows, {"copies": F.lit(1), "__n": F.lit(2)})
+    assert len(got) == len(rows) and all(0 <= r.copies <= 3 for r in got)
+    docs = docs_of(rows, {"copies": F.lit(1), "number": F.lit(2), "row": F.lit(3)})
     mixed = op.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r["__copies"] for r in got)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
     assert op.mixture(docs_of([])).count() == 0 and op.mix(docs_of([])).count() == 0
 
 
+def test_large_ids_beside_null(spark, docs_of):
+    rows = [(2**53 + 1, "a b c"), (2**53 + 3, "d e f"), (None, "g h i")]
+    want = sorted(map(str, (2**53 + 1, 2**53 + 3, None)))
+    assert sorted(str(r.doc_id) for r in op.mixture(docs_of(rows)).collect()) == want
+    assert sorted(str(r.doc_id) for r in op.mix(docs_of(rows)).collect()) == want
+    text = docs_of(rows).withColumn("doc_id", F.concat(F.lit("id "), F.col("doc_id").cast("string")))
+    assert sorted(str(r.doc_id) for r in op.mix(text).collect()) == ["None", f"id {2**53 + 1}", f"id {2**53 + 3}"]
+
+
+def test_alike_rows_are_split(docs_of, monkeypatch):
+    """A third of all rows are one row over and over; no group of the flight holds more than some blocks."""
+    rows = [(1, "same words here", "a")] * 4000 + [(10 + i, "w " * (i % 50), "a" if i % 2 else "b") for i in range(8000)]
+    seen = []
+    flight = op._flight
+
+    def watched(land):
+        run = flight(land)
+
+        def told(t):
+            if t.num_rows > 700:
+                raise AssertionError(f"{t.num_rows} rows in a group")
+            return run(t)
+
+        return told
+
+    monkeypatch.setattr(op, "_flight", watched)
+    got = op.mixture(docs_of(rows), block=200).collect()
+    assert len(got) == len(rows) and not seen
+    sums, target = defaultdict(int), {}
+    named = {i: s for i, _, s in rows}
+    for r in got:
+        sums[named[r.doc_id]] += r.copies * r["size"]
+        target[named[r.doc_id]] = r.target
+    assert all(abs(sums[s] - target[s]) <= 0.02 * target[s] + 10 for s in sums)
+
+
 def test_query(spark, sf):
     got = op.op8_mixing(spark, sf)
     assert got.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
