@@ -1,48 +1,60 @@
 """Operator 2: lexical retrieval packing.
 
-Documents are tokenised once and dealt to shards of some `SHARD` documents by a hash of their
-content. Each shard is one task group: it builds a BM25 inverted index of its own documents
-(postings by token, with document frequencies and lengths) and fills windows of `WINDOW` tokens.
-A seed document opens a window; its most telling terms are looked up in the index; the best
-unused neighbours follow until the window is full. The document that reaches over the edge is
-cut there and goes on as the seed of the next window. When a query finds no unused neighbour,
-the next unused document by length is taken. So every window but a shard's last is full; the
-last one's tokens are cut into sequences whose lengths are powers of two, which need no padding.
+Documents are tokenised once and dealt to shards of some `SHARD` tokens by their content. Each shard
+is one task group: it builds a BM25 inverted index of its own documents (postings by token, with
+document frequencies and lengths) and fills windows of `WINDOW` tokens. A seed document opens a
+window; all its terms are looked up in the index; the best unused neighbours follow until the
+window is full. The document that reaches over the edge is cut there and goes on as the seed of the
+next window. When a query finds no unused neighbour, the next unused document by length is taken.
+So every window but a shard's last is full; the last one's tokens are cut into sequences whose
+lengths are powers of two, which need no padding. Terms in half of a shard's documents or more
+weigh nothing, as in BM25's first form, whose inverse frequency is 0 there or less.
+
+Dealing: a document can be used once, so it lies in one shard, and only neighbours in its shard can
+be found. Documents go to the nearest of up to `CENTRES` centres of hashed term vectors, fitted by
+spherical k-means on `SAMPLE` documents; a centre of several shards deals its documents by the
+first term of a weighted race, in which rare terms win more often and which documents of much the
+same terms run alike. Where that leaves a shard too large (rows that are alike), row numbers deal it again.
 
 Tokens travel as unsigned 16-bit numbers; no id of the vocabulary needs more.
 
 Tokenising: white-space-separated pieces of a text are independent under this tokenizer, so each
-worker keeps a bounded table of pieces it has met. Plain letters, alone or before a comma or a
-full stop, go through the bare merge model in bulk; everything unusual goes through the
-tokenizer as it is. Tests hold the result against the tokenizer on whole texts.
-
-Defined cases: null and empty texts are documents of one token (the end token, id 1). Null and
-repeated ids are packed like any others. An empty table gives no rows.
+worker keeps a bounded table of pieces it has met. Texts are lower-cased as a whole, and commas and full stops
+after a letter are parted from it, which doesn't change the tokens but makes pieces alike. Plain letters go
+through the bare merge model in bulk; everything unusual goes through the tokenizer as it is.
+Tests hold the result against the tokenizer on whole texts.
+
+Defined cases: null and empty texts are documents of one token (the end token, id 1). Very long texts are cut over as
+many windows as they need. Null and repeated ids, of any type, and repeated rows are packed like any others; ties in
+score go by content. An empty table gives no rows. Columns besides id and text don't matter.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, pairwise, repeat
+from itertools import chain, compress, pairwise, repeat
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole
+from .common import documents, heavy_join, saved, whole
 
 WINDOW = 2048
-#: Documents that share an index, more or less.
-SHARD = 1000
+#: Tokens that share an index, more or less.
+SHARD = 1_000_000
 END = 1
-#: Terms of a seed that are looked up, and BM25's parameters.
-TERMS, K1, B = 8, 1.2, 0.75
+#: BM25's parameters.
+K1, B = 1.2, 0.75
+#: Documents that centres are fitted on, centres at most, numbers in a term vector, and rounds of fitting.
+SAMPLE, CENTRES, WIDTH, ROUNDS = 4096, 64, 1024, 10
+#: Sequences that one document opens, at most: a document has fewer than 2^31 bytes, and as many tokens.
+TURNS = 1 << 20
 #: Pieces of text that a worker remembers at most.
 REMEMBERED = 600_000
 
@@ -104,7 +116,23 @@ class PieceEncoder:
         self.cores = Ragged()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Add pieces that aren't in the table: plain letters by way of their cores, then the others."""
+        """Add pieces that aren't in the table: small letters, then what has letters as its core, then the others."""
+        small = [p.isalpha() and p.islower() and (p.isascii() or unicodedata.is_normalized("NFC", p)) for p in pieces]
+        if letters := list(compress(pieces, small)):
+            self.pieces.add(*self._spell(letters))
+            self.place.update(zip(letters, range(len(self.place), len(self.place) + len(letters)), strict=True))
+        if len(letters) < len(pieces):
+            self._learn_odd([p for p, s in zip(pieces, small, strict=True) if not s])
+
+    def _spell(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many tokens each of some runs of small letters has, and all of them."""
+        spelled = " ".join(c if c.isascii() else c.encode().decode("latin-1").translate(self.bytes) for c in cores)
+        ids = np.array(self.bare.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        assert len(ends) == len(cores)
+        return np.diff(ends, prepend=0), ids
+
+    def _learn_odd(self, pieces: list[str]) -> None:
         plain: list[str] = []
         odd: list[str] = []
         at: list[int] = []
@@ -134,11 +162,7 @@ class PieceEncoder:
             at.append(i)
             points.append(point_of[point])
         if new:
-            spelled = " ".join(c if c.isascii() else c.encode().decode("latin-1").translate(self.bytes) for c in new)
-            ids = np.array(self.bare.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype=np.int64)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            assert len(ends) == len(new)
-            self.cores.add(np.diff(ends, prepend=0), ids)
+            self.cores.add(*self._spell(new))
         if plain:
             numbers, point = np.array(at), np.array(points)
             tokens, ends = self.cores.take(numbers)
@@ -154,7 +178,7 @@ class PieceEncoder:
         """uint16 ids of each text, without the end token."""
         if len(self.place) > self.remembered:
             self._forget()
-        split = [[] if _SEPARATORS.search(t) else t.split() for t in texts]
+        split = [[] if any(c in t for c in _SEPARATORS) else _ready(t).split() for t in texts]
         words = list(chain.from_iterable(split))
         at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         missing = np.flatnonzero(at < 0).tolist()
@@ -171,26 +195,81 @@ class PieceEncoder:
 
 
 #: Characters that Python's split() and the tokenizer see differently.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Texts whose lower case depends on the library, or that may hold special tokens.
+_AS_IT_IS = ("\u03a3", "\u0130", "<|")
+#: A comma or full stop between a letter or number and white space: the tokenizer parts it from either.
+_POINT = re.compile(r"[,.](?<=[^\W_][,.])(?=\s)")
 _encoders: dict[str, PieceEncoder] = {}
 
 
+def _ready(text: str) -> str:
+    if not text.isascii() and not unicodedata.is_normalized("NFC", text) or any(c in text for c in _AS_IT_IS):
+        return text
+    return _POINT.sub(r" \g<0>", text.lower())
+
+
 def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 
 
-def _tokenised(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class Dealer(NamedTuple):
+    """What deals documents: centres (a row each), inverse frequencies of hashed terms, and the race of tokens."""
+
+    centres: np.ndarray
+    weight: np.ndarray
+    race: np.ndarray
+
+    def deal(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The centre of each document, and the number of the token that wins its race."""
+        starts = np.cumsum([0, *(len(d) for d in docs)])[:-1]
+        tokens = np.concatenate(docs).astype(np.int64)
+        first = np.minimum.reduceat(self.race[tokens], starts)
+        return (term_vectors(docs) * self.weight @ self.centres.T).argmax(axis=1), first.view(np.int32)
+
+
+def term_vectors(docs: list[np.ndarray]) -> np.ndarray:
+    """A row of logarithmic counts of hashed tokens for each document. Documents aren't empty."""
+    lengths = [len(d) for d in docs]
+    owner, tokens = np.repeat(np.arange(len(docs)), lengths), np.concatenate(docs).astype(np.int64)
+    counts = np.bincount(owner * WIDTH + (tokens * 40503 % 65536) // (65536 // WIDTH), minlength=len(docs) * WIDTH)
+    return np.log1p(counts.reshape(len(docs), WIDTH)).astype(np.float32)
+
+
+def fit(docs: list[np.ndarray], centres: int) -> Dealer:
+    """Spherical k-means of some documents' term vectors, from fixed random starts."""
+    rng = np.random.default_rng(11)
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]).astype(np.int64), minlength=65536)
+    race = (rng.exponential(size=65536) / np.log1p(len(docs) / (df + 0.5)) ** 2).astype(np.float32)
+    x = term_vectors(docs)
+    weight = np.log1p(len(docs) / ((x > 0).sum(axis=0) + 0.5)).astype(np.float32)
+    x *= weight
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = x[rng.choice(len(x), min(centres, len(x)), replace=False)]
+    for _ in range(ROUNDS):
+        nearest = (x @ found.T).argmax(axis=1)
+        for k in np.unique(nearest):
+            mean = x[nearest == k].mean(axis=0)
+            found[k] = mean / np.linalg.norm(mean)
+    return Dealer(found, weight, race)
+
+
+def _tokenised(path: str, dealer: Dealer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        end = np.array([END], dtype=np.uint16)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids = enc.encode(part.column(2).to_pylist())
-                end = np.array([END], dtype=np.uint16)
-                packed = pa.array([np.concatenate([i, end]).tobytes() for i in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed], ["doc_id", "shard", "ids"])
+                ids = [np.concatenate([i, end]) for i in enc.encode(part.column(2).to_pylist())]
+                centre, first = dealer.deal(ids)
+                packed = pa.array([i.tobytes() for i in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(centre.astype(np.int32)), pa.array(first), pa.array([len(i) for i in ids], pa.int64()), packed],
+                    ["number", "id", "centre", "first", "n", "ids"],
+                )
 
     return run
 
@@ -205,25 +284,25 @@ class Shard:
         pairs, tf = np.unique(owner << 16 | np.concatenate(docs) if n else np.zeros(0, np.int64), return_counts=True)
         doc, token = pairs >> 16, pairs & 65535
         df = np.bincount(token, minlength=65536)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))
         norm = K1 * (1 - B + B * self.lengths / max(1.0, self.lengths.mean() if n else 1.0))
         weight = (idf[token] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        telling = (idf[token] > 0) & (df[token] > 1)
+        doc, token, weight = doc[telling], token[telling], weight[telling]
         self.first = np.searchsorted(doc, np.arange(n + 1))  # where a document's own terms are
-        self.token, self.weight = token, np.where(df[token] > 1, weight, 0)
+        self.token = token
         order = np.argsort(token, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
-        self.post_first = np.concatenate(([0], np.cumsum(df)))
+        self.post_first = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=65536))))
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a telling term with the seed, best first."""
-        own = slice(self.first[seed], self.first[seed + 1])
-        weight = self.weight[own]
-        best = np.argsort(-weight, kind="stable")[:TERMS]  # of equal weights, the lower token
-        score = np.zeros(len(self.lengths), dtype=np.float32)
-        for t, w in zip(self.token[own][best].tolist(), weight[best].tolist(), strict=True):
-            if w > 0:
-                at = slice(self.post_first[t], self.post_first[t + 1])
-                score[self.post_doc[at]] += self.post_weight[at]
+        own = self.token[self.first[seed] : self.first[seed + 1]]
+        start = self.post_first[own]
+        n = self.post_first[own + 1] - start
+        ends = np.cumsum(n)
+        at = np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        score = np.bincount(self.post_doc[at], self.post_weight[at], len(self.lengths))
         score[used] = 0
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
@@ -262,29 +341,71 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
     return out
 
 
-def _packed(window: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        crc = [zlib.crc32(i) for i in shard["ids"]]
-        order = np.lexsort((crc, shard["ids"].map(len), shard["doc_id"].fillna(-1)))
-        shard = shard.iloc[order]
-        docs = [np.frombuffer(i, dtype=np.uint16) for i in shard["ids"]]
+def _sequence_ids(at: np.ndarray, sequence: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Each sequence by the row number of the document that opens it, and how many that document has opened before."""
+    opens = np.flatnonzero(np.diff(sequence, prepend=-1))
+    doc, turn = at[opens], np.zeros(len(opens), dtype=np.int64)
+    for i in range(1, len(opens)):
+        turn[i] = turn[i - 1] + 1 if doc[i] == doc[i - 1] else 0
+    return (number[doc] * TURNS + turn)[np.searchsorted(opens, np.arange(len(at)), side="right") - 1]
+
+
+def _packed(window: int) -> Callable[[pa.Table], pa.Table]:
+    def run(shard: pa.Table) -> pa.Table:
+        ids = shard.column("ids").to_pylist()
+        crc = [zlib.crc32(i) for i in ids]
+        order = np.lexsort((shard.column("number").to_numpy(), [len(i) for i in ids], crc))
+        docs = [np.frombuffer(ids[i], dtype=np.uint16) for i in order.tolist()]
         at, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*fill(docs, window), strict=True))
         sums = [zlib.crc32(docs[d][s : s + n].astype("<u4").tobytes()) for d, s, n in zip(at.tolist(), start.tolist(), length.tolist(), strict=True)]
-        number = int(shard["shard"].iloc[0]) << 40
-        return pd.DataFrame(
-            {"doc_id": shard["doc_id"].to_numpy()[at], "start": start, "length": length, "ids_crc32": sums, "doc_tokens": np.array([len(d) for d in docs])[at], "sequence_id": number + sequence, "offset": offset}
-        )
+        own = _sequence_ids(at, sequence, shard.column("number").to_numpy()[order])
+        columns = {
+            "doc_id": shard.column("id").take(pa.array(order[at])),
+            "start": start,
+            "length": length,
+            "ids_crc32": np.array(sums, dtype=np.int64),
+            "doc_tokens": np.array([len(d) for d in docs], dtype=np.int64)[at],
+            "sequence_id": own,
+            "offset": offset,
+        }
+        return pa.table(columns)
 
     return run
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """All documents as pieces of sequences of at most `window` tokens; columns: see PIECES. window: a power of two."""
-    shards = max(1, math.ceil(docs.count() / shard))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).alias("shard"), whole(F.col(text_col)).alias("text"))
+    vocabulary = vocabulary or default_vocabulary()
+    kind = docs.schema[id_col].dataType.simpleString()
+    tokens = saved(tokenised(docs, id_col, text_col, vocabulary, shard))
+    return dealt(tokens, shard).groupBy("centre", "piece", "extra").applyInArrow(_packed(window), PIECES.format(id=kind))
+
+
+def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, shard: int = SHARD) -> DataFrame:
+    """number, id, centre, first, n (tokens) and ids of each document."""
+    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
+    some = [r.text for r in rows.orderBy(F.xxhash64("id", "text"), F.xxhash64("text")).select("text").limit(SAMPLE).collect()]
+    sample = [np.append(i, np.uint16(END)) for i in encoder(vocabulary).encode(some)] or [np.array([END], dtype=np.uint16)]
+    mean = sum(len(d) for d in sample) / len(sample)
+    dealer = fit(sample, int(max(1, min(CENTRES, mean * docs.count() / shard))))
     kind = docs.schema[id_col].dataType.simpleString()
-    ids = rows.mapInArrow(_tokenised(vocabulary or default_vocabulary()), f"doc_id {kind}, shard long, ids binary")
-    return ids.groupBy("shard").applyInPandas(_packed(window), PIECES.format(id=kind))
+    rows = rows.select(F.monotonically_increasing_id().alias("number"), "id", "text")
+    return rows.mapInArrow(_tokenised(vocabulary, dealer), f"number long, id {kind}, centre int, first int, n long, ids binary")
+
+
+def dealt(tokens: DataFrame, shard: int) -> DataFrame:
+    """Tokens (a written table) with piece and extra: a shard's documents have the same centre, piece and extra."""
+    pieces = [1] * (CENTRES + 1)
+    for r in tokens.groupBy("centre").agg(F.sum("n").alias("n")).collect():  # at most CENTRES rows
+        pieces[r.centre] = max(1, round(r.n / shard))
+    many = F.get(F.array(*[F.lit(p) for p in pieces]), F.col("centre"))
+    rows = tokens.withColumn("piece", F.pmod(F.xxhash64("first"), many).cast("int"))
+    sums = rows.groupBy("centre", "piece").agg(F.sum("n").alias("tokens"), F.count("*").alias("many"))
+    large = saved(sums.where(F.col("tokens") > 2 * shard).select("centre", "piece", F.ceil(F.col("tokens") / shard).alias("parts"), "many"))
+    if large.isEmpty():
+        return rows.withColumn("extra", F.lit(0).cast("long"))
+    told = heavy_join(rows, large, ["centre", "piece"], "many", tokens.count(), "left")
+    return told.withColumn("extra", F.coalesce(F.pmod(F.xxhash64("number"), F.col("parts")), F.lit(0).cast("long"))).drop("parts")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
