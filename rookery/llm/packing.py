@@ -52,7 +52,7 @@ END = 1
 #: BM25's parameters.
 K1, B = 1.2, 0.75
 #: Documents that centres are fitted on, centres at most, numbers in a term vector, and rounds of fitting.
-SAMPLE, CENTRES, WIDTH, ROUNDS = 4096, 64, 1024, 10
+SAMPLE, CENTRES, WIDTH, ROUNDS = 2048, 64, 512, 10
 #: Sequences that one document opens, at most: a document has fewer than 2^31 bytes, and as many tokens.
 TURNS = 1 << 20
 #: Pieces of text that a worker remembers at most.
@@ -225,27 +225,27 @@ class Dealer(NamedTuple):
     def deal(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The centre of each document, and the number of the token that wins its race."""
         starts = np.cumsum([0, *(len(d) for d in docs)])[:-1]
-        tokens = np.concatenate(docs).astype(np.int64)
-        first = np.minimum.reduceat(self.race[tokens], starts)
+        first = np.minimum.reduceat(self.race[np.concatenate(docs)], starts)
         return (term_vectors(docs) * self.weight @ self.centres.T).argmax(axis=1), first.view(np.int32)
 
 
+def _hashed(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.astype(np.int64) * 40503 % 65536) // (65536 // WIDTH)
+
+
 def term_vectors(docs: list[np.ndarray]) -> np.ndarray:
-    """A row of logarithmic counts of hashed tokens for each document. Documents aren't empty."""
-    lengths = [len(d) for d in docs]
-    owner, tokens = np.repeat(np.arange(len(docs)), lengths), np.concatenate(docs).astype(np.int64)
-    counts = np.bincount(owner * WIDTH + (tokens * 40503 % 65536) // (65536 // WIDTH), minlength=len(docs) * WIDTH)
+    """A row of logarithmic counts of hashed tokens for each document."""
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    counts = np.bincount(owner * WIDTH + _hashed(np.concatenate(docs)), minlength=len(docs) * WIDTH)
     return np.log1p(counts.reshape(len(docs), WIDTH)).astype(np.float32)
 
 
-def fit(docs: list[np.ndarray], centres: int) -> Dealer:
+def fit(x: np.ndarray, centres: int) -> Dealer:
     """Spherical k-means of some documents' term vectors, from fixed random starts."""
     rng = np.random.default_rng(11)
-    df = np.bincount(np.concatenate([np.unique(d) for d in docs]).astype(np.int64), minlength=65536)
-    race = (rng.exponential(size=65536) / np.log1p(len(docs) / (df + 0.5)) ** 2).astype(np.float32)
-    x = term_vectors(docs)
-    weight = np.log1p(len(docs) / ((x > 0).sum(axis=0) + 0.5)).astype(np.float32)
-    x *= weight
+    weight = np.log1p(len(x) / ((x > 0).sum(axis=0) + 0.5)).astype(np.float32)
+    race = (rng.exponential(size=65536) / weight[_hashed(np.arange(65536))] ** 2).astype(np.float32)
+    x = x * weight
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     found = x[rng.choice(len(x), min(centres, len(x)), replace=False)]
     for _ in range(ROUNDS):
@@ -256,6 +256,34 @@ def fit(docs: list[np.ndarray], centres: int) -> Dealer:
     return Dealer(found, weight, race)
 
 
+def _sampled(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """number, tokens and term vector of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = encoder(path), np.array([END], dtype=np.uint16)
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                ids = [np.concatenate([i, end]) for i in enc.encode(part.column(1).to_pylist())]
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(term_vectors(ids).ravel()), WIDTH).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) for i in ids], pa.int64()), vectors], ["number", "n", "vector"])
+
+    return run
+
+
+def dealer_of(rows: DataFrame, vocabulary: str, shard: int) -> Dealer:
+    """Fitted on some `SAMPLE` of the rows (number, id, text), of which only term vectors come to the driver."""
+    total = rows.count()
+    share = F.lit(int((1 << 30) * min(1.0, SAMPLE / max(1, total))))
+    some = rows.where(F.pmod(F.xxhash64("number"), F.lit(1 << 30)) < share).select("number", "text")
+    got = some.mapInArrow(_sampled(vocabulary), "number long, n long, vector array<float>").toArrow().sort_by("number")
+    if not got.num_rows:
+        return fit(np.ones((1, WIDTH), dtype=np.float32), 1)
+    tokens = float(np.mean(got.column("n").to_numpy())) * total
+    x = got.column("vector").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+    return fit(x, int(max(1, min(CENTRES, tokens / shard))))
+
+
 def _tokenised(path: str, dealer: Dealer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -383,14 +411,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, shard: int = SHARD) -> DataFrame:
     """number, id, centre, first, n (tokens) and ids of each document."""
-    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
-    some = [r.text for r in rows.orderBy(F.xxhash64("id", "text"), F.xxhash64("text")).select("text").limit(SAMPLE).collect()]
-    sample = [np.append(i, np.uint16(END)) for i in encoder(vocabulary).encode(some)] or [np.array([END], dtype=np.uint16)]
-    mean = sum(len(d) for d in sample) / len(sample)
-    dealer = fit(sample, int(max(1, min(CENTRES, mean * docs.count() / shard))))
+    rows = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = rows.select(F.monotonically_increasing_id().alias("number"), "id", "text")
-    return rows.mapInArrow(_tokenised(vocabulary, dealer), f"number long, id {kind}, centre int, first int, n long, ids binary")
+    return rows.mapInArrow(_tokenised(vocabulary, dealer_of(rows, vocabulary, shard)), f"number long, id {kind}, centre int, first int, n long, ids binary")
 
 
 def dealt(tokens: DataFrame, shard: int) -> DataFrame:
