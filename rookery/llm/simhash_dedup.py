@@ -14,12 +14,16 @@ Pivot distances alone can't name candidates: distances of 64-bit fingerprints ga
 so any split by them keeps most pairs together and work would be quadratic. That's why the
 buckets come first; they lose no link.
 
-A bucket of more than `CHUNK` members is cut into chunks by hash, and every pair of chunks is
-its own bucket, so no task holds more than two chunks' rows of one bucket at once.
+A bucket of more than `CHUNK` members is cut by the table: by the distance to the first pivot, in ranges of
+`RANGE`, then by that to the next one, and so on while a piece is too large and `LEVELS` last. A
+member also lies in the range that starts within 4 of its distance, so a pair whose distances differ by at most 4 meets
+in the range of the larger one; others are no link. What is still large then are fingerprints so much alike that
+the table can't part them; they are compared as they are.
 
 Defined cases: null text counts as empty; no words give fingerprint zero; rows with equal
-fingerprints share a component; null ids get a component but never name it (it is null if all
-its ids are null). Empty tables give no rows.
+fingerprints (repeated rows, too) share a component, named by its smallest id; null ids get a component but never name it (it is null if all
+its ids are null). Very long texts count whole. Empty tables give no rows. `near_dedup` keeps one row of each component, even of
+rows that are alike in id and text, and columns of any names.
 """
 
 from __future__ import annotations
@@ -34,14 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import documents, saved, whole
+from .common import boxed, documents, field, heavy_join, saved, unboxed
 from .components import components
 
 RADIUS = 4
 SHINGLE = 4
 PIVOTS = 16
-#: Members from which a bucket is cut.
-CHUNK = 4096
+#: Members from which a bucket is cut, the width of a range of distances, and pivots that cut at most.
+CHUNK, RANGE, LEVELS = 4096, 6, 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -83,14 +87,13 @@ def simhash(text: str | None) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        marks = pa.array((simhash(t) for t in (x.as_py() for x in b.column(1))), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), marks], ["id", "mark"])
+        marks = pa.array((simhash(t) for t in (x.as_py() for x in b.column(2))), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), marks], ["number", "id", "mark"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written table of ids and fingerprints (id, mark), a row for each document."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    return saved(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches, f"id {kind}, mark bigint"))
+def fingerprints(rows: DataFrame, kind: str) -> DataFrame:
+    """The written table of number, id and fingerprint (mark), a row for each row (number, id, text)."""
+    return saved(rows.select("number", "id", "text").mapInArrow(_fingerprint_batches, f"number long, id {kind}, mark bigint"))
 
 
 def _forest(marks: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,19 +161,46 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(marks: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that join all different fingerprints (column mark) at most RADIUS bits apart into their components."""
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("mark").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks())]))
-    rows = marks.select("mark", keys.alias("k")).select("k.t", "k.key", "mark")
-    large = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    large = saved(large.select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("pieces")))
-    if large.isEmpty():
-        dealt = rows.withColumn("c", F.lit(0))
+    keys = F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("mark").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks())]))
+    rows = marks.select("mark", keys.alias("k")).select("k.t", "k.key", F.lit(0).cast("long").alias("c"), "mark")
+    done = None
+    for level in range(LEVELS):
+        large = rows.groupBy("t", "key", "c").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+        large = saved(large)
+        if large.isEmpty():
+            break
+        keys = ["t", "key", "c"]
+        small = rows.join(large.select(*keys), keys, "left_anti")
+        done = small if done is None else done.unionByName(small)
+        total = large.agg(F.sum("n")).first()[0]
+        cut = heavy_join(saved(rows), large, keys, "n", total)
+        distance = F.bit_count(F.col("mark").bitwiseXOR(F.lit(_signed(int(pivots()[level])))))
+        ranges = F.array_distinct(F.array(F.floor(distance / RANGE), F.floor((distance + RADIUS) / RANGE)))
+        # 64 / RANGE + 1 ranges have a number below 16, with room for each level before
+        rows = saved(cut.select("t", "key", F.explode(ranges).alias("r"), "c", "mark").select("t", "key", (F.col("c") * 16 + F.col("r") + 1).alias("c"), "mark"))
+    rows = rows if done is None else done.unionByName(rows)
+    return rows.repartition("t", "key", "c").sortWithinPartitions("t", "key", "c").mapInArrow(_links, "a bigint, b bigint")
+
+
+def _classes(rows: DataFrame, kind: str, shingle: int, similarity: float | None) -> DataFrame:
+    """number, id, mark, component_id and keeper (the number of the row that names the component, if any id does). rows: number, id, text."""
+    if similarity is None:
+        if shingle != SHINGLE:
+            raise ValueError("fingerprints have shingles of SHINGLE words")
+        marked = fingerprints(rows, kind)
     else:
-        # Chunk i of a cut bucket meets chunk j: the pair's number is i * pieces + j, i <= j.
-        one = F.pmod(F.xxhash64("mark", "t"), F.col("pieces")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.least(one, j) * F.col("pieces") + F.greatest(one, j))
-        dealt = rows.join(large, ["t", "key"], "left").select("t", "key", "mark", F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("c"))
-    dealt = dealt.select(F.col("t").cast("long"), "key", F.col("c").cast("long"), "mark")
-    return dealt.repartition("t", "key", "c").sortWithinPartitions("t", "key", "c").mapInArrow(_links, "a bigint, b bigint")
+        full = similar.marks(rows, shingle, kind)
+        marked = full.select("number", "id", "mark")
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "number"))).alias("first")
+    nodes = saved(marked.groupBy("mark").agg(first, F.count("*").alias("rows")))
+    found = links(nodes) if similarity is None else similar.links(full, similarity)
+    roots = components(found)
+    named = nodes.join(roots, nodes["mark"] == roots["node"], "left").select("mark", "first", "rows", F.coalesce("root", "mark").alias("root"))
+    named = saved(named)
+    least = saved(named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("marks")))
+    told = heavy_join(named.select("mark", "rows", "root"), least, ["root"], "marks", named.count())
+    told = saved(told.select("mark", F.col("least.id").alias("component_id"), F.col("least.number").alias("keeper"), "rows"))
+    return heavy_join(marked, told, ["mark"], "rows", marked.count())
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -179,44 +209,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Without a similarity, links and marks are those of the fingerprints (shingles of SHINGLE words, RADIUS bits). With
     one, links are all pairs whose sets of `shingle`-word shingles reach that Jaccard similarity; marks number the sets.
     """
-    if similarity is None:
-        if shingle != SHINGLE:
-            raise ValueError("fingerprints have shingles of SHINGLE words")
-        marked = fingerprints(docs, id_col, text_col)
-        nodes = saved(marked.groupBy("mark").agg(F.min("id").alias("least")))
-        roots = components(links(nodes))
-    else:
-        full = similar.marks(docs, shingle, id_col, text_col)
-        marked = full.select("id", "mark")
-        nodes = saved(marked.groupBy("mark").agg(F.min("id").alias("least")))
-        roots = components(similar.links(full.dropDuplicates(["mark"]), similarity))
-    named = nodes.join(roots, nodes["mark"] == roots["node"], "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
-    named = saved(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = saved(named.select("mark", "root").join(least, "root").select("mark", "component_id"))
-    return marked.join(told, "mark").select("id", "mark", "component_id")
+    rows = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _classes(rows, docs.schema[id_col].dataType.simpleString(), shingle, similarity).select("id", "mark", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """The rows of `docs` that stay: those whose id names their component. Components without any id stay whole."""
-    classes = near_classes(docs, id_col, text_col, shingle, similarity)
-    mark = simhash if similarity is None else lambda t: similar.node_of(similar.shingles(t, shingle))
-    gone = classes.where("component_id IS NOT NULL AND NOT (id <=> component_id)").select(F.col("id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
-    if not docs.where(F.col(id_col).isNull()).isEmpty():
-        return _near_dedup_marked(docs, gone, id_col, text_col, mark)
-    # ids that both stay and go belong to repeated ids with different texts; those need the mark too
-    stays = classes.where("component_id IS NULL OR id <=> component_id").select("id")
-    if not gone.join(stays, gone["__gone"] == stays["id"], "left_semi").isEmpty():
-        return _near_dedup_marked(docs, gone, id_col, text_col, mark)
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-
-
-def _near_dedup_marked(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, mark: Callable[[str | None], int]) -> DataFrame:
-    """By id and mark, for tables whose ids are null or repeated."""
-    own = F.pandas_udf(lambda texts: texts.map(mark), "bigint")
-    told = docs.withColumn("__own", own(whole(F.col(text_col))))
-    kept = told.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__own") == F.col("__mark")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` that stay: the one whose id names its component. Components without any id stay whole.
+
+    The rows are written once, numbered, so that what goes is told by number, whatever ids there are.
+    """
+    rows = saved(boxed(docs).withColumn("number", F.monotonically_increasing_id()))
+    texts = rows.select("number", field(id_col).alias("id"), field(text_col).alias("text"))
+    classes = _classes(texts, docs.schema[id_col].dataType.simpleString(), shingle, similarity)
+    gone = saved(classes.where("keeper IS NOT NULL AND number <> keeper").select("number"))
+    return unboxed(rows.join(gone, "number", "left_anti"), docs.columns)
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,17 +84,18 @@ def _marker(shingle: int) -> Callable:
         for b in rows:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                sets = [shingles(t.as_py(), shingle) for t in part.column(1)]
+                sets = [shingles(t.as_py(), shingle) for t in part.column(2)]
                 keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([node_of(s) for s in sets], pa.int64()), keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "mark", "keys", "found"])
+                columns = [part.column(0), part.column(1), pa.array([node_of(s) for s in sets], pa.int64()), keys, pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["number", "id", "mark", "keys", "found"])
 
     return batches
 
 
-def marks(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written table of id, mark (node), keys and found (the set), a row for each document."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    return saved(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_marker(shingle), f"id {kind}, mark bigint, keys array<bigint>, found binary"))
+def marks(rows: DataFrame, shingle: int, kind: str) -> DataFrame:
+    """The written table of number, id, mark (node), keys and found (the set), a row for each row (number, id, text)."""
+    schema = f"number long, id {kind}, mark bigint, keys array<bigint>, found binary"
+    return saved(rows.select("number", "id", "text").mapInArrow(_marker(shingle), schema))
 
 
 def joined(sets: list[np.ndarray], similarity: float) -> np.ndarray:

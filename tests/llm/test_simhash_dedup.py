@@ -44,7 +44,7 @@ def brute_classes(ids, marks):
 
 def test_fingerprints(docs_of, awkward):
     rows = [r for r in awkward if len(r[1] or "") < 100000] + [(50, "One two\x0bthree"), (51, "a b c d"), (52, "\x1ca b\x85c d e")]
-    got = op.fingerprints(docs_of(rows)).collect()
+    got = op.near_classes(docs_of(rows)).collect()
     assert sorted((str(r.id), r.mark % 2**64) for r in got) == sorted((str(r[0]), brute_mark(r[1])) for r in rows)
 
 
@@ -68,6 +68,34 @@ def test_links_lose_nothing(spark):
         assert len(classes) == len(set(want))
 
 
+def test_large_buckets_are_cut_by_pivots(spark):
+    """Buckets far beyond the chunk, cut level by level: all pairs in reach still meet."""
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    marks = {base}
+    while len(marks) < 900:
+        m = base
+        for _ in range(rng.randrange(1, 12)):
+            m ^= 1 << rng.randrange(20)  # four blocks stay the same
+        marks.add(m)
+    frame = spark.createDataFrame([(op._signed(m),) for m in sorted(marks)], "mark long")
+    pairs = {(r.a, r.b) for r in op.links(frame, 50).collect()}
+    assert all(bin((a ^ b) % 2**64).count("1") for a, b in pairs)
+    roots = {r.node: r.root for r in components(op.links(frame, 50)).collect()}
+    want = brute_classes(sorted(marks), sorted(marks))
+    classes = {}
+    for m, w in zip(sorted(marks), want, strict=True):
+        classes.setdefault(roots.get(op._signed(m), op._signed(m)), set()).add(w)
+    assert all(len(x) == 1 for x in classes.values()) and len(classes) == len(set(want))
+
+
+def test_one_of_rows_that_are_alike_stays(docs_of):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2**53 + 1, "z y x w v u"), (2**53 + 3, "z y x w v u"), (None, "no id at all here")]
+    kept = op.near_dedup(docs_of(rows, {c: F.lit("mine") for c in ("number", "row", "mark", "keeper", "rows", "root", "least")})).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", "a b c d e f"), ("9007199254740993", "z y x w v u"), ("None", "no id at all here")]
+    assert all(r.number == r.row == r.least == "mine" for r in kept)
+
+
 def test_query_by_brute_force(spark, sf):
     got = op.op7_simhash_dedup(spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas().sort_values("doc_id").reset_index(drop=True)
