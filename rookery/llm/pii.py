@@ -1,22 +1,26 @@
 """Operator 4: personal data, and the terms that give it away.
 
-Base spans come from four patterns. Each value found is a protected entity. From the corpus:
-n(e) documents with the entity, n(t) with the term, n(e, t) with both, N in all. The share of an
-entity's information that a term discloses is
+Base spans come from four patterns. Each value found is a protected entity, and so is what it has
+in common with others (`pools`): an address's domain, a number's first digits. From the corpus, in
+which equal texts count once:
+n(e) texts with the entity, n(t) with the term, n(e, t) with both, N in all. With the chance of the entity
+beside the term smoothed by `PRIOR` texts of the base rate,
 
-    PMI(e; t) / IC(e) = log(N n(e, t) / (n(e) n(t))) / log(N / n(e)),
+    p(e | t) = (n(e, t) + PRIOR n(e) / N) / (n(t) + PRIOR),
 
-1 where the term occurs with the entity only. In documents with the entity, terms from
-`GENERALISE` on are replaced by a general word, terms from `REMOVE` on are removed. A pair counts
-from `SUPPORT` documents on, for both the entity and the pair: fewer are no estimate.
+the share of the entity's information that the term discloses is log(p(e | t) N / n(e)) / log(N / n(e)),
+which nears 1 where the term occurs with the entity only, the more so the more often it does. In texts with the entity, terms from
+`GENERALISE` on are replaced by a general word, terms from `REMOVE` on are removed. No entity and no pair is
+too rare to count.
 
-Terms are runs of three or more letters outside the base spans, lower-cased. Pairs are only formed in documents
-with a repeated entity and are summed before the shuffle; the corpus counts n(t) are for terms
-of such pairs only (broadcast while there are at most `SMALL` of them, joined after
-pre-aggregation beyond that). Texts of documents without personal data are never shuffled.
+Terms are runs of three or more letters outside the base spans, lower-cased, in all counts alike. Entities that occur in
+one text only need no pairs: there n(e) and n(e, t) are 1, and n(t) decides alone. For the others, the terms of a
+text are cut into pieces of `PIECE` and dealt out before they are paired, and pairs are summed before the
+shuffle. Texts of documents without personal data are never shuffled but once, by hash, where equal texts meet.
 
 Defined cases: null text counts as empty. Rows with null or repeated ids are told apart by their
-texts' hashes; equal rows get equal results and count once each. Empty tables give no rows.
+texts' hashes; equal rows get equal results. Very long texts are searched whole. Of overlapping spans all are told, and `sanitised`
+takes the one that starts first, of those the longest. Empty tables give no rows. Columns of `docs` may have any names.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved, whole
+from .common import boxed, documents, field, saved, unboxed, whole
 from .spans import as_text, count_of, matches, row_hash, spans
 
-SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
+#: Texts of the base rate that smooth a term's estimate, and terms of a text that are paired at once.
+PRIOR, PIECE = 2.0, 256
 #: Rows up to which a side is broadcast (some 10 MB).
 SMALL = 100_000
 
@@ -88,57 +93,81 @@ def _near(df: DataFrame, small: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= small else df
 
 
-def disclosures(rows: DataFrame, private: DataFrame, small: int = SMALL) -> DataFrame:
-    """entity, term, kind for the pairs from the lower threshold on. rows: all documents (__id, __hash, __text); private: __id, __hash, __entities, __words."""
-    total = rows.count()
-    often = private.select(F.explode("__entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne")).where(F.col("ne") >= SUPPORT)
-    often = saved(often)
-    by_entity = private.select(F.explode("__entities").alias("entity"), F.array_distinct(F.transform("__words", lambda w: w["term"])).alias("terms")).join(_near(often, small), "entity")
-    pairs = by_entity.select("entity", "ne", F.explode("terms").alias("term")).groupBy("entity", "ne", "term").agg(F.count("*").alias("net")).where(F.col("net") >= SUPPORT)
-    pairs = saved(pairs)
-    wanted = saved(pairs.select("term").distinct())
-    words = rows.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("__text", F.lit(_LETTERS), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
+def entities(found: Column) -> Column:
+    """Hashes of the values of base spans, and of what they share with others."""
+    digits = lambda s: _digits(s["value"])
+    pool = lambda s: (
+        F.when(s["kind"] == "email", F.substring_index(F.lower(s["value"]), "@", -1))
+        .when(s["kind"] == "ip", F.substring_index(s["value"], ".", 2))
+        .when(s["kind"] == "card", F.substring(digits(s), 1, 6))
+        .otherwise(F.substring(digits(s), 1, 5))
+    )
+    own = F.transform(found, lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))
+    return F.array_distinct(F.concat(own, F.transform(found, lambda s: F.xxhash64(F.lit("pool"), s["kind"], pool(s)))))
+
+
+def disclosed(net: Column, ne: Column, nt: Column, total: int, prior: float = PRIOR) -> Column:
+    """The share of an entity's information that a term discloses; null where the entity is in every text."""
+    rate = ne / F.lit(float(max(total, 1)))
+    return F.try_divide(F.log((net + prior * rate) / (nt + prior) / rate), -F.log(rate))
+
+
+def _kind(share: Column) -> Column:
+    return F.when(share >= REMOVE, "remove").when(share >= GENERALISE, "general")
+
+
+def term_counts(texts: DataFrame, wanted: DataFrame, small: int) -> DataFrame:
+    """term and nt, for the wanted ones. texts: different texts (text, base)."""
+    words = texts.select(F.explode(F.array_distinct(F.transform(_terms(F.col("text"), F.col("base")), lambda w: w["term"]))).alias("term"))
     if wanted.count() <= small:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
-        known = words.groupBy("term").agg(F.count("*").alias("nt"))
-    else:
-        known = words.groupBy("term").agg(F.count("*").alias("nt")).join(wanted, "term", "left_semi")
-    told = pairs.join(known, "term")
-    share = F.try_divide(F.log(total * F.col("net") / (F.col("ne") * F.col("nt"))), F.log(F.lit(float(max(total, 1))) / F.col("ne")))
-    told = told.withColumn("share", share).where(F.col("share") >= GENERALISE)
-    return told.select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("general").alias("kind"))
+        return words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
+    return words.groupBy("term").agg(F.count("*").alias("nt")).join(wanted, "term", "left_semi")
+
+
+def disclosures(texts: DataFrame, private: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(term, kind) for entities of one text, and (entity, term, kind) for others. texts: all different texts; private: hash, entities, words of those with entities."""
+    total = texts.count()
+    often = private.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne"))
+    often = saved(often.where("ne > 1"))
+    terms = F.array_distinct(F.transform("words", lambda w: w["term"]))
+    known = saved(term_counts(texts, saved(private.select(F.explode(terms).alias("term")).distinct()), small))
+    single = known.select("term", _kind(disclosed(F.lit(1), F.lit(1), F.col("nt"), total)).alias("kind")).where("kind IS NOT NULL")
+    here = private.select("hash", F.explode("entities").alias("entity")).join(_near(often, small), "entity").groupBy("hash").agg(F.collect_list(F.struct("entity", "ne")).alias("often"))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size("terms"), F.lit(1)), F.lit(PIECE)), lambda i: F.slice(F.col("terms"), i, F.lit(PIECE)))
+    dealt = private.select("hash", terms.alias("terms")).join(here, "hash").select("often", F.explode(pieces).alias("terms")).repartition(F.xxhash64("terms"))
+    pairs = dealt.select(F.explode("often").alias("e"), "terms").select("e.entity", "e.ne", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "ne", "term").agg(F.count("*").alias("net"))
+    told = pairs.join(known, "term").select("entity", "term", _kind(disclosed(F.col("net"), F.col("ne"), F.col("nt"), total)).alias("kind"))
+    return saved(single), saved(told.where("kind IS NOT NULL"))
 
 
 def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
-    """One row for each row of `docs`: __id, __hash, __base (kind, start, end, value), __spans (kind, start, end; base ones first)."""
-    rows = docs.select(F.col(id_col).alias("__id"), row_hash(F.col(text_col)).alias("__hash"), whole(F.col(text_col)).alias("__text"))
-    based = rows.withColumn("__base", base_spans(F.col("__text")))
-    private = based.where(F.size("__base") > 0).select(
-        "__id",
-        "__hash",
-        F.array_distinct(F.transform("__base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))).alias("__entities"),
-        _terms(F.col("__text"), F.col("__base")).alias("__words"),
-    )
-    private = saved(private)
-    telling = saved(disclosures(rows, private, small))
-    each = private.select("__id", "__hash", F.explode("__entities").alias("entity"), "__words").join(_near(telling.select("entity").distinct(), small), "entity", "left_semi")
-    each = each.select("__id", "__hash", "entity", F.explode("__words").alias("w")).select("__id", "__hash", "entity", F.col("w.term").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    hits = each.join(_near(telling, small), ["entity", "term"])
-    hits = hits.groupBy("__id", "__hash", "start", "end").agg(F.max("kind").alias("kind"))  # remove wins over general
-    by_row = hits.groupBy(F.col("__id").alias("__tid"), F.col("__hash").alias("__thash")).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("__more"))
-    by_row = saved(by_row)
-    side = _near(by_row, small // 10)
-    out = based.select("__id", "__hash", "__base").join(side, based["__id"].eqNullSafe(side["__tid"]) & (based["__hash"] == side["__thash"]), "left")
-    plain = F.transform("__base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return out.select("__id", "__hash", "__base", F.concat(plain, F.coalesce("__more", F.slice(plain, 1, 0))).alias("__spans"))
+    """One row for each row of `docs`: id, hash, base (kind, start, end, value), spans (kind, start, end; base ones first)."""
+    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
+    based = rows.select("id", row_hash(F.col("text")).alias("hash"), "text", base_spans(F.col("text")).alias("base"))
+    texts = saved(based.select("hash", "text", "base").dropDuplicates(["hash"]))
+    private = saved(texts.where(F.size("base") > 0).select("hash", entities(F.col("base")).alias("entities"), _terms(F.col("text"), F.col("base")).alias("words")))
+    single, pairs = disclosures(texts, private, small)
+    words = private.select("hash", F.explode("words").alias("w")).select("hash", "w.term", "w.start", "w.end")
+    often = saved(private.select("hash", F.explode("entities").alias("entity")))
+    once = often.groupBy("entity").agg(F.count("*").alias("ne"), F.min("hash").alias("hash")).where("ne = 1").select("hash").distinct()
+    alone = words.join(once, "hash", "left_semi").join(_near(single, small), "term").select("hash", "start", "end", "kind")
+    told = often.join(_near(pairs, small), "entity").select("hash", "term", "kind").groupBy("hash", "term").agg(F.max("kind").alias("kind"))
+    shared = words.join(told, ["hash", "term"]).select("hash", "start", "end", "kind")
+    hits = alone.unionByName(shared).groupBy("hash", "start", "end").agg(F.max("kind").alias("kind"))  # remove wins over general
+    more = saved(hits.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more")))
+    side = _near(more, small // 10)
+    out = based.select("id", "hash", "base").join(side, "hash", "left")
+    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return out.select("id", "hash", "base", F.concat(plain, F.coalesce("more", F.slice(plain, 1, 0))).alias("spans"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
-    """`docs` with their texts sanitised. Of overlapping spans the one that starts first counts."""
-    found = found_spans(docs, id_col, text_col, small).where(F.size("__spans") > 0).select(F.col("__id").alias("__sid"), F.col("__hash").alias("__shash"), "__spans").distinct()
-    told = docs.withColumn("__own", row_hash(F.col(text_col))).join(found, F.col(id_col).eqNullSafe(F.col("__sid")) & (F.col("__own") == F.col("__shash")), "left")
-    text = F.col(text_col)
-    order = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    """`docs` with their texts sanitised. Of overlapping spans the one that starts first counts. Null texts stay null."""
+    found = found_spans(docs, id_col, text_col, small).where(F.size("spans") > 0).groupBy("hash").agg(F.any_value("spans").alias("spans"))
+    text = field(text_col)
+    told = boxed(docs).withColumn("hash", row_hash(whole(text))).join(found, "hash", "left")
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     mark = lambda kind: F.element_at(F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv]), kind)
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
     walked = F.aggregate(
@@ -149,11 +178,10 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         ),
         lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    clean = F.when(F.col("__spans").isNull(), text).otherwise(walked)
-    return told.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(told, docs.columns, **{text_col: F.when(F.col("spans").isNull(), text).otherwise(walked)})
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = found_spans(documents(spark, sf_dir))
-    counts = [count_of(F.col("__base"), k).alias(f"n_{k}") for k in KINDS]
-    return out.select(F.col("__id").alias("doc_id"), *counts, F.sha2(as_text(F.col("__base")).cast("binary"), 256).alias("base_sha256"), as_text(F.col("__spans")).alias("spans"))
+    counts = [count_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
+    return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
