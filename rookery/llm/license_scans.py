@@ -13,8 +13,9 @@ Windows whose band agrees with a template's are verified: the share of the templ
 compared as strings, that the window contains. All this is local to a row, with no shuffle, and
 the templates are constants.
 
-Defined cases: null and empty texts and texts of fewer than five words match nothing; ids are carried
-as they are; an empty table gives no rows.
+Defined cases: null and empty texts and texts of fewer than five words match nothing; very long texts are seen
+whole, window by window; of windows that hold equally much of a template the first is told; ids are carried as they are, null and
+repeated ones too, and repeated rows get equal results; an empty table gives no rows. Columns of `docs` may have any names.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held, let, whole
+from .common import boxed, documents, field, held, let, whole
 
 SHINGLE = 5
 CONTAINED = 0.8
 MISSED = 1000
 _WORD = r"[\p{L}\p{N}]+"
 
-#: Notices and the openings of licence texts.
+#: Notices, and passages of licence texts.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "mit": "Released under the MIT License.",
@@ -46,6 +47,26 @@ TEMPLATES = {
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "apache-2.0-text": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "mit-conditions": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "mit-notice": "This project is licensed under the MIT License",
+    "bsd-2-conditions": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-conditions": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib-text": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "boost-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "apache-2.0-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "gpl-2.0": "either version 2 of the License, or (at your option) any later version",
+    "lgpl-text": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl-text": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "mpl-2.0-text": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "epl-2.0-text": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
 }
 
 
@@ -96,19 +117,19 @@ def key_of(template: Template, band: int) -> int:
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text") -> DataFrame:
-    """`docs` with __found: array of struct(name, at, share), the best window of each template found, by name; at: its first word."""
+    """row (a struct of the columns of `docs`) and found: array of struct(name, at, share), the best window of each template found, by name; at: its first word."""
     plans = [plan(n, t) for n, t in (templates or TEMPLATES).items()]
-    words = F.regexp_extract_all(F.lower(whole(F.col(text_col))), F.lit(_WORD), F.lit(0))
-    out = docs.withColumn("__words", words)
-    w = F.col("__words")
+    words = F.regexp_extract_all(F.lower(whole(field(text_col))), F.lit(_WORD), F.lit(0))
+    out = boxed(docs).withColumn("words", words)
+    w = F.col("words")
     later = F.slice(w, SHINGLE, F.greatest(F.size(w) - SHINGLE + 1, F.lit(0)))
-    out = out.withColumn("__sh", F.transform(later, lambda x, i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE - 1)], x)))
+    out = out.withColumn("sh", F.transform(later, lambda x, i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE - 1)], x)))
     # A band can only agree where the very shingle occurs that gives a template its value. Rows
     # without any such shingle need no band: their arrays become empty.
     telling = F.array(*[F.lit(x) for x in sorted({key_of(t, k) ^ seed(k) for t in plans for k in range(t.bands)})])
-    out = out.withColumn("__may", F.coalesce(F.arrays_overlap("__sh", telling), F.lit(False)))
-    out = out.withColumns({c: F.when(F.col("__may"), F.col(c)).otherwise(F.slice(c, 1, 0)) for c in ("__words", "__sh")})
-    sh, names = F.col("__sh"), ["__words", "__sh", "__may"]
+    out = out.withColumn("may", F.coalesce(F.arrays_overlap("sh", telling), F.lit(False)))
+    out = out.withColumns({c: F.when(F.col("may"), F.col(c)).otherwise(F.slice(c, 1, 0)) for c in ("words", "sh")})
+    sh, names = F.col("sh"), ["words", "sh", "may"]
     groups = defaultdict(list)
     for t in plans:
         groups[t.block, t.blocks].append(t)
@@ -116,13 +137,13 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, text_col:
     for block, band in sorted({(t.block, k) for t in plans for k in range(t.bands)}):
         own = _mixed(sh, band) if band else sh
         if block > 1:
-            mixed = f"__x{band}"
+            mixed = f"x{band}"
             if mixed not in names:
                 out = out.withColumn(mixed, own)
                 names.append(mixed)
             starts = F.sequence(F.lit(1), F.greatest(F.size(sh), F.lit(1)), F.lit(block))
             own = let(F.col(mixed), _block_minima(starts, block))
-        blocked[block, band] = f"__b{block}_{band}"
+        blocked[block, band] = f"b{block}_{band}"
         out = out.withColumn(blocked[block, band], own)
         names.append(blocked[block, band])
     verified = []
@@ -131,13 +152,13 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, text_col:
         for band in range(max(t.bands for t in members)):
             keys = [key_of(t, band) for t in members if band < t.bands]
             hits.append(let(F.col(blocked[block, band]), _agreeing(keys, blocks)))
-        candidates = f"__c{block}_{blocks}"
+        candidates = f"c{block}_{blocks}"
         out = out.withColumn(candidates, F.array_distinct(F.concat(*hits)))
         names.append(candidates)
         for t in members:
             verified.append(_verified(t, F.col(candidates), w))
     found = F.array_sort(F.array_compact(F.array(*verified)))
-    return out.withColumn("__found", held(F.when(F.size(sh) > 0, found).otherwise(F.slice(found, 1, 0)))).drop(*names)
+    return out.withColumn("found", held(F.when(F.size(sh) > 0, found).otherwise(F.slice(found, 1, 0)))).drop(*names)
 
 
 def _mixed(shingles: Column, band: int) -> Column:
@@ -175,9 +196,9 @@ def _verified(t: Template, candidates: Column, words: Column) -> Column:
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scanned(documents(spark, sf_dir).select("doc_id", "text"))
-    found = F.col("__found")
+    found = F.col("found")
     return out.select(
-        "doc_id",
+        field("doc_id").alias("doc_id"),
         F.size(found).cast("long").alias("n_licenses"),
         F.array_join(F.transform(found, lambda f: f["name"]), ",").alias("licenses"),
         F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["name"], f["at"].cast("string"))), ",").alias("places"),

@@ -54,11 +54,11 @@ def planted(n, seed=1):
 def test_by_brute_force(spark, sf, docs_of, awkward):
     rows = planted(500) + [(1000 + i, r[1]) for i, r in enumerate(awkward)]
     rows += [(2000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(250).collect()]
-    docs = docs_of([(d, t) for d, t in rows], {"__extra": F.lit(1), "name": F.lit(2)})
+    docs = docs_of([(d, t) for d, t in rows], {n: F.lit(2) for n in ("words", "sh", "may", "found", "x1", "row", "name", "__words")})
     want = {(d, n): v for d, t in rows for n, v in brute(t).items()}
     out = op.scanned(docs)
-    assert [c for c in out.columns if c != "__found"] == docs.columns
-    got = {(r.doc_id, f.name): (f.share, f["at"]) for r in out.collect() for f in r["__found"]}
+    assert out.columns == ["row", "found"] and out.select("row.*").columns == docs.columns
+    got = {(r.row.doc_id, f.name): (f.share, f["at"]) for r in out.collect() for f in r["found"]}
     assert set(got) <= set(want) and len(got) >= 0.995 * len(want) and len(want) > 300
     assert all(abs(got[k][0] - want[k][0]) < 1e-9 for k in got if k[1] in ("mit", "cc-by-nc-4.0", "apache-2.0"))
     assert all(got[k][0] >= op.CONTAINED for k in got)
