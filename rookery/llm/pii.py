@@ -116,11 +116,9 @@ def _kind(share: Column) -> Column:
     return F.when(share >= REMOVE, "remove").when(share >= GENERALISE, "general")
 
 
-def term_counts(texts: DataFrame, wanted: DataFrame, small: int) -> DataFrame:
+def term_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """term and nt, for the wanted ones. texts: different texts (text, base)."""
     words = texts.select(F.explode(F.array_distinct(F.transform(_terms(F.col("text"), F.col("base")), lambda w: w["term"]))).alias("term"))
-    if wanted.count() <= small:
-        return words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
     return words.groupBy("term").agg(F.count("*").alias("nt")).join(wanted, "term", "left_semi")
 
 
@@ -130,7 +128,7 @@ def disclosures(texts: DataFrame, private: DataFrame, small: int = SMALL) -> tup
     often = private.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne"))
     often = saved(often.where("ne > 1"))
     terms = F.array_distinct(F.transform("words", lambda w: w["term"]))
-    known = saved(term_counts(texts, saved(private.select(F.explode(terms).alias("term")).distinct()), small))
+    known = saved(term_counts(texts, saved(private.select(F.explode(terms).alias("term")).distinct())))
     single = known.select("term", _kind(disclosed(F.lit(1), F.lit(1), F.col("nt"), total)).alias("kind")).where("kind IS NOT NULL")
     here = private.select("hash", F.explode("entities").alias("entity")).join(_near(often, small), "entity").groupBy("hash").agg(F.collect_list(F.struct("entity", "ne")).alias("often"))
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size("terms"), F.lit(1)), F.lit(PIECE)), lambda i: F.slice(F.col("terms"), i, F.lit(PIECE)))
