@@ -193,7 +193,7 @@ def _classes(rows: DataFrame, kind: str, shingle: int, similarity: float | None)
         marked = full.select("number", "id", "mark")
     first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "number"))).alias("first")
     nodes = saved(marked.groupBy("mark").agg(first, F.count("*").alias("rows")))
-    found = links(nodes) if similarity is None else similar.links(full, similarity)
+    found = links(nodes) if similarity is None else similar.links(full.select("mark", "number", "keys").dropDuplicates(["mark"]), rows, shingle, similarity)
     roots = components(found)
     named = nodes.join(roots, nodes["mark"] == roots["node"], "left").select("mark", "first", "rows", F.coalesce("root", "mark").alias("root"))
     named = saved(named)
@@ -210,6 +210,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one, links are all pairs whose sets of `shingle`-word shingles reach that Jaccard similarity; marks number the sets.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows if similarity is None else saved(rows)
     return _classes(rows, docs.schema[id_col].dataType.simpleString(), shingle, similarity).select("id", "mark", "component_id")
 
 

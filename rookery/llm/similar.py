@@ -5,7 +5,8 @@ sets are one node, so copies cost nothing further. `BANDS` keys of `ROWS` MinHas
 bring nodes together: a pair of similarity s shares no key with chance (1 - s^ROWS)^BANDS, which is
 1e-5 at 0.8 and less above. Buckets with one member go, and of buckets with the same members one
 stays. In the others the exact Jaccard similarity decides, on the whole sets; members already
-joined aren't compared again, so a large group of near copies costs few comparisons.
+joined aren't compared again, so a large group of near copies costs few comparisons. Sets are large, so only those
+that share a bucket with another are made for comparison, from their texts.
 
 SimHash fingerprints don't serve here: at a similarity of 0.8 they differ in some 10 of 64 bits,
 and no division into blocks of bits finds such pairs without loss and without quadratic work.
@@ -31,6 +32,8 @@ ROWS = 3
 BANDS = 16
 #: Members from which a bucket is cut.
 CHUNK = 1024
+#: Nodes up to which they are broadcast to their texts (some 2 MB).
+SMALL = 100_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SALTS = np.array([xxhash.xxh64_intdigest(f"salt {i}".encode(), 42) for i in range(ROWS * BANDS)], dtype=np.uint64)
@@ -86,16 +89,33 @@ def _marker(shingle: int) -> Callable:
                 part = b.slice(at, 512)
                 sets = [shingles(t.as_py(), shingle) for t in part.column(2)]
                 keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-                columns = [part.column(0), part.column(1), pa.array([node_of(s) for s in sets], pa.int64()), keys, pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["number", "id", "mark", "keys", "found"])
+                columns = [part.column(0), part.column(1), pa.array([node_of(s) for s in sets], pa.int64()), keys]
+                yield pa.RecordBatch.from_arrays(columns, ["number", "id", "mark", "keys"])
 
     return batches
 
 
 def marks(rows: DataFrame, shingle: int, kind: str) -> DataFrame:
-    """The written table of number, id, mark (node), keys and found (the set), a row for each row (number, id, text)."""
-    schema = f"number long, id {kind}, mark bigint, keys array<bigint>, found binary"
-    return saved(rows.select("number", "id", "text").mapInArrow(_marker(shingle), schema))
+    """The written table of number, id, mark (node) and keys, a row for each row (number, id, text)."""
+    return saved(rows.select("number", "id", "text").mapInArrow(_marker(shingle), f"number long, id {kind}, mark bigint, keys array<bigint>"))
+
+
+def _set_maker(shingle: int) -> Callable:
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                found = pa.array([shingles(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), found], ["mark", "found"])
+
+    return batches
+
+
+def sets_of(wanted: DataFrame, rows: DataFrame, shingle: int, small: int = SMALL) -> DataFrame:
+    """The written table of mark and found (the set) of the wanted nodes (mark, number), made from their texts again."""
+    wanted = saved(wanted)
+    there = F.broadcast(wanted) if wanted.count() <= small else wanted
+    return saved(rows.select("number", "text").join(there, "number").select("mark", "text").mapInArrow(_set_maker(shingle), "mark bigint, found binary"))
 
 
 def joined(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -150,8 +170,8 @@ def _linker(similarity: float) -> Callable:
     return batches
 
 
-def links(nodes: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) that join nodes (mark, keys, found; a row for each node) from `similarity` on into their components."""
+def links(nodes: DataFrame, rows_of: DataFrame, shingle: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that join nodes (mark, number, keys; a row for each node) from `similarity` on into their components. rows_of: number, text."""
     rows = saved(nodes.select("mark", F.posexplode("keys").alias("t", "key")))
     same = [F.count("*").alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"), F.bit_xor(F.xxhash64("mark")).alias("x"), F.bit_xor(F.xxhash64("mark", F.lit(1))).alias("y")]
     buckets = rows.groupBy("t", "key").agg(*same).where("n > 1")
@@ -160,5 +180,6 @@ def links(nodes: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
     one = F.pmod(F.xxhash64("mark", "t"), F.col("pieces")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.least(one, j) * F.col("pieces") + F.greatest(one, j))
     dealt = saved(rows.join(buckets, ["t", "key"]).select("t", "key", F.explode(pairs).alias("c"), "mark"))
-    dealt = dealt.join(nodes.select("mark", "found"), "mark").select("t", "key", "c", "mark", "found")
+    wanted = dealt.select("mark").distinct().join(nodes.select("mark", "number"), "mark")
+    dealt = dealt.join(sets_of(wanted, rows_of, shingle), "mark").select("t", "key", "c", "mark", "found")
     return dealt.repartition("t", "key", "c").sortWithinPartitions("t", "key", "c").mapInArrow(_linker(similarity), "a bigint, b bigint")
