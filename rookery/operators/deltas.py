@@ -17,6 +17,12 @@ def merge_counts(summary: DataFrame, delta: DataFrame, counts: Sequence[str], fl
     return both.select([(F.greatest(total(c), F.lit(0)) if floor else total(c)).alias(c) for c in counts])
 
 
+def merge_totals(summary: DataFrame, delta: DataFrame) -> DataFrame:
+    """Database totals and what a batch adds, which is never below 0; unscored positions can become fewer."""
+    grown = delta.select([F.col(c) if c == "unscored_positions" else F.greatest(F.col(c), F.lit(0)).alias(c) for c in delta.columns])
+    return merge_counts(summary, grown, summary.columns)
+
+
 def merge_keyed(summary: DataFrame, delta: DataFrame, keys: Sequence[str], sums: Sequence[str] = (), most: Sequence[str] = ()) -> DataFrame:
     """Keyed summaries: sums are added and maxima merged; new keys appear."""
     cols = [*keys, *sums, *most]

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MINUTES, MODES, floor_bin, history_span, is_main, is_real_token, labelled_bin, result_label, result_score, weekday
-from .tables import paginate, pick, rating_between, require_mode, zero_filled
+from .natural_breaks import natural_breaks
+from .tables import page_with_total, paginate, pick, rating_between, require_mode, zero_filled
 
 
 def _n(condition: Column) -> Column:
@@ -69,6 +70,19 @@ def top_main_characters(summary: DataFrame, mode: str, limit: int = 100) -> Data
     return rows.orderBy(F.col("last_rating").desc_nulls_last(), F.col("n_games").desc(), F.col("player_name")).limit(max(1, min(5000, limit)))
 
 
+def labelled(rows: DataFrame, player: DataFrame) -> DataFrame:
+    """A few rows with their players' names: the rows go to the players, whatever the number of those."""
+    names = player.select("player_name", "name").join(F.broadcast(rows.select("player_name").distinct()), "player_name", "left_semi")
+    return rows.join(names, "player_name", "left")
+
+
+def rating_chart(gp: DataFrame, mode: str, k: int = 3) -> DataFrame:
+    """The ratings of a mode with their counts, and the natural group that each is in: rating, n, class, low, high."""
+    hist = rating_histogram(require_mode(gp, mode)).withColumnRenamed("rating", "value")
+    groups = natural_breaks(hist, k).select("class", "low", "high")
+    return hist.join(F.broadcast(groups), F.col("value").between(F.col("low"), F.col("high"))).select(F.col("value").alias("rating"), "n", "class", "low", "high")
+
+
 def rating_histogram(df: DataFrame, rating: str = "rating") -> DataFrame:
     return df.where(F.col(rating).isNotNull()).groupBy(rating).agg(_all().alias("n"))
 
@@ -96,6 +110,13 @@ def top_openings(opening: DataFrame, n_moves: int = 3, mode: str | None = None,
     return paginate(found, [F.col("n").desc(), F.col("opening")], page, size)
 
 
+def openings_page(opening: DataFrame, n_moves: int = 3, page: int = 1, size: int = 20) -> DataFrame:
+    """As top_openings, with total, page and pages."""
+    rows = opening.where((F.col("n_moves") == n_moves) & is_real_token("opening"))
+    found = rows.groupBy("opening").agg(_all().alias("n"), F.avg("avg_elo").alias("mean_elo"))
+    return page_with_total(found, [F.col("n").desc(), F.col("opening")], page, size)
+
+
 def player_openings(opening: DataFrame, gp: DataFrame, player: str, result: str | None = None, n_moves: int = 3, page: int = 1, size: int = 20) -> DataFrame:
     mine = gp.where((F.col("player_name") == player) & (F.col("result") == result_score(result))).select("link")
     rows = opening.where((F.col("n_moves") == n_moves) & is_real_token("opening")).join(mine, "link", "left_semi")
@@ -160,6 +181,17 @@ def player_performance(gp: DataFrame, player: str | None = None) -> DataFrame:
     return rows.groupBy("player_name", "color").agg(_all().alias("games"), _n(r == 1.0).alias("wins"), _n(r == 0.0).alias("losses"), _n(r == 0.5).alias("draws"), F.avg("rating").alias("avg_rating"), F.avg("n_moves").alias("avg_moves"))
 
 
+def player_averages(gp: DataFrame) -> DataFrame:
+    """By player: mean ratings of both sides, moves and seconds."""
+    means = {"avg_rating": "rating", "avg_opponent_rating": "opponent_rating", "avg_moves": "n_moves", "avg_seconds": "time_elapsed"}
+    return gp.groupBy("player_name").agg(_all().alias("games"), *[F.avg(c).alias(n) for n, c in means.items()])
+
+
+def label_counts(rows: DataFrame, label: str = "label") -> DataFrame:
+    """One row: games in all and by label."""
+    return rows.agg(_all().alias("games"), *[_n(F.col(label) == x).alias(x) for x in ("win", "draw", "loss", "unknown")])
+
+
 def player_terminations(game: DataFrame, player: str) -> DataFrame:
     """How a player's games ended, by the word on their own side."""
     mine = F.when(F.col("white") == player, F.col("white_str_result")).when(F.col("black") == player, F.col("black_str_result"))

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Values that a histogram may have.
+MOST = 20_000
+
+
 def binned(df: DataFrame, value: str, bins: int) -> DataFrame:
     """At most so many distinct values: each becomes the lower edge of a regular bin."""
     ends = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
@@ -34,13 +38,16 @@ def _cost(a: str, b: str) -> Column:
     return F.greatest(d("sq") - d("sx") * d("sx") / d("sw"), F.lit(0.0))
 
 
-def natural_breaks(histogram: DataFrame, k: int = 3, value: str = "value", weight: str = "n") -> DataFrame:
+def natural_breaks(histogram: DataFrame, k: int = 3, value: str = "value", weight: str = "n", most: int = MOST) -> DataFrame:
     """One row a class: class (0, ...), start_i, low, high, weight, and the total cost. Ties take the smallest start of the last class.
 
-    Fewer values than classes: one class for each value.
+    Fewer values than classes: one class for each value. More than `most` values are refused: the rounds compare all
+    pairs of places, and the places are broadcast.
     """
-    sums = prefix_sums(histogram, value, weight).persist()
-    size = sums.count()
+    size = histogram.limit(most + 1).count()
+    if size > most:
+        raise ValueError(f"more than {most} values: use binned() first")
+    sums = prefix_sums(histogram, value, weight)
     k = min(k, size)
     if not k:
         return sums.select(F.lit(0).alias("class"), F.col("i").alias("start_i"), F.col("value").alias("low"), F.col("value").alias("high"), F.col("sw").alias("weight"), F.lit(0.0).alias("cost")).limit(0)

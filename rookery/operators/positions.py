@@ -123,6 +123,12 @@ def coverage_overview(gas: DataFrame) -> DataFrame:
     return gas.where("total_positions > 0").agg(F.count("*").alias("games"), F.count_if("is_fully_analyzed").alias("fully"), F.count_if(~F.col("is_fully_analyzed")).alias("incomplete"), F.sum("total_positions").alias("positions"), F.sum("analyzed_positions").alias("analyzed"))
 
 
+def coverage_sums(gas: DataFrame) -> DataFrame:
+    """One row: games, and their positions in all, analysed and unscored."""
+    sums = {"positions": "total_positions", "analyzed": "analyzed_positions", "unscored": "unscored_positions"}
+    return gas.where("total_positions > 0").agg(F.count("*").alias("games"), *[F.sum(c).alias(n) for n, c in sums.items()])
+
+
 def player_coverage(gp: DataFrame, gas: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     return gp.join(gas, "link", "left").groupBy("player_name").agg(F.count("*").alias("games"), zero("total_positions"), zero("analyzed_positions"), zero("unscored_positions"))
@@ -146,6 +152,17 @@ def top_fens(fen: DataFrame, limit: int, unscored: bool = False) -> DataFrame:
     return rows.orderBy(F.col("n_games").desc(), F.col("fen")).limit(limit)
 
 
+def edges_of_top(association: DataFrame, fen: DataFrame, limit: int, unscored: bool = False) -> DataFrame:
+    """Edges to the positions that occur most."""
+    top = top_fens(fen, limit, unscored).select(F.col("fen").alias("fen_fen"))
+    return association.join(F.broadcast(top), "fen_fen", "left_semi")
+
+
+def with_n_games(scored: DataFrame, fen: DataFrame) -> DataFrame:
+    """Newly scored positions with the games they occur in; unknown positions vanish."""
+    return scored.join(fen.select("fen", "n_games"), "fen")
+
+
 def player_positions(fen: DataFrame, association: DataFrame, gp: DataFrame, approximate: bool = False) -> DataFrame:
     """By player: distinct positions, those seen once, more often, and scored."""
     edges = association.join(gp.select(F.col("link").alias("game_link"), "player_name").distinct(), "game_link")
@@ -177,6 +194,14 @@ def ranked_games(game: DataFrame, gas: DataFrame, rating: str = "avg_elo") -> Da
     return global_rank(rows, ["rating", "link"]).crossJoin(F.broadcast(total))
 
 
+def ranked_groups(game: DataFrame, gas: DataFrame, rating: str = "avg_elo", labels: tuple[str, ...] = ("bad", "medium", "great")) -> DataFrame:
+    """ranked_games with the label of the natural group of the rounded rating."""
+    rows = ranked_games(game, gas, rating).withColumn("value", F.round("rating").cast("int"))
+    breaks = natural_breaks(rows.groupBy("value").agg(F.count("*").alias("n")), len(labels))
+    told = classify(rows, breaks, "value", "class")
+    return told.withColumn("label", F.get(F.array(*[F.lit(x) for x in labels]), F.col("class"))).drop("value", "class")
+
+
 ENGINE = "array<struct<score:double,pv:array<string>,wdl:array<int>,time:double,tbhits:bigint>>"
 
 

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MODES, is_main
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where none is configured."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
+
+
 def read_where(df: DataFrame, **equal) -> DataFrame:
     """Rows with these values; the conditions reach the scan."""
     return reduce(lambda d, kv: d.where(F.col(kv[0]) == F.lit(kv[1])), equal.items(), df)
@@ -75,10 +82,26 @@ def page_bounds(total: int, page: int, size: int, most: int = 100, clamp: bool =
     return page, size, (page - 1) * size
 
 
+def page_with_total(df: DataFrame, order: Sequence[Column], page: int, size: int, most: int = 100) -> DataFrame:
+    """One page of an ordering, with total (rows in all), page and pages; a page past the end is the last one.
+
+    The rows up to the page's end are a top-k; the page is cut out of them once the total, which the same plan counts,
+    is known. Where the rows come out of a shuffle, both parts read that once.
+    """
+    page, size, _ = page_bounds(0, page, size, most, clamp=False)
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("int")
+    top = df.orderBy(*order).limit(page * size).withColumn("__place", F.row_number().over(Window.orderBy(*order)))  # at most page * size rows
+    told = top.crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
+    told = told.withColumn("page", F.least(F.lit(page), pages)).withColumn("pages", pages)
+    return told.where((F.col("__place") > (F.col("page") - 1) * size) & (F.col("__place") <= F.col("page") * size)).drop("__place")
+
+
 def paginate(df: DataFrame, order: Sequence[Column], page: int, size: int, most: int = 100, clamp: bool = True) -> DataFrame:
-    """One page of an ordering: a top-k with an offset, never a full sort. With clamp, the rows are counted first."""
-    page, size, offset = page_bounds(df.count() if clamp else 0, page, size, most, clamp)
-    return df.orderBy(*order).offset(offset).limit(size)
+    """One page of an ordering: a top-k, never a full sort. With clamp, a page past the end is the last one."""
+    page, size, offset = page_bounds(0, page, size, most, clamp=False)
+    if page == 1 or not clamp:
+        return df.orderBy(*order).offset(offset).limit(size)
+    return page_with_total(df, order, page, size, most).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 SCORED_ORDERS = {
@@ -111,6 +134,11 @@ def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> Data
     return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
 
 
+def sample_by_digest(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """n rows in the order of a seeded MD5 of their key, which other systems can repeat."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
+
+
 def ranges_df(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small constant relation."""
     return spark.createDataFrame(list(rows), schema)
@@ -150,13 +178,15 @@ def month_range(df: DataFrame, first: str, as_of: Column, keep: Sequence[str]) -
 def global_rank(df: DataFrame, order: Sequence[str], rank: str = "rank", partitions: int | None = None) -> DataFrame:
     """row_number over all rows without a single-partition window.
 
-    Rows are range-partitioned by the order once and kept; each partition's rows are numbered on
-    their own and lifted by the sizes of those before, one small row a partition.
+    Rows are range-partitioned by the order once and written; each partition's rows are numbered on
+    their own and lifted by the sizes of those before, one small row a partition. Written, the partitions
+    stay what they were when an executor is lost.
     """
-    from pyspark.sql import Window
-
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist()
+    dealt = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    dealt.write.parquet(path)
+    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__size"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))

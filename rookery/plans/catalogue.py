@@ -671,8 +671,8 @@ def sampled_games(t: Tables) -> DataFrame:
 
 @query()
 def breaks_sweep(t: Tables) -> DataFrame:
-    hist = t.game.groupBy((F.floor(F.col("white_elo") / 10) * 10).alias("value")).agg(F.count("*").alias("n"))
-    return nb.sweep(hist, range(2, 6))
+    hist = t.game.groupBy(F.col("white_elo").alias("value")).agg(F.count("*").alias("n"))
+    return nb.sweep(hist, range(2, 11))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -689,3 +689,6 @@ def streamed_activity(t: Tables) -> DataFrame:
     merged = jobs.MergedSummary(t.spark, f"{folder}/summary", lambda old, new: deltas.merge_keyed(old, new, ["day", "event_type"], ["n"]), delta)
     jobs.run_once(jobs.stream_parquet(t.spark, t.sf_dir, "ts", "events*.parquet"), merged, f"{folder}/progress", "append")
     return merged.read()
+
+
+from . import details  # noqa: E402, F401  further queries, which register themselves

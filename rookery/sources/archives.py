@@ -56,7 +56,7 @@ def parsed_games(raw: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("avg_elo", c.mean_rating("white_elo", "black_elo"))
     rows = rows.where("link IS NOT NULL AND played_at IS NOT NULL AND white_result IS NOT NULL AND black_result IS NOT NULL")
-    last = F.max_by(F.struct(*rows.columns), F.struct("file", "arrival")) if "arrival" in rows.columns else F.any_value(F.struct(*rows.columns))
+    last = F.max_by(F.struct(*rows.columns), F.struct("file", "arrival")) if "arrival" in rows.columns else F.max(F.struct(*[F.col(x) for x in rows.columns]))
     return rows.groupBy("link").agg(last.alias("r")).select("r.*").drop("file", "arrival")
 
 
@@ -98,3 +98,15 @@ def flatten_player_stats(df: DataFrame, modes: tuple[str, ...] = c.MODES) -> Dat
         fields = {"rating": s["last"]["rating"], "percentile": share, "best": s["best"]["rating"], "games": s["record"]["game_count"], "wins": s["record"]["win"], "losses": s["record"]["loss"], "draws": s["record"]["draw"]}
         out += [v.alias(f"{m}_{k}") for k, v in fields.items()]
     return df.select(*out)
+
+
+def flatten_other_stats(df: DataFrame) -> DataFrame:
+    """The four numbers of a player that no mode has."""
+    tactics = F.col("tactics")
+    return df.select(
+        "player_name",
+        "fide",
+        F.col("puzzle_rush")["best"]["score"].alias("puzzle_rush_best"),
+        tactics["highest"]["rating"].alias("tactics_highest"),
+        tactics["lowest"]["rating"].alias("tactics_lowest"),
+    )

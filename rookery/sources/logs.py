@@ -27,8 +27,12 @@ def metrics_rollup(lines: DataFrame, text: str = "value") -> DataFrame:
         in_bytes(part(r"mem=([^/\s]+)")).alias("mem_bytes"),
         part(r"mem%=([0-9.]+)").try_cast("double").alias("mem_percent"),
         part(r"pids=([0-9]+)").try_cast("double").alias("pids"),
+        in_bytes(part(r"net=([^/\s]+)")).alias("net_in_bytes"),
+        in_bytes(part(r"net=[^/]+/\s*(\S+)")).alias("net_out_bytes"),
+        in_bytes(part(r"block=([^/\s]+)")).alias("block_in_bytes"),
+        in_bytes(part(r"block=[^/]+/\s*(\S+)")).alias("block_out_bytes"),
     )
-    rows = found.unpivot(["name"], ["cpu_percent", "mem_bytes", "mem_percent", "pids"], "metric", "v").where("v IS NOT NULL")
+    rows = found.unpivot(["name"], [n for n in found.columns if n != "name"], "metric", "v").where("v IS NOT NULL")
     return rows.groupBy("name", "metric").agg(F.count("*").alias("samples"), F.min("v").alias("low"), F.avg("v").alias("mean"), F.max("v").alias("high"))
 
 

@@ -39,7 +39,8 @@ def upsert_add(target: DataFrame, new: DataFrame, keys: Sequence[str], sums: Seq
 
 
 def update_by_key(target: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Columns of matched rows are replaced, by null too."""
+    """Columns of matched rows are replaced, by null too. Of changes with the same key the largest counts, so no row is multiplied."""
+    changes = changes.groupBy(key).agg(F.max(F.struct(*columns)).alias("__new")).select(key, "__new.*")
     new = changes.select(F.col(key), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
     rows = target.join(new, key, "left")
     return rows.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
