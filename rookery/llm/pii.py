@@ -16,7 +16,8 @@ too rare to count.
 Terms are runs of three or more letters outside the base spans, lower-cased, in all counts alike. Entities that occur in
 one text only need no pairs: there n(e) and n(e, t) are 1, and n(t) decides alone. For the others, the terms of a
 text are cut into pieces of `PIECE` and dealt out before they are paired, and pairs are summed before the
-shuffle. Texts of documents without personal data are never shuffled but once, by hash, where equal texts meet.
+shuffle. Whole texts are never shuffled. Terms of texts without personal data are once, by hash, but only where
+so many rows repeat a text that their numbers can't be broadcast.
 
 Defined cases: null text counts as empty. Rows with null or repeated ids are told apart by their
 texts' hashes; equal rows get equal results. Very long texts are searched whole. Of overlapping spans all are told, and `sanitised`
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import boxed, documents, field, saved, unboxed, whole
+from .common import boxed, documents, field, heavy_join, saved, unboxed, whole
 from .spans import as_text, count_of, matches, row_hash, spans
 
 GENERALISE = 0.8
@@ -117,13 +118,31 @@ def _kind(share: Column) -> Column:
 
 
 def term_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """term and nt, for the wanted ones. texts: different texts (text, base)."""
-    words = texts.select(F.explode(F.array_distinct(F.transform(_terms(F.col("text"), F.col("base")), lambda w: w["term"]))).alias("term"))
+    """term and nt, for the wanted ones. texts: see `different_texts`."""
+    here = F.when(F.col("words").isNull(), F.split("terms", " ")).otherwise(F.array_distinct(F.transform("words", lambda w: w["term"])))
+    words = texts.select(F.explode(here).alias("term")).where("term <> ''")
     return words.groupBy("term").agg(F.count("*").alias("nt")).join(wanted, "term", "left_semi")
 
 
+def different_texts(based: DataFrame, small: int = SMALL) -> DataFrame:
+    """Different texts: hash, and entities and words of those with base spans, terms (different ones, joined by a space) of the others.
+
+    Words have their places only where there are base spans. Of equal texts the first by row number stays: where few
+    rows go, their numbers are broadcast to the written table; else equal texts meet by their hashes, in one shuffle.
+    """
+    has = F.size("base") > 0
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_LETTERS), F.lit(0)), lambda w: F.lower(w)))
+    told = [F.when(has, entities(F.col("base"))).alias("entities"), F.when(has, _terms(F.col("text"), F.col("base"))).alias("words"), F.when(~has, F.array_join(terms, " ")).alias("terms")]
+    each = saved(based.select(F.monotonically_increasing_id().alias("number"), "hash", *told))
+    copied = saved(each.groupBy("hash").agg(F.min("number").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    again = saved(heavy_join(each.select("hash", "number"), copied, ["hash"], "n", each.count()).where("number <> first").select("number"))
+    if again.count() <= small:
+        return each.join(F.broadcast(again), "number", "left_anti")
+    return saved(each.dropDuplicates(["hash"]))
+
+
 def disclosures(texts: DataFrame, private: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(term, kind) for entities of one text, and (entity, term, kind) for others. texts: all different texts; private: hash, entities, words of those with entities."""
+    """(term, kind) for entities of one text, and (entity, term, kind) for others. texts: see `different_texts`; private: hash, entities, words of those with entities."""
     total = texts.count()
     often = private.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne"))
     often = saved(often.where("ne > 1"))
@@ -143,15 +162,15 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of `docs`: id, hash, base (kind, start, end, value), spans (kind, start, end; base ones first)."""
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
     based = rows.select("id", row_hash(F.col("text")).alias("hash"), "text", base_spans(F.col("text")).alias("base"))
-    texts = saved(based.select("hash", "text", "base").dropDuplicates(["hash"]))
-    private = saved(texts.where(F.size("base") > 0).select("hash", entities(F.col("base")).alias("entities"), _terms(F.col("text"), F.col("base")).alias("words")))
+    texts = different_texts(based, small)
+    private = saved(texts.where("words IS NOT NULL").select("hash", "entities", "words"))
     single, pairs = disclosures(texts, private, small)
-    words = private.select("hash", F.explode("words").alias("w")).select("hash", "w.term", "w.start", "w.end")
+    each = lambda rows: rows.select("hash", F.explode("words").alias("w")).select("hash", "w.term", "w.start", "w.end")
     often = saved(private.select("hash", F.explode("entities").alias("entity")))
     once = often.groupBy("entity").agg(F.count("*").alias("ne"), F.min("hash").alias("hash")).where("ne = 1").select("hash").distinct()
-    alone = words.join(once, "hash", "left_semi").join(_near(single, small), "term").select("hash", "start", "end", "kind")
+    alone = each(private.join(once, "hash", "left_semi")).join(_near(single, small), "term").select("hash", "start", "end", "kind")
     told = often.join(_near(pairs, small), "entity").select("hash", "term", "kind").groupBy("hash", "term").agg(F.max("kind").alias("kind"))
-    shared = words.join(told, ["hash", "term"]).select("hash", "start", "end", "kind")
+    shared = each(private).join(told, ["hash", "term"]).select("hash", "start", "end", "kind")
     hits = alone.unionByName(shared).groupBy("hash", "start", "end").agg(F.max("kind").alias("kind"))  # remove wins over general
     more = saved(hits.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more")))
     side = _near(more, small // 10)
