@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scans, lm_scoring, mixing, packing, pii, quality_rules, secret_scans, simhash_dedup, url_filters
+from . import alignment, exact_dedup, license_scans, lm_scoring, minhash_dedup, mixing, packing, pii, quality_rules, secret_scans, simhash_dedup, source_audit, url_filters
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_license_scans": license_scans.op10_license_scans,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_minhash_dedup": minhash_dedup.op12_minhash_dedup,
+    "op13_source_audit": source_audit.op13_source_audit,
 }
-SQL = {"op3_exact_dedup": exact_dedup.ORACLE}
+SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op13_source_audit": source_audit.ORACLE}
