@@ -13,9 +13,12 @@ linked when their sets' Jaccard similarity reaches `percent` / 100; a component
    candidate edges; edges that several bands name are one. Whole sets decide: centre and members meet in pieces
    of `PIECE` edges, so a hub is spread over many tasks.
 4. Members that their star left in different components can still be alike. Such a bucket goes on with more centres,
-   `GROWTH` times as many each round, those first that aren't with the first centre; a centre is compared with
-   all members of other components whose sizes allow a link, and then leaves the bucket. A bucket is settled when
-   all members left are in one component. No pair is compared twice, and no pair that shares a bucket is left out.
+   `GROWTH` times as many each round, those first that aren't with the first centre; a centre meets
+   all members of other components, and then leaves the bucket. A bucket is settled when
+   all members left are in one component. A task holds the centres and up to some `MEMBERS` members of a bucket as
+   parity bitmaps of their shingles: two bitmaps differ in no more bits than the sets have shingles that
+   only one of them has, so most pairs below the threshold are ruled out there, without loss, and only the others become
+   edges. No pair is compared twice, and no pair that shares a bucket is left out.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and no links; their component is
 themselves. Very long texts are read whole. Repeated rows of a text are one node, each row has its own result; a row
@@ -39,15 +42,18 @@ from .components import components
 
 ROWS, BANDS = 4, 32
 BINS = ROWS * BANDS
-#: Edges of one centre that a task compares together, about; centres of a bucket grow so much from round to round.
-PIECE, GROWTH = 512, 8
+#: Edges of one centre that a task compares together, about; centres of a bucket grow so much from round to round;
+#: members of a bucket that a task holds beside its centres, about.
+PIECE, GROWTH, MEMBERS = 512, 16, 2048
+#: Bits of a bitmap for each shingle, and bits of the smallest.
+SPARSE, FEW_BITS = 4, 256
 #: Texts that are read together.
 TEXTS = 256
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.array([xxhash.xxh64_intdigest(f"odd {i}".encode(), 42) | 1 for i in range(4)], dtype=np.uint64)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-MARKED = "number long, id {id}, n_shingles long, d1 long, d2 long, keys array<bigint>"
+MARKED = "number long, id {id}, n_shingles long, d1 long, d2 long, keys array<bigint>, bits binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -110,6 +116,20 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity_bits(found: np.ndarray) -> np.ndarray:
+    """A bitmap whose bits are the parities of the numbers of shingles that fall on them; a power of two in size."""
+    size = max(FEW_BITS, 1 << int(SPARSE * len(found) - 1).bit_length()) if len(found) else FEW_BITS
+    odd = np.bincount((_mix(found ^ _ODD[3]) >> np.uint64(8)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows) as if they had been made with fewer bits."""
+    while bits.shape[1] > size:
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
 def _digest(found: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, as two signed numbers."""
     raw = xxhash.xxh3_128_digest(found.tobytes())
@@ -124,8 +144,8 @@ def _marker(shingle: int) -> Callable:
                 sets = [shingle_set(t.as_py(), shingle) for t in part.column(2)]
                 marks = [_digest(s) for s in sets]
                 keys = [band_keys(s) if len(s) else None for s in sets]
-                columns = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks]), pa.array([m[1] for m in marks]), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["number", "id", "n_shingles", "d1", "d2", "keys"])
+                columns = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks]), pa.array([m[1] for m in marks]), pa.array(keys, pa.list_(pa.int64())), pa.array([parity_bits(s).tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["number", "id", "n_shingles", "d1", "d2", "keys", "bits"])
 
     return batches
 
@@ -194,25 +214,60 @@ def compared(edges: DataFrame, sets: Sets, percent: int, piece: int = PIECE) ->
     return saved(rows.mapInArrow(_comparer(percent), "centre long, member long, near boolean"))
 
 
-def _fits(a: str, b: str, percent: int):
-    """Whether sets of these sizes can reach the similarity."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _possible(percent: int) -> Callable:
+    """Rows come sorted by bucket (t, key), piece and place: the bucket's centres (0), then members (1)."""
+
+    def survivors(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        place, node, size, root = (np.array([r[i] for r in rows], dtype=np.int64) for i in (3, 4, 5, 6))
+        width = np.array([len(r[7]) // 8 for r in rows])
+        for w in np.unique(width):
+            # members of one width meet all centres; of two widths the larger is folded
+            own = np.flatnonzero((place == 1) & (width == w))
+            if not len(own):
+                continue
+            maps = np.frombuffer(b"".join(rows[i][7] for i in own), dtype=np.uint64).reshape(-1, w)
+            for i in np.flatnonzero(place == 0):
+                other = np.frombuffer(rows[i][7], dtype=np.uint64)[None, :]
+                both = min(w, other.shape[1])
+                apart = np.bitwise_count(folded(maps, both) ^ folded(other, both)).sum(axis=1, dtype=np.int64)
+                shared = (size[own] + size[i] - apart) // 2
+                near = (100 * shared >= percent * (size[own] + size[i] - shared)) & (root[own] != root[i])
+                if near.any():
+                    yield np.full(near.sum(), node[i]), node[own[near]]
 
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for a, b in survivors(held):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["centre", "member"])
+
+        for b in rows:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if row[:3] != now:
+                    yield from flush()
+                    now, held = row[:3], []
+                held.append(row)
+        yield from flush()
 
-def links(nodes: DataFrame, sets: Sets, percent: int, piece: int = PIECE, growth: int = GROWTH) -> DataFrame:
-    """Links (a, b) that join nodes (node, size, keys; a row for each) into their components."""
+    return batches
+
+
+def links(nodes: DataFrame, sets: Sets, percent: int, piece: int = PIECE, growth: int = GROWTH, most: int = MEMBERS) -> DataFrame:
+    """Links (a, b) that join nodes (node, size, keys, bits; a row for each) into their components."""
+    nodes = saved(nodes)
     rows = saved(nodes.select(F.posexplode("keys").alias("t", "key"), "node", "size"))
     stars = rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("c")).where("n > 1")
     stars = saved(stars.select("t", "key", "n", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size")))
-    members = saved(heavy_join(rows, stars, ["t", "key"], "n", stars.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
-    edges = members.where((F.col("node") != F.col("centre")) & _fits("size", "centre_size", percent)).select("centre", F.col("node").alias("member")).distinct()
+    total = stars.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = saved(heavy_join(rows, stars, ["t", "key"], "n", total))
+    fits = 100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")
+    edges = members.where((F.col("node") != F.col("centre")) & fits).select("centre", F.col("node").alias("member")).distinct()
     done = compared(saved(edges), sets, percent, piece)
     found = done.where("near").select(F.col("centre").alias("a"), F.col("member").alias("b"))
 
-    # Buckets of two are settled by their star; a star's centre has met all members.
-    first = stars.where("n > 2").select("t", "key", "n")
-    total = stars.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    left = saved(heavy_join(members.where("node <> centre").select("t", "key", "node", "size"), first, ["t", "key"], "n", total))
+    # Buckets of two are settled by their star, and a star's centre has met all members.
+    left = saved(heavy_join(members.where("node <> centre").select("t", "key", "node", "size"), stars.where("n > 2").select("t", "key", "n"), ["t", "key"], "n", total))
     centres = 1
     while not left.isEmpty():
         root = components(found)
@@ -220,37 +275,32 @@ def links(nodes: DataFrame, sets: Sets, percent: int, piece: int = PIECE, growth
         ends = saved(told.groupBy("t", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high"))
         if ends.isEmpty():
             break
-        open_n = ends.agg(F.sum("n")).first()[0]
-        told = saved(heavy_join(told, ends, ["t", "key"], "n", open_n))
+        n = ends.agg(F.sum("n")).first()[0]
+        ends = ends.select("t", "key", "n", "low", F.ceil(F.col("n") / most).cast("int").alias("pieces"))
+        told = saved(heavy_join(told, ends, ["t", "key"], "n", n))
         centres *= growth
         # Only the first rows of each bucket leave a task; whoever isn't with the bucket's least root comes first.
         place = F.row_number().over(Window.partitionBy("t", "key").orderBy(F.col("root") == F.col("low"), "node"))
-        chosen = saved(told.withColumn("place", place).where(F.col("place") <= centres).select("t", "key", F.col("node").alias("centre"), F.col("size").alias("centre_size"), F.col("root").alias("centre_root")))
-        pairs = _meet(told, chosen, open_n)
-        pairs = pairs.where((F.col("root") != F.col("centre_root")) & _fits("size", "centre_size", percent)).select(F.least("node", "centre").alias("centre"), F.greatest("node", "centre").alias("member")).distinct()
+        chosen = saved(told.withColumn("place", place).where(F.col("place") <= centres).drop("place"))
+        every = chosen.select("t", "key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("place"), "node", "size", "root")
+        met = every.unionByName(told.select("t", "key", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"), F.lit(1).alias("place"), "node", "size", "root"))
+        met = met.join(nodes.select("node", "bits"), "node").select("t", "key", "piece", "place", "node", "size", "root", "bits")
+        met = met.repartition("t", "key", "piece").sortWithinPartitions("t", "key", "piece", "place")
+        pairs = met.mapInArrow(_possible(percent), "centre long, member long").distinct()
         fresh = saved(pairs.join(done.select("centre", "member"), ["centre", "member"], "left_anti"))
-        now = compared(fresh, sets, percent, piece)
-        done = done.unionByName(now)
+        done = done.unionByName(compared(fresh, sets, percent, piece))
         found = done.where("near").select(F.col("centre").alias("a"), F.col("member").alias("b"))
-        left = saved(told.drop("low", "high").join(chosen.select("t", "key", F.col("centre").alias("node")), ["t", "key", "node"], "left_anti").select("t", "key", "node", "size"))
+        left = saved(told.join(chosen.select("t", "key", "node"), ["t", "key", "node"], "left_anti").select("t", "key", "node", "size"))
     return found
 
 
-def _meet(members: DataFrame, chosen: DataFrame, total: int) -> DataFrame:
-    """Members of a bucket with its chosen centres; the centres of a bucket travel as one row."""
-    boxes = chosen.groupBy("t", "key").agg(F.collect_list(F.struct("centre", "centre_size", "centre_root")).alias("centres"))
-    n = members.groupBy("t", "key").agg(F.count("*").alias("n"))
-    both = heavy_join(members.select("t", "key", "node", "size", "root"), saved(boxes.join(n, ["t", "key"])), ["t", "key"], "n", total)
-    return both.select("node", "size", "root", F.explode("centres").alias("c")).select("node", "size", "root", "c.*")
-
-
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, percent: int = 80, piece: int = PIECE, growth: int = GROWTH) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, percent: int = 80, piece: int = PIECE, growth: int = GROWTH, most: int = MEMBERS) -> DataFrame:
     """One row for each document: id, n_shingles, component_id, kept."""
     texts = saved(docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")))
     marked = saved(texts.mapInArrow(_marker(shingle), MARKED.format(id=docs.schema[id_col].dataType.simpleString())))
     sets = saved(marked.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("number").alias("node"), F.min("id").alias("least"), F.count("*").alias("n")))
-    nodes = marked.join(sets.select(F.col("node").alias("number")), "number", "left_semi").select(F.col("number").alias("node"), F.col("n_shingles").alias("size"), "keys")
-    root = saved(components(links(nodes, Sets(texts.select("number", "text"), shingle), percent, piece, growth)))
+    nodes = marked.join(sets.select(F.col("node").alias("number")), "number", "left_semi").select(F.col("number").alias("node"), F.col("n_shingles").alias("size"), "keys", "bits")
+    root = saved(components(links(nodes, Sets(texts.select("number", "text"), shingle), percent, piece, growth, most)))
     told = saved(sets.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = saved(told.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_sets")))
     names = saved(heavy_join(told, sizes, ["root"], "n_sets", told.count()).select("d1", "d2", "n", "component_id"))

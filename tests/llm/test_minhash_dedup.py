@@ -82,7 +82,7 @@ def variants(seed, n, words, swaps):
 def test_links_that_no_star_has(docs_of, growth):
     rows = [(i, t) for i, t in enumerate([*variants(1, 120, 60, 9), *variants(2, 80, 30, 5), *variants(3, 40, 8, 3)])]
     random.Random(4).shuffle(rows)
-    out = got(md.near_classes(docs_of(rows), piece=7, growth=growth))
+    out = got(md.near_classes(docs_of(rows), piece=7, growth=growth, most=20))
     assert out == plain(rows)
     assert 3 < len({c for _, _, c, _ in out}) < len(rows)
 
@@ -108,6 +108,19 @@ def test_bins_agree_as_often_as_sets_are_alike():
         assert abs(np.mean(agree)) < 0.02
 
 
+def test_bitmaps_rule_out_no_link():
+    """Bits that differ are never more than shingles that only one set has, at any width."""
+    rng = np.random.default_rng(7)
+    for size in (1, 9, 64, 70, 600):
+        for _ in range(50):
+            both = np.unique(rng.integers(0, 2**63, size + size // 3 + 1, dtype=np.int64).astype(np.uint64))
+            x, y = both[: size // 2 + 1], both[size // 3 :]
+            a, b = md.parity_bits(x)[None, :], md.parity_bits(y)[None, :]
+            width = min(a.shape[1], b.shape[1])
+            apart = int(np.bitwise_count(md.folded(a, width) ^ md.folded(b, width)).sum())
+            assert apart <= len(np.setxor1d(x, y)) and (apart - len(np.setxor1d(x, y))) % 2 == 0
+
+
 def test_bands_find_pairs_at_the_threshold():
     rng, missed = np.random.default_rng(6), 0
     for size in (4, 8, 36, 360):
