@@ -1,6 +1,7 @@
 """Alignment of two tokenizers against plain loops over tokens and byte offsets."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -80,6 +81,15 @@ def test_frequent_and_rare_pairs_meet_the_same_counts(docs_of, use, monkeypatch)
     assert got(docs_of(rows)) == plain(use, rows)
 
 
+def test_both_readers_of_the_first_vocabulary_agree(spark, sf, use):
+    rng = random.Random(8)
+    letters = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xA0, 0x180), *range(0x2010, 0x2060), 0x20AC, 0x4E00, 0x1F600]]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(3000)] + ["it's we'll I'D don't  \n\n x", "<|endoftext|>", "a" * 5000]
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text]
+    assert all(use.encode_a(t) == use.a.encode(" " + t, add_special_tokens=False).ids for t in texts)
+    assert sum(not alignment._UNUSUAL.search(t) for t in texts) > 1000
+
+
 def test_large_groups_are_reduced_exactly():
     """Two groups whose tokens repeat, spelled out or reduced to different ids."""
     rng = np.random.default_rng(1)
