@@ -23,6 +23,11 @@ def merge_totals(summary: DataFrame, delta: DataFrame) -> DataFrame:
     return merge_counts(summary, grown, summary.columns)
 
 
+def merge_scored_totals(summary: DataFrame, delta: DataFrame) -> DataFrame:
+    """scored_totals and those of newly scored positions: sides, score sums and win/draw/loss sums with their rows are added."""
+    return merge_counts(summary, delta, summary.columns, floor=False)
+
+
 def merge_keyed(summary: DataFrame, delta: DataFrame, keys: Sequence[str], sums: Sequence[str] = (), most: Sequence[str] = ()) -> DataFrame:
     """Keyed summaries: sums are added and maxima merged; new keys appear."""
     cols = [*keys, *sums, *most]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import MINUTES, MODES, floor_bin, history_span, is_main, is_real_token, labelled_bin, result_label, result_score, weekday
 from .natural_breaks import natural_breaks
-from .tables import page_with_total, paginate, pick, rating_between, require_mode, zero_filled
+from .tables import page_bounds, page_with_total, paginate, pick, rating_between, require_mode, zero_filled
 
 
 def _n(condition: Column) -> Column:
@@ -102,6 +102,14 @@ def top_moves(moves: DataFrame, game: DataFrame, mode: str | None = None, color:
     return every.join(best, "n_move", "left").select("n_move", F.coalesce("move", F.lit("-")).alias("move"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def top_moves_page(moves: DataFrame, game: DataFrame, page: int = 1, size: int = 10, max_move: int = 10, **filters) -> DataFrame:
+    """A page of top_moves, with total (of move numbers), page and pages. Only moves of the page's numbers are counted."""
+    page, size, offset = page_bounds(max_move, page, size, 10)
+    asked = moves.where(F.col("n_move").between(offset + 1, offset + size))
+    rows = top_moves(asked, game, max_move=min(max_move, offset + size), **filters).where(F.col("n_move") > offset)
+    return rows.select("*", F.lit(max_move).alias("total"), F.lit(page).alias("page"), F.lit(-(-max_move // size)).alias("pages"))
+
+
 def top_openings(opening: DataFrame, n_moves: int = 3, mode: str | None = None, low: int | None = None, high: int | None = None, page: int = 1, size: int = 20, modes=MODES) -> DataFrame:
     """Most common openings of so many moves, with their mean rating."""
     rows = require_mode(opening, mode, modes=modes) if mode is not None else opening

@@ -20,19 +20,26 @@ def half_moves(moves: DataFrame) -> DataFrame:
     return rows.select("link", (2 * F.col("n_move") - 1 + F.col("side")).alias("ply"), "n_move", "move_color", "token")
 
 
-def generate_positions(game: DataFrame, moves: DataFrame, fen: DataFrame, association: DataFrame, step: Callable, start) -> dict[str, DataFrame]:
-    """Positions of the games that aren't done: new fen, association and game tables, and failures.
+def position_edges(moves: DataFrame, step: Callable, start, keep: Callable[[DataFrame], DataFrame] = lambda out: out) -> tuple[DataFrame, DataFrame]:
+    """(edges, failures) of games' moves: game_link, fen_fen, n_move, move_color, counter of each half-move's position.
 
-    step(state, token) -> (state, position text). A game with a failing step gives no positions,
-    goes to quarantine and is marked done all the same. The fen table counts occurrences, from
-    edges that aren't stored yet, so a rerun adds nothing.
+    step(state, token) -> (state, position text). A game with a failing step gives no edges, only its failure.
     """
-    todo = game.where(~F.coalesce("fens_done", F.lit(False))).select("link")
-    plies = half_moves(moves.join(todo, "link", "left_semi"))
-    states, failed = fold_sequences(plies, "link", ["ply"], "token", step, start)
+    states, failed = fold_sequences(half_moves(moves), "link", ["ply"], "token", step, start, keep=keep)
     edges = states.select(
         F.col("key").alias("game_link"), position_key("state").alias("fen_fen"), F.ceil(F.col("step") / 2).cast("int").alias("n_move"), F.when(F.col("step") % 2 == 1, "white").otherwise("black").alias("move_color"), position_counter("state").alias("counter")
     )
+    return edges, failed
+
+
+def generate_positions(game: DataFrame, moves: DataFrame, fen: DataFrame, association: DataFrame, step: Callable, start) -> dict[str, DataFrame]:
+    """Positions of the games that aren't done: new fen, association and game tables, and failures.
+
+    A game with a failing step goes to quarantine and is marked done all the same. The fen table counts
+    occurrences, from edges that aren't stored yet, so a rerun adds nothing.
+    """
+    todo = game.where(~F.coalesce("fens_done", F.lit(False))).select("link")
+    edges, failed = position_edges(moves.join(todo, "link", "left_semi"), step, start)
     keys = ["game_link", "fen_fen", "n_move", "move_color"]
     fresh = edges.dropDuplicates(keys).join(association.select(*keys), keys, "left_anti")
     added = aggregate_positions(fresh).withColumnRenamed("fen_fen", "fen")
@@ -46,12 +53,20 @@ def generate_positions(game: DataFrame, moves: DataFrame, fen: DataFrame, associ
     }
 
 
+def first_answers(evaluations: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """The first valid answer of each position, by arrival where there is such a column, else the least by value: reruns agree."""
+    order = [c for c in (arrival, *[x for x in evaluations.columns if x not in ("fen", arrival)]) if c in evaluations.columns]
+    first = evaluations.where(F.col("is_valid") & (F.size("analysis") > 0)).groupBy("fen").agg(F.min(F.struct(*order)).alias("answer"))
+    return first.select("fen", "answer.*").select(*evaluations.columns)
+
+
 def attach_evaluations(fen: DataFrame, continuation: DataFrame, association: DataFrame, gas: DataFrame, evaluations: DataFrame) -> dict[str, DataFrame]:
     """Engine answers onto positions: new fen, continuation and game summary tables.
 
     Only positions without a score count as newly scored in the games' summaries.
     """
-    best = best_lines(evaluations).dropDuplicates(["fen"])
+    evaluations = first_answers(evaluations)
+    best = best_lines(evaluations)
     columns = ["score", "next_moves", "wdl_win", "wdl_draw", "wdl_loss"]
     newly = best.join(fen.where("score IS NULL").select("fen"), "fen", "left_semi").where("score IS NOT NULL")
     delta = game_analysis_summary(association, newly).withColumnRenamed("analyzed_positions", "newly")

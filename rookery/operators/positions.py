@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,26 +50,44 @@ def prefix_keys(sequences: DataFrame, keys: Sequence[str], tokens: str = "tokens
     return sequences.where(F.size(tokens) > 0).select(*keys, F.explode(steps).alias("s")).select(*keys, "s.step", "s.state")
 
 
-def fold_sequences(df: DataFrame, key: str, order: Sequence[str], token: str, step: Callable, start, key_type: str = "long") -> tuple[DataFrame, DataFrame]:
+def fold_sequences(df: DataFrame, key: str, order: Sequence[str], token: str, step: Callable, start, key_type: str = "long", keep: Callable[[DataFrame], DataFrame] = lambda out: out) -> tuple[DataFrame, DataFrame]:
     """States and failures of a user's step(state, token) -> (state, text), folded along each key.
 
     A key with any failing step contributes no states, only its first failure (key, step, token,
-    error). One key's sequence is one group, as the fold needs it in order.
+    error). Rows are dealt by key and sorted; a task goes through them once and holds one key's states at a time.
+    keep: what becomes of the folded rows before they are parted into states and failures, such as writing them.
     """
-    schema = f"key {key_type}, step int, state string, token string, error string"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(order), kind="stable")
-        own, state, rows = group[key].iloc[0], start, []
-        for i, t in enumerate(group[token].tolist(), 1):
-            try:
-                state, text = step(state, t)
-            except Exception as e:  # noqa: BLE001  a user's rule: the key goes to quarantine with the reason
-                return pd.DataFrame([(own, i, None, t, f"{type(e).__name__}: {e}")], columns=["key", "step", "state", "token", "error"])
-            rows.append((own, i, text, t, None))
-        return pd.DataFrame(rows, columns=["key", "step", "state", "token", "error"])
-
-    out = df.select(key, *[o for o in order if o != key], token).groupBy(key).applyInPandas(run, schema)
+    names = ["key", "step", "state", "token", "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = object()
+        now, state, held, failed, kinds = nothing, start, [], None, None
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.string(), batch.schema.field(1).type, pa.string()]
+            done = []
+            for own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now is nothing or own != now:
+                    done += held if failed is None else [failed]
+                    now, state, held, failed = own, start, [], None
+                if failed is not None:
+                    continue
+                try:
+                    state, text = step(state, t)
+                except Exception as e:  # noqa: BLE001  a user's rule: the key goes to quarantine with the reason
+                    failed, held = (own, len(held) + 1, None, t, f"{type(e).__name__}: {e}"), []
+                else:
+                    held.append((own, len(held) + 1, text, t, None))
+            yield told(done)
+        if kinds:
+            yield told(held if failed is None else [failed])
+
+    rows = df.select(key, *[o for o in order if o != key], token).repartition(key).sortWithinPartitions(key, *order)
+    out = keep(rows.select(F.col(key).cast(key_type), F.col(token).cast("string")).mapInArrow(run, f"key {key_type}, step int, state string, token string, error string"))
     return out.where("error IS NULL").drop("error"), out.where("error IS NOT NULL").drop("state")
 
 

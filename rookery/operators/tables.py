@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import tempfile
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,11 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MODES, is_main
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
+from .paging import page_bounds, page_with_total, paginate  # noqa: F401  part of this module's functions
+from .storage import shared_folder, written  # noqa: F401
 
 
 def read_where(df: DataFrame, **equal) -> DataFrame:
@@ -73,37 +67,6 @@ def current_players(players: DataFrame) -> DataFrame:
     return players.where(is_main("joined"))
 
 
-def page_bounds(total: int, page: int, size: int, most: int = 100, clamp: bool = True) -> tuple[int, int, int]:
-    """Page, size and offset; with clamp, a page past the end is the last one."""
-    size = max(1, min(most, size))
-    last = max(1, math.ceil(total / size))
-    page = max(1, page)
-    page = min(page, last) if clamp else page
-    return page, size, (page - 1) * size
-
-
-def page_with_total(df: DataFrame, order: Sequence[Column], page: int, size: int, most: int = 100) -> DataFrame:
-    """One page of an ordering, with total (rows in all), page and pages; a page past the end is the last one.
-
-    The rows up to the page's end are a top-k; the page is cut out of them once the total, which the same plan counts,
-    is known. Where the rows come out of a shuffle, both parts read that once.
-    """
-    page, size, _ = page_bounds(0, page, size, most, clamp=False)
-    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("int")
-    top = df.orderBy(*order).limit(page * size).withColumn("__place", F.row_number().over(Window.orderBy(*order)))  # at most page * size rows
-    told = top.crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
-    told = told.withColumn("page", F.least(F.lit(page), pages)).withColumn("pages", pages)
-    return told.where((F.col("__place") > (F.col("page") - 1) * size) & (F.col("__place") <= F.col("page") * size)).drop("__place")
-
-
-def paginate(df: DataFrame, order: Sequence[Column], page: int, size: int, most: int = 100, clamp: bool = True) -> DataFrame:
-    """One page of an ordering: a top-k, never a full sort. With clamp, a page past the end is the last one."""
-    page, size, offset = page_bounds(0, page, size, most, clamp=False)
-    if page == 1 or not clamp:
-        return df.orderBy(*order).offset(offset).limit(size)
-    return page_with_total(df, order, page, size, most).select(*[F.col(f"`{c}`") for c in df.columns])
-
-
 SCORED_ORDERS = {
     "frequency": lambda: [F.col("n_games").desc(), F.col("fen").asc()],
     "impact": lambda: [F.col("impact").desc(), F.col("n_games").desc(), F.col("fen").asc()],
@@ -183,10 +146,7 @@ def global_rank(df: DataFrame, order: Sequence[str], rank: str = "rank", partiti
     stay what they were when an executor is lost.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    dealt.write.parquet(path)
-    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    dealt = written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__size"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
