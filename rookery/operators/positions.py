@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import BUCKETS, advantage_bucket, impact, is_real_token, side_of
 from .natural_breaks import classify, natural_breaks
+from .storage import written
 from .tables import global_rank, melt, paginate, scored_min, scored_order
 
 
@@ -199,6 +200,7 @@ def player_unscored(fen: DataFrame, association: DataFrame, gp: DataFrame, playe
 def advantage_by_rating(game: DataFrame, gas: DataFrame, k: int = 3, rating: str = "avg_elo") -> DataFrame:
     """Fully analysed games in natural groups of mean rating: games and bucket totals, one row a group and bucket."""
     rows = gas.where("is_fully_analyzed AND total_positions > 0").join(game.select("link", F.round(rating).cast("int").alias("rating")), "link").where("rating IS NOT NULL")
+    rows = written(rows)  # read twice: for the histogram, and for the groups' sums
     breaks = natural_breaks(rows.groupBy("rating").agg(F.count("*").alias("n")), k, "rating")
     told = classify(rows, breaks, "rating", "group")
     sums = told.groupBy("group").agg(F.count("*").alias("games"), F.sum("total_positions").alias("positions"), F.min("rating").alias("low"), F.max("rating").alias("high"), *[F.sum(f"{b}_positions").alias(b) for b in BUCKETS])
@@ -208,8 +210,7 @@ def advantage_by_rating(game: DataFrame, gas: DataFrame, k: int = 3, rating: str
 def ranked_games(game: DataFrame, gas: DataFrame, rating: str = "avg_elo") -> DataFrame:
     """Each analysed game's place by rating among all, and their number."""
     rows = gas.where("is_fully_analyzed").join(game.select("link", F.col(rating).alias("rating")), "link").select("rating", "link", "avg_abs_score")
-    total = rows.agg(F.count("*").alias("total"))
-    return global_rank(rows, ["rating", "link"]).crossJoin(F.broadcast(total))
+    return global_rank(rows, ["rating", "link"], total="total")
 
 
 def ranked_groups(game: DataFrame, gas: DataFrame, rating: str = "avg_elo", labels: tuple[str, ...] = ("bad", "medium", "great")) -> DataFrame:

@@ -138,8 +138,8 @@ def month_range(df: DataFrame, first: str, as_of: Column, keep: Sequence[str]) -
     return df.select(*keep, F.explode(months).alias("month"))
 
 
-def global_rank(df: DataFrame, order: Sequence[str], rank: str = "rank", partitions: int | None = None) -> DataFrame:
-    """row_number over all rows without a single-partition window.
+def global_rank(df: DataFrame, order: Sequence[str], rank: str = "rank", partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """row_number over all rows without a single-partition window; `total` names a column with their number.
 
     Rows are range-partitioned by the order once and written; each partition's rows are numbered on
     their own and lifted by the sizes of those before, one small row a partition. Written, the partitions
@@ -148,6 +148,8 @@ def global_rank(df: DataFrame, order: Sequence[str], rank: str = "rank", partiti
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = [F.coalesce(F.sum("__size").over(upto), F.lit(0)).alias("__before"), F.sum("__size").over(Window.partitionBy(F.lit(0))).alias("__total")]
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.join(F.broadcast(before), "__part").withColumn(rank, F.col("__before") + own).drop("__part", "__before")
+    told = dealt.join(F.broadcast(sizes.select("__part", *counts)), "__part").withColumn(rank, F.col("__before") + own)
+    return (told if total is None else told.withColumn(total, F.col("__total"))).drop("__part", "__before", "__total")

@@ -669,10 +669,17 @@ def sampled_games(t: Tables) -> DataFrame:
     return tables.sample_n(t.game.select("link", "white", "black"), 200, ["link"])
 
 
-@query()
+_SWEEP = """, h AS (SELECT white_elo AS value, count(*) AS n FROM game GROUP BY 1),
+p AS (SELECT row_number() OVER o AS i, sum(CAST(n AS DOUBLE)) OVER o AS sw, sum(CAST(n * value AS DOUBLE)) OVER o AS sx, sum(CAST(n * value AS DOUBLE) * value) OVER o AS sq FROM h WINDOW o AS (ORDER BY value)),
+m AS (SELECT max(i) AS size, max(sw) AS w, arg_max(sx, i) AS x, arg_max(sq, i) AS q FROM p),
+d AS MATERIALIZED (SELECT a.i AS a, b.i AS b, greatest((b.sq - a.sq) - (b.sx - a.sx) * (b.sx - a.sx) / (b.sw - a.sw), 0) AS cost FROM p a JOIN p b ON a.i < b.i),
+c1 AS (SELECT i, greatest(sq - sx * sx / sw, 0) AS cost FROM p)""" + "".join(f", c{k} AS MATERIALIZED (SELECT d.b AS i, min(c{k - 1}.cost + d.cost) AS cost FROM c{k - 1} JOIN d ON d.a = c{k - 1}.i GROUP BY d.b)" for k in range(2, 11))
+
+
+@query(_SWEEP + " UNION ALL ".join(f" SELECT CAST({k} AS INT) AS k, round(1 - cost / (q - x * x / w), 9) AS gvf FROM c{k}, m WHERE i = size" for k in range(2, 11)), "game")
 def breaks_sweep(t: Tables) -> DataFrame:
     hist = t.game.groupBy(F.col("white_elo").alias("value")).agg(F.count("*").alias("n"))
-    return nb.sweep(hist, range(2, 11))
+    return nb.sweep(hist, range(2, 11)).withColumn("gvf", F.round("gvf", 9))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -51,3 +51,45 @@ def test_sample_mixture(spark):
     assert 0.5 < fits[2] < fits[3] < fits[4] <= 1
     classes = nb.classify(df, nb.natural_breaks(hist, 3), "value").groupBy("class").count().collect()
     assert sum(r["count"] for r in classes) == 1000 and len(classes) == 3
+
+
+def quadratic(x, w, k):
+    """Costs and starts of every layer by comparing all starts."""
+    sw, sx, sq = (np.concatenate([[0.0], np.cumsum(c)]) for c in (w, w * x, w * x * x))
+    cost = lambda a, b: max((sq[b] - sq[a]) - (sx[b] - sx[a]) * (sx[b] - sx[a]) / (sw[b] - sw[a]), 0.0)
+    now, out = [np.inf] + [cost(0, b) for b in range(1, len(x) + 1)], []
+    for classes in range(2, k + 1):
+        best = [min(((now[a] + cost(a, b), a) for a in range(classes - 1, b)), default=(np.inf, 0)) for b in range(len(x) + 1)]
+        now = [c for c, _ in best]
+        out.append((now[-1], [a for _, a in best]))
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 40, 173])
+def test_search_against_all_starts(n):
+    rng = np.random.default_rng(n)
+    for values in (np.sort(rng.choice(10 * n, n, replace=False)).astype(float), np.arange(n) * 2.0):
+        weights = rng.integers(1, 50, n).astype(float)
+        _, costs, starts = nb.layers(values, weights, 5)
+        for (cost, at), c, s in zip(quadratic(values, weights, 5), costs[1:], starts[1:], strict=True):
+            assert c == cost
+            assert s[n] == at[n]
+
+
+def test_a_million_values(spark):
+    hist = spark.range(1_000_000).select((F.col("id") + F.when(F.col("id") >= 400_000, 3_000_000).otherwise(0)).alias("value"), F.lit(1).cast("long").alias("n"))
+    found = nb.natural_breaks(hist, 2)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.start_i, r.weight) for r in found.orderBy("class").collect()] == [(1, 400_000.0), (400_001, 600_000.0)]
+
+
+def test_too_many_values_are_refused(spark):
+    with pytest.raises(Exception, match="more than 5 values"):
+        nb.natural_breaks(spark.range(6).withColumn("n", F.lit(1)), 2, "id", most=5).collect()
+
+
+def test_sweep_equals_single_searches(spark):
+    rng = np.random.default_rng(9)
+    hist = spark.createDataFrame([(int(v), int(n)) for v, n in zip(sorted(rng.choice(500, 60, replace=False)), rng.integers(1, 9, 60))], "value int, n long")
+    for r in nb.sweep(hist, range(2, 6)).collect():
+        assert r.gvf == pytest.approx(nb.goodness(hist, nb.natural_breaks(hist, r.k)).first().gvf, rel=1e-12)
