@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import BUCKETS, advantage_bucket, impact, is_real_token, side_of
+from .joins import skew_join
 from .natural_breaks import classify, natural_breaks
 from .storage import written
 from .tables import global_rank, melt, paginate, scored_min, scored_order
@@ -21,16 +22,35 @@ def ordered_tokens(df: DataFrame, keys: Sequence[str], order: Sequence[str], tok
     return out if most is None else out.withColumn("tokens", F.slice("tokens", 1, most))
 
 
-def openings(moves: DataFrame, low: int = 3, high: int = 10) -> DataFrame:
-    """link, n_moves, opening: the first n full moves as text, for games that have them all without a missing half-move."""
+def opening_moves(moves: DataFrame, high: int = 10) -> DataFrame:
+    """link, parts: the first full moves as text, up to `high`, as far as they run 1, 2, 3, ... without a missing half-move."""
     first = moves.where(F.col("n_move").between(1, high))
     both = F.array_sort(F.collect_list(F.struct("n_move", "white_move", "black_move")))
     games = first.groupBy("link").agg(both.alias("m"))
-    sizes = games.select("link", "m", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("n_moves")).where(F.size("m") >= F.col("n_moves"))
-    part = F.slice("m", F.lit(1), F.col("n_moves"))
-    whole = F.forall(F.transform(part, lambda x, i: (x["n_move"] == i + 1) & is_real_token(x["white_move"]) & is_real_token(x["black_move"])), lambda ok: ok)
-    text = F.array_join(F.transform(part, lambda x: F.concat_ws(" ", x["white_move"], x["black_move"])), " ")
-    return sizes.where(whole).select("link", "n_moves", text.alias("opening"))
+    fits = F.transform("m", lambda x, i: F.coalesce((x["n_move"] == i + 1) & is_real_token(x["white_move"]) & is_real_token(x["black_move"]), F.lit(False)))
+    broken = F.array_position(fits, False)
+    run = F.when(broken == 0, F.size("m")).otherwise(broken - 1).cast("int")
+    return games.select("link", F.transform(F.slice("m", F.lit(1), run), lambda x: F.concat_ws(" ", x["white_move"], x["black_move"])).alias("parts"))
+
+
+def _prefixes(rows: DataFrame, keep: Sequence[str], low: int, high: int) -> DataFrame:
+    """keep, n_moves, opening: each row's parts as texts of low to high moves; only lengths that are there."""
+    sizes = F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.size("parts")))).alias("n_moves")
+    rows = rows.where(F.size("parts") >= low).select(*keep, "parts", sizes)
+    return rows.select(*keep, "n_moves", F.array_join(F.slice("parts", F.lit(1), F.col("n_moves")), " ").alias("opening"))
+
+
+def openings(moves: DataFrame, low: int = 3, high: int = 10) -> DataFrame:
+    """link, n_moves, opening: the first n full moves as text, for games that have them all without a missing half-move."""
+    return _prefixes(opening_moves(moves, high), ["link"], low, high)
+
+
+def opening_counts(moves: DataFrame, game: DataFrame, low: int = 3, high: int = 10) -> DataFrame:
+    """n_moves, opening, n, elo_sum, rated of all openings. Games with the same moves are counted together first, so
+    each different sequence, not each game, is spelled out to its prefixes."""
+    rows = opening_moves(moves, high).where(F.size("parts") >= low).join(game.select("link", "avg_elo"), "link")
+    same = rows.groupBy("parts").agg(F.count("*").alias("n"), F.sum("avg_elo").alias("elo_sum"), F.count("avg_elo").alias("rated"))
+    return _prefixes(same, ["n", "elo_sum", "rated"], low, high).groupBy("n_moves", "opening").agg(*[F.sum(c).alias(c) for c in ("n", "elo_sum", "rated")])
 
 
 def contiguous(moves: DataFrame) -> DataFrame:
@@ -117,7 +137,7 @@ def scored_totals(fen: DataFrame) -> DataFrame:
 def game_analysis_summary(association: DataFrame, fen: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """By game: coverage, scores and buckets of its distinct positions' edges. Edges without a position vanish."""
     edges = association if links is None else association.join(links, association["game_link"] == links["link"], "left_semi")
-    rows = edges.join(fen.select(F.col("fen").alias("fen_fen"), "score"), "fen_fen")
+    rows = skew_join(edges, fen.select(F.col("fen").alias("fen_fen"), "score"), "fen_fen")
     bucket = advantage_bucket("score")
     out = rows.groupBy(F.col("game_link").alias("link")).agg(
         F.count("*").alias("total_positions"),
@@ -185,7 +205,7 @@ def with_n_games(scored: DataFrame, fen: DataFrame) -> DataFrame:
 def player_positions(fen: DataFrame, association: DataFrame, gp: DataFrame, approximate: bool = False) -> DataFrame:
     """By player: distinct positions, those seen once, more often, and scored."""
     edges = association.join(gp.select(F.col("link").alias("game_link"), "player_name").distinct(), "game_link")
-    rows = edges.select("player_name", "fen_fen").distinct().join(fen.select(F.col("fen").alias("fen_fen"), "n_games", "score"), "fen_fen")
+    rows = skew_join(edges.select("player_name", "fen_fen").distinct(), fen.select(F.col("fen").alias("fen_fen"), "n_games", "score"), "fen_fen")
     if approximate:
         return edges.groupBy("player_name").agg(F.approx_count_distinct("fen_fen").alias("positions"))
     return rows.groupBy("player_name").agg(F.count("*").alias("positions"), F.count_if(F.col("n_games") == 1).alias("once"), F.count_if(F.col("n_games") > 1).alias("more"), F.count("score").alias("scored"))

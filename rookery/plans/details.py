@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..operators import deltas, games, positions, tables
+from ..operators import deltas, games, joins, positions, tables
 from ..operators import natural_breaks as nb
 from ..sources import archives, logs, upserts
 from ..streaming import jobs
@@ -60,6 +60,29 @@ def advantage_coverage(t: Tables) -> DataFrame:
     return positions.coverage_page(gas, tables.coverage_order("advantage"), 1, 30).select("link", "avg_abs_score")
 
 
+@query(
+    """, c AS (SELECT n_move, white_move AS move, count(*) AS n FROM moves JOIN game USING (link) WHERE n_move BETWEEN 4 AND 6 AND white_move NOT IN ('', '--') GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_move ORDER BY n DESC, move) AS place FROM c)
+SELECT CAST(k.range AS INT) AS n_move, coalesce(move, '-') AS move, coalesce(n, 0) AS n, CAST(10 AS INT) AS total, CAST(2 AS INT) AS page, CAST(4 AS INT) AS pages FROM range(4, 7) k LEFT JOIN r ON r.n_move = k.range AND place = 1""",
+    "moves",
+    "game",
+)
+def top_moves_with_total(t: Tables) -> DataFrame:
+    return games.top_moves_page(t.moves, t.game, page=2, size=3)
+
+
+@query("SELECT n_moves, opening, count(*) AS n, CAST(sum(avg_elo) AS DOUBLE) AS elo_sum, count(avg_elo) AS rated FROM opening GROUP BY ALL", "opening")
+def opening_counts(t: Tables) -> DataFrame:
+    return positions.opening_counts(t.moves, t.game)
+
+
+@query("SELECT fen_fen, game_link, n_move, score FROM association JOIN fen ON fen = fen_fen", "association", "fen")
+def split_edges(t: Tables) -> DataFrame:
+    """Edges with their positions' scores; frequent positions are met on the map side, whatever the size here."""
+    table = t.fen.select(F.col("fen").alias("fen_fen"), "score")
+    return joins.skew_join(t.association, table, "fen_fen", large=0).select("fen_fen", "game_link", "n_move", "score")
+
+
 # Labels, groups and sums
 
 
