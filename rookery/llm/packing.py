@@ -40,7 +40,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, heavy_join, saved, whole
@@ -370,7 +370,9 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
 
 
 def _sequence_ids(at: np.ndarray, sequence: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Each sequence by the row number of the document that opens it, and how many that document has opened before."""
+    """Each sequence by the dense row number of the document that opens it, and how many that document has opened before."""
+    if len(number) and int(number.max()) >= (1 << 63) // TURNS:
+        raise OverflowError("too many documents for 64-bit sequence numbers")
     opens = np.flatnonzero(np.diff(sequence, prepend=-1))
     doc, turn = at[opens], np.zeros(len(opens), dtype=np.int64)
     for i in range(1, len(opens)):
@@ -405,7 +407,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """All documents as pieces of sequences of at most `window` tokens; columns: see PIECES. window: a power of two."""
     vocabulary = vocabulary or default_vocabulary()
     kind = docs.schema[id_col].dataType.simpleString()
-    tokens = saved(tokenised(docs, id_col, text_col, vocabulary, shard))
+    tokens = numbered(saved(tokenised(docs, id_col, text_col, vocabulary, shard)))
     return dealt(tokens, shard).groupBy("centre", "piece", "extra").applyInArrow(_packed(window), PIECES.format(id=kind))
 
 
@@ -416,6 +418,18 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, shar
     return rows.mapInArrow(_tokenised(vocabulary, dealer_of(rows, vocabulary, shard)), f"number long, id {kind}, centre int, first int, n long, ids binary")
 
 
+def numbered(tokens: DataFrame) -> DataFrame:
+    """The written table with its rows' numbers made dense, so that a number and its turns fit 63 bits at any number of tasks.
+
+    monotonically_increasing_id has the task in its upper bits; one small row a task says how many rows came before.
+    """
+    task = F.shiftright("number", 33)
+    sizes = tokens.groupBy(task.alias("task")).agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = tokens.withColumn("task", task).join(F.broadcast(sizes.select("task", before.alias("before"))), "task")
+    return told.withColumn("number", F.col("before") + F.col("number").bitwiseAND((1 << 33) - 1)).select(*tokens.columns)
+
+
 def dealt(tokens: DataFrame, shard: int) -> DataFrame:
     """Tokens (a written table) with piece and extra: a shard's documents have the same centre, piece and extra."""
     pieces = [1] * (CENTRES + 1)

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -134,3 +135,23 @@ def test_dealing_brings_neighbours_together(spark):
     chance = (np.bincount(np.unique(shard, return_inverse=True)[1]) ** 2).sum() / len(shard) ** 2
     print("recall of the top ten", np.mean(hits), "by chance", chance, "shards", len(set(shard)))
     assert np.mean(hits) > 2 * chance
+
+
+def test_sequence_ids_of_many_input_tasks(spark):
+    """Row numbers as tasks 0, 2048, 5000 and 10^6 give them: dense afterwards, and no two documents share an id."""
+    tasks = [0, 1, 2048, 5000, 10**6]
+    rows = spark.createDataFrame([((t << 33) + i, t) for t in tasks for i in range(20)], "number long, id long")
+    got = [r.number for r in op.numbered(rows).orderBy("id", "number").collect()]
+    assert got == list(range(100))
+    number = np.array([(1 << 43) - 2, 5, (1 << 43) - 1])
+    ids = op._sequence_ids(np.array([0, 0, 0, 1, 2]), np.array([0, 1, 2, 3, 4]), number)
+    assert len(set(ids.tolist())) == 5 and ids.min() >= 0
+    with pytest.raises(OverflowError):
+        op._sequence_ids(np.array([0]), np.array([0]), np.array([1 << 43]))
+
+
+def test_many_rows_have_different_sequences(spark):
+    """10^6 row numbers over 4000 tasks stay different."""
+    rows = spark.range(1_000_000, numPartitions=8).select(((F.col("id") % 4000) * (1 << 33) + F.floor(F.col("id") / 4000)).alias("number"))
+    out = op.numbered(rows).agg(F.count_distinct("number"), F.min("number"), F.max("number")).first()
+    assert tuple(out) == (1_000_000, 0, 999_999)
