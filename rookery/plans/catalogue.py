@@ -685,13 +685,11 @@ def breaks_sweep(t: Tables) -> DataFrame:
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streamed_activity(t: Tables) -> DataFrame:
     """Daily counts through a stream over the event files, whole when the stream has caught up."""
-    import tempfile
     import uuid
 
     from ..streaming import jobs
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{tables.shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     delta = lambda batch: batch.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
     merged = jobs.MergedSummary(t.spark, f"{folder}/summary", lambda old, new: deltas.merge_keyed(old, new, ["day", "event_type"], ["n"]), delta)
     jobs.run_once(jobs.stream_parquet(t.spark, t.sf_dir, "ts", "events*.parquet"), merged, f"{folder}/progress", "append")

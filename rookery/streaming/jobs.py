@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.store import Store, Whole
+
 
 def stream_parquet(spark: SparkSession, path: str, at: str, pattern: str = "*") -> DataFrame:
     """A stream of a folder's Parquet files; the event time becomes a timestamp that watermarks accept."""
@@ -29,49 +31,54 @@ def activity(stream: DataFrame, at: str, key: str, width: str = "1 day", delay:
 
 def run_once(frame: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Everything that is there now, batch by batch."""
+    if hasattr(each, "bind"):
+        each.bind(checkpoint)
     query = frame.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
 class MergedSummary:
-    """A summary in versioned folders that micro-batches merge into, each exactly once.
+    """A summary that micro-batches merge into, each exactly once.
 
-    A version is written beside the old one with the batch it holds; a batch that was applied
-    before a restart is recognised by its number and left out.
+    A version is written beside the old one, with the query and the batch it holds; a batch that was applied before a
+    restart is recognised and left out. A query is known by the id in its checkpoint. Another query, or the same with a new
+    checkpoint, reads its source from the start, so its batches aren't merged into a summary that is there already, unless
+    `adopt` says that its source has new rows only.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, merge: Callable[[DataFrame, DataFrame], DataFrame], delta: Callable[[DataFrame], DataFrame]):
-        self.spark, self.folder, self.merge, self.delta = spark, folder.rstrip("/"), merge, delta
+    def __init__(self, spark: SparkSession, folder: str, merge: Callable[[DataFrame, DataFrame], DataFrame], delta: Callable[[DataFrame], DataFrame], adopt: bool = False):
+        self.spark, self.merge, self.delta, self.adopt = spark, merge, delta, adopt
+        self.store, self.checkpoint = Store(spark, folder, {}), None
+
+    def bind(self, checkpoint: str) -> None:
+        """The checkpoint of the query whose batches come."""
+        self.checkpoint = checkpoint.rstrip("/")
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+    def _query(self) -> str:
+        return "batches" if self.checkpoint is None else json.loads(self.spark.read.text(f"{self.checkpoint}/metadata").first()[0])["id"]
 
     def versions(self) -> list[int]:
-        fs, p = self._fs(self.folder)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [n for n in names if n.startswith("batch=") and fs.exists(self._fs(f"{self.folder}/{n}/_SUCCESS")[1])]
-        return sorted(int(n.removeprefix("batch=")) for n in done)
+        """The last batch of this query, if there is one."""
+        last = self.store.applied(self._query())
+        return [last] if last >= 0 else []
 
     def read(self) -> DataFrame | None:
         """The newest whole version."""
-        have = self.versions()
-        return self.spark.read.parquet(f"{self.folder}/batch={have[-1]}") if have else None
+        now = self.store.snapshot()
+        return now.read("summary") if "summary" in now else None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        have = self.versions()
-        if have and have[-1] >= number:
+        now, query = self.store.snapshot(), self._query()
+        applied = now.manifest["applied"]
+        if applied and query not in applied and not self.adopt:
+            raise ValueError("the summary belongs to another query or checkpoint: use a new folder, or adopt=True if only new rows come")
+        if applied.get(query, -1) >= number:
             return
-        delta, old = self.delta(batch), self.read()
-        new = delta if old is None else self.merge(old, delta)
-        new.write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
-        for stale in have[:-1]:  # the one before stays, for readers that are at it
-            fs, p = self._fs(f"{self.folder}/batch={stale}")
-            fs.delete(p, True)
+        delta = self.delta(batch)
+        new = self.merge(now.read("summary"), delta) if "summary" in now else delta
+        self.store.commit(query, number, {"summary": Whole(new)}, now)
+        self.store.vacuum()  # the version before stays, for readers that are at it
 
 
 def newest(log: DataFrame, n: int = 10, at: str = "created_at", key: str = "id") -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from rookery.operators import deltas
@@ -35,6 +36,23 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
     assert counts(summary.read()) == {("2024-01-01", "view"): 2} and summary.versions()[-1] == 1
 
 
+def test_a_new_checkpoint_is_told(spark, sf, tmp_path):
+    """Neither dropped nor counted twice: an error, or merged where the caller says that only new rows come."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    first, second, folder = str(tmp_path / "in"), str(tmp_path / "more"), str(tmp_path / "summary")
+    events.where("event_id % 2 = 0").coalesce(1).write.parquet(first)
+    events.where("event_id % 2 = 1").coalesce(1).write.parquet(second)
+    jobs.run_once(jobs.stream_parquet(spark, first, "ts"), merged(spark, folder), str(tmp_path / "p1"), "append")
+    before = counts(merged(spark, folder).read())
+    with pytest.raises(Exception, match="another query or checkpoint"):
+        jobs.run_once(jobs.stream_parquet(spark, second, "ts"), merged(spark, folder), str(tmp_path / "p2"), "append")
+    assert counts(merged(spark, folder).read()) == before
+    adopting = merged(spark, folder)
+    adopting.adopt = True
+    jobs.run_once(jobs.stream_parquet(spark, second, "ts"), adopting, str(tmp_path / "p3"), "append")
+    assert counts(adopting.read()) == counts(daily(events))
+
+
 def test_first_of_each(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").limit(500)
     source = str(tmp_path / "in")
