@@ -83,6 +83,28 @@ def split_edges(t: Tables) -> DataFrame:
     return joins.skew_join(t.association, table, "fen_fen", large=0).select("fen_fen", "game_link", "n_move", "score")
 
 
+@query("SELECT 'p' || c_custkey AS player_name, c_name AS name, 'u/' || c_custkey AS url, CASE WHEN c_custkey % 2 = 0 THEN 'GM' END AS title, CAST(c_nationkey AS INT) AS followers, CAST(c_nationkey AS VARCHAR) AS country, c_mktsegment AS location, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey END AS joined, c_custkey % 5 = 0 AS is_streamer, c_custkey % 7 = 0 AS verified, 'L' || c_nationkey AS league FROM customer")
+def player_profiles(t: Tables) -> DataFrame:
+    """Profiles as JSON, made from customers and read again."""
+    key, text = F.col("c_custkey"), lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    fields = {
+        "username": text(" P", key.cast("string"), " "),
+        "name": F.col("c_name"),
+        "url": text("u/", key.cast("string")),
+        "title": F.when(key % 2 == 0, "GM"),
+        "followers": F.col("c_nationkey").cast("int"),
+        "country": text("https://example.org/country/", F.col("c_nationkey").cast("string")),
+        "location": F.col("c_mktsegment"),
+        "joined": F.when(key % 3 == 0, "never").otherwise(key.cast("string")),
+        "is_streamer": key % 5 == 0,
+        "verified": key % 7 == 0,
+        "league": text("L", F.col("c_nationkey").cast("string")),
+    }
+    raw = t.raw("customer").select(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("t"))
+    rows = archives.normalize_profile(raw.select(F.from_json("t", archives.PROFILE).alias("s")).select("s.*"))
+    return rows.select("player_name", "name", "url", "title", "followers", "country", "location", "joined", "is_streamer", "verified", "league")
+
+
 # Labels, groups and sums
 
 

@@ -82,10 +82,20 @@ def ingest(raw: DataFrame) -> dict[str, DataFrame]:
     return {"game": games.drop("pgn", "bonus"), "game_player": gp, "moves": moves, "game_opening": opening, "months": month_ledger(gp)}
 
 
+PROFILE = "username string, name string, url string, title string, avatar string, followers int, country string, location string, joined string, status string, is_streamer boolean, twitch_url string, verified boolean, league string"
+
+
 def normalize_profile(df: DataFrame) -> DataFrame:
-    """Profile JSON fields to a player row."""
+    """Profile JSON fields (as in PROFILE) to a player row; fields that the frame lacks are null."""
+    kinds = {"is_streamer": "boolean", "verified": "boolean", "followers": "int"}
+    plain = lambda n: F.col(n) if n in df.columns else F.lit(None).cast(kinds.get(n, "string")).alias(n)
     return df.select(
-        c.canonical("username").alias("player_name"), "name", "title", "followers", c.last_segment("country").alias("country"), F.coalesce(F.col("joined").try_cast("long"), F.lit(0)).alias("joined"), "status"
+        c.canonical("username").alias("player_name"),
+        *[plain(n) for n in ("name", "url", "title", "avatar", "followers")],
+        c.last_segment("country").alias("country"),
+        plain("location"),
+        F.coalesce(F.col("joined").try_cast("long"), F.lit(0)).alias("joined"),
+        *[plain(n) for n in ("status", "is_streamer", "twitch_url", "verified", "league")],
     )
 
 

@@ -42,6 +42,9 @@ def test_profiles_and_stats(spark):
     profile = spark.createDataFrame([(" Ann ", "A", "GM", 3, "https://x/country/DE", "17", "premium"), ("bob", None, None, None, None, "bad", None)], "username string, name string, title string, followers int, country string, joined string, status string")
     got = {r.player_name: r for r in archives.normalize_profile(profile).collect()}
     assert got["ann"].country == "DE" and got["ann"].joined == 17 and got["bob"].joined == 0
+    text = '{"username": "Ann", "url": "u", "avatar": "a", "location": "Bonn", "is_streamer": true, "twitch_url": "t", "verified": false, "league": "Gold", "joined": "x", "country": "https://c/FR"}'
+    full = archives.normalize_profile(spark.createDataFrame([(text,)], "t string").select(F.from_json("t", archives.PROFILE).alias("s")).select("s.*")).first()
+    assert (full.url, full.avatar, full.location, full.is_streamer, full.twitch_url, full.verified, full.league, full.joined, full.country, full.name) == ("u", "a", "Bonn", True, "t", False, "Gold", 0, "FR", None)
     mode = "struct<last:struct<rating:int,percentile:double,percentage_rank:double>,best:struct<rating:int>,record:struct<game_count:int,win:int,loss:int,draw:int>>"
     text = json.dumps({"chess_blitz": {"last": {"rating": 1500, "percentile": 0.0, "percentage_rank": 88.5}, "best": {"rating": 1600}, "record": {"game_count": 5, "win": 2, "loss": 2, "draw": 1}}})
     stats = spark.createDataFrame([("ann", text)], "player_name string, t string").select("player_name", F.from_json("t", ", ".join(f"chess_{m} {mode}" for m in ("bullet", "blitz", "rapid"))).alias("s")).select("player_name", "s.*")
