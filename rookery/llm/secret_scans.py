@@ -10,7 +10,9 @@ The candidates travel to the documents: as a broadcast while there are at most `
 in a shuffle by id and text hash beyond that.
 
 Defined cases: null text counts as empty; rows with null or repeated ids are told apart by their
-texts' hashes, and equal rows get equal results. An empty table gives no rows.
+texts' hashes, and equal rows get equal results. An empty table gives no rows. Texts of any length are searched whole.
+Spans of a kind never overlap, the leftmost stays; spans of different kinds at one place go by the order of the rules.
+Columns besides id and text don't matter, whatever their names.
 """
 
 from __future__ import annotations

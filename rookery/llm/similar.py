@@ -13,7 +13,8 @@ and no division into blocks of bits finds such pairs without loss and without qu
 
 A bucket of more than `CHUNK` members is cut by hash, and every pair of pieces is its own bucket.
 
-Texts without words have the empty set, node 0, and no links.
+Defined cases: null and empty texts and texts without words have the empty set, node 0, and no links. Texts of any length
+are read whole. Repeated rows and equal sets are one node. An empty table gives no links. Ties don't arise: links have no order.
 """
 
 from __future__ import annotations
