@@ -696,4 +696,4 @@ def streamed_activity(t: Tables) -> DataFrame:
     return merged.read()
 
 
-from . import details, updates  # noqa: E402, F401  further queries, which register themselves
+from . import archived, details, sketched, updates  # noqa: E402, F401  further queries, which register themselves

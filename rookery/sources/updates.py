@@ -16,6 +16,8 @@ from ..functions.columns import BUCKETS
 from ..operators import deltas, games, jobs, positions
 from ..operators.storage import written
 from ..operators.tables import game_players
+from .archive_reader import opened
+from .archives import parsed_games, parsed_moves
 from .store import Rows, Snapshot, Store, Whole
 from .upserts import insert_ignore, new_only, replace_keys, shell_players, update_by_key, upsert_add, upsert_replace
 
@@ -34,6 +36,7 @@ KEYS = {
     "continuation": ["fen"],
     "game_analysis_summary": ["link"],
     "failures": ["key"],
+    "broken_months": ["file"],
 }
 _BY_BUCKET = partial(deltas.merge_keyed, keys=["bucket"], sums=["positions", "appearances", "abs_score_sum"])
 _SCORES = ["score", "next_moves", "wdl_win", "wdl_draw", "wdl_loss"]
@@ -84,6 +87,23 @@ def ingest_games(store: Store, parsed: DataFrame, moves: DataFrame, job: str, ba
     )
 
 
+class ArchiveBatches:
+    """A stream of archive rows into a store: new games by ingest_games, broken months to the table `broken_months`.
+
+    The two are commits of their own, each of which knows its batch, so a batch that comes again after either changes nothing.
+    """
+
+    def __init__(self, store: Store, job: str):
+        self.store, self.job = store, job
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        rows, broken = opened(written(batch))
+        parsed = written(parsed_games(rows))
+        ingest_games(self.store, parsed.drop("pgn", "bonus"), parsed_moves(parsed), self.job, number)
+        self.store.commit(f"{self.job}/broken", number, {"broken_months": Rows(broken)})
+        self.store.vacuum()
+
+
 def _with_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """insert_ignore of rows that may lack columns."""
     return old.unionByName(new_only(new, old, keys), allowMissingColumns=True)
