@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import games, tables
 from ..operators.storage import shared_folder
-from ..sources import archive_reader, archives, updates, upserts
+from ..sources import archive_reader, archives, layout, updates, upserts
 from ..sources.store import Rows, Store
 from ..streaming import jobs
 from .adapters import Tables
@@ -130,3 +130,31 @@ def singleton_row(t: Tables) -> DataFrame:
 def inline_ranges(t: Tables) -> DataFrame:
     ranges = tables.ranges_df(t.spark, [("low", 0, 99), ("middle", 100, 199), ("high", 200, 100000)], "label string, low int, high int")
     return t.game.join(ranges, F.col("white_elo").between(F.col("low"), F.col("high"))).groupBy("label").agg(F.count("*").alias("games"))
+
+
+# Layouts for lookups
+
+
+@query("SELECT link, white, black, mode FROM game WHERE link IN (1, 7, 4096, 7777, 123456789)", "game")
+def looked_up_games(t: Tables) -> DataFrame:
+    """A few games out of a table that lies by link."""
+    path = _folder(t, "games")
+    layout.write_games(t.game, path)
+    return layout.lookup(t.spark, path, "link", [1, 7, 4096, 7777, 123456789, None]).select("link", "white", "black", "mode")
+
+
+@query("SELECT link, color, player_name FROM gp WHERE link IN (3, 4097, 9000)", "gp")
+def looked_up_sides(t: Tables) -> DataFrame:
+    """Both sides of a few games out of a table that lies by player: by Bloom filters."""
+    path = _folder(t, "sides")
+    layout.write_player_games(t.gp, path, distinct=100_000)
+    return layout.lookup(t.spark, path, "link", [3, 4097, 9000]).select("link", "color", "player_name")
+
+
+@query("SELECT link, color, rating FROM gp WHERE player_name = 4 ORDER BY played_at DESC, link DESC, color DESC LIMIT 10", "gp")
+def clustered_page(t: Tables) -> DataFrame:
+    """A player's newest games out of the same layout."""
+    path = _folder(t, "sides")
+    layout.write_player_games(t.gp, path)
+    rows = t.spark.read.parquet(path).where("player_name = 4")
+    return tables.paginate(rows, [F.col("played_at").desc(), F.col("link").desc(), F.col("color").desc()], 1, 10).select("link", "color", "rating")

@@ -136,11 +136,12 @@ def _listed(path: str) -> list[tuple[int, str, int]]:
     return sorted(r for r in rows if not hidden(r[1]))
 
 
-def _packed(path: str, rows: list[tuple[int, str, int]]) -> list[Months]:
-    """Tasks of about TASK bytes; a larger month is a task of its own."""
+def _packed(path: str, rows: list[tuple[int, str, int]], tasks: int) -> list[Months]:
+    """Tasks of about TASK bytes, less where that leaves some of `tasks` idle; a larger month is a task of its own."""
     packs, held = [], 0
+    most = min(TASK, max(CHUNK, sum(size for _, _, size in rows) // tasks))
     for _, name, size in rows:
-        if not packs or held + size > TASK:
+        if not packs or held + size > most:
             packs.append([])
             held = 0
         packs[-1].append((path, name))
@@ -154,6 +155,7 @@ class _Reads:
     def __init__(self, options: dict):
         self.path, self.repair = options["path"].rstrip("/"), str(options.get("repair", "false")).lower() == "true"
         self.keep, self.most = int(options.get("keep", KEEP)), int(options.get("most", MOST))
+        self.tasks = int(options.get("tasks", 1))
 
     def read(self, partition: Months | None) -> Iterator[tuple]:
         for path, name in partition.files if partition else []:  # where there are no months, Spark asks without a partition
@@ -183,7 +185,7 @@ class _Reads:
 
 class _Batch(_Reads, DataSourceReader):
     def partitions(self) -> list[Months]:
-        return _packed(self.path, _listed(self.path))
+        return _packed(self.path, _listed(self.path), self.tasks)
 
 
 class _Stream(_Reads, DataSourceStreamReader):
@@ -205,7 +207,7 @@ class _Stream(_Reads, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Months]:
         low, high = ((o["time"], o["name"]) for o in (start, end))
-        return _packed(self.path, [r for r in _listed(self.path) if low < r[:2] <= high])
+        return _packed(self.path, [r for r in _listed(self.path) if low < r[:2] <= high], self.tasks)
 
     def commit(self, end: dict) -> None:
         pass
@@ -228,20 +230,20 @@ class GameArchives(DataSource):
         return _Stream(self.options)
 
 
-def _options(path: str, repair: bool, more: dict) -> dict[str, str]:
-    return {"path": path, "repair": str(repair)} | {k: str(v) for k, v in more.items()}
+def _options(spark: SparkSession, path: str, repair: bool, more: dict) -> dict[str, str]:
+    return {"path": path, "repair": str(repair), "tasks": str(spark.sparkContext.defaultParallelism)} | {k: str(v) for k, v in more.items()}
 
 
 def archive_rows(spark: SparkSession, path: str, repair: bool = False, **options) -> DataFrame:
     """Rows of SCHEMA for all months under player=.../year=.../month=... ."""
     spark.dataSource.register(GameArchives)
-    return spark.read.format("game_archives").options(**_options(path, repair, options)).load()
+    return spark.read.format("game_archives").options(**_options(spark, path, repair, options)).load()
 
 
 def stream_archives(spark: SparkSession, path: str, repair: bool = False, **options) -> DataFrame:
     """The same as a stream: months that are new or have changed since the last batch."""
     spark.dataSource.register(GameArchives)
-    return spark.readStream.format("game_archives").options(**_options(path, repair, options)).load()
+    return spark.readStream.format("game_archives").options(**_options(spark, path, repair, options)).load()
 
 
 def opened(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
