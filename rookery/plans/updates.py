@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.jobs import half_moves
 from ..operators.positions import read_evaluations
 from ..operators.storage import shared_folder
 from ..sources import updates
 from ..sources.store import Store
+from ..streaming import folds, jobs
 from .adapters import Tables
 from .catalogue import _when, query
 
@@ -134,3 +136,17 @@ def evaluated_continuations(t: Tables) -> DataFrame:
 @query(", plies AS (SELECT link, 2 * n_move - 1 AS ply, white_move AS token FROM moves WHERE white_move NOT IN ('', '--') UNION ALL SELECT link, 2 * n_move, black_move FROM moves WHERE black_move NOT IN ('', '--')), steps AS (SELECT link, token, row_number() OVER (PARTITION BY link ORDER BY ply) AS step FROM plies WHERE link IN (SELECT link FROM game)) SELECT link AS key, CAST(min(step) AS INT) AS step, 'R7' AS token FROM steps WHERE token = 'R7' GROUP BY link", "moves", "game")
 def quarantined_games(t: Tables) -> DataFrame:
     return _evaluated(t).read("failures").select("key", "step", "token")
+
+
+@query(_EDGES + "SELECT link AS key, CAST(step AS INT) AS step, token, token || '/' || ((step - 1) % 5) || ' ' || CASE (step - 1) % 2 WHEN 0 THEN 'b' ELSE 'w' END || ' - - ' || (step - 1) || ' 1' AS state FROM steps", "moves", "game")
+def streamed_states(t: Tables) -> DataFrame:
+    """States of games that grow: their first two moves come in one run of a stream, the others in the next."""
+    folder = f"{shared_folder(t.spark)}/fold-{uuid.uuid4().hex}"
+    sink = folds.FoldedStates(t.spark, f"{folder}/states", 8)
+    plies = half_moves(t.moves).join(t.game.select("link"), "link", "left_semi").select("link", "ply", "n_move", "token")
+    for part in ("n_move <= 2", "n_move > 2"):
+        plies.where(part).write.mode("append").parquet(f"{folder}/plies")
+        stream = t.spark.readStream.schema(plies.schema).parquet(f"{folder}/plies")
+        with folds.lasting_state(t.spark):
+            jobs.run_once(folds.fold_stream(stream, "link", "ply", "token", _numbered, 0), sink, f"{folder}/progress", "append")
+    return sink.states().select("key", "step", "token", "state")
