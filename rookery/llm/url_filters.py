@@ -9,9 +9,9 @@ longest rule that fits a URL decides. Other URLs get their host's verdict from t
 
 Links are the absolute and protocol-relative hrefs of pages, counted by pairs of hosts, and each
 subdomain's link to the domain above it. Relative hrefs stay on their host and say nothing.
-A host is blocked where its distrust exceeds `RATIO` times its trust. Both are shares of their own
-seeds' mass, unrounded, and no least score has to be exceeded, so a pattern of links gets the same
-verdict in a table of any size. Both propagations share the rounds; each round is one join and one
+A host is blocked where its distrust exceeds `RATIO` times its trust. Every page that a rule judges brings the same mass, whichever its
+verdict, so neither kind outweighs the other where it has fewer pages. Scores are unrounded, and no least score has to be exceeded, so
+a pattern of links gets the same verdict in a table of any size. Both propagations share the rounds; each round is one join and one
 sum over edges that were pre-aggregated. Every `STEP` rounds the scores are written, until no host's
 score has grown by more than `TOLERANCE` of itself since they were written before. Scores never
 fall, and a host that is reached for the first time has grown by all of its score, so rounds go on until
@@ -136,8 +136,8 @@ def host_scores(pages: DataFrame, rules: tuple = RULES, url_col: str = "url", ht
     places = pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     told = places.select(node_of(F.col("host")).alias("host"), rule_of(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict")).where("verdict IS NOT NULL AND host <> ''")
     count = saved(told.groupBy("host", F.when(F.col("verdict") == "allow", "t").otherwise("d").alias("kind")).agg(F.count("*").alias("n")))
-    every = count.groupBy("kind").agg(F.sum("n").alias("all"))
-    seeds = count.join(F.broadcast(every), "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("share"))
+    every = count.agg(F.sum("n").alias("all"))  # one mass for both kinds
+    seeds = count.crossJoin(F.broadcast(every)).select("kind", "host", (F.col("n") / F.col("all")).alias("share"))
     scores = propagate(host_edges(pages, url_col, html_col), seeds)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     return scores.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
