@@ -136,8 +136,8 @@ def host_scores(pages: DataFrame, rules: tuple = RULES, url_col: str = "url", ht
     places = pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     told = places.select(node_of(F.col("host")).alias("host"), rule_of(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict")).where("verdict IS NOT NULL AND host <> ''")
     count = saved(told.groupBy("host", F.when(F.col("verdict") == "allow", "t").otherwise("d").alias("kind")).agg(F.count("*").alias("n")))
-    every = count.agg(F.sum("n").alias("all"))  # one mass for both kinds
-    seeds = count.crossJoin(F.broadcast(every)).select("kind", "host", (F.col("n") / F.col("all")).alias("share"))
+    every = count.agg(F.sum("n")).first()[0] or 1  # one mass for both kinds
+    seeds = count.select("kind", "host", (F.col("n") / every).alias("share"))
     scores = propagate(host_edges(pages, url_col, html_col), seeds)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     return scores.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
