@@ -71,6 +71,25 @@ def prefix_keys(sequences: DataFrame, keys: Sequence[str], tokens: str = "tokens
     return sequences.where(F.size(tokens) > 0).select(*keys, F.explode(steps).alias("s")).select(*keys, "s.step", "s.state")
 
 
+def running_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], token: str, before: DataFrame | None = None) -> DataFrame:
+    """keys, step, state of each row: a digest of the tokens up to it, in work that grows with the rows and not with their square.
+
+    The digest is three running sums of 40 bits of each token's own digest with its step, so it can be continued: before
+    has the last step and state of keys whose earlier rows aren't here. No sequence is collected. Equal prefixes are equal states;
+    other ones differ but for chance (about 2^-120 a pair). A null token counts as an empty one; ties in `order` go by token.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order, token)
+    rows = df.select(*keys, *[o for o in order if o not in keys], F.coalesce(F.col(token).cast("string"), F.lit("")).alias("__token"), F.row_number().over(w).alias("__row"))
+    if before is None:
+        rows = rows.withColumns({"__done": F.lit(0), "__from": F.lit("0-0-0")})
+    else:
+        rows = rows.join(before.select(*keys, F.col("step").alias("__done"), F.col("state").alias("__from")), list(keys), "left").na.fill({"__done": 0, "__from": "0-0-0"})
+    rows = rows.withColumn("__step", F.col("__row") + F.col("__done"))
+    digest, sums = F.md5(F.concat_ws(":", "__step", "__token").cast("binary")), Window.partitionBy(*keys).orderBy("__row")
+    part = lambda i: F.sum(F.conv(F.substring(digest, 10 * i + 1, 10), 16, 10).cast("long")).over(sums) + F.split("__from", "-")[i].cast("long")
+    return rows.select(*keys, F.col("__step").alias("step"), F.concat_ws("-", *[part(i) for i in range(3)]).alias("state"))
+
+
 def fold_sequences(df: DataFrame, key: str, order: Sequence[str], token: str, step: Callable, start, key_type: str = "long", keep: Callable[[DataFrame], DataFrame] = lambda out: out) -> tuple[DataFrame, DataFrame]:
     """States and failures of a user's step(state, token) -> (state, text), folded along each key.
 

@@ -376,3 +376,20 @@ def digest_sample(t: Tables) -> DataFrame:
 def breaks_goodness(t: Tables) -> DataFrame:
     hist = t.game.groupBy(F.col("black_elo").alias("value")).agg(F.count("*").alias("n"))
     return nb.goodness(hist, nb.natural_breaks(hist, 3)).select(F.round("gvf", 9).alias("gvf"))
+
+
+# Prefixes
+
+
+@query(
+    """, p AS (SELECT link, n_move, row_number() OVER (PARTITION BY link ORDER BY n_move) AS step, white_move || '/' || black_move AS token FROM moves),
+d AS (SELECT link, step, md5(step || ':' || token) AS m FROM p)
+SELECT link, CAST(step AS INT) AS step, (sum(CAST('0x' || substr(m, 1, 10) AS BIGINT)) OVER w) || '-' || (sum(CAST('0x' || substr(m, 11, 10) AS BIGINT)) OVER w) || '-' || (sum(CAST('0x' || substr(m, 21, 10) AS BIGINT)) OVER w) AS state FROM d WINDOW w AS (PARTITION BY link ORDER BY step)""",
+    "moves",
+)
+def running_prefixes(t: Tables) -> DataFrame:
+    """Prefix states of games in two parts: the second goes on from the first's last states."""
+    rows = t.moves.select("link", "n_move", F.concat_ws("/", "white_move", "black_move").alias("token"))
+    first = positions.running_keys(rows.where("n_move <= 3"), ["link"], ["n_move"], "token")
+    last = first.groupBy("link").agg(F.max_by(F.struct("step", "state"), "step").alias("s")).select("link", "s.step", "s.state")
+    return first.unionByName(positions.running_keys(rows.where("n_move > 3"), ["link"], ["n_move"], "token", last))
