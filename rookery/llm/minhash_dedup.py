@@ -294,13 +294,23 @@ def links(nodes: DataFrame, sets: Sets, percent: int, piece: int = PIECE, growth
     return found
 
 
+def marks(texts: DataFrame, shingle: int, kind: str) -> DataFrame:
+    """The written table of number, id, n_shingles, d1 and d2 (the set), keys and bits, a row for each row (number, id, text)."""
+    return saved(texts.select("number", "id", "text").mapInArrow(_marker(shingle), MARKED.format(id=kind)))
+
+
+def nodes_of(marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, size, keys and bits of the sets that aren't empty. sets: a row for each set, node being the number of one of its rows."""
+    rows = marked.where("n_shingles > 0").join(sets.select(F.col("node").alias("number")), "number", "left_semi")
+    return rows.select(F.col("number").alias("node"), F.col("n_shingles").alias("size"), "keys", "bits")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, percent: int = 80, piece: int = PIECE, growth: int = GROWTH, most: int = MEMBERS) -> DataFrame:
     """One row for each document: id, n_shingles, component_id, kept."""
     texts = saved(docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")))
-    marked = saved(texts.mapInArrow(_marker(shingle), MARKED.format(id=docs.schema[id_col].dataType.simpleString())))
+    marked = marks(texts, shingle, docs.schema[id_col].dataType.simpleString())
     sets = saved(marked.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("number").alias("node"), F.min("id").alias("least"), F.count("*").alias("n")))
-    nodes = marked.join(sets.select(F.col("node").alias("number")), "number", "left_semi").select(F.col("number").alias("node"), F.col("n_shingles").alias("size"), "keys", "bits")
-    root = saved(components(links(nodes, Sets(texts.select("number", "text"), shingle), percent, piece, growth, most)))
+    root = saved(components(links(nodes_of(marked, sets), Sets(texts.select("number", "text"), shingle), percent, piece, growth, most)))
     told = saved(sets.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = saved(told.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_sets")))
     names = saved(heavy_join(told, sizes, ["root"], "n_sets", told.count()).select("d1", "d2", "n", "component_id"))

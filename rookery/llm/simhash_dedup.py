@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import similar
+from . import minhash_dedup as sets
 from .common import boxed, documents, field, heavy_join, saved, unboxed
 from .components import components
 
@@ -183,31 +183,37 @@ def links(marks: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def _classes(rows: DataFrame, kind: str, shingle: int, similarity: float | None) -> DataFrame:
-    """number, id, mark, component_id and keeper (the number of the row that names the component, if any id does). rows: number, id, text."""
+    """number, id, mark, component_id and keeper (the number of the row that names the component, if any id does). rows: number, id, text.
+
+    Rows of one fingerprint are one node; with a similarity, rows of one set of shingles are.
+    """
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "number"))).alias("first")
     if similarity is None:
         if shingle != SHINGLE:
             raise ValueError("fingerprints have shingles of SHINGLE words")
-        marked = fingerprints(rows, kind)
+        marked, same = fingerprints(rows, kind), ["mark"]
+        nodes = saved(marked.groupBy(*same).agg(F.any_value("mark").alias("node"), first, F.count("*").alias("rows")))
+        found = links(nodes.select("mark"))
     else:
-        full = similar.marks(rows, shingle, kind)
-        marked = full.select("number", "id", "mark")
-    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "number"))).alias("first")
-    nodes = saved(marked.groupBy("mark").agg(first, F.count("*").alias("rows")))
-    found = links(nodes) if similarity is None else similar.links(full.select("mark", "number", "keys").dropDuplicates(["mark"]), rows, shingle, similarity)
-    roots = components(found)
-    named = nodes.join(roots, nodes["mark"] == roots["node"], "left").select("mark", "first", "rows", F.coalesce("root", "mark").alias("root"))
+        full, same = sets.marks(rows, shingle, kind), ["d1", "d2"]
+        marked = full.select("number", "id", *same)
+        nodes = saved(marked.groupBy(*same).agg(F.min("number").alias("node"), first, F.count("*").alias("rows")))
+        found = sets.links(sets.nodes_of(full, nodes), sets.Sets(rows, shingle), round(100 * similarity, 9))
+    named = nodes.join(components(found), "node", "left").select(*same, "node", "first", "rows", F.coalesce("root", "node").alias("root"))
     named = saved(named)
     least = saved(named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("marks")))
-    told = heavy_join(named.select("mark", "rows", "root"), least, ["root"], "marks", named.count())
-    told = saved(told.select("mark", F.col("least.id").alias("component_id"), F.col("least.number").alias("keeper"), "rows"))
-    return heavy_join(marked, told, ["mark"], "rows", marked.count())
+    told = heavy_join(named.select(*same, "node", "rows", "root"), least, ["root"], "marks", named.count())
+    told = saved(told.select(*same, "node", F.col("least.id").alias("component_id"), F.col("least.number").alias("keeper"), "rows"))
+    out = heavy_join(marked, told, same, "rows", marked.count())
+    return out.select("number", "id", F.col("node").alias("mark"), "component_id", "keeper")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row for each row of `docs`: id, mark, component_id (smallest id reachable).
 
     Without a similarity, links and marks are those of the fingerprints (shingles of SHINGLE words, RADIUS bits). With
-    one, links are all pairs whose sets of `shingle`-word shingles reach that Jaccard similarity; marks number the sets.
+    one, links are all pairs whose sets of `shingle`-word shingles reach that Jaccard similarity, found by operator 12's
+    bands, stars and whole sets, as such pairs differ in far more bits than fingerprints allow; marks number the sets.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows if similarity is None else saved(rows)

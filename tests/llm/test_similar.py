@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from rookery.llm import similar
+from rookery.llm import minhash_dedup
 from rookery.llm.simhash_dedup import near_classes, near_dedup
 from test_simhash_dedup import LOWER
 
@@ -50,10 +50,10 @@ def edited(seed=3, n=60):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [similar.CHUNK, 2])
-def test_classes_by_brute_force(docs_of, monkeypatch, chunk):
+@pytest.mark.parametrize("sizes", [(minhash_dedup.PIECE, minhash_dedup.GROWTH, minhash_dedup.MEMBERS), (2, 2, 2)])
+def test_classes_by_brute_force(docs_of, monkeypatch, sizes):
     rows = edited()
-    monkeypatch.setattr(similar.links, "__defaults__", (chunk,))
+    monkeypatch.setattr(minhash_dedup.links, "__defaults__", sizes)
     got = {r.id: r.component_id for r in near_classes(docs_of(rows), shingle=5, similarity=0.8).collect()}
     want = brute_least(rows, 0.8)
     assert got == {d: c for (d, _), c in zip(rows, want, strict=True)}
