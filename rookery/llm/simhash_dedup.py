@@ -18,7 +18,8 @@ A bucket of more than `CHUNK` members is cut by the table: by the distance to th
 `RANGE`, then by that to the next one, and so on while a piece is too large and `LEVELS` last. A
 member also lies in the range that starts within 4 of its distance, so a pair whose distances differ by at most 4 meets
 in the range of the larger one; others are no link. What is still large then are fingerprints so much alike that
-the table can't part them; they are compared as they are.
+the table can't part them. In buckets of more than `MANY` members, whoever is reached from another leaves at once, so a dense
+group, which is mostly one component, costs few comparisons for each member; far apart, members are parted by the table.
 
 Defined cases: null text counts as empty; no words give fingerprint zero; rows with equal
 fingerprints (repeated rows, too) share a component, named by its smallest id; null ids get a component but never name it (it is null if all
@@ -46,6 +47,8 @@ SHINGLE = 4
 PIVOTS = 16
 #: Members from which a bucket is cut, the width of a range of distances, and pivots that cut at most.
 CHUNK, RANGE, LEVELS = 4096, 6, 4
+#: Members up to which the buckets of a task are compared together, step by step.
+MANY = 256
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -132,14 +135,46 @@ def _forest(marks: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return marks[child], marks[top(child)]
 
 
+def _flood(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, root) of one bucket of many members; different fingerprints.
+
+    Whoever is reached leaves, so members that are joined already are never compared with each other.
+    """
+    refs = pivots()
+    order = np.argsort(np.bitwise_count(marks ^ refs[0]), kind="stable")
+    left = marks[order]
+    table = np.bitwise_count(left[:, None] ^ refs[None, :]).astype(np.int16)
+    members, roots = [], []
+    while len(left):
+        root, queue = left[0], [(left[0], table[0])]
+        left, table = left[1:], table[1:]
+        while queue and len(left):
+            mark, row = queue.pop()
+            low, high = np.searchsorted(table[:, 0], (row[0] - RADIUS, row[0] + RADIUS + 1))
+            could = low + np.flatnonzero(np.abs(table[low:high] - row).max(axis=1) <= RADIUS)
+            near = could[np.bitwise_count(left[could] ^ mark) <= RADIUS]
+            if len(near):
+                queue.extend(zip(left[near], table[near], strict=True))
+                members.append(left[near])
+                roots.append(np.full(len(near), root))
+                left, table = np.delete(left, near), np.delete(table, near, axis=0)
+    none = np.zeros(0, dtype=np.uint64)
+    return np.concatenate([none, *members]), np.concatenate([none, *roots])
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket (t, key, c); whole buckets are compared together, up to some 64k rows."""
     held: list[np.ndarray] = []
 
     def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
-        a, b = _forest(rows[:, 3].view(np.uint64), np.cumsum(new))
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1))))
+        sizes = np.diff(np.append(starts, len(rows)))
+        marks, bucket = np.ascontiguousarray(rows[:, 3]).view(np.uint64), np.repeat(np.arange(len(starts)), sizes)
+        few = (sizes <= MANY)[bucket]
+        found = [_forest(marks[few], bucket[few])] if few.any() else []
+        found += [_flood(marks[starts[i] : starts[i] + sizes[i]]) for i in np.flatnonzero(sizes > MANY)]
+        for a, b in found:
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     count = 0
     for batch in batches:

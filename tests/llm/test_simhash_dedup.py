@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -117,3 +118,39 @@ def test_rows_that_stay(docs_of, awkward):
     again = [r.doc_id for r in op.near_dedup(docs_of(awkward)).collect()]
     assert set(again) >= {4, 6, 7, 8, 9} and 5 not in again
     assert op.near_dedup(docs_of([])).count() == 0 and op.near_classes(docs_of([])).count() == 0
+
+
+def _roots(n, links):
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        x, y = top(i), top(j)
+        root[max(x, y)] = min(x, y)
+    return [top(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("flips", [4, 9])
+def test_flood_of_a_dense_bucket(flips):
+    """Flips of one fingerprint: a dense group, and one of many small components; against all pairs."""
+    rng = np.random.default_rng(flips)
+    marks = np.unique(np.array([sum(1 << int(b) for b in rng.choice(64, flips, replace=False)) for _ in range(1500)], dtype=np.uint64))
+    near = np.argwhere(np.triu(np.bitwise_count(marks[:, None] ^ marks[None, :]) <= op.RADIUS, 1))
+    want = _roots(len(marks), near.tolist())
+    members, roots = op._flood(marks)
+    at = {int(m): i for i, m in enumerate(marks)}
+    assert _roots(len(marks), [(at[int(a)], at[int(b)]) for a, b in zip(members, roots, strict=True)]) == want
+    assert len(members) == len(marks) - len(set(want))
+
+
+def test_flood_takes_a_large_dense_bucket():
+    """40,000 members within eight bits of each other are one component after few comparisons."""
+    rng = np.random.default_rng(1)
+    bits = np.argsort(rng.random((40_000, 64)), axis=1)[:, :4].astype(np.uint64)
+    marks = np.unique((np.uint64(1) << bits).sum(axis=1, dtype=np.uint64))
+    members, roots = op._flood(marks)
+    assert len(members) == len(marks) - 1 and len(np.unique(roots)) == 1
