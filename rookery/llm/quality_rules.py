@@ -9,10 +9,10 @@ trusted, so it is judged as one that the corpus hasn't seen, however small that
 rounded to whole numbers before they are summed, so reruns agree to the last bit, in any order.
 
 The threshold comes from the trusted documents' own scores, each left out of the counts that judge it:
-their `SHARE` quantile, less `MARGIN`. Every document below it is rejected.
+their exact `SHARE` quantile, less `MARGIN`. Every document below it is rejected.
 
-Trusted documents: rows of `labels` with quality 1, at most `TRUSTED` of them in the order of
-a hash of their id; that bound makes their ids small enough to broadcast. Nothing else is bounded.
+Trusted documents: all whose id has a row of `labels` with quality 1. Whole-number ids are kept as bitmaps of 64 neighbours. Up to `FEW` of
+these meet the documents on the map side, more in a shuffle. Nothing is bounded.
 
 Defined cases: null text has no words, fails the base rules and is rejected, and so does an empty one. A very
 long text is judged whole. Rows with a null or repeated id are judged one by one, and repeated rows alike. A score
@@ -22,15 +22,18 @@ rules reject. An empty table gives no rows. Columns of `docs` may have any names
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import boxed, documents, field, held, let, saved, unboxed, whole, words_of
+from .common import documents, field, held, let, saved, unboxed, whole, words_of
 
 #: Hash buckets of words and pairs together.
 BUCKETS = 16384
-#: Most labelled rows that the target is counted from.
-TRUSTED = 20000
+#: Bitmaps of trusted ids that are broadcast, at most: some 40 MB.
+FEW = 1_000_000
+#: Scores are counted in cells of a thousandth before the quantile's own are sorted.
+CELLS = 1000
 #: Added to each bucket's count, for smoothing.
 ALPHA = 2.0
 #: Share of the trusted documents that the threshold would leave out, and how far it lies below their quantile.
@@ -53,10 +56,26 @@ def ngram_buckets(hashes: Column) -> Column:
     return F.concat(ones, twos)
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """trusted: at most TRUSTED ids."""
-    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted")).distinct()
-    return saved(ids.orderBy(F.xxhash64("trusted"), "trusted").limit(TRUSTED))
+def _places(docs: DataFrame, id_col: str) -> tuple[Column, Column]:
+    """Where an id is told: the key of its bitmap and the bit there. Other ids than whole numbers have a bitmap each."""
+    place = F.col(f"`{id_col}`")
+    whole_number = isinstance(docs.schema[id_col].dataType, IntegralType)
+    return (F.shiftright(place.cast("long"), 6), place.cast("long").bitwiseAND(F.lit(63)).cast("int")) if whole_number else (place, F.lit(0))
+
+
+def trusted_ids(labels: DataFrame, few: int = FEW) -> DataFrame:
+    """key, bits: bitmaps of the ids of all rows with quality 1; to be broadcast where there are few."""
+    key, bit = _places(labels, "doc_id")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    maps = saved(labels.where("quality = 1 AND doc_id IS NOT NULL").groupBy(key.alias("key")).agg(F.bit_or(one).alias("bits")))
+    return F.broadcast(maps) if maps.count() <= few else maps.hint("merge")
+
+
+def with_trust(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
+    """Boxed rows with own: whether the document is trusted."""
+    key, bit = _places(docs, id_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), bit.alias("bit"))
+    return rows.join(trusted, "key", "left").select("row", F.coalesce(F.getbit("bits", F.col("bit")) == 1, F.lit(False)).alias("own"))
 
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,9 +83,8 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
 
     Besides, for a bucket that a text has once, the log ratio of counts without it: one, and own where the text is trusted.
     """
-    grams = docs.select(F.col(id_col).alias("id"), _hashes(words_of(whole(F.col(text_col)))).alias("h"))
-    grams = grams.join(F.broadcast(trusted), F.col("id") == F.col("trusted"), "left")
-    grams = grams.select(F.col("trusted").isNotNull().cast("long").alias("own"), F.explode(ngram_buckets(F.col("h"))).alias("b"))
+    grams = with_trust(docs.select(id_col, text_col), trusted, id_col).select("own", _hashes(words_of(whole(field(text_col)))).alias("h"))
+    grams = grams.select(F.col("own").cast("long").alias("own"), F.explode(ngram_buckets(F.col("h"))).alias("b"))
     counts = grams.groupBy("b").agg(F.sum("own").alias("t"), F.count("*").alias("r"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").na.fill(0, ["t", "r"])
     one = lambda t: F.round(F.log((t + ALPHA) / (F.col("r") - 1 + ALPHA)) * UNIT).cast("int")
@@ -138,31 +156,45 @@ def log_ratio_sum(buckets: Column, model: Column, own: Column) -> Column:
     return F.when((model["nt"] > 0) & (n > 0), let(once, total)).otherwise(0)
 
 
-def _scored(rows: DataFrame, model: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
-    """Boxed rows with h and, in its place, score: the mean log ratio (null without words)."""
-    out = rows.join(F.broadcast(trusted), field(id_col) == F.col("trusted"), "left")
-    out = out.withColumn("grams", ngram_buckets(F.col("h"))).withColumn("model", model.scalar())
-    out = out.withColumn("sum", log_ratio_sum(F.col("grams"), F.col("model"), F.col("trusted").isNotNull()))
-    return out.withColumn("score", held(F.try_divide(F.col("sum") / F.lit(UNIT), F.size("grams")))).drop("grams", "model", "sum", "h", "trusted")
+def _scored(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """Rows with own and h and, in h's place, score: the mean log ratio (null without words)."""
+    out = rows.withColumn("grams", ngram_buckets(F.col("h"))).withColumn("model", model.scalar())
+    out = out.withColumn("sum", log_ratio_sum(F.col("grams"), F.col("model"), F.col("own")))
+    return out.withColumn("score", held(F.try_divide(F.col("sum") / F.lit(UNIT), F.size("grams")))).drop("grams", "model", "sum", "h")
 
 
-def threshold_of(docs: DataFrame, model: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, margin: float = MARGIN) -> DataFrame:
-    """One written row: the score below which a document is rejected."""
-    rows = boxed(docs.select(id_col, text_col)).join(F.broadcast(trusted), field(id_col) == F.col("trusted"), "left_semi")
-    rows = rows.withColumn("h", _hashes(words_of(whole(field(text_col))))).where(F.size("h") >= 50)
-    scores = _scored(rows, model, trusted, id_col)
-    return saved(scores.agg((F.percentile("score", F.lit(share)) - margin).alias("least")))
+def quantile(rows: DataFrame, share: float, column: str = "score") -> float | None:
+    """The exact quantile, between two neighbours where it lies there; null where there is no value. rows: a written table.
 
-
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (a struct of the columns of `docs`), the counts of STATS, base_failed, score (mean log ratio) and kept."""
+    No task holds all values: they are counted by cells, and only the values of the quantile's own cells are sorted.
+    """
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("x"), F.floor(F.col(column) * CELLS).alias("cell"))
+    cells = saved(values.groupBy("cell").agg(F.count("*").alias("n")))
+    n = cells.agg(F.sum("n")).first()[0]
+    if not n:
+        return None
+    low, part = divmod(share * (n - 1), 1)
+    high = min(low + 1, n - 1)
+    upto = lambda by: F.sum("n").over(Window.orderBy(by))
+    near = cells.withColumn("upto", upto("cell")).where((F.col("upto") > low) & (F.col("upto") - F.col("n") <= high))
+    first, last, before = near.agg(F.min("cell"), F.max("cell"), F.min(F.col("upto") - F.col("n"))).first()
+    each = values.where(F.col("cell").between(first, last)).groupBy("x").agg(F.count("*").alias("n")).withColumn("upto", before + upto("x"))
+    a, b = each.agg(*[F.min(F.when(F.col("upto") > at, F.col("x"))) for at in (low, high)]).first()
+    return a + (b - a) * part
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, margin: float = MARGIN) -> DataFrame:
+    """row (a struct of the columns of `docs`), the counts of STATS, base_failed, score (mean log ratio) and kept.
+
+    Scored rows are written once; the threshold is the quantile of the trusted ones among them, from 50 words on.
+    """
     trusted = trusted_ids(labels)
     model = ngram_counts(docs, trusted, id_col, text_col)
-    least = threshold_of(docs, model, trusted, id_col, text_col)
-    out = _scored(with_rule_counts(boxed(docs), text_col), model, trusted, id_col)
+    out = saved(_scored(with_rule_counts(with_trust(docs, trusted, id_col), text_col), model))
+    least = quantile(out.where("own AND n_words >= 50"), share)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    passes = F.coalesce(F.col("score") >= F.coalesce(least.scalar(), F.lit(float("-inf"))), F.lit(False))
-    return out.withColumn("kept", held(~F.col("base_failed") & passes))
+    passes = F.coalesce(F.col("score") >= (float("-inf") if least is None else least - margin), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & passes).drop("own")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

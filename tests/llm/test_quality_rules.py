@@ -99,3 +99,25 @@ def test_filter_keeps_columns(spark, docs_of):
     assert got.columns == docs.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "None"]
     assert op.quality_filter(docs_of([]), labels(spark, [])).count() == 0
+
+
+def test_all_trusted_rows_count(spark, docs_of, monkeypatch):
+    """Of 30,000 trusted rows none is left out, whether their bitmaps are broadcast or not; ids may be negative or texts."""
+    ids = spark.range(-15_000, 15_000).select((F.col("id") * 3).alias("doc_id"), F.lit(1).alias("quality"))
+    docs = docs_of([(d, "w x") for d in (-45_000, -1, 0, 3, 4, 44_997, None, 45_000)])
+    for few in (op.FEW, 0):
+        for cast in ("long", "string"):
+            own = op.with_trust(docs.withColumn("doc_id", F.col("doc_id").cast(cast)), op.trusted_ids(ids.withColumn("doc_id", F.col("doc_id").cast(cast)), few), "doc_id")
+            assert {str(r.doc_id) for r in own.where("own").select("row.doc_id").collect()} == {"-45000", "0", "3", "44997"}
+    every = spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    model = op.ngram_counts(every, op.trusted_ids(every.select("doc_id", F.lit(1).alias("quality")))).first().model
+    assert model.nt == model.nr == 75_000
+
+
+def test_quantile_by_numpy(spark):
+    rng = np.random.default_rng(1)
+    for x in ([], [0.5], [1.0, 2.0], [0.25] * 50 + [1.0], rng.normal(size=999).tolist()):
+        frame = spark.createDataFrame([(v,) for v in x] + [(None,)], "score double")
+        for share in (0.0, 0.01, 0.5, 1.0):
+            got = op.quantile(frame, share)
+            assert got is None if not x else abs(got - np.quantile(x, share)) < 1e-12
