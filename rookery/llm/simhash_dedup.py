@@ -7,8 +7,8 @@ table works: the Hamming distances of each fingerprint to `PIVOTS` fixed referen
 By the triangle inequality no distance to a pivot differs by more than 4 in a link. Members are
 sorted by the first distance, so the comparison of a member stops where that coordinate is 4
 away; of the rest, pairs whose largest coordinate difference exceeds 4 are discarded, and the
-survivors are verified bit by bit. The links that a bucket returns form a spanning forest, at
-most one a member.
+survivors are verified bit by bit. The links that a bucket returns are such pairs, few more than
+a spanning forest has.
 
 Pivot distances alone can't name candidates: distances of 64-bit fingerprints gather around 32,
 so any split by them keeps most pairs together and work would be quadratic. That's why the
@@ -100,7 +100,7 @@ def fingerprints(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def _forest(marks: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, root) of all buckets of some sorted rows; bucket: a number for each row, equal and adjacent for a bucket."""
+    """Linked pairs that join all buckets of some sorted rows; bucket: a number for each row, equal and adjacent for a bucket."""
     table = np.bitwise_count(marks[:, None] ^ pivots()[None, :]).astype(np.int16)
     order = np.lexsort((table[:, 0], bucket))
     marks, bucket, table = marks[order], bucket[order], table[order]
@@ -113,6 +113,8 @@ def _forest(marks: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 return x
             x = up
 
+    none = np.zeros(0, dtype=np.uint64)
+    members, others = [none], [none]
     at, step = np.arange(len(marks)), 0
     while True:
         step += 1
@@ -131,12 +133,14 @@ def _forest(marks: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarr
             differ = x != y
             a, b, x, y = a[differ], b[differ], x[differ], y[differ]
             np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-    child = np.flatnonzero(root != np.arange(len(root)))
-    return marks[child], marks[top(child)]
+            used = root[np.maximum(x, y)] == np.minimum(x, y)
+            members.append(marks[a[used]])
+            others.append(marks[b[used]])
+    return np.concatenate(members), np.concatenate(others)
 
 
-def _flood(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, root) of one bucket of many members; different fingerprints.
+def _flood(marks: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, root) of one bucket of many members, or with `pairs` (member, the one it was reached from); different fingerprints.
 
     Whoever is reached leaves, so members that are joined already are never compared with each other.
     """
@@ -156,7 +160,7 @@ def _flood(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if len(near):
                 queue.extend(zip(left[near], table[near], strict=True))
                 members.append(left[near])
-                roots.append(np.full(len(near), root))
+                roots.append(np.full(len(near), mark if pairs else root))
                 left, table = np.delete(left, near), np.delete(table, near, axis=0)
     none = np.zeros(0, dtype=np.uint64)
     return np.concatenate([none, *members]), np.concatenate([none, *roots])
@@ -172,7 +176,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, bucket = np.ascontiguousarray(rows[:, 3]).view(np.uint64), np.repeat(np.arange(len(starts)), sizes)
         few = (sizes <= MANY)[bucket]
         found = [_forest(marks[few], bucket[few])] if few.any() else []
-        found += [_flood(marks[starts[i] : starts[i] + sizes[i]]) for i in np.flatnonzero(sizes > MANY)]
+        found += [_flood(marks[starts[i] : starts[i] + sizes[i]], True) for i in np.flatnonzero(sizes > MANY)]
         for a, b in found:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -217,6 +221,21 @@ def links(marks: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.repartition("t", "key", "c").sortWithinPartitions("t", "key", "c").mapInArrow(_links, "a bigint, b bigint")
 
 
+def _confirmed(marked: DataFrame, nodes: DataFrame, whole_sets: sets.Sets, percent: float) -> DataFrame:
+    """Links (a, b) of nodes whose fingerprints link and whose whole sets are alike. Written.
+
+    A fingerprint's first node meets its other nodes and the first ones of the fingerprints that it links with.
+    """
+    own = marked.select("number", "mark").join(nodes.select(F.col("node").alias("number")), "number")
+    firsts = saved(own.groupBy("mark").agg(F.min("number").alias("first"), F.count("*").alias("n")))
+    copies = heavy_join(saved(own), firsts, ["mark"], "n", own.count()).where("number <> first").select(F.col("first").alias("a"), F.col("number").alias("b"))
+    name = lambda side: firsts.select(F.col("mark").alias(side), F.col("first").alias(f"{side}_first"))
+    pairs = links(firsts.select("mark")).distinct().join(name("a"), "a").join(name("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    both = pairs.unionByName(copies).select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("member")).distinct()
+    done = sets.compared(saved(both), whole_sets, percent)
+    return done.where("near").select(F.col("centre").alias("a"), F.col("member").alias("b"))
+
+
 def _classes(rows: DataFrame, kind: str, shingle: int, similarity: float | None) -> DataFrame:
     """number, id, mark, component_id and keeper (the number of the row that names the component, if any id does). rows: number, id, text.
 
@@ -233,7 +252,9 @@ def _classes(rows: DataFrame, kind: str, shingle: int, similarity: float | None)
         full, same = sets.marks(rows, shingle, kind), ["d1", "d2"]
         marked = full.select("number", "id", *same)
         nodes = saved(marked.groupBy(*same).agg(F.min("number").alias("node"), first, F.count("*").alias("rows")))
-        found = sets.links(sets.nodes_of(full, nodes), sets.Sets(rows, shingle), round(100 * similarity, 9))
+        whole_sets, percent = sets.Sets(rows, shingle), round(100 * similarity, 9)
+        near = _confirmed(fingerprints(rows, kind), nodes, whole_sets, percent)
+        found = sets.links(sets.nodes_of(full, nodes), whole_sets, percent).unionByName(near)
     named = nodes.join(components(found), "node", "left").select(*same, "node", "first", "rows", F.coalesce("root", "node").alias("root"))
     named = saved(named)
     least = saved(named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("marks")))
@@ -247,8 +268,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of `docs`: id, mark, component_id (smallest id reachable).
 
     Without a similarity, links and marks are those of the fingerprints (shingles of SHINGLE words, RADIUS bits). With
-    one, links are all pairs whose sets of `shingle`-word shingles reach that Jaccard similarity, found by operator 12's
-    bands, stars and whole sets, as such pairs differ in far more bits than fingerprints allow; marks number the sets.
+    one, links are all pairs whose sets of `shingle`-word shingles reach that Jaccard similarity: those that fingerprints and
+    pivot tables link, confirmed on whole sets, and the others by operator 12's bands, stars and whole sets, as most such
+    pairs differ in far more bits than fingerprints allow; marks number the sets.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows if similarity is None else saved(rows)

@@ -154,3 +154,26 @@ def test_flood_takes_a_large_dense_bucket():
     marks = np.unique((np.uint64(1) << bits).sum(axis=1, dtype=np.uint64))
     members, roots = op._flood(marks)
     assert len(members) == len(marks) - 1 and len(np.unique(roots)) == 1
+
+
+def test_links_are_pairs_within_the_radius(spark):
+    """In small and in large buckets: chains of fingerprints four bits apart, whose ends are far apart."""
+    rng = np.random.default_rng(5)
+    marks, at = [], 0
+    for _ in range(600):
+        for bit in rng.choice(12, 4, replace=False):
+            at ^= 1 << int(bit)
+        marks.append(at)
+    frame = spark.createDataFrame([(m,) for m in set(marks)], "mark long")
+    pairs = [(r.a, r.b) for r in op.links(frame).collect()]
+    assert pairs and all((a ^ b).bit_count() <= op.RADIUS for a, b in pairs)
+
+
+def test_near_stage_takes_fingerprints(spark, docs_of, monkeypatch):
+    """Without any bands, the fingerprints and their pivot tables still find the copies that they can; whole sets refuse what isn't alike."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(f"q{i}" for i in range(50))), (4, "a b"), (5, "a  b"), (6, None)]
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(op.sets, "links", lambda *_: none)
+    got = {r.id: r.component_id for r in op.near_classes(docs_of(rows), shingle=5, similarity=0.8).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
