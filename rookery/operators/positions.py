@@ -33,16 +33,16 @@ def opening_moves(moves: DataFrame, high: int = 10) -> DataFrame:
     return games.select("link", F.transform(F.slice("m", F.lit(1), run), lambda x: F.concat_ws(" ", x["white_move"], x["black_move"])).alias("parts"))
 
 
-def _prefixes(rows: DataFrame, keep: Sequence[str], low: int, high: int) -> DataFrame:
-    """keep, n_moves, opening: each row's parts as texts of low to high moves; only lengths that are there."""
+def opening_prefixes(rows: DataFrame, keep: Sequence[str], low: int, high: int, more: Sequence[str] = ()) -> DataFrame:
+    """keep, n_moves, opening, more: each row's parts as texts of low to high moves; only lengths that are there."""
     sizes = F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.size("parts")))).alias("n_moves")
-    rows = rows.where(F.size("parts") >= low).select(*keep, "parts", sizes)
-    return rows.select(*keep, "n_moves", F.array_join(F.slice("parts", F.lit(1), F.col("n_moves")), " ").alias("opening"))
+    rows = rows.where(F.size("parts") >= low).select(*keep, *more, "parts", sizes)
+    return rows.select(*keep, "n_moves", F.array_join(F.slice("parts", F.lit(1), F.col("n_moves")), " ").alias("opening"), *more)
 
 
 def openings(moves: DataFrame, low: int = 3, high: int = 10) -> DataFrame:
     """link, n_moves, opening: the first n full moves as text, for games that have them all without a missing half-move."""
-    return _prefixes(opening_moves(moves, high), ["link"], low, high)
+    return opening_prefixes(opening_moves(moves, high), ["link"], low, high)
 
 
 def opening_counts(moves: DataFrame, game: DataFrame, low: int = 3, high: int = 10) -> DataFrame:
@@ -50,7 +50,7 @@ def opening_counts(moves: DataFrame, game: DataFrame, low: int = 3, high: int =
     each different sequence, not each game, is spelled out to its prefixes."""
     rows = opening_moves(moves, high).where(F.size("parts") >= low).join(game.select("link", "avg_elo"), "link")
     same = rows.groupBy("parts").agg(F.count("*").alias("n"), F.sum("avg_elo").alias("elo_sum"), F.count("avg_elo").alias("rated"))
-    return _prefixes(same, ["n", "elo_sum", "rated"], low, high).groupBy("n_moves", "opening").agg(*[F.sum(c).alias(c) for c in ("n", "elo_sum", "rated")])
+    return opening_prefixes(same, ["n", "elo_sum", "rated"], low, high).groupBy("n_moves", "opening").agg(*[F.sum(c).alias(c) for c in ("n", "elo_sum", "rated")])
 
 
 def contiguous(moves: DataFrame) -> DataFrame:

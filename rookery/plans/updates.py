@@ -43,7 +43,7 @@ def _ingested(t: Tables) -> Store:
     for number, part in ((0, "link % 3 < 2"), (1, "link % 3 > 0"), (1, "link % 3 > 0")):
         if number == 0:  # players known before the games are
             updates.store_profiles(store, t.player, t.player.select("player_name").limit(0), "profiles", 0)
-        updates.ingest_games(store, t.game.where(part), t.moves, "games", number)
+        updates.ingest_games(store, t.game.where(part), t.moves.where(part), "games", number)
     return store
 
 

@@ -6,8 +6,9 @@ every table or in none; a job that dies between two writes leaves the old versio
 `vacuum`. A batch that comes again is recognised by its job and number and changes nothing.
 
 Tables with a key are cut into buckets by its hash. A commit reads and rewrites the buckets that its rows fall into and no
-others; the manifest takes over the other buckets' paths. The number of buckets bounds what a manifest holds, and a
-bucket's size what a task writes.
+others; the manifest takes over the other buckets' paths. Rows that only come on top are written beside those of their buckets, until one
+has PARTS parts; then the next commit brings each of its buckets together. So buckets times PARTS bounds what a manifest holds. A large
+bucket is written by several tasks.
 """
 
 from __future__ import annotations
@@ -26,17 +27,21 @@ from ..operators.storage import delete, filesystem, listed
 
 #: Tables of a commit that are written at the same time.
 AT_ONCE = 4
+#: Parts of a bucket beside each other, at most.
+PARTS = 8
 _BUCKET = "store_bucket"
 _WHOLE = "all"
 
 
 @dataclass(frozen=True)
 class Rows:
-    """Rows that meet those of their buckets: merge(old, new) is what stays there. touch: keys whose buckets are meant, if not the rows' own."""
+    """Rows that meet those of their buckets: merge(old, new) is what stays there. touch: keys whose buckets are meant, if not the rows' own.
+    dealt: the rows come by bucket already (Store.dealt), so that rows which are spelled out since then aren't shuffled."""
 
     new: DataFrame
     merge: Callable[[DataFrame, DataFrame], DataFrame] = DataFrame.unionByName
     touch: DataFrame | None = None
+    dealt: bool = False
 
 
 @dataclass(frozen=True)
@@ -69,7 +74,7 @@ class Snapshot:
     def read(self, name: str, buckets: Sequence[int] | None = None) -> DataFrame:
         """The table, or some of its buckets."""
         parts = self.manifest["tables"][name]["parts"]
-        paths = [p for b, p in parts.items() if buckets is None or int(b) in buckets]
+        paths = [p for b, own in parts.items() if buckets is None or int(b) in buckets for p in own]
         if not paths:
             return self.store.spark.createDataFrame([], self.schema(name))
         return self.store.spark.read.schema(self.schema(name)).parquet(*[f"{self.store.folder}/{p}" for p in paths])
@@ -78,7 +83,7 @@ class Snapshot:
         """The rows of these keys; only their buckets are read."""
         keys = keys.select(*self.store.keys[name]).distinct()
         rows = self.read(name, self.store.buckets_of(name, keys, self.schema(name)))
-        return rows.join(keys, list(self.store.keys[name]), "left_semi")
+        return rows.join(keys.hint("merge"), list(self.store.keys[name]), "left_semi")
 
 
 class Store:
@@ -115,27 +120,36 @@ class Store:
         typed = rows.select(*[F.col(k).cast(schema[k].dataType) for k in self.keys[name]])
         return [r[0] for r in typed.select(self.bucket(name)).distinct().collect()]
 
-    def _write(self, name: str, rows: DataFrame) -> dict[str, str]:
+    def dealt(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows by their buckets, of which a large one takes several tasks."""
+        return rows.withColumn(_BUCKET, self.bucket(name)).hint("rebalance", _BUCKET)
+
+    def _write(self, name: str, rows: DataFrame, dealt: bool = False) -> dict[str, list[str]]:
         path = f"tables/{name}/{uuid.uuid4().hex}"
         if name not in self.keys:
             rows.write.option("compression", "zstd").parquet(f"{self.folder}/{path}")
-            return {_WHOLE: path}
-        rows.withColumn(_BUCKET, self.bucket(name)).repartition(_BUCKET).write.partitionBy(_BUCKET).option("compression", "zstd").parquet(f"{self.folder}/{path}")
+            return {_WHOLE: [path]}
+        rows = rows.withColumn(_BUCKET, self.bucket(name)) if dealt else self.dealt(name, rows)
+        rows.write.partitionBy(_BUCKET).option("compression", "zstd").parquet(f"{self.folder}/{path}")
         names = listed(self.spark, f"{self.folder}/{path}")
-        return {n.removeprefix(f"{_BUCKET}="): f"{path}/{n}" for n in names if n.startswith(_BUCKET)}
+        return {n.removeprefix(f"{_BUCKET}="): [f"{path}/{n}"] for n in names if n.startswith(_BUCKET)}
 
     def _changed(self, now: Snapshot, name: str, change: Rows | Whole) -> dict:
         if isinstance(change, Whole):
             return {"schema": change.table.schema.jsonValue(), "parts": self._write(name, change.table)}
         if name not in now:
-            rows = change.merge(self.spark.createDataFrame([], change.new.schema), change.new)
-            return {"schema": rows.schema.jsonValue(), "parts": self._write(name, rows)}
-        schema = now.schema(name)
+            alone = change.merge is DataFrame.unionByName
+            rows = change.new if alone else change.merge(self.spark.createDataFrame([], change.new.schema), change.new)
+            return {"schema": rows.schema.jsonValue(), "parts": self._write(name, rows, alone and change.dealt)}
+        schema, stored = now.schema(name), now.manifest["tables"][name]["parts"]
+        if change.merge is DataFrame.unionByName and set(change.new.columns) == set(schema.names) and all(len(p) < PARTS for p in stored.values()):
+            added = self._write(name, change.new.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]), change.dealt)
+            return {"schema": schema.jsonValue(), "parts": stored | {b: stored.get(b, []) + p for b, p in added.items()}}
         touched = self.buckets_of(name, change.touch or change.new, schema) if name in self.keys else None
         told = change.merge(now.read(name, touched), change.new)
         schema = StructType([*schema, *[f for f in told.schema if f.name not in schema.names]])  # what older parts lack is null there
         rows = told.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
-        parts = {b: p for b, p in now.manifest["tables"][name]["parts"].items() if touched is not None and int(b) not in touched}
+        parts = {b: p for b, p in stored.items() if touched is not None and int(b) not in touched}
         return {"schema": schema.jsonValue(), "parts": parts | self._write(name, rows)}
 
     def commit(self, job: str, batch: int, changes: Mapping[str, Rows | Whole], now: Snapshot | None = None) -> bool:
@@ -170,7 +184,7 @@ class Store:
         live = set()
         for v in have[-keep:]:
             for table in self._manifest(v)["tables"].values():
-                live |= {"/".join(p.split("/")[1:3]) for p in table["parts"].values()}
+                live |= {"/".join(p.split("/")[1:3]) for own in table["parts"].values() for p in own}
         for v in have[:-keep]:
             delete(self.spark, f"{self.folder}/versions/{v:012d}.json")
         for name in listed(self.spark, f"{self.folder}/tables"):

@@ -62,7 +62,8 @@ def ingest_games(store: Store, parsed: DataFrame, moves: DataFrame, job: str, ba
     if now.manifest["applied"].get(job, -1) >= batch:
         return False
     new = written(new_only(parsed, _rows(now, "game", parsed, parsed).select("link"), ["link"], "arrival" if "arrival" in parsed.columns else None))
-    own = moves.join(new.select("link"), "link", "left_semi")
+    own = written(moves.join(new.select("link").hint("merge"), "link", "left_semi"))
+    first = positions.opening_moves(own).where(F.size("parts") >= 3).join(new.select("link", "mode", "avg_elo", "played_at").hint("merge"), "link")
     gp = written(game_players(new))
     names = written(gp.select("player_name").where("player_name IS NOT NULL").distinct())
     known = _rows(now, "player", names, names.withColumn("joined", F.lit(0).cast("long")))
@@ -77,7 +78,7 @@ def ingest_games(store: Store, parsed: DataFrame, moves: DataFrame, job: str, ba
             "game": Rows(new),
             "moves": Rows(own),
             "game_player": Rows(gp),
-            "game_opening": Rows(positions.openings(own).join(new.select("link", "mode", "avg_elo", "played_at"), "link")),
+            "game_opening": Rows(positions.opening_prefixes(store.dealt("game_opening", first), ["link"], 3, 10, ["mode", "avg_elo", "played_at"]), dealt=True),
             "months": Rows(games.month_ledger(gp), partial(upsert_add, keys=["player_name", "year", "month"], sums=["n_games"])),
             "player": Rows(shells, partial(_with_missing, keys=["player_name"])),
             "main_mode_summary": Rows(games.main_mode_summary(every, players), lambda old, rows: replace_keys(old, rows, names, ["player_name"])),
@@ -125,11 +126,11 @@ def generate_positions(store: Store, step: Callable, start, job: str, batch: int
     if now.manifest["applied"].get(job, -1) >= batch:
         return False
     todo = written(now.read("game").where(~F.coalesce("fens_done", F.lit(False))))
-    moves = now.read("moves").join(todo.select("link"), "link", "left_semi")
+    moves = now.read("moves").join(todo.select("link").hint("merge"), "link", "left_semi")
     edges, failed = jobs.position_edges(moves, step, start, keep=written)
     keys = ["game_link", "fen_fen", "n_move", "move_color"]
     edges = written(edges.dropDuplicates(keys))
-    fresh = edges.join(_rows(now, "association", todo.select(F.col("link").alias("game_link")), edges).select(*keys), keys, "left_anti")
+    fresh = edges.join(_rows(now, "association", todo.select(F.col("link").alias("game_link")), edges).select(*keys).hint("merge"), keys, "left_anti")
     added = positions.aggregate_positions(fresh).withColumnRenamed("fen_fen", "fen")
     added = written(added.withColumns({c: F.lit(None).cast("string" if c == "next_moves" else "double") for c in _SCORES}))
     stored = _rows(now, "fen", added.select("fen"), added).select("fen", "score")

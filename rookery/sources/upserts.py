@@ -1,4 +1,7 @@
-"""Inserts, upserts and replacements as frames; sinks write what they return."""
+"""Inserts, upserts and replacements as frames; sinks write what they return.
+
+Sides that are as large as a batch or a table meet in a shuffle: files of keys are small, but what is broadcast of them isn't.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +22,7 @@ def new_only(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], arriva
     else:
         last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(arrival).desc()))
         rows = incoming.withColumn("__place", last).where("__place = 1").drop("__place")
-    return rows.join(stored.select(*keys), list(keys), "left_anti")
+    return rows.join(stored.select(*keys).hint("merge"), list(keys), "left_anti")
 
 
 def insert_ignore(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -28,7 +31,7 @@ def insert_ignore(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
 
 def upsert_replace(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New rows take the place of those with their key."""
-    return target.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+    return target.join(new.select(*keys).distinct().hint("merge"), list(keys), "left_anti").unionByName(new)
 
 
 def upsert_add(target: DataFrame, new: DataFrame, keys: Sequence[str], sums: Sequence[str], sets: Sequence[str] = ()) -> DataFrame:
@@ -42,13 +45,13 @@ def update_by_key(target: DataFrame, changes: DataFrame, key: str, columns: Sequ
     """Columns of matched rows are replaced, by null too. Of changes with the same key the largest counts, so no row is multiplied."""
     changes = changes.groupBy(key).agg(F.max(F.struct(*columns)).alias("__new")).select(key, "__new.*")
     new = changes.select(F.col(key), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
-    rows = target.join(new, key, "left")
+    rows = target.join(new.hint("merge"), key, "left")
     return rows.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
 
 
 def replace_keys(target: DataFrame, new: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows of the affected keys go; their new rows come."""
-    return target.join(keys_df.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+    return target.join(keys_df.select(*keys).distinct().hint("merge"), list(keys), "left_anti").unionByName(new)
 
 
 def drop_orphans(target: DataFrame, source: DataFrame, key: str, scope: DataFrame | None = None) -> DataFrame:
@@ -86,4 +89,4 @@ def from_payload(df: DataFrame, column: str, schema: str, fallback: str = "{}")
 def shell_players(games: DataFrame, players: DataFrame) -> DataFrame:
     """Names on either side that have no player row: new rows with joined 0."""
     names = games.select(F.explode(F.array("white", "black")).alias("player_name")).where("player_name IS NOT NULL").distinct()
-    return names.join(players.select("player_name"), "player_name", "left_anti").withColumn("joined", F.lit(0).cast("long"))
+    return names.join(players.select("player_name").hint("merge"), "player_name", "left_anti").withColumn("joined", F.lit(0).cast("long"))

@@ -116,3 +116,32 @@ def test_evaluations_of_one_player(spark, tmp_path):
     assert told(store.read("fen").select("fen", "score")) == [("p1", 120.0), ("p2", None)]
     assert told(store.read("game_analysis_summary").select("link", "analyzed_positions", "unscored_positions")) == [(1, 1, 0), (2, 1, 1)]
     assert told(store.read("fen_totals")) == [(2, 1, 1)] and store.read("scored_totals").first().white_positions == 1
+
+
+def test_appends_leave_stored_files(spark, tmp_path):
+    """Rows that come on top are written beside the others; a bucket of many parts is brought together; every version stays readable."""
+    from rookery.sources.store import PARTS
+
+    store = Store(spark, str(tmp_path / "s"), KEYS, buckets=2)
+    for i in range(PARTS + 2):
+        store.commit("j", i, {"a": Rows(spark.range(40 * i, 40 * i + 40).select("id", F.lit(i).cast("int").alias("n")))})
+        parts = store.snapshot().manifest["tables"]["a"]["parts"]
+        assert store.read("a").count() == 40 * (i + 1)
+        assert {len(p) for p in parts.values()} == {i + 1 if i < PARTS else i - PARTS + 1}
+    assert store.snapshot(2).read("a").count() == 80
+    store.vacuum(keep=1)
+    assert told(store.read("a")) == [(i, i // 40) for i in range(40 * (PARTS + 2))]
+
+
+def test_batch_sized_keys_are_not_broadcast(spark, tmp_path):
+    """Files of keys are small, but what is broadcast of them grows with the batch, in the driver's memory too."""
+    keys, rows = str(tmp_path / "keys"), str(tmp_path / "rows")
+    spark.range(200_000).write.parquet(keys)
+    spark.range(400_000).withColumn("n", F.lit(1)).write.parquet(rows)
+    k, r = spark.read.parquet(keys), spark.read.parquet(rows)
+    store = Store(spark, str(tmp_path / "s"), KEYS, buckets=2)
+    store.commit("j", 0, {"a": Rows(r)})
+    from rookery.sources.upserts import new_only, replace_keys, update_by_key
+
+    for frame in (new_only(r, k, ["id"]), upsert_replace(r, k.withColumn("n", F.lit(2)), ["id"]), replace_keys(r, r.limit(0), k, ["id"]), update_by_key(r, k.withColumn("n", F.lit(2)), "id", ["n"]), store.snapshot().read_keys("a", k)):
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
