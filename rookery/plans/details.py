@@ -310,7 +310,8 @@ def game_text_headers(t: Tables) -> DataFrame:
 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)"""
 )
 def game_text_moves(t: Tables) -> DataFrame:
-    rows = _texts(t).select("link", F.explode(c.paired_moves(c.move_tokens("pgn"))).alias("m"), c.clock_seconds("pgn").alias("clocks"))
+    told = _texts(t).select("link", c.paired_moves(c.move_tokens("pgn")).alias("pairs"), c.clock_seconds("pgn").alias("clocks"))  # once a game, not once a move
+    rows = told.select("link", F.explode("pairs").alias("m"), "clocks")
     clock = lambda k: F.get("clocks", 2 * F.col("m.n_move") - k)
     return rows.select("link", "m.n_move", "m.white", "m.black", clock(2).alias("white_clock"), clock(1).alias("black_clock"))
 
