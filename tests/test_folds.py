@@ -47,3 +47,15 @@ def test_places_with_gaps(spark, tmp_path):
     df = spark.createDataFrame([(1, 10, "a"), (1, 30, "c"), (1, 20, "b"), (2, 5, "x")], "k long, i int, t string")
     states, failed = streamed(spark, tmp_path, [df.where("i < 25"), df.where("i >= 20").withColumn("t", F.col("t"))], first=None)
     assert states == [(1, 1, "0a", "a"), (1, 2, "1b", "b"), (1, 3, "2c", "c"), (2, 1, "0x", "x")] and failed == []
+
+
+def test_many_keys_share_a_group(spark, tmp_path):
+    """A call into Python for each group of keys, not for each key: 20,000 keys in two runs, and one group of several keys."""
+    df = spark.range(40_000).selectExpr("id % 20000 AS k", "1 + id DIV 20000 AS i", "'x' AS t")
+    states, failed = streamed(spark, tmp_path, [df.where("i = 1"), df.where("i = 2")], first=1)
+    assert len(states) == 40_000 and failed == [] and set(s[1:] for s in states) == {(1, "0x", "x"), (2, "1x", "x")}
+    frame = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    with folds.lasting_state(spark):
+        sink = folds.FoldedStates(spark, str(tmp_path / "one"), 4)
+        jobs.run_once(folds.fold_stream(frame.where("k < 50"), "k", "i", "t", rule(), 0, first=1, groups=1), sink, str(tmp_path / "p1"), "append")
+    assert rows(sink.states().select("key", "step", "state", "token")) == [s for s in states if s[0] < 50]
