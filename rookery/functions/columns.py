@@ -165,9 +165,12 @@ def clock_seconds(pgn: Column | str) -> Column:
 
 def paired_moves(tokens: Column | str) -> Column:
     """array of struct(n_move, white, black); a missing last half-move is --."""
-    t = _col(tokens)
-    steps = F.when(F.size(t) > 0, F.sequence(F.lit(1), F.ceil(F.size(t) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda n: F.struct(n.alias("n_move"), F.get(t, 2 * n - 2).alias("white"), F.coalesce(F.get(t, 2 * n - 1), F.lit("--")).alias("black")))
+
+    def paired(t: Column) -> Column:
+        steps = F.when(F.size(t) > 0, F.sequence(F.lit(1), F.ceil(F.size(t) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(steps, lambda n: F.struct(n.alias("n_move"), F.get(t, 2 * n - 2).alias("white"), F.coalesce(F.get(t, 2 * n - 1), F.lit("--")).alias("black")))
+
+    return F.get(F.transform(F.array(_col(tokens)), paired), 0)  # tokens are computed once, not once for each move
 
 
 def position_key(fen: Column | str) -> Column:

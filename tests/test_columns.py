@@ -87,3 +87,17 @@ def test_small_ones(spark):
     assert tuple(one(spark, c.history_span(F.lit("2000-01-01").cast("date"), F.lit("2024-01-01").cast("date")))) == (8766, 20)
     assert one(spark, c.impact("n", "s"), n=3, s=-2.5) == 7.5
     assert [one(spark, c.is_real_token("t"), t=x) for x in ("e4", "--", "")] == [True, False, False]
+
+
+def test_a_text_is_cut_once_not_once_for_each_move(spark):
+    """Long games: the tokens of a text stand once in the plan, outside the step from move to move."""
+    import time
+
+    moves = " ".join(f"{i}. a{i} b{i}" for i in range(1, 4001))
+    frame = spark.createDataFrame([(moves,)], "pgn string").select(c.paired_moves(c.move_tokens("pgn")).alias("m"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
+    began = time.monotonic()
+    pairs = frame.first().m
+    assert len(pairs) == 4000 and tuple(pairs[3999]) == (4000, "a4000", "b4000") and time.monotonic() - began < 30
+    odd = spark.createDataFrame([("",), ("1. a",)], "pgn string").select(c.paired_moves(c.move_tokens("pgn")).alias("m")).collect()
+    assert [[tuple(x) for x in r.m] for r in odd] == [[], [(1, "a", "--")]]
