@@ -42,7 +42,7 @@ def _write_archives(t: Tables, path: str, part: str = "true") -> None:
     tail = months.where("NOT (player = 'u1' AND month = 2)").withColumns({"place": F.lit(2), "link": F.lit(0).cast("long"), "value": F.lit("]}")})
     folder, keys = F.col("player"), ["player", "year", "month"]
     rows = lines.unionByName(head).unionByName(tail).repartition(folder, "year", "month").sortWithinPartitions(*keys, "place", "link")
-    rows.select(*keys, "value").write.mode("append").partitionBy(*keys).text(path)
+    rows.select(*keys, "value").write.mode("append").partitionBy(*keys).option("compression", "gzip").text(path)
 
 
 _GAMES = """SELECT o_orderkey AS link, 'p' || o_custkey AS white, 'p' || (o_custkey + 1) AS black, CAST(o_orderkey % 500 AS INT) AS white_elo, CAST(CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 ELSE 0.5 END AS DOUBLE) AS white_result,

@@ -3,6 +3,7 @@
 The reader only cuts a month's text into the texts of its games; Spark parses those. A month that can't be decoded to its end gives
 none of its games, only a row with `error`. To know that, a task reads a month once before it tells anything, and keeps up to
 KEEP characters of games meanwhile; a longer month is read a second time. At most one game (MOST characters) and KEEP are held.
+Compressed months (.gz and others that their names tell) are read as they are.
 """
 
 from __future__ import annotations

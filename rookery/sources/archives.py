@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
@@ -56,8 +56,10 @@ def parsed_games(raw: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("avg_elo", c.mean_rating("white_elo", "black_elo"))
     rows = rows.where("link IS NOT NULL AND played_at IS NOT NULL AND white_result IS NOT NULL AND black_result IS NOT NULL")
-    last = F.max_by(F.struct(*rows.columns), F.struct("file", "arrival")) if "arrival" in rows.columns else F.max(F.struct(*[F.col(x) for x in rows.columns]))
-    return rows.groupBy("link").agg(last.alias("r")).select("r.*").drop("file", "arrival")
+    if "arrival" in rows.columns:  # by a window, so that columns nobody asks for, the texts above all, aren't shuffled
+        place = F.row_number().over(Window.partitionBy("link").orderBy(F.col("file").desc(), F.col("arrival").desc()))
+        return rows.withColumn("__place", place).where("__place = 1").drop("__place", "file", "arrival")
+    return rows.groupBy("link").agg(F.max(F.struct(*[F.col(x) for x in rows.columns])).alias("r")).select("r.*").drop("file")
 
 
 def parsed_moves(games: DataFrame) -> DataFrame:

@@ -99,3 +99,19 @@ def test_streamed_job(spark, tmp_path):
     assert store.read("moves").count() == 3 * store.read("game").count() and store.read("broken_months").count() == 1
     run()
     assert store.read("game").count() == 3
+
+
+def test_compressed_months_and_repeated_links(spark, tmp_path):
+    """A link in two months: the last by file and place stays; texts that nobody asks for aren't shuffled."""
+    import gzip
+
+    game = lambda n, white: {"url": f"https://x/live/{n}", "pgn": '[Date "2024.01.02"]\n[StartTime "00:10:00"]\n\n1. e4 e5', "white": {"username": white, "rating": 1, "result": "win"}, "black": {"username": "b", "rating": 2, "result": "resigned"}}
+    for month, games in ((1, [game(1, "old"), game(2, "x"), game(2, "y")]), (2, [game(1, "new")])):
+        folder = tmp_path / f"player=p/year=2024/month={month}"
+        folder.mkdir(parents=True)
+        (folder / "m.txt.gz").write_bytes(gzip.compress(json.dumps({"games": games}).encode()))
+    rows, broken = ar.opened(ar.archive_rows(spark, str(tmp_path)))
+    parsed = archives.parsed_games(rows)
+    assert sorted(map(tuple, parsed.select("link", "white").collect())) == [(1, "new"), (2, "y")] and broken.count() == 0
+    exchanged = [x for x in parsed.select("link", "white")._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in x]
+    assert exchanged and all("pgn" not in x for x in exchanged)
