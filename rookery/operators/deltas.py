@@ -41,7 +41,7 @@ def merge_game_analysis(gas: DataFrame, delta: DataFrame, buckets: Sequence[str]
     delta: link, newly, score_sum, abs_score_sum, max_abs_score and a count for each bucket.
     """
     d = delta.select("link", *[F.col(c).alias(f"__{c}") for c in delta.columns if c != "link"])
-    rows = gas.join(d, "link", "left")
+    rows = gas.join(d.hint("merge"), "link", "left")  # files of deltas are small, but what is broadcast of them isn't
     zero = lambda c: F.coalesce(F.col(f"__{c}"), F.lit(0))
     new: dict[str, Column] = {
         "analyzed_positions": F.least(F.col("analyzed_positions") + zero("newly"), F.col("total_positions")),

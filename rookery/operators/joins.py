@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SUPPORT, TRACKED = 1e-3, 10_000
 #: Estimated bytes of the rows from which keys are looked at first; below, the shuffle is small whatever the keys.
 LARGE = 8 << 30
+#: Rows of a table, counted, that every task may hold.
+FEW = 100_000
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -35,3 +37,14 @@ def skew_join(rows: DataFrame, table: DataFrame, key: str, support: float = SUPP
     keys = F.broadcast(frequent_keys(rows, key, support))
     near = rows.join(F.broadcast(table.join(keys, key, "left_semi")), key)
     return near.unionByName(rows.join(keys, key, "left_anti").join(table, key))
+
+
+def counted_join(rows: DataFrame, table: DataFrame, key: str, few: int = FEW) -> DataFrame:
+    """rows join table on key; `table` has one row a key and is cheap to count.
+
+    File sizes tell little of either side: compressed rows may look small enough to be broadcast, and a few keys may hold them all. A table
+    of at most `few` rows is broadcast, so the rows stay where they are; of a larger one only the rows of frequent keys are.
+    """
+    if table.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(table), key)
+    return skew_join(rows, table.hint("merge"), key, large=0)

@@ -153,10 +153,10 @@ def scored_totals(fen: DataFrame) -> DataFrame:
     return fen.where("score IS NOT NULL").agg(F.count("*").alias("scored"), *sides, F.coalesce(F.sum("score"), F.lit(0)).alias("score_sum"), F.coalesce(F.sum(F.abs("score")), F.lit(0)).alias("abs_score_sum"), *sums, F.count_if(complete).alias("wdl_rows"))
 
 
-def game_analysis_summary(association: DataFrame, fen: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """By game: coverage, scores and buckets of its distinct positions' edges. Edges without a position vanish."""
+def game_analysis_summary(association: DataFrame, fen: DataFrame, links: DataFrame | None = None, join: Callable[[DataFrame, DataFrame, str], DataFrame] = skew_join) -> DataFrame:
+    """By game: coverage, scores and buckets of its distinct positions' edges. Edges without a position vanish. join: how edges meet positions."""
     edges = association if links is None else association.join(links, association["game_link"] == links["link"], "left_semi")
-    rows = skew_join(edges, fen.select(F.col("fen").alias("fen_fen"), "score"), "fen_fen")
+    rows = join(edges, fen.select(F.col("fen").alias("fen_fen"), "score"), "fen_fen")
     bucket = advantage_bucket("score")
     out = rows.groupBy(F.col("game_link").alias("link")).agg(
         F.count("*").alias("total_positions"),

@@ -62,9 +62,9 @@ class Tables:
     def moves(self) -> DataFrame:
         from pyspark.sql import Window
 
-        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
-        return self.raw("lineitem").select(
-            F.col("l_orderkey").alias("link"),
+        order = Window.partitionBy("link").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+        return self.raw("lineitem").withColumnRenamed("l_orderkey", "link").select(  # renamed first: what comes by link later is dealt already
+            "link",
             F.row_number().over(order).alias("n_move"),
             F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("white_move"),
             F.when(F.col("l_partkey") % 11 == 0, "--").otherwise(F.col("l_linestatus")).alias("black_move"),

@@ -79,10 +79,14 @@ class Snapshot:
             return self.store.spark.createDataFrame([], self.schema(name))
         return self.store.spark.read.schema(self.schema(name)).parquet(*[f"{self.store.folder}/{p}" for p in paths])
 
+    def read_near(self, name: str, keys: DataFrame) -> DataFrame:
+        """The buckets of these keys, with all rows there."""
+        return self.read(name, self.store.buckets_of(name, keys, self.schema(name)))
+
     def read_keys(self, name: str, keys: DataFrame) -> DataFrame:
         """The rows of these keys; only their buckets are read."""
         keys = keys.select(*self.store.keys[name]).distinct()
-        rows = self.read(name, self.store.buckets_of(name, keys, self.schema(name)))
+        rows = self.read_near(name, keys)
         return rows.join(keys.hint("merge"), list(self.store.keys[name]), "left_semi")
 
 

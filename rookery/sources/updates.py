@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import BUCKETS
 from ..operators import deltas, games, jobs, positions
+from ..operators.joins import counted_join
 from ..operators.storage import written
 from ..operators.tables import game_players
 from .archive_reader import opened
@@ -55,16 +56,23 @@ def _merged_row(now: Snapshot, name: str, delta: DataFrame, merge: Callable[[Dat
     return Whole(merge(now.read(name), delta) if name in now else delta)
 
 
+def _new_games(parsed: DataFrame, stored: DataFrame) -> DataFrame:
+    """new_only by link. Where no link comes twice, which the links alone tell, whole rows needn't meet."""
+    if parsed.groupBy("link").count().where("count > 1").limit(1).count() == 0:
+        return parsed.join(stored.select("link").hint("merge"), "link", "left_anti")
+    return new_only(parsed, stored, ["link"], "arrival" if "arrival" in parsed.columns else None)
+
+
 def ingest_games(store: Store, parsed: DataFrame, moves: DataFrame, job: str, batch: int) -> bool:
     """New games of a batch, with their moves, openings, players' rows, months and unknown players; the summaries of
     the players they touch; and the totals. parsed: `game` rows; those that are stored already go."""
     now = store.snapshot()
     if now.manifest["applied"].get(job, -1) >= batch:
         return False
-    new = written(new_only(parsed, _rows(now, "game", parsed, parsed).select("link"), ["link"], "arrival" if "arrival" in parsed.columns else None))
+    new = written(_new_games(parsed, _rows(now, "game", parsed, parsed)))
     own = written(moves.join(new.select("link").hint("merge"), "link", "left_semi"))
     first = positions.opening_moves(own).where(F.size("parts") >= 3).join(new.select("link", "mode", "avg_elo", "played_at").hint("merge"), "link")
-    gp = written(game_players(new))
+    gp = game_players(new)
     names = written(gp.select("player_name").where("player_name IS NOT NULL").distinct())
     known = _rows(now, "player", names, names.withColumn("joined", F.lit(0).cast("long")))
     shells = shell_players(new, known)
@@ -125,18 +133,18 @@ def generate_positions(store: Store, step: Callable, start, job: str, batch: int
     now = store.snapshot()
     if now.manifest["applied"].get(job, -1) >= batch:
         return False
-    todo = written(now.read("game").where(~F.coalesce("fens_done", F.lit(False))))
-    moves = now.read("moves").join(todo.select("link").hint("merge"), "link", "left_semi")
+    todo = written(now.read("game").where(~F.coalesce("fens_done", F.lit(False))).select("link"))
+    if "fen" in now and todo.isEmpty():
+        return store.commit(job, batch, {}, now)
+    moves = now.read("moves").join(todo.hint("merge"), "link", "left_semi")
     edges, failed = jobs.position_edges(moves, step, start, keep=written)
-    keys = ["game_link", "fen_fen", "n_move", "move_color"]
-    edges = written(edges.dropDuplicates(keys))
+    keys = ["game_link", "fen_fen", "n_move", "move_color"]  # a game's step has one row, so no edge comes twice
     fresh = edges.join(_rows(now, "association", todo.select(F.col("link").alias("game_link")), edges).select(*keys).hint("merge"), keys, "left_anti")
     added = positions.aggregate_positions(fresh).withColumnRenamed("fen_fen", "fen")
     added = written(added.withColumns({c: F.lit(None).cast("string" if c == "next_moves" else "double") for c in _SCORES}))
     stored = _rows(now, "fen", added.select("fen"), added).select("fen", "score")
-    seen = stored.unionByName(added.select("fen", "score").join(stored, "fen", "left_anti"))
-    summary = positions.game_analysis_summary(edges.select(*keys), seen)
-    links = todo.select("link")
+    seen = written(stored.unionByName(added.select("fen", "score").join(stored, "fen", "left_anti")))
+    summary = positions.game_analysis_summary(edges.select(*keys), seen, join=counted_join)
     # More games reach positions that have a score: they appear more often, and nothing else changes.
     again = positions.scored_position_summary(stored.join(added.select("fen", "n_games"), "fen")).withColumns({"positions": F.lit(0).cast("long"), "abs_score_sum": F.lit(0.0)})
     fresh_fens = added.join(stored, "fen", "left_anti").agg(F.count("*").alias("positions"), F.lit(0).cast("long").alias("scored"), F.count("*").alias("unscored"))
@@ -148,9 +156,9 @@ def generate_positions(store: Store, step: Callable, start, job: str, batch: int
             "fen": Rows(added, fen),
             "association": Rows(fresh.select(*keys)),
             "association_by_fen": Rows(fresh.select(*keys)),
-            "game": Rows(todo.withColumn("fens_done", F.lit(True)), partial(upsert_replace, keys=["link"])),
+            "game": Rows(todo, lambda old, _: old.withColumn("fens_done", F.lit(True))),  # all that aren't done are meant
             "failures": Rows(failed.select("key", "step", "token", "error")),
-            "game_analysis_summary": Rows(summary, lambda old, rows: replace_keys(old, rows, links, ["link"])),
+            "game_analysis_summary": Rows(summary, lambda old, rows: replace_keys(old, rows, todo, ["link"])),
             "scored_position_summary": _merged_row(now, "scored_position_summary", again, _BY_BUCKET),
             "fen_totals": _merged_row(now, "fen_totals", fresh_fens, partial(deltas.merge_counts, counts=fresh_fens.columns)),
         },
@@ -175,8 +183,8 @@ def store_evaluations(store: Store, evaluations: DataFrame, job: str, batch: int
     best = positions.best_lines(answers)
     old = written(now.read_keys("fen", answers.select("fen")))
     known = written(best.join(old.select("fen"), "fen", "left_semi"))
-    newly = known.where("score IS NOT NULL").join(old.where("score IS NULL").select("fen", "n_games"), "fen")
-    delta = positions.game_analysis_summary(now.read_keys("association_by_fen", newly.select(F.col("fen").alias("fen_fen"))), newly)
+    newly = written(known.where("score IS NOT NULL").join(old.where("score IS NULL").select("fen", "n_games"), "fen"))
+    delta = positions.game_analysis_summary(now.read_near("association_by_fen", newly.select(F.col("fen").alias("fen_fen"))), newly, join=counted_join)
     delta = delta.withColumnRenamed("analyzed_positions", "newly").select("link", "newly", "score_sum", "abs_score_sum", "max_abs_score", *[f"{b}_positions" for b in BUCKETS])
     delta = written(delta)
     turned = newly.agg(F.lit(0).cast("long").alias("positions"), F.count("*").alias("scored"), (-F.count("*")).alias("unscored"))

@@ -49,3 +49,25 @@ def test_openings_expand_different_games_only(spark):
     assert positions.openings(moves).count() == 100 * 2 + 50 * 3
     gaps = spark.createDataFrame([(1, 1, "a", "b"), (1, 2, "a", "b"), (1, 4, "a", "b"), (2, 1, "a", None), (2, 2, "a", "b"), (2, 3, "a", "b")], moves.schema)
     assert positions.openings(gaps).count() == 0
+
+
+@pytest.mark.parametrize("few", [100_000, 5])
+def test_few_rows_come_to_the_others(spark, rows, tmp_path, few):
+    """A small table is broadcast to rows that look as small in their files; a larger one only with its frequent keys."""
+    rows.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    table = spark.range(0, 20000, 2).unionByName(spark.range(7, 8)).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y"))
+    got = joins.counted_join(stored, table, "k", few)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("SortMergeJoin" in plan) == (few == 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, stored.join(table, "k").collect()))
+
+
+def test_moves_are_dealt_by_link_once(spark, sf):
+    from rookery.plans.adapters import Tables
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert Tables(spark, sf).moves.groupBy("link").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

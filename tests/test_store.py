@@ -145,3 +145,29 @@ def test_batch_sized_keys_are_not_broadcast(spark, tmp_path):
 
     for frame in (new_only(r, k, ["id"]), upsert_replace(r, k.withColumn("n", F.lit(2)), ["id"]), replace_keys(r, r.limit(0), k, ["id"]), update_by_key(r, k.withColumn("n", F.lit(2)), "id", ["n"]), store.snapshot().read_keys("a", k)):
         assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nothing_to_do_writes_nothing(spark, tmp_path):
+    """Positions of no games: the batch is known then, and every table keeps its files."""
+
+    def step(state, token):
+        return state + 1, f"{token} b - - {state} 1"
+
+    store = updates.game_store(spark, str(tmp_path / "s"), 4)
+    game = spark.range(6).select(F.col("id").alias("link"), F.lit(None).cast("boolean").alias("fens_done"))
+    moves = spark.range(6).select(F.col("id").alias("link"), F.lit(1).alias("n_move"), F.lit("e4").alias("white_move"), F.concat(F.lit("d"), (F.col("id") % 2).cast("string")).alias("black_move"))
+    store.commit("first", 0, {"game": Rows(game), "moves": Rows(moves)})
+    assert updates.generate_positions(store, step, 0, "p", 0)
+    assert told(store.read("game")) == [(i, True) for i in range(6)] and store.read("association").count() == 12
+    assert told(store.read("fen").select("fen", "n_games")) == [("d0 b - -", 3), ("d1 b - -", 3), ("e4 b - -", 6)]
+    before = store.snapshot()
+    assert updates.generate_positions(store, step, 0, "p", 1) and store.applied("p") == 1
+    assert store.snapshot().manifest["tables"] == before.manifest["tables"]
+
+
+def test_new_games_meet_by_link_only(spark):
+    """Whole rows are shuffled only where a link comes twice."""
+    games = spark.range(100).select(F.col("id").alias("link"), F.lit("x").alias("mode"))
+    alone = updates._new_games(games, games.limit(0))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString() and alone.count() == 100
+    assert updates._new_games(games.unionByName(games), games.where("link < 40")).count() == 60
