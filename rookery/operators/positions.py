@@ -79,14 +79,17 @@ def running_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], token
     other ones differ but for chance (about 2^-120 a pair). A null token counts as an empty one; ties in `order` go by token.
     """
     w = Window.partitionBy(*keys).orderBy(*order, token)
-    rows = df.select(*keys, *[o for o in order if o not in keys], F.coalesce(F.col(token).cast("string"), F.lit("")).alias("__token"), F.row_number().over(w).alias("__row"))
+    rows = df.select(*dict.fromkeys([*keys, *order, token]))
+    done = {"__done": F.lit(0), **{f"__from{i}": F.lit(0).cast("long") for i in range(3)}}
     if before is None:
-        rows = rows.withColumns({"__done": F.lit(0), "__from": F.lit("0-0-0")})
+        rows = rows.withColumns(done)
     else:
-        rows = rows.join(before.select(*keys, F.col("step").alias("__done"), F.col("state").alias("__from")), list(keys), "left").na.fill({"__done": 0, "__from": "0-0-0"})
-    rows = rows.withColumn("__step", F.col("__row") + F.col("__done"))
-    digest, sums = F.md5(F.concat_ws(":", "__step", "__token").cast("binary")), Window.partitionBy(*keys).orderBy("__row")
-    part = lambda i: F.sum(F.conv(F.substring(digest, 10 * i + 1, 10), 16, 10).cast("long")).over(sums) + F.split("__from", "-")[i].cast("long")
+        sums = [F.split("state", "-")[i].cast("long").alias(f"__from{i}") for i in range(3)]
+        rows = rows.join(before.select(*keys, F.col("step").alias("__done"), *sums), list(keys), "left").na.fill(0, list(done))
+    # All windows have one order, so rows are sorted once.
+    rows = rows.withColumn("__step", F.row_number().over(w) + F.col("__done"))
+    digest, sums = F.md5(F.concat_ws(":", "__step", F.coalesce(F.col(token).cast("string"), F.lit(""))).cast("binary")), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = lambda i: F.sum(F.conv(F.substring(digest, 10 * i + 1, 10), 16, 10).cast("long")).over(sums) + F.col(f"__from{i}")
     return rows.select(*keys, F.col("__step").alias("step"), F.concat_ws("-", *[part(i) for i in range(3)]).alias("state"))
 
 
