@@ -15,8 +15,8 @@ too rare to count.
 
 Terms are runs of three or more letters outside the base spans, lower-cased, in all counts alike. Entities that occur in
 one text only need no pairs: there n(e) and n(e, t) are 1, and n(t) decides alone. For the others, the terms of a
-text are cut into pieces of `PIECE` and dealt out before they are paired, and pairs are summed before the
-shuffle. Whole texts are never shuffled. Terms of texts without personal data are once, by hash, but only where
+text are cut into pieces of `PIECE` and dealt out before they are paired, pairs of frequent terms that can't reach `GENERALISE` go, and
+the others are summed before the shuffle. Whole texts are never shuffled. Terms of texts without personal data are once, by hash, but only where
 so many rows repeat a text that their numbers can't be broadcast.
 
 Defined cases: null text counts as empty. Rows with null or repeated ids are told apart by their
@@ -141,6 +141,17 @@ def different_texts(based: DataFrame, small: int = SMALL) -> DataFrame:
     return saved(each.dropDuplicates(["hash"]))
 
 
+def possible_pairs(dealt: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
+    """entity, ne, term of each text (often, terms). frequent: term and nt of so few that they are broadcast.
+
+    A share grows with n(e, t), which is at most n(e) and n(t): most words are too frequent for their texts' entities, whatever the pairs' counts.
+    """
+    words = dealt.select("often", F.explode("terms").alias("term")).join(F.broadcast(frequent), "term", "left")
+    pairs = words.select("term", "nt", F.explode("often").alias("e")).select("e.entity", "e.ne", "term", "nt")
+    most = disclosed(F.least("ne", "nt"), F.col("ne"), F.col("nt"), total)
+    return pairs.where(F.col("nt").isNull() | (most >= GENERALISE)).select("entity", "ne", "term")
+
+
 def disclosures(texts: DataFrame, private: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(term, kind) for entities of one text, and (entity, term, kind) for others. texts: see `different_texts`; private: hash, entities, words of those with entities."""
     total = texts.count()
@@ -152,7 +163,8 @@ def disclosures(texts: DataFrame, private: DataFrame, small: int = SMALL) -> tup
     here = private.select("hash", F.explode("entities").alias("entity")).join(_near(often, small), "entity").groupBy("hash").agg(F.collect_list(F.struct("entity", "ne")).alias("often"))
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size("terms"), F.lit(1)), F.lit(PIECE)), lambda i: F.slice(F.col("terms"), i, F.lit(PIECE)))
     dealt = private.select("hash", terms.alias("terms")).join(here, "hash").select("often", F.explode(pieces).alias("terms")).repartition(F.xxhash64("terms"))
-    pairs = dealt.select(F.explode("often").alias("e"), "terms").select("e.entity", "e.ne", F.explode("terms").alias("term"))
+    frequent = saved(known.orderBy(F.col("nt").desc(), "term").limit(small))
+    pairs = possible_pairs(dealt, frequent, total)
     pairs = pairs.groupBy("entity", "ne", "term").agg(F.count("*").alias("net"))
     told = pairs.join(known, "term").select("entity", "term", _kind(disclosed(F.col("net"), F.col("ne"), F.col("nt"), total)).alias("kind"))
     return saved(single), saved(told.where("kind IS NOT NULL"))

@@ -187,3 +187,11 @@ def test_queries(spark, sf):
         base = brute_secrets(texts[r.doc_id])
         n = Counter(k for k, _, _ in base)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(n[k] for k in secret_scans.BASE) and r.base_sha256 == digest(base)
+
+
+def test_pairs_of_frequent_terms_go_before_they_are_counted(spark):
+    """Only pairs that some count could make telling are left; terms that aren't told apart stay."""
+    dealt = spark.createDataFrame([([(1, 2), (2, 900)], ["the", "rare", "other"])], "often array<struct<entity:long,ne:long>>, terms array<string>")
+    frequent = spark.createDataFrame([("the", 990), ("rare", 2)], "term string, nt long")
+    got = sorted((r.entity, r.term) for r in pii.possible_pairs(dealt, frequent, 10_000).collect())
+    assert (1, "rare") in got and (1, "the") not in got and (2, "the") in got and {(1, "other"), (2, "other")} <= set(got)
