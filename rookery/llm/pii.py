@@ -16,7 +16,8 @@ too rare to count.
 Terms are runs of three or more letters outside the base spans, lower-cased, in all counts alike. Entities that occur in
 one text only need no pairs: there n(e) and n(e, t) are 1, and n(t) decides alone. For the others, the terms of a
 text are cut into pieces of `PIECE` and dealt out before they are paired, pairs of frequent terms that can't reach `GENERALISE` go, and
-the others are summed before the shuffle. Whole texts are never shuffled. Terms of texts without personal data are once, by hash, but only where
+the others are written with their texts and summed before the shuffle. Telling pairs go back to the texts that have both, not to all
+texts of the entity, so no step has more rows than texts have pairs. Whole texts are never shuffled. Terms of texts without personal data are once, by hash, but only where
 so many rows repeat a text that their numbers can't be broadcast.
 
 Defined cases: null text counts as empty. Rows with null or repeated ids are told apart by their
@@ -118,10 +119,10 @@ def _kind(share: Column) -> Column:
 
 
 def term_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """term and nt, for the wanted ones. texts: see `different_texts`."""
+    """nt beside each row of the wanted terms. texts: see `different_texts`."""
     here = F.when(F.col("words").isNull(), F.split("terms", " ")).otherwise(F.array_distinct(F.transform("words", lambda w: w["term"])))
     words = texts.select(F.explode(here).alias("term")).where("term <> ''")
-    return words.groupBy("term").agg(F.count("*").alias("nt")).join(wanted, "term", "left_semi")
+    return words.groupBy("term").agg(F.count("*").alias("nt")).join(wanted, "term")
 
 
 def different_texts(based: DataFrame, small: int = SMALL) -> DataFrame:
@@ -142,32 +143,45 @@ def different_texts(based: DataFrame, small: int = SMALL) -> DataFrame:
 
 
 def possible_pairs(dealt: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
-    """entity, ne, term of each text (often, terms). frequent: term and nt of so few that they are broadcast.
+    """entity, ne, term of each text (often, terms; other columns stay). frequent: term, nt and, if known, np of so few that they are broadcast.
 
-    A share grows with n(e, t), which is at most n(e) and n(t): most words are too frequent for their texts' entities, whatever the pairs' counts.
+    A share grows with n(e, t), which is at most n(e) and np, the private texts with the term: most words are too frequent elsewhere, whatever the pairs' counts.
     """
-    words = dealt.select("often", F.explode("terms").alias("term")).join(F.broadcast(frequent), "term", "left")
-    pairs = words.select("term", "nt", F.explode("often").alias("e")).select("e.entity", "e.ne", "term", "nt")
-    most = disclosed(F.least("ne", "nt"), F.col("ne"), F.col("nt"), total)
-    return pairs.where(F.col("nt").isNull() | (most >= GENERALISE)).select("entity", "ne", "term")
+    others = [c for c in dealt.columns if c not in ("often", "terms")]
+    words = dealt.select(*others, "often", F.explode("terms").alias("term")).join(F.broadcast(frequent), "term", "left")
+    beside = "np" if "np" in frequent.columns else "nt"
+    pairs = words.select(*others, "term", "nt", beside, F.explode("often").alias("e"))
+    most = disclosed(F.least("e.ne", beside), F.col("e.ne"), F.col("nt"), total)
+    return pairs.where(F.col("nt").isNull() | (most >= GENERALISE)).select(*others, "e.entity", "e.ne", "term")
 
 
-def disclosures(texts: DataFrame, private: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(term, kind) for entities of one text, and (entity, term, kind) for others. texts: see `different_texts`; private: hash, entities, words of those with entities."""
+def told_terms(pairs: DataFrame, known: DataFrame, total: int) -> DataFrame:
+    """hash, term, kind: of the pairs (hash, entity, ne, term; a written table) those that are telling, in the texts that have them. known: term, nt."""
+    counted = pairs.groupBy("entity", "ne", "term").agg(F.count("*").alias("net"))
+    told = counted.join(known, "term").select("entity", "term", "net", _kind(disclosed(F.col("net"), F.col("ne"), F.col("nt"), total)).alias("kind"))
+    told = saved(told.where("kind IS NOT NULL"))
+    there = heavy_join(pairs.select("hash", "entity", "term"), told, ["entity", "term"], "net", pairs.count())
+    return there.groupBy("hash", "term").agg(F.max("kind").alias("kind"))
+
+
+def disclosures(texts: DataFrame, private: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(term, kind) for entities of one text, (hash, term, kind) for others, and frequent terms that aren't telling.
+
+    texts: see `different_texts`; private: hash, entities, words of those with entities.
+    """
     total = texts.count()
     often = private.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ne"))
     often = saved(often.where("ne > 1"))
     terms = F.array_distinct(F.transform("words", lambda w: w["term"]))
-    known = saved(term_counts(texts, saved(private.select(F.explode(terms).alias("term")).distinct())))
-    single = known.select("term", _kind(disclosed(F.lit(1), F.lit(1), F.col("nt"), total)).alias("kind")).where("kind IS NOT NULL")
+    known = saved(term_counts(texts, saved(private.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("np")))))
+    single = saved(known.select("term", _kind(disclosed(F.lit(1), F.lit(1), F.col("nt"), total)).alias("kind")).where("kind IS NOT NULL"))
     here = private.select("hash", F.explode("entities").alias("entity")).join(_near(often, small), "entity").groupBy("hash").agg(F.collect_list(F.struct("entity", "ne")).alias("often"))
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size("terms"), F.lit(1)), F.lit(PIECE)), lambda i: F.slice(F.col("terms"), i, F.lit(PIECE)))
-    dealt = private.select("hash", terms.alias("terms")).join(here, "hash").select("often", F.explode(pieces).alias("terms")).repartition(F.xxhash64("terms"))
-    frequent = saved(known.orderBy(F.col("nt").desc(), "term").limit(small))
-    pairs = possible_pairs(dealt, frequent, total)
-    pairs = pairs.groupBy("entity", "ne", "term").agg(F.count("*").alias("net"))
-    told = pairs.join(known, "term").select("entity", "term", _kind(disclosed(F.col("net"), F.col("ne"), F.col("nt"), total)).alias("kind"))
-    return saved(single), saved(told.where("kind IS NOT NULL"))
+    dealt = private.select("hash", terms.alias("terms")).join(here, "hash").select("hash", "often", F.explode(pieces).alias("terms")).repartition(F.xxhash64("terms"))
+    frequent = saved(known.orderBy(F.col("np").desc(), "term").limit(small))
+    told = saved(told_terms(saved(possible_pairs(dealt, frequent, total)), known, total))
+    quiet = frequent.select("term").join(told.select("term").unionByName(single.select("term")), "term", "left_anti")
+    return single, told, saved(quiet)
 
 
 def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
@@ -176,13 +190,12 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     based = rows.select("id", row_hash(F.col("text")).alias("hash"), "text", base_spans(F.col("text")).alias("base"))
     texts = different_texts(based, small)
     private = saved(texts.where("words IS NOT NULL").select("hash", "entities", "words"))
-    single, pairs = disclosures(texts, private, small)
-    each = lambda rows: rows.select("hash", F.explode("words").alias("w")).select("hash", "w.term", "w.start", "w.end")
-    often = saved(private.select("hash", F.explode("entities").alias("entity")))
-    once = often.groupBy("entity").agg(F.count("*").alias("ne"), F.min("hash").alias("hash")).where("ne = 1").select("hash").distinct()
-    alone = each(private.join(once, "hash", "left_semi")).join(_near(single, small), "term").select("hash", "start", "end", "kind")
-    told = often.join(_near(pairs, small), "entity").select("hash", "term", "kind").groupBy("hash", "term").agg(F.max("kind").alias("kind"))
-    shared = each(private).join(told, ["hash", "term"]).select("hash", "start", "end", "kind")
+    single, told, quiet = disclosures(texts, private, small)
+    words = private.select("hash", F.explode("words").alias("w")).select("hash", "w.term", "w.start", "w.end").join(F.broadcast(quiet), "term", "left_anti")
+    often = private.select("hash", F.explode("entities").alias("entity"))
+    once = saved(often.groupBy("entity").agg(F.count("*").alias("ne"), F.min("hash").alias("hash")).where("ne = 1").select("hash").distinct())
+    alone = words.join(_near(once, small), "hash", "left_semi").join(_near(single, small), "term").select("hash", "start", "end", "kind")
+    shared = words.join(told, ["hash", "term"]).select("hash", "start", "end", "kind")
     hits = alone.unionByName(shared).groupBy("hash", "start", "end").agg(F.max("kind").alias("kind"))  # remove wins over general
     more = saved(hits.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more")))
     side = _near(more, small // 10)

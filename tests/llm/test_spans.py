@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rookery.llm import pii, secret_scans
+from rookery.llm.common import saved
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -195,3 +196,19 @@ def test_pairs_of_frequent_terms_go_before_they_are_counted(spark):
     frequent = spark.createDataFrame([("the", 990), ("rare", 2)], "term string, nt long")
     got = sorted((r.entity, r.term) for r in pii.possible_pairs(dealt, frequent, 10_000).collect())
     assert (1, "rare") in got and (1, "the") not in got and (2, "the") in got and {(1, "other"), (2, "other")} <= set(got)
+
+
+def test_telling_pairs_go_back_to_texts_that_have_both(spark):
+    """300 texts of one entity, with 20 telling terms each: 6,000 rows meet 6,000 telling pairs, not 300 times as many; nothing else is written."""
+    rows = [(d, 1, 300, f"t{d}x{i}") for d in range(300) for i in range(20)]
+    pairs = saved(spark.createDataFrame(rows, "hash long, entity long, ne long, term string"))
+    known = saved(spark.createDataFrame([(r[3], 1) for r in rows], "term string, nt long"))
+    told = pii.told_terms(pairs, known, 10**9)
+    assert {(r.hash, r.term) for r in told.collect()} == {(r[0], r[3]) for r in rows}
+    todo, joined = [told._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName():
+            joined.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.finalPhysicalPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+    assert sum(joined) == len(rows)
