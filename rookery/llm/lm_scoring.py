@@ -51,6 +51,8 @@ RATE, START = 0.2, 1e-7
 #: Words a step of training takes, and one of scoring.
 STEP = 8192
 SCORE_STEP = 65536
+#: Rows of a step whose scores are held at once: small arrays are used again from the cache, large ones are paged in anew each time.
+BLOCK = 512
 #: Words whose counts travel with the tasks, and words that a worker remembers at most.
 DIRECT = 262_144
 REMEMBERED = 600_000
@@ -132,21 +134,36 @@ def _log_of(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return own - np.log(np.exp(x, out=x).sum(axis=-1))
 
 
+def _blocks(n: int, start: int = 0) -> list[slice]:
+    return [slice(a, min(a + BLOCK, n)) for a in range(start, n, BLOCK)]
+
+
+def _scores(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = h @ w
+    x += b
+    return x
+
+
 class Network:
     def __init__(self, shape: Shape, state: State):
         self.shape, self.flat, self.seen = shape, state.flat.copy(), state.seen.copy()
         self.w = shape.views(self.flat)
+        self.each = np.empty((shape.width, 0))
 
     def _hidden(self, sides: np.ndarray) -> np.ndarray:
-        vector, scale = self.w["vector"], self.w["scale"]
-        total = vector[sides[:, 0]] * scale[0]
-        for k in range(1, sides.shape[1]):
-            total += vector[sides[:, k]] * scale[k]
-        return np.tanh(total, out=total)
+        beside = [self.w["vector"] * scale for scale in self.w["scale"]]
+        out = np.empty((len(sides), self.shape.width), dtype=np.float32)
+        for rows in _blocks(len(sides)):
+            at = np.ascontiguousarray(sides[rows].T)
+            total = beside[0].take(at[0], axis=0)
+            for k in range(1, len(at)):
+                total += beside[k].take(at[k], axis=0)
+            np.tanh(total, out=out[rows])
+        return out
 
     def _sorted(self, slots: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """An order by class, and (class, from, to) of each class that occurs."""
-        classes = slots // self.shape.members
+        classes = (slots // self.shape.members).astype(np.uint16)
         order = np.argsort(classes, kind="stable")
         cuts = np.searchsorted(classes[order], np.arange(self.shape.classes + 1)).tolist()
         return order, [(c, a, b) for c, (a, b) in enumerate(pairwise(cuts)) if a < b]
@@ -155,9 +172,12 @@ class Network:
         """Log-probability of each slot given its sides (columns: positions)."""
         order, classes = self._sorted(slots)
         slots, h, m = slots[order], self._hidden(sides[order]), self.shape.members
-        out = _log_of(h @ self.w["class_w"] + self.w["class_b"], slots // m)
+        out = np.empty(len(slots), dtype=np.float32)
+        for rows in _blocks(len(slots)):
+            out[rows] = _log_of(_scores(h[rows], self.w["class_w"], self.w["class_b"]), slots[rows] // m)
         for c, a, b in classes:
-            out[a:b] += _log_of(h[a:b] @ self.w["slot_w"][c] + self.w["slot_b"][c], slots[a:b] % m)
+            for rows in _blocks(b, a):
+                out[rows] += _log_of(_scores(h[rows], self.w["slot_w"][c], self.w["slot_b"][c]), slots[rows] % m)
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -166,29 +186,35 @@ class Network:
         """One Adagrad step on the mean loss of some words."""
         order, classes = self._sorted(slots)
         slots, sides, m, n = slots[order], sides[order], self.shape.members, len(slots)
-        h, every = self._hidden(sides), np.arange(n)
+        h, every = self._hidden(sides), np.arange(BLOCK)
         g = np.zeros_like(self.flat)
         part = self.shape.views(g)
-        d = _exp(h @ self.w["class_w"] + self.w["class_b"])
-        d[every, slots // m] -= 1
-        part["class_w"] += h.T @ d
-        part["class_b"] += d.sum(axis=0)
-        dh = d @ self.w["class_w"].T
+        dh = np.empty_like(h)
+        for rows in _blocks(n):
+            d = _exp(_scores(h[rows], self.w["class_w"], self.w["class_b"]))
+            d[every[: len(d)], slots[rows] // m] -= 1
+            part["class_w"] += h[rows].T @ d
+            part["class_b"] += d.sum(axis=0)
+            np.matmul(d, self.w["class_w"].T, out=dh[rows])
         for c, a, b in classes:
-            d = _exp(h[a:b] @ self.w["slot_w"][c] + self.w["slot_b"][c])
-            d[every[: b - a], slots[a:b] % m] -= 1
-            part["slot_w"][c] += h[a:b].T @ d
-            part["slot_b"][c] += d.sum(axis=0)
-            dh[a:b] += d @ self.w["slot_w"][c].T
+            for rows in _blocks(b, a):
+                d = _exp(_scores(h[rows], self.w["slot_w"][c], self.w["slot_b"][c]))
+                d[every[: len(d)], slots[rows] % m] -= 1
+                part["slot_w"][c] += h[rows].T @ d
+                part["slot_b"][c] += d.sum(axis=0)
+                dh[rows] += d @ self.w["slot_w"][c].T
         dh *= 1 - h * h
         vector, scale = self.w["vector"], self.w["scale"]
         beside = np.ascontiguousarray(sides.T)
+        if self.each.shape[1] != beside.size:
+            self.each = np.empty((self.shape.width, beside.size))
         for k in range(len(beside)):
-            part["scale"][k] += (vector[beside[k]] * dh).sum(axis=0)
-        each = np.concatenate([dh * scale[k] for k in range(len(beside))]).T.astype(np.float64)
+            for rows in _blocks(n):
+                part["scale"][k] += np.einsum("ij,ij->j", vector.take(beside[k, rows], axis=0), dh[rows])
+            self.each[:, k * n : (k + 1) * n] = (dh * scale[k]).T
         beside = beside.ravel()
         for x in range(self.shape.width):
-            part["vector"][:, x] += np.bincount(beside, each[x], self.shape.vocabulary + 1)
+            part["vector"][:, x] += np.bincount(beside, self.each[x], self.shape.vocabulary + 1)
         g /= n
         self.seen += g * g
         g *= rate
@@ -319,9 +345,9 @@ def _in_slots(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def word_counts(docs: DataFrame, shape: Shape, text_col: str) -> DataFrame:
     """The written table of all words: h (hash), n (how often), k (the slot it would share)."""
     words = docs.select(F.explode(words_of(whole(F.col(text_col)))).alias("w"))
-    words = words.select(F.xxhash64("w").alias("h"), F.substring("w", 1, 2).alias("first"))
-    counts = words.groupBy("h").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    return saved(counts.select("h", "n", F.pmod(F.xxhash64("first"), F.lit(shape.vocabulary - shape.frequent)).cast("int").alias("k")))
+    shared = F.pmod(F.xxhash64(F.substring("w", 1, 2)), F.lit(shape.vocabulary - shape.frequent)).cast("int")
+    words = words.select(F.xxhash64("w").alias("h"), shared.alias("k"))
+    return saved(words.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("k")))  # numbers only, so nothing is sorted
 
 
 def lexicon_of(counts: DataFrame, shape: Shape, direct: int = DIRECT) -> Lexicon:

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -162,3 +163,19 @@ def test_awkward_rows(docs_of, awkward):
 def test_query(spark, sf):
     got = op.op1_lm_scoring(spark, sf).toPandas()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and got.mean_log_likelihood.dropna().lt(0).all()
+
+
+def test_scores_of_a_step_are_held_in_blocks():
+    """A step of scoring or training never holds the scores of all its words at once; blocks of any size tell the same."""
+    shape = op.Shape()
+    rng = np.random.default_rng(6)
+    slots, sides = rng.integers(0, shape.vocabulary, op.SCORE_STEP), rng.integers(0, shape.vocabulary + 1, (op.SCORE_STEP, 2 * shape.side))
+    net = op.Network(shape, op.start(shape, np.bincount(slots, minlength=shape.vocabulary)))
+    tracemalloc.start()
+    try:
+        told = net.log_p(slots, sides)
+        assert tracemalloc.get_traced_memory()[1] < op.SCORE_STEP * shape.classes * 4
+    finally:
+        tracemalloc.stop()
+    one = np.concatenate([net.log_p(slots[a : a + 100], sides[a : a + 100]) for a in range(0, 2000, 100)])
+    assert np.allclose(told[:2000], one, atol=1e-4)
