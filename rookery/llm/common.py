@@ -67,7 +67,14 @@ def heavy_join(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, t
     if top.isEmpty():
         return left.join(rest, list(keys), how)
     there = F.broadcast(top)
-    return left.join(there, list(keys)).unionByName(left.join(F.broadcast(top.select(*keys)), list(keys), "left_anti").join(rest, list(keys), how))
+    return left.join(there, list(keys)).unionByName(left.where(~among(keys, top)).join(rest, list(keys), how))
+
+
+def among(keys: Sequence[str], few: DataFrame) -> Column:
+    """Whether a row has the keys of one of a few rows, fewer than HEAVY, which the filter holds; false where a key is null."""
+    kind = few.schema
+    given = [F.struct(*[F.lit(r[k]).cast(kind[k].dataType).alias(k) for k in keys]) for r in few.select(*keys).collect()]
+    return F.struct(*[F.col(k).cast(kind[k].dataType).alias(k) for k in keys]).isin(*given)
 
 
 def whole(column: Column) -> Column:

@@ -150,26 +150,15 @@ def _marker(shingle: int) -> Callable:
     return batches
 
 
-def _set_maker(shingle: int) -> Callable:
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
-                found = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), found], ["node", "found"])
-
-    return batches
-
-
-def _comparer(percent: int) -> Callable:
-    """Rows come sorted by centre, piece and place: the centre's set, then those of its members."""
+def _comparer(shingle: int, percent: int) -> Callable:
+    """Rows come sorted by centre, piece and place: the centre's text, then those of its members. Sets are made here, as they are larger than their texts."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for b in rows:
             a, node, near = [], [], []
-            for centre, piece, member, found in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                other = np.frombuffer(found, dtype=np.uint64)
+            for centre, piece, member, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                other = shingle_set(text, shingle)
                 if (centre, piece) != now:
                     assert member is None
                     now, own = (centre, piece), other
@@ -186,16 +175,15 @@ def _comparer(percent: int) -> Callable:
 
 
 class Sets:
-    """The sets of nodes, made from their texts when a round first asks for them, and kept."""
+    """The texts of nodes, gathered when a round first asks for them, and kept."""
 
     def __init__(self, rows: DataFrame, shingle: int):
         self.rows, self.shingle, self.made = rows, shingle, None
 
     def of(self, nodes: DataFrame) -> DataFrame:
-        """node, found of all nodes asked for so far. nodes: different ones."""
+        """node, text of all nodes asked for so far. nodes: different ones."""
         new = nodes if self.made is None else nodes.join(self.made.select("node"), "node", "left_anti")
-        texts = self.rows.join(saved(new).withColumnRenamed("node", "number"), "number").select(F.col("number").alias("node"), "text")
-        made = saved(texts.mapInArrow(_set_maker(self.shingle), "node long, found binary"))
+        made = saved(self.rows.join(saved(new).withColumnRenamed("node", "number"), "number").select(F.col("number").alias("node"), "text"))
         self.made = made if self.made is None else self.made.unionByName(made)
         return self.made
 
@@ -207,11 +195,11 @@ def compared(edges: DataFrame, sets: Sets, percent: int, piece: int = PIECE) ->
     pieces = saved(n.select("centre", "n", F.ceil(F.col("n") / piece).cast("int").alias("pieces")))
     dealt = heavy_join(edges, pieces, ["centre"], "n", edges.count()).select("centre", F.pmod(F.xxhash64("member"), F.col("pieces")).cast("int").alias("piece"), "member")
     centres = pieces.select("centre", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(None).cast("long").alias("member"))
-    # A member meets as many sets as it has edges; no node has more than one edge for each bucket it is in and centre there.
-    rows = dealt.join(have.withColumnRenamed("node", "member"), "member").select("centre", "piece", "member", "found")
-    rows = rows.unionByName(centres.join(have.withColumnRenamed("node", "centre"), "centre").select("centre", "piece", "member", "found"))
+    # A node meets as many texts as it has edges; none has more than one edge for each bucket it is in and centre there, and a centre one row a piece.
+    places = dealt.unionByName(centres).withColumn("node", F.coalesce("member", "centre"))
+    rows = places.join(have, "node").select("centre", "piece", "member", "text")
     rows = rows.repartition("centre", "piece").sortWithinPartitions("centre", "piece", F.col("member").asc_nulls_first())
-    return saved(rows.mapInArrow(_comparer(percent), "centre long, member long, near boolean"))
+    return saved(rows.mapInArrow(_comparer(sets.shingle, percent), "centre long, member long, near boolean"))
 
 
 def _possible(percent: int) -> Callable:

@@ -1,5 +1,6 @@
 """Near duplicates against all pairs of whole sets."""
 
+import os
 import random
 import re
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rookery.llm import minhash_dedup as md
+from rookery.llm.common import heavy_join, saved
 
 
 def shingles(text, width=2):
@@ -129,3 +131,29 @@ def test_bands_find_pairs_at_the_threshold():
             rng.shuffle(both)
             missed += not (md.band_keys(np.sort(both[:size])) == md.band_keys(np.sort(both))).any()
     assert missed <= 1
+
+
+def test_texts_travel_instead_of_their_sets(spark, sf):
+    """What comparing writes is smaller than the sets' hashes; sets are made where they meet, and tell the same."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 500").selectExpr("monotonically_increasing_id() AS number", "text").limit(200)
+    texts = {r.number: r.text for r in rows.collect()}
+    docs = spark.createDataFrame(list(texts.items()), "number long, text string")
+    order = sorted(texts)
+    edges = saved(spark.createDataFrame([(order[0], n) for n in order[1:]] + [(order[1], n) for n in order[2:9]], "centre long, member long"))
+    sets = md.Sets(docs, 2)
+    near = {(r.centre, r.member): r.near for r in md.compared(edges, sets, 80, 16).collect()}
+    assert len(near) == len(order) + 6
+    for (a, b), alike in near.items():
+        x, y = shingles(texts[a]), shingles(texts[b])
+        assert alike == (100 * len(x & y) >= 80 * len(x | y))
+    stored = sum(os.path.getsize(f.removeprefix("file:")) for f in sets.made.inputFiles())
+    assert stored < sum(8 * len(shingles(t)) for t in texts.values())
+
+
+def test_heavy_keys_are_filtered_without_a_join(spark):
+    left = saved(spark.createDataFrame([(1, -(2**40))] * 90 + [(2, 5), (2, -(2**40)), (None, 5)], "t int, key long"))
+    right = saved(spark.createDataFrame([(1, -(2**40), 90, "a"), (2, 5, 1, "b")], "t int, key long, n long, v string"))
+    for how, more in (("inner", []), ("left", [None, None])):
+        joined = heavy_join(left, right, ["t", "key"], "n", 93, how)
+        assert sorted(r.v or "" for r in joined.collect()) == sorted([*(x or "" for x in more), *["a"] * 90, "b"])
+        assert "LeftAnti" not in joined._jdf.queryExecution().executedPlan().toString()
