@@ -18,10 +18,11 @@ same terms run alike. Where that leaves a shard too large (rows that are alike),
 
 Tokens travel as unsigned 16-bit numbers; no id of the vocabulary needs more.
 
-Tokenising: white-space-separated pieces of a text are independent under this tokenizer, so each
-worker keeps a bounded table of pieces it has met. Texts are lower-cased as a whole, and commas and full stops
-after a letter are parted from it, which doesn't change the tokens but makes pieces alike. Plain letters go
-through the bare merge model in bulk; everything unusual goes through the tokenizer as it is.
+Tokenising: white-space-separated words of a text are independent under this tokenizer, so Arrow names the
+different words of some `REMEMBERED` bytes of texts, and each is encoded once. Words of printable ASCII and common letters are
+lower-cased, parted into pieces by the tokenizer's rule and merged in bulk by the vocabulary's ranks, in which a space after
+a piece stands for its closing mark; everything unusual goes through the tokenizer as it is. By ranks, any two neighbours merge
+that make up a token; that is what the merges do where each token comes out of its own bytes, which a test shows for this vocabulary.
 Tests hold the result against the tokenizer on whole texts.
 
 Defined cases: null and empty texts are documents of one token (the end token, id 1). Very long texts are cut over as
@@ -31,15 +32,15 @@ score go by content. An empty table gives no rows. Columns besides id and text d
 
 from __future__ import annotations
 
-import re
-import unicodedata
+import json
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, compress, pairwise, repeat
+from itertools import chain, pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +56,15 @@ K1, B = 1.2, 0.75
 SAMPLE, CENTRES, WIDTH, ROUNDS = 2048, 64, 512, 10
 #: Sequences that one document opens, at most: a document has fewer than 2^31 bytes, and as many tokens.
 TURNS = 1 << 20
-#: Pieces of text that a worker remembers at most.
-REMEMBERED = 600_000
+#: Bytes of text whose different words are encoded together.
+REMEMBERED = 12_000_000
+#: The vocabulary's mark of a piece's last token.
+CLOSE = "</w>"
+#: Letters, as a regular expression class body, that are what they are in every version of Unicode, compose with none of each
+#: other and have one letter as their lower case. Words of these and of printable ASCII needn't go through the tokenizer itself.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+#: The tokenizer's own rule for parting a word into pieces, for such words.
+PRETOKENS = f"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+)"
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -67,146 +75,76 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Ragged:
-    """Token lists one after another; a list's number gives its place."""
-
-    def __init__(self) -> None:
-        self.starts, self.lengths, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
-
-    def add(self, lengths: np.ndarray, tokens: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.tokens) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.tokens = np.concatenate([self.tokens, tokens.astype(np.uint16)])
-
-    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of some lists, and where each list ends among them."""
-        n = self.lengths[numbers]
-        ends = np.cumsum(n)
-        return self.tokens[np.repeat(self.starts[numbers] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
-
-
 class PieceEncoder:
-    """Token ids of whole texts, with a table of the white-space-separated pieces met so far."""
+    """Token ids of whole texts; within a step, each different word is encoded once."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.full = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        vocabulary = self.full.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        for token, i in vocabulary.items():
-            self.closes[i] = token.endswith("</w>")
-        self.point = {"": -1}
-        for c in ",.":
-            (self.point[c],) = self.full.encode(c, add_special_tokens=False).ids
+        self.full, self.remembered = Tokenizer.from_file(path), remembered
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        rest = [b for b in range(256) if b not in plain]
-        self.bytes = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        assert set(self.bytes.values()) == set(pre_tokenizers.ByteLevel.alphabet())
-        self.remembered = remembered
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.pieces = Ragged()
-        self.core_place: dict[str, int] = {}
-        self.cores = Ragged()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Add pieces that aren't in the table: small letters, then what has letters as its core, then the others."""
-        small = [p.isalpha() and p.islower() and (p.isascii() or unicodedata.is_normalized("NFC", p)) for p in pieces]
-        if letters := list(compress(pieces, small)):
-            self.pieces.add(*self._spell(letters))
-            self.place.update(zip(letters, range(len(self.place), len(self.place) + len(letters)), strict=True))
-        if len(letters) < len(pieces):
-            self._learn_odd([p for p, s in zip(pieces, small, strict=True) if not s])
-
-    def _spell(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """How many tokens each of some runs of small letters has, and all of them."""
-        spelled = " ".join(c if c.isascii() else c.encode().decode("latin-1").translate(self.bytes) for c in cores)
-        ids = np.array(self.bare.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype=np.int64)
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        assert len(ends) == len(cores)
-        return np.diff(ends, prepend=0), ids
-
-    def _learn_odd(self, pieces: list[str]) -> None:
-        plain: list[str] = []
-        odd: list[str] = []
-        at: list[int] = []
-        points: list[int] = []
-        new: list[str] = []
-        core_place, point_of = self.core_place, self.point
-        for p in pieces:
-            core, point = (p[:-1], p[-1]) if p[-1] in ",." else (p, "")
-            if core.isalpha():
-                if core.isascii():
-                    core = core.lower()
-                elif "\u03a3" in core or "\u0130" in core:  # whose lower case depends on the library
-                    core = ""
-                else:
-                    core = unicodedata.normalize("NFC", core).lower()
-                    core = core if core.isalpha() else ""
-            else:
-                core = ""
-            if not core:
-                odd.append(p)
-                continue
-            i = core_place.get(core)
-            if i is None:
-                i = core_place[core] = len(core_place)
-                new.append(core)
-            plain.append(p)
-            at.append(i)
-            points.append(point_of[point])
-        if new:
-            self.cores.add(*self._spell(new))
-        if plain:
-            numbers, point = np.array(at), np.array(points)
-            tokens, ends = self.cores.take(numbers)
-            marked = point >= 0
-            self.pieces.add(self.cores.lengths[numbers] + marked, np.insert(tokens, ends[marked], point[marked]))
-        if odd:
-            lists = [e.ids for e in self.full.encode_batch_fast(odd, add_special_tokens=False)]
-            self.pieces.add(np.array([len(x) for x in lists]), np.array([t for x in lists for t in x], dtype=np.uint16))
-        base = len(self.place)
-        self.place.update(zip(chain(plain, odd), range(base, base + len(pieces)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
+        assert set(alphabet) == set(pre_tokenizers.ByteLevel.alphabet())
+        model = json.loads(self.full.to_str())["model"]
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        tokens = [*alphabet, *(c + CLOSE for c in alphabet), *merged]  # a last byte takes its mark before anything is merged
+        spelled = [bytes(alphabet[c] for c in t.removesuffix(CLOSE)) + b" " * t.endswith(CLOSE) for t in tokens]
+        ranks = {b: i for i, b in enumerate(spelled)}
+        assert len(ranks) == len(tokens)
+        self.ids = np.array([model["vocab"][t] for t in tokens], dtype=np.uint16)
+        self.closes = np.array([t.endswith(CLOSE) for t in tokens])
+        self.ranked = tiktoken.Encoding("ranked", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+    def _merged(self, spelled: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many tokens each word has, and all of them. spelled: the word's pieces, each with a space after it."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), spelled), "")[0].as_py()
+        ranks = np.array(self.ranked.encode_ordinary(text), dtype=np.int32)
+        ends = np.concatenate(([0], np.flatnonzero(self.closes[ranks]) + 1))
+        last = np.cumsum(pc.count_substring(spelled, " ").to_numpy())
+        assert len(ends) == (last[-1] if len(last) else 0) + 1
+        return np.diff(ends[last], prepend=0), self.ids[ranks]
+
+    def _spell(self, words: pa.Array) -> pa.ListArray:
+        """The tokens of each of some different words without white space."""
+        plain = pc.and_(pc.match_substring_regex(words, f"^[!-~{LETTERS}]*$"), pc.invert(pc.match_substring(words, "<|")))
+        letters, pointed = (pc.match_substring_regex(words, f"^[{LETTERS}]+{c}$") for c in ("", "[,.]"))
+        kinds = [letters, pointed, pc.and_not(plain, pc.or_(letters, pointed)), pc.invert(plain)]
+        order = np.concatenate([np.flatnonzero(k.to_numpy(zero_copy_only=False)) for k in kinds])
+        small = [pc.utf8_lower(words.filter(k)) for k in kinds[:3]]
+        small[:2] = [pc.binary_join_element_wise(w, "", " ") for w in small[:2]]
+        for c in ",.":
+            small[1] = pc.replace_substring(small[1], c, " " + c)
+        small[2] = pc.replace_substring_regex(small[2], PRETOKENS, r"\1 ")
+        n, ids = self._merged(pa.concat_arrays(small))
+        odd = [np.array(e.ids, dtype=np.uint16) for e in self.full.encode_batch_fast(words.filter(kinds[3]).to_pylist(), add_special_tokens=False)]
+        ends = np.cumsum([0, *n.tolist(), *map(len, odd)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids, *odd])))
+        return lists.take(pa.array(np.argsort(order)))
+
+    def steps(self, rows: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+        """Rows whose texts have some `remembered` bytes, besides one longer text."""
+        size = np.cumsum(pc.binary_length(rows.column(column)).to_numpy())
+        cuts = np.flatnonzero(np.diff(size // self.remembered, prepend=0)).tolist()
+        for a, b in pairwise(sorted({0, *cuts, rows.num_rows})):
+            yield rows.slice(a, b - a)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """uint16 ids of each text, without the end token."""
-        if len(self.place) > self.remembered:
-            self._forget()
-        split = [[] if any(c in t for c in _SEPARATORS) else _ready(t).split() for t in texts]
-        words = list(chain.from_iterable(split))
-        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            self._learn(list(dict.fromkeys([words[i] for i in missing])))
-            at[missing] = [self.place[words[i]] for i in missing]
-        tokens, ends = self.pieces.take(at)
-        cuts = np.concatenate(([0], ends))[np.cumsum([0] + [len(x) for x in split])].tolist()
-        out = [tokens[a:b] for a, b in pairwise(cuts)]
-        for i, t in enumerate(texts):
-            if not split[i] and t:
-                out[i] = np.array(self.full.encode(t, add_special_tokens=False).ids, dtype=np.uint16)
-        return out
-
-
-#: Characters that Python's split() and the tokenizer see differently.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Texts whose lower case depends on the library, or that may hold special tokens.
-_AS_IT_IS = ("\u03a3", "\u0130", "<|")
-#: A comma or full stop between a letter or number and white space: the tokenizer parts it from either.
-_POINT = re.compile(r"[,.](?<=[^\W_][,.])(?=\s)")
-_encoders: dict[str, PieceEncoder] = {}
+        rows = pa.record_batch([texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())], ["text"])
+        return [ids for step in self.steps(rows, 0) for ids in self._encode(step.column(0))]
 
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        found = self._spell(words.dictionary).take(words.indices)
+        ends = found.offsets.to_numpy()[np.cumsum([0, *pc.list_value_length(split).to_pylist()])].tolist()
+        tokens = found.values.to_numpy()
+        return [tokens[a:b] for a, b in pairwise(ends)]
 
-def _ready(text: str) -> str:
-    if not text.isascii() and not unicodedata.is_normalized("NFC", text) or any(c in text for c in _AS_IT_IS):
-        return text
-    return _POINT.sub(r" \g<0>", text.lower())
+
+_encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -264,7 +202,7 @@ def _sampled(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                ids = [np.concatenate([i, end]) for i in enc.encode(part.column(1).to_pylist())]
+                ids = [np.concatenate([i, end]) for i in enc.encode(part.column(1))]
                 vectors = pa.FixedSizeListArray.from_arrays(pa.array(term_vectors(ids).ravel()), WIDTH).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) for i in ids], pa.int64()), vectors], ["number", "n", "vector"])
 
@@ -288,10 +226,11 @@ def _tokenised(path: str, dealer: Dealer) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([END], dtype=np.uint16)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = [np.concatenate([i, end]) for i in enc.encode(part.column(2).to_pylist())]
+        for step in chain.from_iterable(enc.steps(b, 2) for b in batches):
+            encoded = enc.encode(step.column(2))
+            for at in range(0, step.num_rows, 512):
+                part = step.slice(at, 512)
+                ids = [np.concatenate([i, end]) for i in encoded[at : at + 512]]
                 centre, first = dealer.deal(ids)
                 packed = pa.array([i.tobytes() for i in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays(

@@ -1,3 +1,5 @@
+import json
+import re
 import zlib
 from collections import defaultdict
 
@@ -19,6 +21,56 @@ def test_encoder_agrees_with_tokenizer(spark, sf):
         assert got.tolist() == full.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_encoder_on_every_letter_it_merges_itself():
+    """Each character of the class, alone, in runs, capital, before points and digits; and what looks like one but isn't."""
+    full, enc = Tokenizer.from_file(op.default_vocabulary()), op.PieceEncoder(op.default_vocabulary())
+    letters = [c for c in map(chr, range(33, 0xD7A4)) if re.fullmatch(f"[{op.LETTERS}]", c)]
+    rng = np.random.default_rng(3)
+    words = letters + ["".join(rng.choice(letters, rng.integers(1, 9))) + e for _ in range(300) for e in ("", ",", ".", "1", "'s", "...", "'LL")]
+    words += ["J\u030c", "\u212a", "\u2126x", "E\u0301a", "\u0130I", "a\u0130", "\u30cb\u3099", "\uac00\u11a8", "a\u00a0b", "\u00d7", "x\u3000y", "a\x00b", "don't'ss", "<|ENDOFTEXT|>", "a<|endoftext|>b", "\u4e2d" * 3000]
+    words += ["".join(rng.choice(list("abAB'sStTdDmlLrevE.,01-<|>_")) for _ in range(rng.integers(1, 9))) for _ in range(3000)]
+    want = [e.ids for e in full.encode_batch_fast(words, add_special_tokens=False)]
+    assert [x.tolist() for x in enc.encode(words)] == want
+    joined = enc.encode(["  ".join(words) + "\r\n"])[0].tolist()
+    assert joined == [t for x in want for t in x]
+
+
+def test_words_are_merged_in_bulk(spark, sf):
+    """Next to nothing of plain texts goes through the tokenizer word by word, however many words are new (they took most of the time)."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").limit(400).collect()]
+    enc, seen = op.PieceEncoder(op.default_vocabulary()), []
+
+    class Watched:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, words, **more):
+            seen.extend(words)
+            return self.tokenizer.encode_batch_fast(words, **more)
+
+    for name, value in list(vars(enc).items()):
+        if isinstance(value, Tokenizer):
+            setattr(enc, name, Watched(value))
+    enc.encode(texts)
+    assert sum(map(len, seen)) < 0.02 * len("".join({w for t in texts for w in t.split()}))
+
+
+def test_every_token_comes_out_of_its_own_bytes():
+    """So merging any neighbours that make up a token, by rank, is the same as the listed merges."""
+    model = json.loads(open(op.default_vocabulary(), encoding="utf-8").read())["model"]
+    rank = {tuple(m): i for i, m in enumerate(model["merges"])}
+    for left, right in model["merges"]:
+        token = left + right
+        parts = [*token.removesuffix(op.CLOSE)]
+        if token.endswith(op.CLOSE):
+            parts[-1] += op.CLOSE
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
+            assert (parts[best], parts[best + 1]) in rank, token
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        assert parts == [token]
+
+
 def verify(rows, pieces, window=op.WINDOW):
     full = Tokenizer.from_file(op.default_vocabulary())
     want = defaultdict(list)
