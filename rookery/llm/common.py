@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,5 +111,13 @@ def held(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
+def steps(rows: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts have some `size` bytes, besides one longer text."""
+    ends = np.cumsum(pc.binary_length(rows.column(column)).to_numpy())
+    cuts = np.flatnonzero(np.diff(ends // size, prepend=0)).tolist()
+    for a, b in pairwise(sorted({0, *cuts, rows.num_rows})):
+        yield rows.slice(a, b - a)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

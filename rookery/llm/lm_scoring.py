@@ -29,16 +29,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain, pairwise, repeat
+from itertools import pairwise, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved, shared_folder, whole, words_of
+from .common import documents, saved, shared_folder, steps, whole, words_of
 
 #: Slices of the corpus; the weights are averaged after each.
 SLICES = 4
@@ -53,9 +54,9 @@ STEP = 8192
 SCORE_STEP = 65536
 #: Rows of a step whose scores are held at once: small arrays are used again from the cache, large ones are paged in anew each time.
 BLOCK = 512
-#: Words whose counts travel with the tasks, and words that a worker remembers at most.
+#: Words whose counts travel with the tasks, and bytes of text whose different words are looked up together.
 DIRECT = 262_144
-REMEMBERED = 600_000
+REMEMBERED = 4_000_000
 #: Numbers in a row of weights.
 ROW = 1024
 #: Unit of the summed logarithms: whole numbers, so that reruns agree.
@@ -119,29 +120,13 @@ def start(shape: Shape, counts: np.ndarray) -> State:
     return State(flat, np.full_like(flat, START))
 
 
-def _exp(x: np.ndarray) -> np.ndarray:
-    """In place, from rows of scores to their softmax."""
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
-
-
-def _log_of(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log-softmax of one chosen column a row."""
-    x -= x.max(axis=-1, keepdims=True)
-    own = x[np.arange(len(x)), chosen]
-    return own - np.log(np.exp(x, out=x).sum(axis=-1))
-
-
 def _blocks(n: int, start: int = 0) -> list[slice]:
     return [slice(a, min(a + BLOCK, n)) for a in range(start, n, BLOCK)]
 
 
-def _scores(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = h @ w
-    x += b
-    return x
+def _bounded(w: np.ndarray) -> bool:
+    """Whether no score of hidden values, which are within -1 and 1, can leave what exp takes in single precision."""
+    return bool(np.abs(w).sum(axis=-2).max() < 80)
 
 
 class Network:
@@ -149,16 +134,43 @@ class Network:
         self.shape, self.flat, self.seen = shape, state.flat.copy(), state.seen.copy()
         self.w = shape.views(self.flat)
         self.each = np.empty((shape.width, 0))
+        self.held = np.empty(BLOCK * max(shape.classes, shape.members), dtype=np.float32)
+
+    def _layers(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of classes, and of slots by class, each with its biases as the last row."""
+        return np.vstack([self.w["class_w"], self.w["class_b"]]), np.concatenate([self.w["slot_w"], self.w["slot_b"][:, None]], axis=1)
+
+    def _scores(self, h: np.ndarray, w: np.ndarray, bounded: bool) -> np.ndarray:
+        """Scores of some rows up to a number for each row; they hold until the next call."""
+        x = np.matmul(h, w, out=self.held[: len(h) * w.shape[1]].reshape(len(h), -1))
+        if not bounded:
+            x -= x.max(axis=-1, keepdims=True)
+        return x
+
+    def _log_p(self, h: np.ndarray, w: np.ndarray, bounded: bool, chosen: np.ndarray) -> np.ndarray:
+        """Log-softmax of one chosen column a row."""
+        x = self._scores(h, w, bounded)
+        own = x[np.arange(len(x)), chosen]
+        return own - np.log(np.exp(x, out=x).sum(axis=-1))
+
+    def _errors(self, h: np.ndarray, w: np.ndarray, bounded: bool, chosen: np.ndarray) -> np.ndarray:
+        """Softmax less one at the chosen column."""
+        x = self._scores(h, w, bounded)
+        np.exp(x, out=x)
+        x /= x.sum(axis=-1, keepdims=True)
+        x[np.arange(len(x)), chosen] -= 1
+        return x
 
     def _hidden(self, sides: np.ndarray) -> np.ndarray:
+        """Hidden values, and a last column of ones for the biases."""
         beside = [self.w["vector"] * scale for scale in self.w["scale"]]
-        out = np.empty((len(sides), self.shape.width), dtype=np.float32)
+        out = np.ones((len(sides), self.shape.width + 1), dtype=np.float32)
         for rows in _blocks(len(sides)):
             at = np.ascontiguousarray(sides[rows].T)
             total = beside[0].take(at[0], axis=0)
             for k in range(1, len(at)):
                 total += beside[k].take(at[k], axis=0)
-            np.tanh(total, out=out[rows])
+            np.tanh(total, out=out[rows, :-1])
         return out
 
     def _sorted(self, slots: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -172,12 +184,13 @@ class Network:
         """Log-probability of each slot given its sides (columns: positions)."""
         order, classes = self._sorted(slots)
         slots, h, m = slots[order], self._hidden(sides[order]), self.shape.members
-        out = np.empty(len(slots), dtype=np.float32)
+        out, (top, low) = np.empty(len(slots), dtype=np.float32), self._layers()
+        bounded = _bounded(top) and _bounded(low)
         for rows in _blocks(len(slots)):
-            out[rows] = _log_of(_scores(h[rows], self.w["class_w"], self.w["class_b"]), slots[rows] // m)
+            out[rows] = self._log_p(h[rows], top, bounded, slots[rows] // m)
         for c, a, b in classes:
             for rows in _blocks(b, a):
-                out[rows] += _log_of(_scores(h[rows], self.w["slot_w"][c], self.w["slot_b"][c]), slots[rows] % m)
+                out[rows] += self._log_p(h[rows], low[c], bounded, slots[rows] % m)
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -186,24 +199,23 @@ class Network:
         """One Adagrad step on the mean loss of some words."""
         order, classes = self._sorted(slots)
         slots, sides, m, n = slots[order], sides[order], self.shape.members, len(slots)
-        h, every = self._hidden(sides), np.arange(BLOCK)
-        g = np.zeros_like(self.flat)
+        h, (top, low) = self._hidden(sides), self._layers()
+        bounded = _bounded(top) and _bounded(low)
+        g, g_top, g_low = np.zeros_like(self.flat), np.zeros_like(top), np.zeros_like(low)
         part = self.shape.views(g)
-        dh = np.empty_like(h)
+        dh = np.empty((n, self.shape.width), dtype=np.float32)
         for rows in _blocks(n):
-            d = _exp(_scores(h[rows], self.w["class_w"], self.w["class_b"]))
-            d[every[: len(d)], slots[rows] // m] -= 1
-            part["class_w"] += h[rows].T @ d
-            part["class_b"] += d.sum(axis=0)
-            np.matmul(d, self.w["class_w"].T, out=dh[rows])
+            d = self._errors(h[rows], top, bounded, slots[rows] // m)
+            g_top += h[rows].T @ d
+            np.matmul(d, top[:-1].T, out=dh[rows])
         for c, a, b in classes:
             for rows in _blocks(b, a):
-                d = _exp(_scores(h[rows], self.w["slot_w"][c], self.w["slot_b"][c]))
-                d[every[: len(d)], slots[rows] % m] -= 1
-                part["slot_w"][c] += h[rows].T @ d
-                part["slot_b"][c] += d.sum(axis=0)
-                dh[rows] += d @ self.w["slot_w"][c].T
-        dh *= 1 - h * h
+                d = self._errors(h[rows], low[c], bounded, slots[rows] % m)
+                g_low[c] += h[rows].T @ d
+                dh[rows] += d @ low[c, :-1].T
+        part["class_w"][:], part["class_b"][:] = g_top[:-1], g_top[-1]
+        part["slot_w"][:], part["slot_b"][:] = g_low[:, :-1], g_low[:, -1]
+        dh *= 1 - h[:, :-1] ** 2
         vector, scale = self.w["vector"], self.w["scale"]
         beside = np.ascontiguousarray(sides.T)
         if self.each.shape[1] != beside.size:
@@ -247,63 +259,48 @@ class Lexicon:
         return out
 
 
-def _hash(word: bytes) -> int:
-    """As Spark's xxhash64 of a string."""
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
+def _hashes(words: pa.Array) -> np.ndarray:
+    """As Spark's xxhash64 of each string."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.cast(pa.binary()).to_numpy(zero_copy_only=False), repeat(42)), np.uint64, len(words)).view(np.int64)
 
 
-def shared_number(word: bytes, shape: Shape) -> int:
-    first = word.decode("utf-8", "surrogatepass")[:2].encode("utf-8", "surrogatepass")
-    return _hash(first) % (shape.vocabulary - shape.frequent)
+def shared_numbers(words: pa.Array, shape: Shape) -> np.ndarray:
+    first = pc.utf8_slice_codeunits(words, 0, 2).dictionary_encode()
+    return (_hashes(first.dictionary) % (shape.vocabulary - shape.frequent))[first.indices.to_numpy()]
 
 
 class Reader:
-    """Words of texts as slots, with a bounded table of the words met so far."""
+    """Words of texts as slots; within a step, each different word is looked up once, all of them together."""
 
     def __init__(self, lexicon: Lexicon, remembered: int = REMEMBERED):
         self.lexicon, self.shape, self.remembered = lexicon, lexicon.shape, remembered
-        self.direct = dict(zip(lexicon.hashes.tolist(), range(len(lexicon.hashes)), strict=True))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.slots, self.logs, self.rest = np.zeros(1024, np.uint16), np.zeros(1024), np.zeros(1024, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        """slots, logs (log n(w) / n(v), without n(w) where it isn't known here) and rest (the hash where it isn't, else 0)."""
-        shape, counts, shared = self.shape, self.lexicon.counts, np.maximum(self.lexicon.shared, 1)
-        base, need = len(self.place), len(self.place) + len(words)
-        while need > len(self.slots):
-            self.slots, self.logs, self.rest = (np.concatenate([x, np.zeros_like(x)]) for x in (self.slots, self.logs, self.rest))
-        slots, logs, rest = [], [], []
-        for w in words:
-            h = _hash(w)
-            i = self.direct.get(h, -1)
-            if 0 <= i < shape.frequent:
-                slots.append(shape.slot(i))
-                logs.append(0.0)
-                rest.append(0)
-                continue
-            k = shared_number(w, shape)
-            slots.append(shape.slot(shape.frequent + k))
-            logs.append(np.log(counts[i] / shared[k]) if i >= 0 else -np.log(shared[k]))
-            rest.append(0 if i >= 0 else h)
-        self.slots[base:need], self.logs[base:need], self.rest[base:need] = slots, logs, rest
-        self.place.update(zip(words, range(base, need), strict=True))
-
-    def read(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        self.order = np.argsort(lexicon.hashes)
+        self.ordered = lexicon.hashes[self.order]
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """slots, logs (log n(w) / n(v), without n(w) where it isn't known here) and rest (the hash where it isn't, else 0) of different words."""
+        shape, h, k = self.shape, _hashes(words), shared_numbers(words, self.shape)
+        rank, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        if len(self.ordered):
+            at = np.minimum(np.searchsorted(self.ordered, h), len(self.ordered) - 1)
+            known, rank = self.ordered[at] == h, self.order[at]
+        own = known & (rank < shape.frequent)
+        slots = np.where(own, shape.slot(rank), shape.slot(shape.frequent + k)).astype(np.uint16)
+        count = np.where(known, self.lexicon.counts[rank], 1) if len(self.ordered) else 1
+        logs = np.where(own, 0.0, np.log(count / np.maximum(self.lexicon.shared, 1)[k]))
+        return slots, logs, np.where(known, 0, h)
+
+    def read(self, texts: list[str] | pa.Array) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
         """Words in each text, and slots, logs and rest of all words."""
-        if len(self.place) > self.remembered:
-            self._forget()
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        words = list(chain.from_iterable(split))
-        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            self._learn(list(dict.fromkeys([words[i] for i in missing])))
-            at[missing] = [self.place[words[i]] for i in missing]
-        return [len(s) for s in split], self.slots[at], self.logs[at], self.rest[at]
+        split = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        words = split.flatten()
+        some = pc.not_equal(words, "")  # white space at an end of a text leaves an empty word there
+        before = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+        lengths = np.diff(before[np.cumsum([0, *pc.list_value_length(split).to_pylist()])]).tolist()
+        found = words.filter(some).dictionary_encode()
+        at = found.indices.to_numpy()
+        slots, logs, rest = self._known(found.dictionary)
+        return lengths, slots[at], logs[at], rest[at]
 
 
 _readers: dict[str, Reader] = {}
@@ -321,9 +318,8 @@ def _in_slots(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(lexicon)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                lengths, slots, logs, rest = reader.read(part.column(2).to_pylist())
+            for part in steps(batch, 2, reader.remembered):
+                lengths, slots, logs, rest = reader.read(part.column(2))
                 ends = np.cumsum([0, *lengths]).tolist()
                 spans = list(pairwise(ends))
                 asked = [rest[a:b][rest[a:b] != 0] for a, b in spans]

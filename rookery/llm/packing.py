@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, heavy_join, saved, whole
+from .common import documents, heavy_join, saved, steps, whole
 
 WINDOW = 2048
 #: Tokens that share an index, more or less.
@@ -123,17 +123,10 @@ class PieceEncoder:
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids, *odd])))
         return lists.take(pa.array(np.argsort(order)))
 
-    def steps(self, rows: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-        """Rows whose texts have some `remembered` bytes, besides one longer text."""
-        size = np.cumsum(pc.binary_length(rows.column(column)).to_numpy())
-        cuts = np.flatnonzero(np.diff(size // self.remembered, prepend=0)).tolist()
-        for a, b in pairwise(sorted({0, *cuts, rows.num_rows})):
-            yield rows.slice(a, b - a)
-
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """uint16 ids of each text, without the end token."""
         rows = pa.record_batch([texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())], ["text"])
-        return [ids for step in self.steps(rows, 0) for ids in self._encode(step.column(0))]
+        return [ids for step in steps(rows, 0, self.remembered) for ids in self._encode(step.column(0))]
 
     def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
@@ -226,7 +219,7 @@ def _tokenised(path: str, dealer: Dealer) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([END], dtype=np.uint16)
-        for step in chain.from_iterable(enc.steps(b, 2) for b in batches):
+        for step in chain.from_iterable(steps(b, 2, enc.remembered) for b in batches):
             encoded = enc.encode(step.column(2))
             for at in range(0, step.num_rows, 512):
                 part = step.slice(at, 512)

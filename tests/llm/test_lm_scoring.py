@@ -1,9 +1,11 @@
 import math
 import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rookery.llm import lm_scoring as op
@@ -179,3 +181,37 @@ def test_scores_of_a_step_are_held_in_blocks():
         tracemalloc.stop()
     one = np.concatenate([net.log_p(slots[a : a + 100], sides[a : a + 100]) for a in range(0, 2000, 100)])
     assert np.allclose(told[:2000], one, atol=1e-4)
+
+
+def test_words_are_looked_up_in_bulk(monkeypatch):
+    """A hash for each different word of a step and one for each different beginning (two a word before); the same numbers word by word."""
+    shape, rng = SMALL, np.random.default_rng(8)
+    words = sorted({"".join(rng.choice(list("abcdeÜñ日\u00a0\x1c"), rng.integers(1, 9))) for _ in range(3000)})
+    hashed = lambda x: int(np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).view(np.int64))
+    known, counts, shared = words[:1000], np.arange(1000, 0, -1) + 5, rng.integers(0, 9000, shape.vocabulary - shape.frequent)
+    lexicon = op.Lexicon(shape, np.array([hashed(w) for w in known]), counts, shared)
+    seen = []
+    monkeypatch.setattr(op, "xxhash", SimpleNamespace(xxh64_intdigest=lambda x, seed: seen.append(x) or xxhash.xxh64_intdigest(x, seed)))
+    mixed = rng.permutation(words + words)
+    lengths, slots, logs, rest = op.Reader(lexicon).read([" \t" + " ".join(mixed[:4000]) + "\n", "", "\x0b", " ".join(mixed[4000:])])
+    assert lengths == [4000, 0, 0, len(mixed) - 4000]
+    assert len(seen) < len(words) + 200
+    rank = {w: i for i, w in enumerate(known)}
+    for w, slot, log, r in zip(mixed.tolist(), slots.tolist(), logs.tolist(), rest.tolist(), strict=True):
+        i, k = rank.get(w, -1), hashed(w[:2]) % len(shared)
+        assert slot == (shape.slot(i) if 0 <= i < shape.frequent else shape.slot(shape.frequent + k))
+        assert r == (0 if i >= 0 else hashed(w))
+        assert math.isclose(log, 0.0 if 0 <= i < shape.frequent else math.log((counts[i] if i >= 0 else 1) / max(1, shared[k])), abs_tol=1e-12)
+
+
+def test_large_weights():
+    """Scores that exp can't take in single precision are shifted first, in scoring and in training."""
+    rng = np.random.default_rng(9)
+    state = network(5)
+    net = op.Network(SMALL, op.State(state.flat * 60, state.seen))
+    assert not op._bounded(net._layers()[0]) and op._bounded(state._layers()[0])
+    slots, sides = rng.integers(0, 64, 40), rng.integers(0, 65, (40, 4))
+    want = [plain_log_p(net, int(s), [int(x) for x in xs]) for s, xs in zip(slots, sides, strict=True)]
+    assert min(want) < -100 and np.allclose(net.log_p(slots, sides), want, rtol=1e-4, atol=1e-3)
+    net.learn(slots, sides, 0.1)
+    assert np.isfinite(net.flat).all()
