@@ -29,7 +29,8 @@ def _col(c: Column | str) -> Column:
 def mode_of(time_control: Column | str) -> Column:
     """Game mode from a time control such as 600+5 or 1/86400."""
     c = F.trim(_col(time_control))
-    seconds = F.when(F.regexp_like(F.split_part(c, F.lit("+"), F.lit(1)), F.lit("^[0-9]+$")), F.split_part(c, F.lit("+"), F.lit(1)).try_cast("int"))
+    first = F.substring_index(c, "+", 1)
+    seconds = F.when(F.regexp_like(first, F.lit("^[0-9]+$")), first.try_cast("int"))
     timed = F.when(seconds < 180, "bullet").when(seconds < 600, "blitz").when(seconds <= 1800, "rapid").when(seconds.isNotNull(), "classical")
     return F.when(c.contains("/"), "daily").otherwise(F.coalesce(timed, F.lit("unknown")))
 
@@ -114,6 +115,11 @@ def last_segment(url: Column | str) -> Column:
     return F.element_at(F.split(_col(url), "/"), -1)
 
 
+def once(*columns: Column) -> Column:
+    """These columns, computed once a row: conditions and columns that refer to them don't repeat what they are made of."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def header(text: Column | str, name: str) -> Column:
     """Value of a [Name "value"] line; null where it is missing."""
     return F.nullif(F.regexp_extract(_col(text), rf'\[{name} "([^"]*)"\]', 1), F.lit(""))
@@ -123,12 +129,16 @@ def header_time(text: Column | str, day: str, clock: str) -> Column:
     return F.try_to_timestamp(F.concat_ws(" ", header(text, day), header(text, clock)), F.lit("yyyy.MM.dd HH:mm:ss"))
 
 
-def elapsed_seconds(text: Column | str) -> Column:
-    """From start to end; 0 where either is missing or malformed."""
-    start, end = header_time(text, "Date", "StartTime"), header_time(text, "EndDate", "EndTime")
+def elapsed_seconds(text: Column | str, start: Column | str | None = None) -> Column:
+    """From start to end; 0 where either is missing or malformed. start: where it is known already."""
+    start, end = header_time(text, "Date", "StartTime") if start is None else _col(start), header_time(text, "EndDate", "EndTime")
     return F.coalesce(F.unix_timestamp(end) - F.unix_timestamp(start), F.lit(0)).cast("double")
 
 
+#: How a game's moves end.
+RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
+
+
 def move_text(pgn: Column | str) -> Column:
     """What follows the last header line."""
     return F.trim(F.regexp_replace(_col(pgn), r"(?s)^(?:\s*\[[^\]\n]*\]\s*\n)*", ""))
@@ -140,15 +150,30 @@ def bare_moves(pgn: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, r"(?:^|\s)(?:1-0|0-1|1/2-1/2|\*)(?=\s|$)", " "))
 
 
+def move_words(pgn: Column | str) -> Column:
+    """Half-moves, move numbers, results and empty words outside comments, in order."""
+    return F.split(move_text(pgn), r"\s+|\{[^}]*\}")
+
+
+def tokens_of(words: Column | str) -> Column:
+    """Half-moves among words."""
+    return F.filter(_col(words), lambda x: (x != "") & ~x.contains(".") & ~x.isin(*RESULTS))
+
+
+def count_of(words: Column | str) -> Column:
+    """The largest move number among words, 0 if there is none."""
+    numbers = F.filter(_col(words), lambda x: x.contains("."))
+    return F.coalesce(F.array_max(F.transform(numbers, lambda x: F.regexp_extract(x, r"^(\d+)\.", 1).try_cast("int"))), F.lit(0))
+
+
 def move_tokens(pgn: Column | str) -> Column:
     """Half-moves in order; move numbers are dropped."""
-    return F.filter(F.split(bare_moves(pgn), r"\s+"), lambda x: (x != "") & ~x.contains("."))
+    return tokens_of(move_words(pgn))
 
 
 def move_count(pgn: Column | str) -> Column:
     """The largest move number in the text, 0 if there is none."""
-    numbers = F.filter(F.split(bare_moves(pgn), r"\s+"), lambda x: x.rlike(r"^\d+\.+"))
-    return F.coalesce(F.array_max(F.transform(numbers, lambda x: F.regexp_extract(x, r"^(\d+)", 1).try_cast("int"))), F.lit(0))
+    return count_of(move_words(pgn))
 
 
 def clock_seconds(pgn: Column | str) -> Column:
@@ -156,8 +181,7 @@ def clock_seconds(pgn: Column | str) -> Column:
     readings = F.regexp_extract_all(_col(pgn), F.lit(r"%clk ([0-9:.]+)"), F.lit(1))
 
     def seconds(t: Column) -> Column:
-        parts = F.transform(F.split(t, ":"), lambda p: p.try_cast("double"))
-        total = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc * 60 + p)
+        total = F.aggregate(F.split(t, ":"), F.lit(0.0), lambda acc, p: acc * 60 + p.try_cast("double"))
         return F.coalesce(F.round(total, 3), F.lit(0.0))
 
     return F.transform(readings, seconds)

@@ -267,9 +267,12 @@ def player_mode_chart(gp: DataFrame, player: str, mode: str, as_of: str, days: i
     return rows.crossJoin(F.broadcast(stats)).select("link", "color", "played_at", "rating", band.alias("band"), "mean", "std", F.col("span.days").alias("days"), F.col("span.years").alias("years"))
 
 
-def month_ledger(gp: DataFrame, months: DataFrame | None = None) -> DataFrame:
-    """Games by player and month; with a ledger of months, those without games count 0."""
-    rows = gp.where("played_at IS NOT NULL").groupBy("player_name", F.year("played_at").alias("year"), F.month("played_at").alias("month")).agg(F.count_distinct("link").alias("n_games"))
+def month_ledger(gp: DataFrame, months: DataFrame | None = None, unique: bool = False) -> DataFrame:
+    """Games by player and month; with a ledger of months, those without games count 0. unique: gp has both sides of each game once."""
+    n = F.count_distinct("link")
+    if unique:  # a game against oneself counts once; links needn't be told apart
+        gp, n = gp.where(~((F.col("color") == "black") & F.col("player_name").eqNullSafe(F.col("opponent_name")))), F.count("link")
+    rows = gp.where("played_at IS NOT NULL").groupBy("player_name", F.year("played_at").alias("year"), F.month("played_at").alias("month")).agg(n.alias("n_games"))
     if months is None:
         return rows
     keys = ["player_name", "year", "month"]

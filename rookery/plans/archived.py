@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import games, tables
-from ..operators.storage import shared_folder
+from ..operators.storage import shared_folder, written
 from ..sources import archive_reader, archives, layout, updates, upserts
 from ..sources.store import Rows, Store
 from ..streaming import jobs
@@ -21,8 +21,8 @@ def _folder(t: Tables, kind: str) -> str:
     return f"{shared_folder(t.spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def _write_archives(t: Tables, path: str, part: str = "true") -> None:
-    """An archive file for each priority and month of orders, a line for each game; the files of priority 1 in February lack their end."""
+def _archive_lines(t: Tables) -> DataFrame:
+    """player, year, month, link and JSON of each order with lines. Written, so that texts are made once."""
     side = lambda key, rating, word: F.struct(F.concat(F.lit("P"), key.cast("string")).alias("username"), rating.cast("int").alias("rating"), word.alias("result"))
     cust, link, status = F.col("o_custkey"), F.col("o_orderkey"), F.col("o_orderstatus")
     word = lambda won, lost: F.when(status == won, "win").when(status == lost, "resigned").otherwise("agreed")
@@ -35,8 +35,13 @@ def _write_archives(t: Tables, path: str, part: str = "true") -> None:
         side(cust + 1, link % 300, word("O", "F")).alias("black"),
     )
     where = [F.concat(F.lit("u"), F.substring("o_orderpriority", 1, 1)).alias("player"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")]
-    found = t.raw("orders").where(part).join(_texts(t), F.col("o_orderkey") == F.col("link"))
-    lines = found.select(*where, F.lit(1).alias("place"), "link", F.concat(F.lit(","), F.to_json(game)).alias("value"))
+    found = t.raw("orders").join(_texts(t), F.col("o_orderkey") == F.col("link"))
+    return written(found.select(*where, "link", F.concat(F.lit(","), F.to_json(game)).alias("value")))
+
+
+def _write_archives(lines: DataFrame, path: str) -> None:
+    """An archive file for each priority and month of orders, a line for each game; the files of priority 1 in February lack their end."""
+    lines = lines.withColumn("place", F.lit(1))
     months = lines.select("player", "year", "month").distinct()
     head = months.withColumns({"place": F.lit(0), "link": F.lit(0).cast("long"), "value": F.lit('{"games": [null')})
     tail = months.where("NOT (player = 'u1' AND month = 2)").withColumns({"place": F.lit(2), "link": F.lit(0).cast("long"), "value": F.lit("]}")})
@@ -55,7 +60,7 @@ _COLUMNS = ["link", "white", "black", "white_elo", "white_result", "played_at",
 def archived_games(t: Tables) -> DataFrame:
     """Games out of archive files, cut and parsed one at a time; months that end too early give none."""
     path = _folder(t, "archives")
-    _write_archives(t, path)
+    _write_archives(_archive_lines(t), path)
     rows, _ = archive_reader.opened(archive_reader.archive_rows(t.spark, path))
     return _when(archives.parsed_games(rows), "played_at").select(*_COLUMNS)
 
@@ -63,7 +68,7 @@ def archived_games(t: Tables) -> DataFrame:
 @query("SELECT DISTINCT 'u1' AS player, CAST(year(o_orderdate) AS INT) AS year, CAST(2 AS INT) AS month FROM orders WHERE substr(o_orderpriority, 1, 1) = '1' AND month(o_orderdate) = 2 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def broken_archives(t: Tables) -> DataFrame:
     path = _folder(t, "archives")
-    _write_archives(t, path)
+    _write_archives(_archive_lines(t), path)
     return archive_reader.opened(archive_reader.archive_rows(t.spark, path))[1].select("player", "year", "month")
 
 
@@ -71,9 +76,9 @@ def broken_archives(t: Tables) -> DataFrame:
 def streamed_archives(t: Tables) -> DataFrame:
     """A stream of archive files into a store, in two runs: what came before isn't read again."""
     path, store = _folder(t, "archives"), updates.game_store(t.spark, _folder(t, "store"), 8)
-    progress = _folder(t, "progress")
-    for part in ("month(o_orderdate) <= 6", "month(o_orderdate) > 6"):
-        _write_archives(t, path, part)
+    progress, lines = _folder(t, "progress"), _archive_lines(t)
+    for part in ("month <= 6", "month > 6"):
+        _write_archives(lines.where(part), path)
         jobs.run_once(archive_reader.stream_archives(t.spark, path, settle=0), updates.ArchiveBatches(store, "archives"), progress, "append")
     return _when(store.read("game"), "played_at").select(*_COLUMNS)
 

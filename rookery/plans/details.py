@@ -279,7 +279,7 @@ def scalar_fields(t: Tables) -> DataFrame:
 def _texts(t: Tables) -> DataFrame:
     """link and pgn: headers, and a move with clocks for each line of an order."""
     piece = lambda color, tick: F.concat(F.lit(f" {color}"), F.col("l_partkey").cast("string"), F.lit(" {[%clk 0:"), (F.col("n") + tick).cast("string"), F.lit(":"), (F.col("l_suppkey") % 60).cast("string"), F.lit(".5]}"))
-    lines = t.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").alias("n"))
+    lines = t.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").alias("n")).repartition("l_orderkey")  # numbers are shuffled, texts aren't
     move = F.concat(F.col("n").cast("string"), F.lit("."), piece("w", 1), F.lit(" "), F.col("n").cast("string"), F.lit("..."), piece("b", 2))
     moves = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "l_partkey", "l_suppkey", move.alias("m")))), lambda x: x["m"]), " ").alias("moves"))
     day = F.date_format("o_orderdate", "yyyy.MM.dd")

@@ -1,8 +1,8 @@
 """Monthly archives read game by game, in batches or as a stream: no month has to fit into a row or into memory.
 
 The reader only cuts a month's text into the texts of its games; Spark parses those. A month that can't be decoded to its end gives
-none of its games, only a row with `error`. To know that, a task reads a month once before it tells anything, and keeps up to
-KEEP characters of games meanwhile; a longer month is read a second time. At most one game (MOST characters) and KEEP are held.
+none of its games, only a row with `error`. To know that, a task reads a month once before it tells anything, and keeps its games
+meanwhile: up to KEEP bytes in memory, a longer month in a temporary file. At most one game (MOST characters) and KEEP are held.
 Compressed months (.gz and others that their names tell) are read as they are.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-#: Characters of games that a task keeps while it reads a month; bytes of months in one task; characters of a single game.
-KEEP, TASK, MOST = 32 << 20, 128 << 20, 64 << 20
+#: Bytes of games that a task keeps in memory while it reads a month; bytes of months in one task; characters of a single game.
+KEEP, TASK, MOST = 32 << 20, 32 << 20, 64 << 20
 CHUNK = 1 << 20
 SCHEMA = "player string, year int, month int, file string, arrival int, game string, error string"
 _CONTROL = re.compile(r"[\x00-\x1f]")
@@ -150,6 +151,30 @@ def _packed(path: str, rows: list[tuple[int, str, int]], tasks: int) -> list[Mon
     return [Months(p) for p in packs]
 
 
+def _grouped(games: Iterator[str]) -> Iterator[list[str]]:
+    """Games by about CHUNK characters."""
+    held, size = [], 0
+    for game in games:
+        held.append(game)
+        size += len(game)
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _rows(head: dict, games, first: int | None, error: str | None):
+    """An Arrow batch of SCHEMA: a month's games from number `first` on, or its error."""
+    import pyarrow as pa
+
+    n, types = len(games), {"player": pa.string(), "year": pa.int32(), "month": pa.int32(), "file": pa.string()}
+    same = lambda value, kind: pa.nulls(n, kind) if value is None else pa.repeat(pa.scalar(value, kind), n)
+    arrival = pa.nulls(n, pa.int32()) if first is None else pa.array(range(first, first + n), pa.int32())
+    columns = {k: same(head[k], kind) for k, kind in types.items()} | {"arrival": arrival, "game": games, "error": same(error, pa.string())}
+    return pa.record_batch(columns)
+
+
 class _Reads:
     """What both readers do with a task's months."""
 
@@ -158,25 +183,27 @@ class _Reads:
         self.keep, self.most = int(options.get("keep", KEEP)), int(options.get("most", MOST))
         self.tasks = int(options.get("tasks", 1))
 
-    def read(self, partition: Months | None) -> Iterator[tuple]:
+    def read(self, partition: Months | None) -> Iterator:
+        """Arrow batches of SCHEMA."""
+        import pyarrow as pa
+
         for path, name in partition.files if partition else []:  # where there are no months, Spark asks without a partition
             where = dict(p.split("=", 1) for p in name.split("/")[:-1] if "=" in p)
             number = lambda k: int(where[k]) if where.get(k, "").isdigit() else None
-            head = (where.get("player"), number("year"), number("month"), f"{path}/{name}")
-            kept, size, whole = [], 0, True
-            try:
-                for game in self._games(path, name):
-                    size += len(game)
-                    whole = whole and size <= self.keep
-                    if whole:
-                        kept.append(game)
-                    elif kept:
-                        kept = []
-            except Broken as e:
-                yield (*head, None, None, str(e))
-                continue
-            for arrival, game in enumerate(kept if whole else self._games(path, name)):
-                yield (*head, arrival, game, None)
+            head = {"player": where.get("player"), "year": number("year"), "month": number("month"), "file": f"{path}/{name}"}
+            with tempfile.SpooledTemporaryFile(self.keep) as kept:
+                try:
+                    with pa.ipc.new_stream(kept, pa.schema([("game", pa.string())])) as out:
+                        for games in _grouped(self._games(path, name)):
+                            out.write_batch(pa.record_batch([pa.array(games, pa.string())], names=["game"]))
+                except Broken as e:
+                    yield _rows(head, pa.nulls(1, pa.string()), None, str(e))
+                    continue
+                kept.seek(0)
+                at = 0
+                for games in pa.ipc.open_stream(kept):
+                    yield _rows(head, games.column(0), at, None)
+                    at += games.num_rows
 
     def _games(self, path: str, name: str) -> Iterator[str]:
         system, root = _system(path)
@@ -251,5 +278,5 @@ def opened(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(games, broken) of archive rows, as read_archives gives them; broken months carry their error instead of their text."""
     from .archives import GAME
 
-    games = rows.where("error IS NULL").select("player", "year", "month", "file", "arrival", F.from_json("game", GAME, {"allowUnquotedControlChars": "true"}).alias("g"))
-    return games.select("player", "year", "month", "file", "arrival", "g.*"), rows.where("error IS NOT NULL").select("player", "year", "month", "file", "error")
+    told = F.inline(F.array(F.from_json("game", GAME, {"allowUnquotedControlChars": "true"})))  # parsed once, whatever is asked of it
+    return rows.where("error IS NULL").select("player", "year", "month", "file", "arrival", told), rows.where("error IS NOT NULL").select("player", "year", "month", "file", "error")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..operators.positions import reaction_times
 from ..operators.tables import game_players
 
 _SIDE = "struct<username:string,rating:int,result:string>"
@@ -29,33 +28,44 @@ def read_archives(spark: SparkSession, path: str, repair: bool = False) -> tuple
     return games, parsed.where("archive IS NULL").select("file", "value")
 
 
-def parsed_games(raw: DataFrame) -> DataFrame:
-    """`game` rows with their text (pgn). Games without a text, a link, a start or known results go; the last of a repeated link stays."""
-    link = c.id_from_url("url")
-    start = c.header_time("pgn", "Date", "StartTime")
-    rows = raw.where("pgn IS NOT NULL").select(
-        link.alias("link"),
+def game_rows(raw: DataFrame) -> DataFrame:
+    """`game` rows with their text (pgn) and the words of its moves. Games without a text, a link, a start or known results go; a repeated link stays so."""
+    told = c.once(
+        c.id_from_url("url").alias("link"),
+        c.header_time("pgn", "Date", "StartTime").alias("played_at"),
+        c.points_of("white.result").alias("white_result"),
+        c.points_of("black.result").alias("black_result"),
+        c.move_words("pgn").alias("words"),
+    )
+    rows = raw.where("pgn IS NOT NULL").select("*", told)
+    rows = rows.where("link IS NOT NULL AND played_at IS NOT NULL AND white_result IS NOT NULL AND black_result IS NOT NULL").select(
+        "link",
         c.canonical("white.username").alias("white"),
         c.canonical("black.username").alias("black"),
         F.col("white.rating").alias("white_elo"),
         F.col("black.rating").alias("black_elo"),
-        c.points_of("white.result").alias("white_result"),
-        c.points_of("black.result").alias("black_result"),
+        "white_result",
+        "black_result",
         F.col("white.result").alias("white_str_result"),
         F.col("black.result").alias("black_str_result"),
         "time_control",
         c.mode_of("time_control").alias("mode"),
         c.bonus_of("time_control").alias("bonus"),
-        start.alias("played_at"),
-        c.elapsed_seconds("pgn").alias("time_elapsed"),
-        c.move_count("pgn").alias("n_moves"),
+        "played_at",
+        c.elapsed_seconds("pgn", "played_at").alias("time_elapsed"),
+        c.count_of("words").alias("n_moves"),
         F.coalesce(c.last_segment("eco"), F.lit("no_eco")).alias("eco"),
         "pgn",
+        "words",
         F.lit(False).alias("fens_done"),
         *[F.col(x) for x in ("file", "arrival") if x in raw.columns],
     )
-    rows = rows.withColumn("avg_elo", c.mean_rating("white_elo", "black_elo"))
-    rows = rows.where("link IS NOT NULL AND played_at IS NOT NULL AND white_result IS NOT NULL AND black_result IS NOT NULL")
+    return rows.withColumn("avg_elo", c.mean_rating("white_elo", "black_elo"))
+
+
+def parsed_games(raw: DataFrame) -> DataFrame:
+    """game_rows with their text; the last of a repeated link stays."""
+    rows = game_rows(raw).drop("words")
     if "arrival" in rows.columns:  # by a window, so that columns nobody asks for, the texts above all, aren't shuffled
         place = F.row_number().over(Window.partitionBy("link").orderBy(F.col("file").desc(), F.col("arrival").desc()))
         return rows.withColumn("__place", place).where("__place = 1").drop("__place", "file", "arrival")
@@ -64,12 +74,33 @@ def parsed_games(raw: DataFrame) -> DataFrame:
 
 def parsed_moves(games: DataFrame) -> DataFrame:
     """`moves` rows from the games' texts, with clocks and reaction times."""
-    tokens = games.select("link", "bonus", c.paired_moves(c.move_tokens("pgn")).alias("pairs"), c.clock_seconds("pgn").alias("clocks"))
-    rows = tokens.select("link", "bonus", "clocks", F.explode("pairs").alias("m"))
-    at = lambda k: F.coalesce(F.get("clocks", 2 * F.col("m.n_move") - k), F.lit(0.0))
-    rows = rows.select("link", "bonus", F.col("m.n_move").alias("n_move"), F.col("m.white").alias("white_move"), F.col("m.black").alias("black_move"), at(2).alias("white_time_left"), at(1).alias("black_time_left"))
-    rows = reaction_times(rows, "white_time_left", F.col("bonus"), "white_reaction_time")
-    return reaction_times(rows, "black_time_left", F.col("bonus"), "black_reaction_time").drop("bonus")
+    return moves_of(games.select("link", "bonus", c.move_tokens("pgn").alias("tokens"), c.clock_seconds("pgn").alias("clocks")))
+
+
+def moves_of(games: DataFrame) -> DataFrame:
+    """`moves` rows of games, one a link, with their tokens and clocks. A side's next clock lies in the same game, so nothing is shuffled."""
+    n, half = F.col("n_move"), F.size("tokens")
+    rows = games.where(half > 0).select("link", "bonus", "tokens", "clocks", F.explode(F.sequence(F.lit(1), F.ceil(half / 2).cast("int"))).alias("n_move"))
+    at = lambda k: F.coalesce(F.get("clocks", 2 * n - k), F.lit(0.0))
+    spent = lambda k: F.round(F.when(2 * n < half, F.abs(at(k) - at(k - 2))).otherwise(F.lit(0.0)) + F.col("bonus"), 3)
+    return rows.select(
+        "link",
+        "n_move",
+        F.get("tokens", 2 * n - 2).alias("white_move"),
+        F.coalesce(F.get("tokens", 2 * n - 1), F.lit("--")).alias("black_move"),
+        at(2).alias("white_time_left"),
+        at(1).alias("black_time_left"),
+        spent(2).alias("white_reaction_time"),
+        spent(1).alias("black_reaction_time"),
+    )
+
+
+def openings_of(games: DataFrame, more: list[str], low: int = 3, high: int = 10) -> DataFrame:
+    """link, n_moves, opening, more: as positions.openings, of games with their tokens."""
+    gap = F.array_position("tokens", "--")
+    full = F.floor(F.when(gap > 0, gap - 1).otherwise(F.size("tokens")) / 2).cast("int")
+    rows = games.where(full >= low).select("link", "tokens", *more, F.explode(F.sequence(F.lit(low), F.least(F.lit(high), full))).alias("n_moves"))
+    return rows.select("link", "n_moves", F.array_join(F.slice("tokens", F.lit(1), 2 * F.col("n_moves")), " ").alias("opening"), *more)
 
 
 def ingest(raw: DataFrame) -> dict[str, DataFrame]:

@@ -33,13 +33,24 @@ _BUCKET = "store_bucket"
 _WHOLE = "all"
 
 
+def on_top(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored rows and new ones, which may lack columns."""
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def nothing(spark: SparkSession, schema: StructType) -> DataFrame:
+    """No rows, which the optimizer knows: they cost no tasks."""
+    return spark.range(0).limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 @dataclass(frozen=True)
 class Rows:
     """Rows that meet those of their buckets: merge(old, new) is what stays there. touch: keys whose buckets are meant, if not the rows' own.
+    Where those take long to find out, as rows that are added up, touch can be any keys that have them all.
     dealt: the rows come by bucket already (Store.dealt), so that rows which are spelled out since then aren't shuffled."""
 
     new: DataFrame
-    merge: Callable[[DataFrame, DataFrame], DataFrame] = DataFrame.unionByName
+    merge: Callable[[DataFrame, DataFrame], DataFrame] = on_top
     touch: DataFrame | None = None
     dealt: bool = False
 
@@ -76,7 +87,7 @@ class Snapshot:
         parts = self.manifest["tables"][name]["parts"]
         paths = [p for b, own in parts.items() if buckets is None or int(b) in buckets for p in own]
         if not paths:
-            return self.store.spark.createDataFrame([], self.schema(name))
+            return nothing(self.store.spark, self.schema(name))
         return self.store.spark.read.schema(self.schema(name)).parquet(*[f"{self.store.folder}/{p}" for p in paths])
 
     def read_near(self, name: str, keys: DataFrame) -> DataFrame:
@@ -142,12 +153,13 @@ class Store:
         if isinstance(change, Whole):
             return {"schema": change.table.schema.jsonValue(), "parts": self._write(name, change.table)}
         if name not in now:
-            alone = change.merge is DataFrame.unionByName
-            rows = change.new if alone else change.merge(self.spark.createDataFrame([], change.new.schema), change.new)
+            alone = change.merge is on_top
+            rows = change.new if alone else change.merge(nothing(self.spark, change.new.schema), change.new)
             return {"schema": rows.schema.jsonValue(), "parts": self._write(name, rows, alone and change.dealt)}
         schema, stored = now.schema(name), now.manifest["tables"][name]["parts"]
-        if change.merge is DataFrame.unionByName and set(change.new.columns) == set(schema.names) and all(len(p) < PARTS for p in stored.values()):
-            added = self._write(name, change.new.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]), change.dealt)
+        if change.merge is on_top and set(change.new.columns) <= set(schema.names) and all(len(p) < PARTS for p in stored.values()):
+            have = [f for f in schema if f.name in change.new.columns]  # the others are null where a part lacks them
+            added = self._write(name, change.new.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in have]), change.dealt)
             return {"schema": schema.jsonValue(), "parts": stored | {b: stored.get(b, []) + p for b, p in added.items()}}
         touched = self.buckets_of(name, change.touch or change.new, schema) if name in self.keys else None
         told = change.merge(now.read(name, touched), change.new)

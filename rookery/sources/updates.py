@@ -12,15 +12,16 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as c
 from ..functions.columns import BUCKETS
 from ..operators import deltas, games, jobs, positions
 from ..operators.joins import counted_join
 from ..operators.storage import written
 from ..operators.tables import game_players
 from .archive_reader import opened
-from .archives import parsed_games, parsed_moves
+from .archives import game_rows, moves_of, openings_of
 from .store import Rows, Snapshot, Store, Whole
-from .upserts import insert_ignore, new_only, replace_keys, shell_players, update_by_key, upsert_add, upsert_replace
+from .upserts import new_only, replace_keys, update_by_key, upsert_add, upsert_replace
 
 #: Key columns of the tables of games; a key decides what lies together.
 KEYS = {
@@ -40,6 +41,7 @@ KEYS = {
     "broken_months": ["file"],
 }
 _BY_BUCKET = partial(deltas.merge_keyed, keys=["bucket"], sums=["positions", "appearances", "abs_score_sum"])
+_OPENED = ["mode", "avg_elo", "played_at"]
 _SCORES = ["score", "next_moves", "wdl_win", "wdl_draw", "wdl_loss"]
 
 
@@ -57,10 +59,12 @@ def _merged_row(now: Snapshot, name: str, delta: DataFrame, merge: Callable[[Dat
 
 
 def _new_games(parsed: DataFrame, stored: DataFrame) -> DataFrame:
-    """new_only by link. Where no link comes twice, which the links alone tell, whole rows needn't meet."""
+    """new_only by link; `parsed` itself where that is all. Where no link comes twice, which the links alone tell, whole rows needn't meet."""
+    taken = written(stored.select("link"))
+    known = not taken.isEmpty()
     if parsed.groupBy("link").count().where("count > 1").limit(1).count() == 0:
-        return parsed.join(stored.select("link").hint("merge"), "link", "left_anti")
-    return new_only(parsed, stored, ["link"], "arrival" if "arrival" in parsed.columns else None)
+        return parsed.join(taken.hint("merge"), "link", "left_anti") if known else parsed
+    return new_only(parsed, taken if known else parsed.limit(0), ["link"], "arrival" if "arrival" in parsed.columns else None)
 
 
 def ingest_games(store: Store, parsed: DataFrame, moves: DataFrame, job: str, batch: int) -> bool:
@@ -71,25 +75,46 @@ def ingest_games(store: Store, parsed: DataFrame, moves: DataFrame, job: str, ba
         return False
     new = written(_new_games(parsed, _rows(now, "game", parsed, parsed)))
     own = written(moves.join(new.select("link").hint("merge"), "link", "left_semi"))
-    first = positions.opening_moves(own).where(F.size("parts") >= 3).join(new.select("link", "mode", "avg_elo", "played_at").hint("merge"), "link")
+    first = positions.opening_moves(own).where(F.size("parts") >= 3).join(new.select("link", *_OPENED).hint("merge"), "link")
+    openings = positions.opening_prefixes(store.dealt("game_opening", first), ["link"], 3, 10, _OPENED)
+    return _commit_games(store, now, Rows(new), Rows(own), openings, job, batch)
+
+
+def ingest_texts(store: Store, told: DataFrame, job: str, batch: int) -> bool:
+    """The same where games carry their moves: told has `game` rows with `tokens`, `clocks` and `bonus`, and `arrival`, whose largest
+    value wins where a link comes twice. Games are dealt once, and what is made of each goes to the bucket where it lies."""
+    now = store.snapshot()
+    if now.manifest["applied"].get(job, -1) >= batch:
+        return False
+    dealt = written(store.dealt("game", told))
+    new = _new_games(dealt, _rows(now, "game", dealt, dealt))
+    new = new if new is dealt else written(store.dealt("game", new))
+    game = new.select(*[x for x in told.columns if x not in ("tokens", "clocks", "bonus", "arrival")])
+    return _commit_games(store, now, Rows(game, dealt=True), Rows(moves_of(new), dealt=True), openings_of(new, _OPENED), job, batch)
+
+
+def _commit_games(store: Store, now: Snapshot, rows: Rows, moves: Rows, openings: DataFrame, job: str, batch: int) -> bool:
+    """New games and what follows from them; openings come by bucket."""
+    new = rows.new
     gp = game_players(new)
-    names = written(gp.select("player_name").where("player_name IS NOT NULL").distinct())
-    known = _rows(now, "player", names, names.withColumn("joined", F.lit(0).cast("long")))
-    shells = shell_players(new, known)
-    players = known.select("player_name", "joined").unionByName(shells.select("player_name", "joined"))
-    every = _rows(now, "game_player", names, gp).select(*gp.columns).unionByName(gp)
+    sides = written(gp.select("player_name").distinct())
+    names = sides.where("player_name IS NOT NULL")
+    known = written(_rows(now, "player", names, names.withColumn("joined", F.lit(0).cast("long"))).select("player_name", "joined"))
+    shells = names.join(known.select("player_name").hint("merge"), "player_name", "left_anti").withColumn("joined", F.lit(0).cast("long"))
+    main = known.where(c.is_main("joined")).select("player_name")  # players that are new haven't joined
+    every = _rows(now, "game_player", main, gp).select(*gp.columns).unionByName(gp)
     totals = new.agg(F.count("*").alias("games"), *[F.count_if(F.col("mode") == m).alias(f"{m}_games") for m in ("bullet", "blitz", "rapid")])
     return store.commit(
         job,
         batch,
         {
-            "game": Rows(new),
-            "moves": Rows(own),
+            "game": rows,
+            "moves": moves,
             "game_player": Rows(gp),
-            "game_opening": Rows(positions.opening_prefixes(store.dealt("game_opening", first), ["link"], 3, 10, ["mode", "avg_elo", "played_at"]), dealt=True),
-            "months": Rows(games.month_ledger(gp), partial(upsert_add, keys=["player_name", "year", "month"], sums=["n_games"])),
-            "player": Rows(shells, partial(_with_missing, keys=["player_name"])),
-            "main_mode_summary": Rows(games.main_mode_summary(every, players), lambda old, rows: replace_keys(old, rows, names, ["player_name"])),
+            "game_opening": Rows(openings, dealt=True),
+            "months": Rows(games.month_ledger(gp, unique=True), partial(upsert_add, keys=["player_name", "year", "month"], sums=["n_games"]), sides),
+            "player": Rows(shells),
+            "main_mode_summary": Rows(games.main_mode_summary(every, known), lambda old, rows: replace_keys(old, rows, names, ["player_name"]), main),
             "game_totals": _merged_row(now, "game_totals", totals, partial(deltas.merge_counts, counts=totals.columns)),
         },
         now,
@@ -97,7 +122,7 @@ def ingest_games(store: Store, parsed: DataFrame, moves: DataFrame, job: str, ba
 
 
 class ArchiveBatches:
-    """A stream of archive rows into a store: new games by ingest_games, broken months to the table `broken_months`.
+    """A stream of archive rows into a store: new games by ingest_texts, broken months to the table `broken_months`.
 
     The two are commits of their own, each of which knows its batch, so a batch that comes again after either changes nothing.
     """
@@ -107,17 +132,12 @@ class ArchiveBatches:
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         rows, broken = opened(written(batch))
-        parsed = written(parsed_games(rows))
-        ingest_games(self.store, parsed.drop("pgn", "bonus"), parsed_moves(parsed), self.job, number)
+        rows = game_rows(rows).withColumns({"tokens": c.tokens_of("words"), "clocks": c.clock_seconds("pgn"), "arrival": F.struct("file", "arrival")})
+        ingest_texts(self.store, rows.drop("pgn", "words", "file"), self.job, number)
         self.store.commit(f"{self.job}/broken", number, {"broken_months": Rows(broken)})
         self.store.vacuum()
 
 
-def _with_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """insert_ignore of rows that may lack columns."""
-    return old.unionByName(new_only(new, old, keys), allowMissingColumns=True)
-
-
 def store_profiles(store: Store, profiles: DataFrame, asked: DataFrame, job: str, batch: int) -> bool:
     """Fetched profiles replace their players' rows; a player that was asked for without an answer and isn't known gets a shell row."""
     now = store.snapshot()

@@ -115,3 +115,44 @@ def test_compressed_months_and_repeated_links(spark, tmp_path):
     assert sorted(map(tuple, parsed.select("link", "white").collect())) == [(1, "new"), (2, "y")] and broken.count() == 0
     exchanged = [x for x in parsed.select("link", "white")._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in x]
     assert exchanged and all("pgn" not in x for x in exchanged)
+
+
+def test_a_game_is_parsed_once(spark):
+    """Conditions and columns share what they are made of; moves need no shuffle."""
+    rows, _ = ar.opened(spark.createDataFrame([("p", 2024, 1, "f", 0, json.dumps(game(1)), None)], ar.SCHEMA))
+    parsed = archives.parsed_games(rows)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("\\[Date ") == 1
+    assert "Exchange" not in archives.parsed_moves(rows.selectExpr("1L AS link", "pgn", "2D AS bonus"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_month_is_read_once(tmp_path, monkeypatch):
+    put(tmp_path, "ann", 1, json.dumps({"games": [game(i) for i in range(30)]}))
+    reads, games = [], ar._Reads._games
+    monkeypatch.setattr(ar._Reads, "_games", lambda self, *where: reads.append(where) or games(self, *where))
+    reader = ar._Reads({"path": str(tmp_path), "keep": "1000"})
+    batches = [b for task in ar._packed(reader.path, ar._listed(reader.path), 1) for b in reader.read(task)]
+    assert [json.loads(g)["url"] for b in batches for g in b.column("game").to_pylist()] == [game(i)["url"] for i in range(30)]
+    assert [i for b in batches for i in b.column("arrival").to_pylist()] == list(range(30)) and len(reads) == 1
+
+
+def test_streamed_tables_equal_those_of_frames(spark, tmp_path):
+    """Games of archives, dealt once, give what ingest_games gives: with links that come twice, are stored already, lack moves, and a game against oneself."""
+    text = '[Date "2024.02.%02d"]\n[StartTime "00:10:00"]\n\n%s'
+    moves = ["1. e4 {[%clk 0:02:59.9]} 1... e5 {[%clk 0:02:58]} 2. d4 d5 3. c4 {[%clk 0:01:00]} c5 4. a3 1-0", "1. e4 e5 2. -- d5 3. a3 a6 4. b3 b6", " ".join(f"{i}. a{i} b{i}" for i in range(1, 14)) + " 1/2-1/2", "*", ""]
+    one = lambda i, who="b": game(i, pgn=text % (i % 9 + 1, moves[i % 5]), black=(who, "resigned"), white=(f"p{i % 4}", "win"))
+    batches = [[one(i) for i in range(12)] + [one(3, "again"), one(4, "p0"), one(20, " ")], [one(i, "late") for i in range(8, 18)]]
+    streamed, framed = (updates.game_store(spark, str(tmp_path / n), 4) for n in ("streamed", "framed"))
+    for store in (streamed, framed):
+        profiles = spark.createDataFrame([("p0", "A", 5), ("p1", None, 0)], "player_name string, name string, joined long")
+        updates.store_profiles(store, profiles, profiles.select("player_name").limit(0), "p", 0)
+    for number, games in enumerate(batches):
+        batch = spark.createDataFrame([("x", 2024, 2, f"f{number}", i, json.dumps(g), None) for i, g in enumerate(games)], ar.SCHEMA)
+        updates.ArchiveBatches(streamed, "a")(batch, number)
+        parsed = archives.parsed_games(ar.opened(batch)[0])
+        assert updates.ingest_games(framed, parsed.drop("pgn", "bonus"), archives.parsed_moves(parsed), "a", number)
+    for name in ("game", "moves", "game_opening", "game_player", "months", "player", "main_mode_summary", "game_totals"):
+        got, want = streamed.read(name), framed.read(name)
+        assert set(got.columns) == set(want.columns) and rows(got.select(*want.columns)) == rows(want), name
+    assert streamed.read("game").count() == 19 and rows(streamed.read("game").where("link IN (3, 9)").select("black")) == rows(spark.createDataFrame([("again",), ("b",)], "black string"))
+    assert streamed.read("months").where("player_name = 'p0'").agg({"n_games": "sum"}).first()[0] == streamed.read("game_player").where("player_name = 'p0'").select("link").distinct().count()
